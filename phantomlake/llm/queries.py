@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phantomlake.llm import packing, token_counts, token_files, url_filter
+from phantomlake.llm import cleaning, decontaminate, license_scan, line_crf, near_dedup, packing, ppm, token_counts, token_files, url_filter
 from phantomlake.llm.common import documents, new_path, written
 from phantomlake.llm.tokens import default_tokenizer
 
@@ -15,10 +15,35 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(documents(spark, sf_dir))
+
+
+def op3_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(documents(spark, sf_dir))
+
+
+def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return line_crf.classify(docs, line_crf.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), default_tokenizer("byte_bpe_50k.json"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaning.quality_rules(documents(spark, sf_dir))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts from an empty cache of its own, so that every run does all the work."""
     return token_counts.token_counts(documents(spark, sf_dir), default_tokenizer("byte_bpe_50k.json"), new_path(spark, "token-cache"))
@@ -33,11 +58,17 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
+        "op2_license_scan": op2_license_scan,
+        "op3_ppm_score": op3_ppm_score,
+        "op4_line_crf": op4_line_crf,
+        "op5_decontaminate": op5_decontaminate,
         "op6_packing": op6_packing,
+        "op7_near_dedup": op7_near_dedup,
+        "op8_quality_rules": op8_quality_rules,
         "op9_token_counts": op9_token_counts,
         "op10_token_files": op10_token_files,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.oracle_sql()}
+    return {"op1_url_filter": url_filter.oracle_sql(), "op7_near_dedup": near_dedup.oracle_sql(), "op8_quality_rules": cleaning.oracle_sql()}
