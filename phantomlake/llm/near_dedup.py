@@ -305,8 +305,8 @@ with recursive w as (
   select distinct doc_id, md5(array_to_string(ws[i : i + 4], ' ')) as h
   from (select doc_id, ws, unnest(range(1, greatest(1, len(ws) - 4) + 1)) as i from w where len(ws) > 0)
 ), n as (select doc_id, count(*) as n from s group by doc_id),
-p as (select a.doc_id as x, b.doc_id as y, count(*) as both from s a join s b on a.h = b.h and a.doc_id < b.doc_id group by 1, 2),
-e as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * both >= {threshold} * (a.n + b.n - both)),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as n_both from s a join s b on a.h = b.h and a.doc_id < b.doc_id group by 1, 2),
+e as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * n_both >= {threshold} * (a.n + b.n - n_both)),
 u as (select x, y from e union select y, x from e),
 r as (select doc_id as node, doc_id as comp from w union select u.y, r.comp from r join u on u.x = r.node where r.comp < u.y),
 c as (select node, min(comp) as comp from r group by node)
