@@ -2,12 +2,12 @@
 
 Layout of one shard file (little-endian), written in ascending key order:
 
-    magic "TOKSHRD1", n_keys u32, n_records u32, n_buckets u32, end id u32
+    magic "TOKSHRD2", n_keys u32, n_records u32, n_buckets u32, end id u32, bytes of an id u32 (2 or 4)
     seeds        n_buckets x u32      displacement of each bucket of the hash
     fingerprints n_keys x u32         check of the key that owns a slot
     slots        n_keys x (first record u32, records u32)
     records      n_records x (key i64, has key u8, payload offset u64, ids u64)
-    payload      ids, u32 each
+    payload      ids, u16 each where the vocabulary allows it, else u32
 
 `find` hashes a key to its slot, compares the fingerprint, and seeks to the payload: constant time whatever
 the shard holds. Documents are dealt to shards by ranges of their key, so ids lie in ascending key order over
@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from phantomlake.llm.common import by_bytes, id_text
 from phantomlake.llm.tokens import ChunkEncoder
 
-MAGIC = b"TOKSHRD1"
-HEAD = struct.Struct("<8sIIII")
+MAGIC = b"TOKSHRD2"
+HEAD = struct.Struct("<8sIIIII")
 RECORD = np.dtype([("key", "<i8"), ("has", "u1"), ("offset", "<u8"), ("n", "<u8")])
 SLOT = np.dtype([("first", "<u4"), ("n", "<u4")])
 BUCKET = 4  # keys a bucket has on average
@@ -86,9 +86,9 @@ def perfect_hash(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return seeds, slots
 
 
-def shard_bytes(keys: list[int | None], ids: list[bytes], end_id: int) -> bytes:
-    """One shard file; keys ascend (nulls first), ids are little-endian u32 bytes."""
-    sizes = np.array([len(x) // 4 for x in ids], np.uint64)
+def shard_bytes(keys: list[int | None], ids: list[bytes], end_id: int, width: int = 4) -> bytes:
+    """One shard file; keys ascend (nulls first), ids are little-endian bytes of the given width."""
+    sizes = np.array([len(x) // width for x in ids], np.uint64)
     records = np.zeros(len(keys), RECORD)
     records["key"], records["has"] = [k or 0 for k in keys], [k is not None for k in keys]
     records["n"], records["offset"] = sizes, np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(keys) else []
@@ -98,7 +98,7 @@ def shard_bytes(keys: list[int | None], ids: list[bytes], end_id: int) -> bytes:
     prints, table = np.zeros(len(distinct), np.uint32), np.zeros(len(distinct), SLOT)
     prints[slots] = scrambled(distinct, PRINT_SEED) >> np.uint64(32)
     table["first"][slots], table["n"][slots] = (real[first] if len(real) else first), counts
-    head = HEAD.pack(MAGIC, len(distinct), len(keys), len(seeds), end_id)
+    head = HEAD.pack(MAGIC, len(distinct), len(keys), len(seeds), end_id, width)
     return b"".join([head, seeds.tobytes(), prints.astype("<u4").tobytes(), table.tobytes(), records.tobytes(), *ids])
 
 
@@ -106,7 +106,7 @@ class Shard:
     """A shard file in memory (or mapped): records in order, and `find` by key."""
 
     def __init__(self, data: bytes | memoryview):
-        magic, n_keys, n_records, n_buckets, self.end_id = HEAD.unpack_from(data)
+        magic, n_keys, n_records, n_buckets, self.end_id, self.width = HEAD.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a token shard")
         at = HEAD.size
@@ -121,11 +121,11 @@ class Shard:
         self.slots, self.records = taken(SLOT, n_keys), taken(RECORD, n_records)
         self.payload = memoryview(data)[at:]
 
-    def ids(self, record: int) -> memoryview:
+    def ids(self, record: int) -> np.ndarray:
         r = self.records[record]
-        return self.payload[4 * int(r["offset"]) : 4 * int(r["offset"] + r["n"])]
+        return np.frombuffer(self.payload, f"<u{self.width}", int(r["n"]), self.width * int(r["offset"])).astype("<u4")
 
-    def find(self, key: int) -> list[memoryview]:
+    def find(self, key: int) -> list[np.ndarray]:
         """The ids of every record of the key; [] if the shard has none."""
         if not len(self.slots):
             return []
@@ -146,16 +146,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, sh
     spark = docs.sparkSession
     manifest = pa.schema([("part", pa.int64()), ("k", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("min_key", pa.int64()), ("max_key", pa.int64())])
 
-    def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder.of(tokenizer)
-        for part in parts:
-            texts = part.column("text").to_pylist()
-            for a, z in by_bytes(texts):
-                ids = [x + end for x in encoder.encode(texts[a:z])]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").slice(a, z - a), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
-
     def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context = TaskContext.get()
+        context, encoder = TaskContext.get(), ChunkEncoder.of(tokenizer)
+        width = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         fs, top = pafs.FileSystem.from_uri(path)
         fs.create_dir(top, recursive=True)
         keys: list[int | None] = []
@@ -167,7 +160,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, sh
             name = f"{top}/shard-{context.partitionId():06d}-{done:06d}"
             own = f"{top}/_attempt-{context.taskAttemptId()}-{done}"
             with fs.open_output_stream(own) as out:
-                out.write(shard_bytes(keys, ids, end_id))
+                out.write(shard_bytes(keys, ids, end_id, width))
             fs.move(own, f"{name}.tok")
             real = [k for k in keys if k is not None]
             row = [context.partitionId(), done, len(keys), held, real[0] if real else None, real[-1] if real else None]
@@ -177,18 +170,22 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, sh
             return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in row], schema=manifest)
 
         for part in parts:
-            for key, x in zip(part.column("doc_id").to_pylist(), part.column("ids").to_pylist(), strict=True):
-                if keys and held + len(x) // 4 > shard_ids:
-                    yield flush()
-                keys.append(key)
-                ids.append(x)
-                held += len(x) // 4
+            texts = part.column("text").to_pylist()
+            for a, z in by_bytes(texts):
+                for key, x in zip(part.column("doc_id").slice(a, z - a).to_pylist(), encoder.encode(texts[a:z]), strict=True):
+                    x = np.frombuffer(x + end, "<u4").astype(f"<u{width}").tobytes()
+                    if keys and held + len(x) // width > shard_ids:
+                        yield flush()
+                    keys.append(key)
+                    ids.append(x)
+                    held += len(x) // width
         if keys:
             yield flush()
 
+    # texts are dealt to ranges before they are encoded: finding the ranges reads ids alone, and text is smaller than ids
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tokens = id_text(docs, id_col, text_col).mapInArrow(encode, "doc_id long, ids binary")
-    ordered = tokens.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    by = F.col("doc_id").asc_nulls_first()
+    ordered = id_text(docs, id_col, text_col).repartitionByRange(n, by).sortWithinPartitions(by)
     return ordered.mapInArrow(write, "part long, k long, n_docs long, n_ids long, min_key long, max_key long")
 
 
@@ -211,7 +208,7 @@ def read_shards(spark: SparkSession, path: str, manifest: DataFrame) -> DataFram
                 shard = Shard(content.as_buffer())
                 _, p, k = name.rpartition("/")[2].removesuffix(".tok").split("-")
                 r, n = shard.records, len(shard.records)
-                crc = [zlib.crc32(shard.ids(i)) for i in range(n)]
+                crc = [zlib.crc32(shard.ids(i).tobytes()) for i in range(n)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([int(p)] * n, pa.int64()), pa.array([int(k)] * n, pa.int64()), pa.array(r["key"].astype(np.int64), mask=r["has"] == 0), pa.array(r["offset"].astype(np.int64)), pa.array(r["n"].astype(np.int64)), pa.array(crc, pa.int64())], schema=out
                 )
@@ -232,7 +229,7 @@ def lookup(spark: SparkSession, path: str, manifest: DataFrame, keys: DataFrame,
             for p, k, wanted in zip(part.column("part").to_pylist(), part.column("k").to_pylist(), part.column("wanted").to_pylist(), strict=True):
                 with fs.open_input_file(f"{top}/shard-{p:06d}-{k:06d}.tok") as f:
                     shard = Shard(f.read())
-                found = [(x, np.frombuffer(ids, "<u4").astype(np.int64)) for x in wanted for ids in shard.find(x)]
+                found = [(x, ids.astype(np.int64)) for x in wanted for ids in shard.find(x)]
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.list_(pa.int64()))], schema=out)
 
     wanted = keys.select(F.col(key_col).cast("long").alias("key")).filter(F.col("key").isNotNull()).distinct()
