@@ -169,7 +169,6 @@ def first_warnings(warnings: DataFrame, n: int = 5) -> DataFrame:
 def analysis(tiles: DataFrame, side: int, px: float) -> DataFrame:
     """Per series: mean frequency, noise, tiles used, whether they come from fewer than ten slices."""
     stats = tile_stats(tiles)
-    spectra = tiles.select("series_id", power(detrended(F.col("z"), side), side, F.lit(px)).alias("power"))
-    freq = mean_frequency(radial(mean_spectrum(spectra), side, px))
+    freq = mean_frequency(radial(mean_spectrum_fft(tiles, px).select("series_id", "cell", "power"), side, px))
     slices = tiles.groupBy("series_id").agg(F.countDistinct("slice_idx").alias("n_slices"))
     return freq.join(noise(stats), "series_id").join(slices, "series_id").withColumn("few_slices", F.col("n_slices") < 10)

@@ -56,7 +56,7 @@ def trend_bands(spark, d):
 
 def _csv(english: bool) -> str:
     sep = "," if english else ";"
-    number = lambda x, n: f"coalesce({'' if english else 'replace('}printf('%.{n}f', round_even(cast(cast({x} as varchar) as decimal(18, 9)), {n})){'' if english else chr(44) + chr(39) + '.' + chr(39) + ',' + chr(39) + ',' + chr(39) + ')'}, '')"
+    number = lambda x, n: f"coalesce({'' if english else 'replace('}printf('%.{n}f', round_even(cast(cast({x} as varchar) as decimal(38, 20)), {n})){'' if english else chr(44) + chr(39) + '.' + chr(39) + ',' + chr(39) + ',' + chr(39) + ')'}, '')"
     quoted = lambda x: f"case when regexp_matches({x}, '[{sep}\"]') then '\"' || replace({x}, '\"', '\"\"') || '\"' else {x} end"
     short = "case overall " + " ".join(f"when '{k}' then '{v}'" for k, v in R.SHORT.items()) + " end"
     cells = ["coalesce(cast(run_date as varchar), '')", number("kvp", 0), number("mas", 0), number("water_ct", 1), number("uniformity", 1), number("noise", 2), number("ref_noise", 2), number("nps_freq", 3), number("ref_nps_freq", 3), "coalesce(cast(cast(artifacts_present as int) as varchar), '')", short, "corrective_action_date", "corrective_action", "notes"]

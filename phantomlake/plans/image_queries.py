@@ -157,19 +157,23 @@ def nps2d(spark, d):
     return spectra_of(spark, d).select("vec_id", F.posexplode("power").alias("cell", "p")).select("vec_id", "cell", F.round("p", 6).alias("power"))
 
 
+def mean_of(spark, d):
+    return nps.mean_spectrum_fft(tiles_of(spark, d), PX).select("series_id", "cell", "power")
+
+
 @query("nps2d_mean", f"select series_id, cell, round(power, 6) as power from {_MEAN}")
 def nps2d_mean(spark, d):
-    return rounded(nps.mean_spectrum(spectra_of(spark, d)), "power")
+    return rounded(mean_of(spark, d), "power")
 
 
-@query("nps2d_fft", f"select series_id, cell, round(power, 6) as power from {_MEAN}")
-def nps2d_fft(spark, d):
-    """The kernel for tiles of real size, on the same tiles."""
-    return rounded(nps.mean_spectrum_fft(tiles_of(spark, d), PX).select("series_id", "cell", "power"), "power")
+@query("nps2d_native", f"select series_id, cell, round(power, 6) as power from {_MEAN}")
+def nps2d_native(spark, d):
+    """The same average from the transform in expressions, for small tiles."""
+    return rounded(nps.mean_spectrum(spectra_of(spark, d)), "power")
 
 
 def rings_of(spark, d):
-    return nps.radial(nps.mean_spectrum(spectra_of(spark, d)), SIDE, PX)
+    return nps.radial(mean_of(spark, d), SIDE, PX)
 
 
 @query("nps_radial", f"select series_id, ring, freq, round(power, 6) as power from {_RINGS}")
@@ -226,8 +230,8 @@ def nps_analysis(spark, d):
 
 def halves(spark, d):
     """Two spectra of each series: from its even tiles, and from its odd ones as reference."""
-    rows = tiles_of(spark, d).select("series_id", (C("vec_id") % 2).alias("odd"), nps.power(nps.detrended(C("z"), SIDE), SIDE, F.lit(PX)).alias("power"))
-    return tuple(nps.radial(nps.mean_spectrum(rows.filter(C("odd") == k)), SIDE, PX) for k in (0, 1))
+    parts = [tiles_of(spark, d).filter(C("vec_id") % 2 == k) for k in (0, 1)]
+    return tuple(nps.radial(nps.mean_spectrum_fft(x, PX).select("series_id", "cell", "power"), SIDE, PX) for x in parts)
 
 
 def _half(k: int) -> str:
