@@ -37,7 +37,7 @@ FAMILIES = (
     ("agpl", "affero", "gnu affero general public licen[sc]e|affero general public licen[sc]e", ("1", "3")),
     ("agpl", "agpl", "gnu agpl|agpl", ("3",)),
     ("gfdl", "free documentation", "gnu free documentation licen[sc]e", ("1 1", "1 2", "1 3")),
-    ("apache", "apache", "apache (?:software )?licen[sc]e|asl", ("1", "1 0", "1 1", "2", "2 0")),
+    ("apache", "apache", "apache (?:software )?licen[sc]e|asl", ("1 0", "1 1", "2 0")),
     ("mit", "mit", "mit licen[sc]e|mit x11 licen[sc]e|the mit licen[sc]e", ()),
     ("mit", "expat", "expat licen[sc]e", ()),
     ("x11", "x11", "x11 licen[sc]e", ()),
@@ -47,15 +47,15 @@ FAMILIES = (
     ("bsd", "bsd", "bsd licen[sc]e|bsd style licen[sc]e", ()),
     ("0bsd", "bsd", "0bsd|zero clause bsd(?: licen[sc]e)?", ()),
     ("isc", "isc", "isc licen[sc]e", ()),
-    ("mpl", "mozilla", "mozilla public licen[sc]e", ("1", "1 0", "1 1", "2", "2 0")),
+    ("mpl", "mozilla", "mozilla public licen[sc]e", ("1 0", "1 1", "2 0")),
     ("mpl", "mpl", "mpl", ("1 0", "1 1", "2 0")),
-    ("epl", "eclipse", "eclipse public licen[sc]e", ("1", "1 0", "2", "2 0")),
+    ("epl", "eclipse", "eclipse public licen[sc]e", ("1 0", "2 0")),
     ("cddl", "common development", "common development and distribution licen[sc]e", ("1 0", "1 1")),
     ("cpl", "common public", "common public licen[sc]e", ("1 0",)),
     ("eupl", "european union", "european union public licen[sc]e", ("1 0", "1 1", "1 2")),
     ("eupl", "eupl", "eupl", ("1 0", "1 1", "1 2")),
     ("cecill", "cecill", "cecill(?: [bc])?(?: licen[sc]e)?", ("1", "2", "2 1")),
-    ("artistic", "artistic", "(?:perl )?artistic licen[sc]e", ("1", "1 0", "2", "2 0")),
+    ("artistic", "artistic", "(?:perl )?artistic licen[sc]e", ("1 0", "2 0")),
     ("boost", "boost", "boost software licen[sc]e", ("1 0",)),
     ("zlib", "zlib", "zlib licen[sc]e|zlib libpng licen[sc]e", ()),
     ("wtfpl", "what the fuck", "do what the fuck you want to public licen[sc]e", ("1", "2")),
@@ -84,7 +84,7 @@ FAMILIES = (
     ("mulan", "mulan", "mulan permissive software licen[sc]e|mulan psl", ("1", "2")),
     ("bsl", "business source", "business source licen[sc]e", ("1 0", "1 1")),
     ("sspl", "server side public", "server side public licen[sc]e", ("1",)),
-    ("elastic", "elastic", "elastic licen[sc]e", ("1", "2", "2 0")),
+    ("elastic", "elastic", "elastic licen[sc]e", ("1 0", "2 0")),
     ("ijg", "independent jpeg", "independent jpeg group licen[sc]e", ()),
     ("openssl", "openssl", "openssl licen[sc]e", ()),
     ("json", "json", "json licen[sc]e", ()),
@@ -128,7 +128,8 @@ def family_rules(label: str, keyword: str, names: str, versions: tuple[str, ...]
     key, name, out = keyword.encode(), f"(?:{names})", []
     for v in versions:
         own = f"{label}-{v.replace(' ', '.')}"
-        tail = f"(?: ?v| version| licen[sc]e version)? ?{v}(?: or (?:any )?later(?: version)?| only)?(?! [0-9])" if " " in v else f"(?: ?v| version| licen[sc]e version)? ?{v}(?: 0)?(?: or (?:any |at your option any )?later(?: version)?| only)?(?! [0-9])"
+        number = f"{v.removesuffix(' 0')}(?: 0)?" if " " not in v or v.endswith(" 0") else v
+        tail = f"(?: ?v| version| licen[sc]e version)? ?{number}(?: or (?:any |at your option any )?later(?: version)?| only)?(?! [0-9])"
         out += [Rule(own, key, _GRANT + name + tail, 1, 0.95), Rule(own, key, name + tail, 2, 0.85)]
     return [*out, Rule(label, key, _GRANT + name, 3, 0.8), Rule(label, key, name, 4, 0.65)]
 
