@@ -29,8 +29,9 @@ def around(current: Column, n_slices: Column) -> dict[str, Column]:
 
 
 def slice_range(first: Column, last: Column, n_slices: Column) -> Column:
-    """STRUCT<first, last, error>: 0-based bounds cut to the series and put in order."""
-    cut = lambda x: F.least(F.greatest(x, F.lit(0)), n_slices - 1)
+    """STRUCT<first, last, error>: 0-based bounds cut to the series and put in order; null where none is given and
+    the series is long enough for the default."""
+    cut = lambda x: F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(0)), n_slices - 1))
     error = F.when(n_slices <= 0, "série vide").when((first.isNull() | last.isNull()) & (n_slices < SLICES), "moins de 10 coupes")
     low, high = F.least(cut(first), cut(last)), F.greatest(cut(first), cut(last))
     return F.struct(F.when(error.isNull(), low).cast("int").alias("first"), F.when(error.isNull(), high).cast("int").alias("last"), error.alias("error"))
@@ -38,7 +39,7 @@ def slice_range(first: Column, last: Column, n_slices: Column) -> Column:
 
 def saved_slices(saved: Column, saved_length: Column, n_slices: Column) -> Column:
     """A saved 0-based slice where it applies: same series length, or none recorded (then cut to the series)."""
-    return F.when(saved_length.isNull() | (saved_length == n_slices), F.least(F.greatest(saved, F.lit(0)), n_slices - 1)).cast("int")
+    return F.when(saved.isNotNull() & (saved_length.isNull() | (saved_length == n_slices)), F.least(F.greatest(saved, F.lit(0)), n_slices - 1)).cast("int")
 
 
 def slices_by_location(ordered: DataFrame, start_mm: Column, end_mm: Column, around_centre: int = 20) -> DataFrame:
