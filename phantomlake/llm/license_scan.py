@@ -12,8 +12,10 @@ labels and score 0; repeated rows and ids are scanned each on their own; texts a
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -161,21 +163,30 @@ class Scanner:
     def detections(self, text: bytes) -> list[tuple[int, int, Rule]]:
         """(start, end, rule) in characters of the spaced words, resolved and in order."""
         found = [(m.start(), m.end(), rule) for key, rules in self.by_keyword.items() if key in text for pattern, rule in rules for m in pattern.finditer(text)]
-        found.sort(key=lambda x: (x[2].priority, x[0] - x[1], x[0], x[2].label))
+        found.sort(key=lambda x: (x[2].priority, x[0], -x[1], x[2].label))
         kept: list[tuple[int, int, Rule]] = []
-        for start, end, rule in found:
-            if not any(a <= start and end <= z for a, z, _ in kept):
-                kept.append((start, end, rule))
-        return sorted(kept, key=lambda x: x[:2])
+        starts: list[int] = []  # of the stronger detections, and how far those up to each start reach
+        reach: list[int] = []
+        for _, same in groupby(found, key=lambda x: x[2].priority):
+            last = 0
+            for start, end, rule in same:
+                at = bisect_right(starts, start)
+                if end > max(last, reach[at - 1] if at else 0):
+                    kept.append((start, end, rule))
+                    last = end
+            kept.sort(key=lambda x: x[:2])
+            starts, reach = [x[0] for x in kept], list(accumulate((x[1] for x in kept), max))
+        return kept
 
     def base(self, text: bytes) -> list[tuple[int, str]]:
         """(word, label) of all places of the fixed phrases."""
         out: list[tuple[int, str]] = []
         for phrase, label in self.phrases:
-            at = text.find(phrase)
+            word, last, at = 0, 0, text.find(phrase)
             while at >= 0:
-                out.append((text.count(b" ", 0, at), label))
-                at = text.find(phrase, at + 1)
+                word += text.count(b" ", last, at)
+                out.append((word, label))
+                last, at = at, text.find(phrase, at + 1)
         return out
 
     def scan(self, text: bytes) -> tuple[int, int, int | None, int | None, str, str, float, int]:

@@ -296,6 +296,22 @@ def test_contained_detections_are_suppressed():
     assert [(r.label) for _, _, r in scanner.detections(b" w x y z x ")] == ["strong", "apart"]
 
 
+def test_suppression_by_definition():
+    """Random overlapping detections against the rule read literally: by priority, then length, then place."""
+    rng = random.Random(11)
+    patterns = [" ".join(rng.choice("xyz") for _ in range(rng.randint(1, 4))) for _ in range(25)]
+    rules = [license_scan.Rule(f"r{k}", b"", p, rng.randrange(4), 0.5) for k, p in enumerate(patterns)]
+    scanner = license_scan.Scanner(rules)
+    for _ in range(200):
+        text = (" " + " ".join(rng.choice("xyzw") for _ in range(rng.randint(1, 40))) + " ").encode()
+        found = [(m.start(), m.end(), r) for r in rules for m in re.finditer(f"(?<= )(?:{r.pattern})(?= )".encode(), text)]
+        kept = []
+        for a, z, r in sorted(found, key=lambda x: (x[2].priority, x[0] - x[1], x[0], x[2].label)):
+            if not any(p <= a and z <= q for p, q, _ in kept):
+                kept.append((a, z, r))
+        assert scanner.detections(text) == sorted(kept, key=lambda x: x[:2])
+
+
 def test_url_counts_hits_at_boundaries():
     automaton = url_filter.UrlPolicy(strict=("xxx",), soft=("free", "bets", "free-bets2")).automaton()
     assert url_filter.counted("http://free-bets.com/xxxx?xxx", automaton) == (1, 2, 2)
