@@ -23,8 +23,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near copies."""
-    return near_dedup.without_near_duplicates(docs)
+    """Keeps the smallest doc_id of each group of near copies, which share 0.8 of their shingles or more."""
+    return near_dedup.without_near_duplicates(docs, threshold=80)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,13 +3,14 @@
 1. Every document becomes its set of 5-word shingles (64-bit hashes) and a signature of `coords` minima. Equal
    sets are one class, told by a 128-bit digest; only the class's smallest id goes on.
 2. Each class is posted under its (coordinate, value) pairs. Two documents above the similarity threshold agree
-   on at least `matches` of the coordinates (all but about 1 pair in 30,000 right at the threshold). So values
+   on at least `matches` of the coordinates; `matches` is derived from the threshold by the exact binomial tail, so
+   that at most 1 pair in 30,000 right at the threshold (`MISS`) has fewer. So values
    that only one document has are dropped, and with them every document with fewer than `matches` shared values
    (skip). Of the rest only the `coords - matches + 1` rarest values of a document are posted (prefix): two
    documents with `matches` equal coordinates share one of these.
 3. The members of a posting list are compared in a task by whole signatures, collisions counted in array code;
-   pairs with `matches` or more whose longer signatures agree as well are candidates, told by the first list the
-   two share, once. Lists longer than
+   pairs with `matches` or more whose longer signatures agree as well (again all but `MISS` of the pairs at the
+   threshold) are candidates, told by the first list the two share, once. Lists longer than
    `block` are cut into blocks, each pair of blocks a task of its own, so no task takes a whole long list.
    Before that, long lists are thinned: members first meet the list's most central documents only, and pairs
    inside one confirmed component are not looked for again.
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +37,27 @@ from pyspark.sql import functions as F
 
 from phantomlake.llm.common import LOWER, WordHashes, by_bytes, id_text, mixed, raw, windows_hash, written
 
-COORDS, MATCHES, WIDTH = 64, 43, 5
-#: A second, longer signature (a byte each) of the posted documents alone; at a similarity of 0.85 fewer matches
-#: than this come up for about 1 pair in 40,000.
-WIDE, WIDE_MATCHES = 384, 298
+COORDS, WIDTH = 64, 5
+#: A second, longer signature (a byte each) of the posted documents alone.
+WIDE = 384
+#: The share of the pairs right at the threshold that either signature may miss.
+MISS = 1 / 30_000
 SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary())])
 SETS = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary()), ("wide", pa.binary())])
 
 
+def missed(threshold: int, coords: int, matches: int) -> float:
+    """The probability that a pair whose similarity is `threshold` percent agrees on fewer than `matches` of the
+    coordinates: the exact binomial tail."""
+    p = threshold / 100
+    return sum(comb(coords, k) * p**k * (1 - p) ** (coords - k) for k in range(matches))
+
+
+def least_matches(threshold: int, coords: int, miss: float = MISS) -> int:
+    """The most matches that can be asked for so that at most `miss` of the pairs at the threshold are missed."""
+    return max((m for m in range(1, coords + 1) if missed(threshold, coords, m) <= miss), default=1)
+
+
 def shingle_hashes(words: list[bytes], hashes: WordHashes, width: int = WIDTH) -> np.ndarray:
     """The sorted distinct shingle hashes of a text's words."""
     h = hashes.of(words)
@@ -119,7 +134,7 @@ def list_blocks(members: DataFrame, block: int) -> DataFrame:
     return both.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
 
 
-def compared(x: dict[str, np.ndarray], coord: int, across: bool, j: int, matches: int, threshold: int) -> tuple[list[int], list[int]]:
+def compared(x: dict[str, np.ndarray], coord: int, across: bool, j: int, matches: int, wide_matches: int, threshold: int) -> tuple[list[int], list[int]]:
     """The pairs of one unit that collide often enough, lie in different components and meet here first."""
     order = np.lexsort((x["rep"], x["own"]))
     rep, own, comp, size, sig, bits, wide = (x[k][order] for k in ("rep", "own", "comp", "n_shingles", "sig", "bits", "wide"))
@@ -134,7 +149,7 @@ def compared(x: dict[str, np.ndarray], coord: int, across: bool, j: int, matches
         same = sig[rest][at] == sig[k]
         enough = same.sum(axis=1) >= matches
         at, same = at[enough], same[enough]
-        close = (wide[rest][at] == wide[k]).sum(axis=1) >= WIDE_MATCHES
+        close = (wide[rest][at] == wide[k]).sum(axis=1) >= wide_matches
         at, same = at[close], same[close]
         first = (same & bits[rest][at] & bits[k]).argmax(axis=1) == coord
         found = rep[rest][at[first]]
@@ -143,7 +158,7 @@ def compared(x: dict[str, np.ndarray], coord: int, across: bool, j: int, matches
     return a, b
 
 
-def candidates(posts: DataFrame, coords: int, matches: int, block: int, threshold: int) -> DataFrame:
+def candidates(posts: DataFrame, coords: int, matches: int, wide_matches: int, block: int, threshold: int) -> DataFrame:
     """u, a, b: pairs with enough collisions, each once; u is the hash of the unit that found them."""
     out = pa.schema([("u", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
     one = np.uint64(1)
@@ -157,7 +172,7 @@ def candidates(posts: DataFrame, coords: int, matches: int, block: int, threshol
             x["wide"] = np.frombuffer(b"".join(table.column("wide").to_pylist()), np.uint8).reshape(-1, WIDE)
             x["bits"] = ((table.column("prefix").to_numpy().view(np.uint64)[:, None] >> np.arange(coords, dtype=np.uint64)) & one).astype(bool)
             coord, i, j = (table.column(k)[0].as_py() for k in ("coord", "i", "j"))
-            return compared(x, coord, i != j, j, matches, threshold)
+            return compared(x, coord, i != j, j, matches, wide_matches, threshold)
 
         def found(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
             table = pa.concat_tables(tables).combine_chunks()
@@ -275,8 +290,10 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, threshold: int = 85, coords: int = COORDS, matches: int = MATCHES, block: int = 256, long_list: int = 512, hub_rounds: int = 2) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document."""
+def near_duplicates(docs: DataFrame, threshold: int = 85, coords: int = COORDS, matches: int | None = None, block: int = 256, long_list: int = 512, hub_rounds: int = 2) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document. Without `matches`, it follows from the threshold."""
+    matches = least_matches(threshold, coords) if matches is None else matches
+    wide_matches = least_matches(threshold, WIDE)
     slim = id_text(docs)
     every = written(signed(slim, coords), "signatures")
     linked = every.filter("digest is not null and doc_id is not null")
@@ -293,7 +310,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, coords: int = COORDS,
         now = posts.withColumn("comp", F.col("rep")).withColumn("open", F.lit(True))
         if comps is not None:
             now = posts.join(comps, posts["rep"] == comps["node"], "left").withColumn("open", F.col("node").isNull()).withColumn("comp", F.coalesce("comp", "rep")).drop("node")
-        found = hub_pairs(now, matches, coords, long_list) if k < rounds else candidates(now, coords, matches, block, threshold)
+        found = hub_pairs(now, matches, coords, long_list) if k < rounds else candidates(now, coords, matches, wide_matches, block, threshold)
         more = written(confirmed(written(found, "pairs"), sets, threshold), "links")
         links = more if links is None else links.unionByName(more)
         comps = components(links)
@@ -303,9 +320,9 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, coords: int = COORDS,
     return rows.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
 
 
-def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, threshold: int = 80, **options) -> DataFrame:
     """The documents with all their columns, one of each component kept: that with the smallest id."""
-    gone = near_duplicates(docs, **options).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = near_duplicates(docs, threshold, **options).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
 
 

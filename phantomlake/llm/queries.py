@@ -37,7 +37,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(documents(spark, sf_dir))
+    return near_dedup.near_duplicates(documents(spark, sf_dir), threshold=85)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
