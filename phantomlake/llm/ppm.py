@@ -1,7 +1,7 @@
 """Language-model scoring by prediction by partial matching (PPM) over bytes, beside a word unigram base.
 
-One pass over the training documents counts, per task and then over all, every word and every (order + 1)-byte
-gram with its padded context. Shorter contexts are sums of these grams by their last bytes. The model is the
+One pass over the documents counts, per task and then over all, every word of the training documents and every
+(order + 1)-byte gram with its padded context. Shorter contexts are sums of these grams by their last bytes. The model is the
 context trie of orders 0 to `order`: a symbol seen after the longest known context is predicted by its count;
 otherwise an escape, estimated by method C (distinct symbols seen), leads to the next shorter context, where
 the symbols of the longer one are excluded. Below order 0 all symbols left are equally likely. The model is
@@ -11,10 +11,11 @@ sum over its bytes that array code finds level by level.
 A text is lower-cased (A-Z), stands between padding and one end symbol (byte 0xFF, which UTF-8 never has), and
 its score is the log10 probability of all its bytes and the end.
 
-Bounds: the trie that is sent to the workers keeps at most `max_grams` grams of each length, the most frequent
-by a count threshold that never falls with length, so every kept context has its suffixes kept. Counting itself
-covers everything. Word counts are never cut: at most `frequent` of the most frequent words are broadcast, all
-others are joined by a shuffle.
+No count is cut. The trie is dealt to tasks by the last two bytes of the context: whatever context ends in these,
+all its suffixes but the shortest (of which there are at most 65,792 grams) lie in the same task. There every gram
+that any document has gets its probability, from the counts of all training documents. At most `max_grams` of the
+most frequent grams are sent to the workers with their probability; all others are joined to their documents by a
+shuffle. Likewise at most `frequent` of the most frequent words are broadcast, all others are joined by a shuffle.
 
 Null and empty texts have the end alone; a null id is a training document; repeated rows count as often as they
 occur; an empty table gives an empty table.
@@ -38,7 +39,7 @@ from phantomlake.llm.common import LOWER, by_bytes, id_text, is_fold, raw, writt
 MARK = 0xFF
 #: Symbols that can follow a context: all bytes, the end among them.
 SYMBOLS = 256
-COUNTS = pa.schema([("word", pa.binary()), ("gram", pa.int64()), ("n", pa.int64())])
+COUNTS = pa.schema([("word", pa.binary()), ("gram", pa.int64()), ("n", pa.int64()), ("seen", pa.int64())])
 
 
 def grams_of(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,42 +61,50 @@ def pieces(texts: list[bytes], most: int = 500_000) -> Iterator[tuple[int, int]]
 
 
 def corpus_counts(docs: DataFrame, order: int) -> DataFrame:
-    """(word, null, n) and (null, gram, n) of all documents, summed."""
+    """(word, null, n, n) and (null, gram, n, seen), summed: n in the training documents, seen in all of them. Words
+    are counted in the training documents alone."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter[bytes] = Counter()
-        grams = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        none = (np.zeros(0, np.int64),) * 3
+        grams = none
+        waiting: list[tuple[np.ndarray, ...]] = []
 
-        def summed(xs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-            keys, counts = np.concatenate([k for k, _ in xs]), np.concatenate([n for _, n in xs])
+        def summed(xs: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+            keys, *counts = (np.concatenate(x) for x in zip(*xs, strict=True))
             order_ = np.argsort(keys, kind="stable")
-            keys, counts = keys[order_], counts[order_]
+            keys = keys[order_]
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
-            return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+            return keys[first], *(np.add.reduceat(x[order_], first) if len(first) else x for x in counts)
 
-        def out(words: Counter[bytes], grams: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        def out(words: Counter[bytes], grams: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
             n, m = len(words), len(grams[0])
-            none = pa.nulls
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), none(n, pa.int64()), pa.array(list(words.values()), pa.int64())], schema=COUNTS)
+                times = pa.array(list(words.values()), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.nulls(n, pa.int64()), times, times], schema=COUNTS)
             if m:
-                yield pa.RecordBatch.from_arrays([none(m, pa.binary()), pa.array(grams[0]), pa.array(grams[1])], schema=COUNTS)
+                yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.binary()), *(pa.array(x) for x in grams)], schema=COUNTS)
 
         for part in parts:
-            texts = raw(part.column("text"))
+            texts, held = raw(part.column("text")), part.column("held_out").to_pylist()
             for a, z in pieces(texts):
-                for x in texts[a:z]:
+                train = [x for x, h in zip(texts[a:z], held[a:z], strict=True) if not h]
+                other = [x for x, h in zip(texts[a:z], held[a:z], strict=True) if h]
+                for x in train:
                     words.update(x.translate(LOWER).split())
-                waiting.append(np.unique(grams_of(texts[a:z], order)[0], return_counts=True))
+                for some, share in ((train, 1), (other, 0)):
+                    if some:
+                        keys, n = np.unique(grams_of(some, order)[0], return_counts=True)
+                        waiting.append((keys, n * share, n))
                 if len(waiting) >= 8:
                     grams, waiting = summed([grams, *waiting]), []
                 if len(words) > 400_000 or len(grams[0]) > 1_500_000:
                     yield from out(words, grams)
-                    words, grams = Counter(), (grams[0][:0], grams[1][:0])
+                    words, grams = Counter(), none
         yield from out(words, summed([grams, *waiting]))
 
-    return docs.mapInArrow(run, "word binary, gram long, n long").groupBy("word", "gram").agg(F.sum("n").alias("n"))
+    counted = docs.mapInArrow(run, "word binary, gram long, n long, seen long").groupBy("word", "gram")
+    return counted.agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
 
 
 @dataclass
@@ -107,9 +116,9 @@ class Trie:
     counts: list[np.ndarray]
 
 
-def least_count(counts: DataFrame, most: int) -> int:
+def least_count(counts: DataFrame, most: int, col: str = "n") -> int:
     """A count that at most `most` rows reach. Rows are summed by steps of the logarithm, of which there are few."""
-    steps = counts.select(F.floor(F.log(F.col("n").cast("double")) * 50).alias("step")).groupBy("step").count().collect()
+    steps = counts.select(F.floor(F.log(F.col(col).cast("double")) * 50).alias("step")).groupBy("step").count().collect()
     kept = 0
     for row in sorted(steps, key=lambda r: -r["step"]):
         if kept + row["count"] > most:
@@ -118,22 +127,6 @@ def least_count(counts: DataFrame, most: int) -> int:
     return 1
 
 
-def fitted(counts: DataFrame, order: int, max_grams: int) -> Trie:
-    """The trie from (gram, n) rows; no more than `max_grams` grams of each length reach the driver."""
-    levels = []
-    threshold = 1
-    for k in range(order + 1):
-        mask = (1 << (8 * (k + 1))) - 1
-        level = counts.select((F.col("gram").bitwiseAND(F.lit(mask)) if k < order else F.col("gram")).alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n"))
-        level = written(level, f"grams-{k + 1}") if k > 1 else level.persist()
-        threshold = max(threshold, least_count(level, max_grams))
-        table = level.filter(F.col("n") >= threshold).toArrow()
-        gram, n = table.column("gram").to_numpy(), table.column("n").to_numpy()
-        by = np.argsort(gram)
-        levels.append((gram[by], n[by]))
-    return Trie(order, [g for g, _ in levels], [n for _, n in levels])
-
-
 class Slots:
     """Sorted keys -> row, by open addressing: a few array steps find the rows of many keys."""
 
@@ -223,41 +216,96 @@ class Scorer:
         out[left] -= np.log10(np.where(total[left] < 0, SYMBOLS, np.maximum(distinct[left], 1.0)))
         return out
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        gram, own = grams_of(texts, self.order)
+
+def levels_of(gram: np.ndarray, n: np.ndarray, lengths: range) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each context length k the sorted last k + 1 bytes of the grams, and their summed counts."""
+    out = []
+    for k in lengths:
+        keys, back = np.unique(gram & ((1 << (8 * (k + 1))) - 1), return_inverse=True)
+        # exact sums of integers: bincount would add as floats
+        total = np.zeros(len(keys), np.int64)
+        np.add.at(total, back, n)
+        out.append((keys, total))
+    return out
+
+
+def gram_scores(grams: DataFrame, order: int, bucket_grams: int) -> DataFrame:
+    """gram, seen, logp: log10 of the probability of each gram's last byte after the others, from all counts.
+
+    A task takes about `bucket_grams` grams, or all whose contexts end in the same two bytes."""
+    spark = grams.sparkSession
+    suffix = min(2, order)
+    trained = grams.filter("n > 0")
+    short = []
+    for k in range(suffix):  # at most 256 and 65,536 grams
+        table = trained.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1)).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
+        gram, n = table.column("gram").to_numpy(), table.column("n").to_numpy()
+        short.append((gram[np.argsort(gram)], n[np.argsort(gram)]))
+    buckets = max(1, -(-grams.count() // bucket_grams))
+    sent = spark.sparkContext.broadcast(short)
+    out = pa.schema([("gram", pa.int64()), ("seen", pa.int64()), ("logp", pa.float64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        gram, n = table.column("gram").to_numpy(), table.column("n").to_numpy()
+        levels = sent.value + levels_of(gram[n > 0], n[n > 0], range(suffix, order + 1))
+        logp = Scorer(Trie(order, [g for g, _ in levels], [c for _, c in levels])).log10(gram)
+        return pa.Table.from_arrays([pa.array(gram), table.column("seen"), pa.array(logp)], schema=out)
+
+    ending = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << (8 * suffix)) - 1))
+    dealt = grams.select(F.pmod(F.xxhash64(ending), F.lit(buckets)).alias("bucket"), "gram", "n", "seen")
+    return dealt.groupBy("bucket").applyInArrow(lambda table: run(table.drop_columns(["bucket"])), "gram long, seen long, logp double")
+
+
+class Known:
+    """Sorted grams with their log10 probability."""
+
+    def __init__(self, gram: np.ndarray, logp: np.ndarray):
+        self.slots, self.logp = Slots(gram), logp if len(logp) else np.zeros(1)
+
+    def scores(self, texts: list[bytes], order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """The sum over the known grams of each text, and each text's other grams and how often it has them."""
+        gram, own = grams_of(texts, order)
         kinds, back = np.unique(gram, return_inverse=True)
-        return np.bincount(own, self.log10(kinds)[back], minlength=len(texts))
+        row = self.slots.find(kinds)
+        total = np.bincount(own, np.where(row >= 0, self.logp[row], 0.0)[back], minlength=len(texts))
+        other = np.flatnonzero(row[back] < 0)
+        # the place of a gram among the kinds is below 2**32
+        pairs, times = np.unique((own[other] << 32) | back[other], return_counts=True)
+        cuts = np.searchsorted(pairs >> 32, np.arange(1, len(texts)))
+        return total, np.split(kinds[pairs & 0xFFFFFFFF], cuts), np.split(times, cuts)
 
 
-#: The model that a worker process made last, kept over its tasks.
-_MADE: dict[str, tuple[Scorer, dict[bytes, float]]] = {}
+#: The tables that a worker process made last, kept over its tasks.
+_MADE: dict[str, tuple[Known, dict[bytes, float]]] = {}
 
 
-def score(docs: DataFrame, order: int = 5, max_grams: int = 1_000_000, frequent: int = 200_000, held_mod: int = 7, held_rest: int = 2) -> DataFrame:
+def score(docs: DataFrame, order: int = 5, max_grams: int = 1_000_000, frequent: int = 200_000, held_mod: int = 7, held_rest: int = 2, bucket_grams: int = 200_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark: SparkSession = docs.sparkSession
     slim = id_text(docs).withColumn("held_out", is_fold("doc_id", held_mod, held_rest))
-    counts = written(corpus_counts(slim.filter(~F.col("held_out")).select("text"), order), "ppm-counts")
+    counts = written(corpus_counts(slim.select("text", "held_out"), order), "ppm-counts")
     words = counts.filter("word is not null").select("word", "n")
-    grams = counts.filter("gram is not null").select("gram", "n")
+    grams = counts.filter("gram is not null").select("gram", "n", "seen")
     sizes = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     ends = slim.filter(~F.col("held_out")).count()
     n_train = int(sizes["n"] or 0) + ends
     n_types = int(sizes["v"]) + (1 if ends else 0)
     whole = float(n_train + n_types + 1)
-    trie = spark.sparkContext.broadcast(fitted(grams, order, max_grams))
+    likely = written(gram_scores(grams, order, bucket_grams), "ppm-grams")
+    table = likely.filter(F.col("seen") >= least_count(likely, max_grams, "seen")).select("gram", "logp").toArrow()
+    sent = spark.sparkContext.broadcast((table.column("gram").to_numpy(), table.column("logp").to_numpy()))
     top = words.filter(F.col("n") >= least_count(words, frequent)).toArrow()
     known = spark.sparkContext.broadcast((top.column("word").to_pylist(), np.log10((top.column("n").to_numpy() + 1) / whole)))
     end_score = float(np.log10((ends + 1) / whole))
     has_end = int(ends > 0)
-    out = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.binary())), ("times", pa.list_(pa.int64()))])
+    out = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.binary())), ("times", pa.list_(pa.int64())), ("grams", pa.list_(pa.int64())), ("gram_times", pa.list_(pa.int64()))])
     model = uuid.uuid4().hex
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if model not in _MADE:
             _MADE.clear()
-            _MADE[model] = (Scorer(trie.value), dict(zip(known.value[0], known.value[1].tolist(), strict=True)))
-        scorer, logs = _MADE[model]
+            _MADE[model] = (Known(*sent.value), dict(zip(known.value[0], known.value[1].tolist(), strict=True)))
+        likely_, logs = _MADE[model]
         for part in parts:
             texts, ids, held, number = raw(part.column("text")), part.column("doc_id"), part.column("held_out"), part.column("row")
             for a, z in pieces(texts):
@@ -269,17 +317,20 @@ def score(docs: DataFrame, order: int = 5, max_grams: int = 1_000_000, frequent:
                     rare = Counter(w for w, v in zip(tokens, found, strict=True) if v is None) if len(sure) < len(found) else {}
                     rows.append((len(tokens) + 1, len(sure) + has_end, sum(sure) + end_score, list(rare), list(rare.values())))
                 n, k, base, rare_, times = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([number.slice(a, z - a), ids.slice(a, z - a), held.slice(a, z - a), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(base), pa.array(scorer.scores(texts[a:z])), pa.array(rare_, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))], schema=out)
+                total, others, other_times = likely_.scores(texts[a:z], order)
+                yield pa.RecordBatch.from_arrays([number.slice(a, z - a), ids.slice(a, z - a), held.slice(a, z - a), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(base), pa.array(total), pa.array(rare_, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64())), pa.array(others, pa.list_(pa.int64())), pa.array(other_times, pa.list_(pa.int64()))], schema=out)
 
     numbered = slim.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
-    first = written(numbered.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<binary>, times array<long>"), "ppm-scores")
+    first = written(numbered.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<binary>, times array<long>, grams array<long>, gram_times array<long>"), "ppm-scores")
     rare = first.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     found = rare.join(words, "word", "left").select("row", "times", "n")
     more = found.groupBy("row").agg(
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"),
         F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(whole))).alias("more_base"),
     )
-    return first.join(more, "row", "left").select(
+    others = first.select("row", F.explode(F.arrays_zip("grams", "gram_times")).alias("x")).select("row", F.col("x.grams").alias("gram"), F.col("x.gram_times").alias("times"))
+    other = others.join(likely, "gram").groupBy("row").agg(F.sum(F.col("times") * F.col("logp")).alias("more_score"))
+    return first.join(more, "row", "left").join(other, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("base_score") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )

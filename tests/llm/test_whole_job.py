@@ -1,6 +1,11 @@
 """Where an operator once did less than the whole job: each test fails on a cut of rows, counts or copies."""
 
-from phantomlake.llm import near_dedup
+import numpy as np
+
+from phantomlake.llm import near_dedup, ppm
+
+from .conftest import prose
+from .test_brute_force import _ppm_bits
 
 
 def edited(doc: int, edits: int) -> str:
@@ -25,3 +30,19 @@ def test_signature_misses_stay_under_the_stated_rate():
         for coords in (near_dedup.COORDS, near_dedup.WIDE):
             m = near_dedup.least_matches(threshold, coords)
             assert near_dedup.missed(threshold, coords, m) <= near_dedup.MISS < near_dedup.missed(threshold, coords, m + 1)
+
+
+def test_ppm_scores_with_all_counts(spark, make):
+    """Scores against the definition over all counts, however few grams are broadcast and in how many buckets."""
+    rows = [(k, prose(k, 40) + " é%" * (k % 3)) for k in range(30)] + [(100, ""), (101, "QQzx never seen 中"), (None, prose(3, 20))]
+    whole = {r.doc_id: r for r in ppm.score(make(rows), order=3).collect()}
+    held = {i: whole[i].held_out for i, _ in rows}
+    train = ppm.grams_of([t.encode() for i, t in rows if not held[i]], 3)[0]
+    want = {i: sum(_ppm_bits(train, t)) for i, t in rows}
+    assert any(held.values())
+    for options in ({}, {"max_grams": 50, "bucket_grams": 100}, {"max_grams": 0}):
+        got = {r.doc_id: r.score for r in ppm.score(make(rows), order=3, **options).collect()}
+        assert got.keys() == want.keys() and np.allclose([got[i] for i in want], list(want.values()), atol=1e-6, rtol=0)
+    for order in (0, 1, 2):
+        a, b = ({r.doc_id: r.score for r in ppm.score(make(rows), order=order, max_grams=m).collect()} for m in (10, 10**6))
+        assert np.allclose([a[i] for i in want], [b[i] for i in want])
