@@ -2,10 +2,11 @@
 
 Each partition reads its documents once. Whole windows are cut off a long document; its rest (or a short
 document) goes to the open window where it fits best, that is, leaves least room. When it fits in none of
-the `open_windows` windows, the fullest is emitted and a new one opened. So a task holds a fixed number of
-windows, whatever the partition holds. Windows that are still open at the end are merged, a bounded group
-of them at a time and in rounds, by the same best-fit rule over whole windows; after the last round the
-rest is cut to fill windows, so that each group but one sequence ends full.
+the `open_windows` windows, its head fills the fullest, which is emitted, and its tail is placed again. So a task
+holds a fixed number of windows, whatever the partition holds, and emits full ones alone. Windows that are still
+open at the end are merged, a bounded group of them at a time and in rounds, by the same best-fit rule over whole
+windows; then the pieces that are left are cut at window ends, so that in every round all sequences of a group but
+one end full, and the last round leaves at most one sequence of all that is not. Open pieces carry their ids for that.
 
 Sequence ids are unique, not dense. A null text is an empty document: its end id alone is packed. Repeated
 rows and equal ids are packed each on their own; a null id stays null; an empty table gives no pieces.
@@ -14,6 +15,7 @@ rows and equal ids are packed each on their own; a null id stays null; an empty
 from __future__ import annotations
 
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,8 +28,8 @@ from phantomlake.llm.tokens import ChunkEncoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 FIELDS = [(x.split()[0], pa.int64()) for x in PIECES.split(", ")]
-#: Placed pieces also say which partition they come from and whether their window is still open.
-PLACED = pa.schema([*FIELDS, ("part", pa.int64()), ("open", pa.bool_())])
+#: Placed pieces also say which partition they come from and whether their window is still open; then they have their ids.
+PLACED = pa.schema([*FIELDS, ("ids", pa.binary()), ("part", pa.int64()), ("open", pa.bool_())])
 #: Sequence ids: the partition above, a counter of the partition below.
 SHIFT = 32
 #: Ids of merged windows start here, above all others.
@@ -45,8 +47,8 @@ class Windows:
         self.next_id += 1
         return self.next_id - 1
 
-    def place(self, length: int) -> tuple[int, int, list[int]]:
-        """Window and offset for a piece, and the windows that are emitted for it."""
+    def fitting(self, length: int) -> int | None:
+        """The window where a piece leaves least room, if it fits in one."""
         best, room = None, self.size + 1
         for k, used in self.open.items():
             left = self.size - used - length
@@ -54,20 +56,30 @@ class Windows:
                 best, room = k, left
                 if not left:
                     break
+        return best
+
+    def place(self, length: int) -> tuple[list[tuple[int, int, int]], list[int]]:
+        """(window, offset, length) of the parts of a piece, in order, and the windows that are full by them."""
+        parts: list[tuple[int, int, int]] = []
         done: list[int] = []
+        best = self.fitting(length)
+        if best is None and len(self.open) >= self.most:
+            fullest = max(self.open, key=lambda k: (self.open[k], -k))
+            at = self.open.pop(fullest)
+            parts.append((fullest, at, self.size - at))
+            done.append(fullest)
+            length -= self.size - at
+            best = self.fitting(length)
         if best is None:
-            if len(self.open) >= self.most:
-                fullest = max(self.open, key=lambda k: (self.open[k], -k))
-                del self.open[fullest]
-                done.append(fullest)
             best = self.new_id()
             self.open[best] = 0
         at = self.open[best]
+        parts.append((best, at, length))
         self.open[best] = at + length
         if self.open[best] == self.size:
             del self.open[best]
             done.append(best)
-        return best, at, done
+        return parts, done
 
 
 def placed(docs: DataFrame, tokenizer: str, size: int, end_id: int, open_windows: int) -> DataFrame:
@@ -80,9 +92,10 @@ def placed(docs: DataFrame, tokenizer: str, size: int, end_id: int, open_windows
         waiting: dict[int, list[tuple]] = {}  # pieces of the open windows
 
         def table(rows: list[tuple], is_open: bool) -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True)) or [()] * len(FIELDS)
-            arrays = [pa.array(x, pa.int64()) for x in columns]
-            return pa.RecordBatch.from_arrays([*arrays, pa.array([part_id] * len(rows), pa.int64()), pa.array([is_open] * len(rows), pa.bool_())], schema=PLACED)
+            columns = list(zip(*rows, strict=True)) or [()] * (len(FIELDS) + 1)
+            arrays = [pa.array(x, pa.int64()) for x in columns[:-1]]
+            ids = pa.array(columns[-1], pa.binary()) if is_open else pa.nulls(len(rows), pa.binary())
+            return pa.RecordBatch.from_arrays([*arrays, ids, pa.array([part_id] * len(rows), pa.int64()), pa.array([is_open] * len(rows), pa.bool_())], schema=PLACED)
 
         for batch in parts:
             texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
@@ -93,22 +106,54 @@ def placed(docs: DataFrame, tokenizer: str, size: int, end_id: int, open_windows
                     n = len(tokens) // 4
                     for start in range(0, n, size):
                         length = min(size, n - start)
-                        crc = zlib.crc32(tokens[4 * start : 4 * (start + length)])
                         if length == size:
-                            rows.append((doc_id, start, length, crc, n, windows.new_id(), 0))
+                            rows.append((doc_id, start, length, zlib.crc32(tokens[4 * start : 4 * (start + length)]), n, windows.new_id(), 0, None))
                             continue
-                        window, at, done = windows.place(length)
-                        waiting.setdefault(window, []).append((doc_id, start, length, crc, n, window, at))
+                        parts_, done = windows.place(length)
+                        for window, at, some in parts_:
+                            own = tokens[4 * start : 4 * (start + some)]
+                            waiting.setdefault(window, []).append((doc_id, start, some, zlib.crc32(own), n, window, at, own))
+                            start += some
                         for k in done:
                             rows += waiting.pop(k)
                 yield table(rows, False)
         yield table([x for xs in waiting.values() for x in xs], True)
 
-    return id_text(docs).mapInArrow(run, PIECES + ", part long, open boolean")
+    return id_text(docs).mapInArrow(run, PIECES + ", ids binary, part long, open boolean")
+
+
+def filled(rows: list[dict], size: int) -> list[dict]:
+    """The pieces with the emptiest windows cut to fill the fullest; the one window that is not full is open."""
+    windows: dict[int, list[dict]] = {}
+    for x in sorted(rows, key=lambda x: x["offset"]):
+        windows.setdefault(x["sequence_id"], []).append(x)
+    fill = {k: sum(x["length"] for x in xs) for k, xs in windows.items()}
+    left = deque(sorted((k for k in windows if fill[k] < size), key=lambda k: (-fill[k], k)))
+    while len(left) > 1:
+        to, source = left[0], left[-1]
+        x, room = windows[source].pop(), size - fill[to]
+        some = min(room, x["length"])
+        if some < x["length"]:
+            ids = x["ids"][4 * some :]
+            windows[source].append(x | {"start": x["start"] + some, "length": x["length"] - some, "ids": ids, "ids_crc32": zlib.crc32(ids)})
+            x = x | {"length": some, "ids": x["ids"][: 4 * some], "ids_crc32": zlib.crc32(x["ids"][: 4 * some])}
+        windows[to].append(x | {"sequence_id": to, "offset": fill[to]})
+        fill[to], fill[source] = fill[to] + some, fill[source] - some
+        if fill[to] == size:
+            left.popleft()
+        if not fill[source]:
+            left.pop()
+    for k, xs in windows.items():
+        for x in xs:
+            x["open"] = fill[k] < size
+            if not x["open"]:
+                x["ids"] = None
+    return [x for xs in windows.values() for x in xs]
 
 
 def merged(open_pieces: DataFrame, size: int, group: int) -> DataFrame:
-    """Moves whole open windows of `group` neighbouring partitions together, best fit, largest first."""
+    """Moves whole open windows of `group` neighbouring partitions together, best fit, largest first, and cuts the
+    rest at window ends: at most one window of the group stays open."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -133,16 +178,17 @@ def merged(open_pieces: DataFrame, size: int, group: int) -> DataFrame:
             w, at = to[x["sequence_id"]]
             x["sequence_id"], x["offset"] = w, x["offset"] + at
             x["part"] = key[0].as_py()
+        rows = filled(rows, size)
         return pa.Table.from_pylist(rows, schema=PLACED)
 
     regrouped = open_pieces.withColumn("part", F.floor(F.col("part") / group))
-    return regrouped.groupBy("part").applyInArrow(run, PIECES + ", part long, open boolean")
+    return regrouped.groupBy("part").applyInArrow(run, PIECES + ", ids binary, part long, open boolean")
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 0, open_windows: int = 64, group: int = 16) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    A task of the merge holds at most `group` x `open_windows` windows of the round before that are not full.
+    A task of the merge holds at most `group` x `open_windows` windows in the first round and `group` in the others.
     """
     pieces = written(placed(docs, tokenizer, size, end_id, open_windows), "pieces")
     columns = [x for x, _ in FIELDS]
@@ -154,8 +200,5 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 0, ope
         parts = -(-parts // group)
         if parts <= 1:
             return closed.unionByName(left.select(columns))
-        # windows that the round filled well are done; the others meet those of other groups
-        fill = left.groupBy("sequence_id").agg(F.sum("length").alias("fill"))
-        left = left.join(fill, "sequence_id")
-        closed = closed.unionByName(left.filter(F.col("fill") > size * 0.95).select(columns))
-        left = left.filter(F.col("fill") <= size * 0.95).drop("fill")
+        closed = closed.unionByName(left.filter("not open").select(columns))
+        left = left.filter("open")

@@ -1,11 +1,14 @@
 """Where an operator once did less than the whole job: each test fails on a cut of rows, counts or copies."""
 
+import zlib
+
 import numpy as np
 
-from phantomlake.llm import near_dedup, ppm
+from phantomlake.llm import near_dedup, packing, ppm
+from phantomlake.llm.tokens import ChunkEncoder
 
 from .conftest import prose
-from .test_brute_force import _ppm_bits
+from .test_brute_force import BYTES, _ppm_bits
 
 
 def edited(doc: int, edits: int) -> str:
@@ -46,3 +49,24 @@ def test_ppm_scores_with_all_counts(spark, make):
     for order in (0, 1, 2):
         a, b = ({r.doc_id: r.score for r in ppm.score(make(rows), order=order, max_grams=m).collect()} for m in (10, 10**6))
         assert np.allclose([a[i] for i in want], [b[i] for i in want])
+
+
+def test_packing_leaves_one_sequence_open(spark, make):
+    """Documents a little over half a window, over partitions and rounds: all sequences but one end full."""
+    rows = [(k, prose(k, 30 + k % 7)) for k in range(200)]
+    encoder = ChunkEncoder.of(BYTES).tokenizer
+    ids = {i: np.array([*encoder.encode(t).ids, 0], "<u4") for i, t in rows}
+    size = max(map(len, ids.values())) * 3 // 2
+    assert np.mean([size / 2 < len(x) < size for x in ids.values()]) > 0.5
+    got = packing.pack(make(rows).repartition(9), BYTES, size=size, open_windows=3, group=2).collect()
+    for i, x in ids.items():
+        own = sorted((r for r in got if r.doc_id == i), key=lambda r: r.start)
+        assert [r.start for r in own] == np.cumsum([0, *(r.length for r in own[:-1])]).tolist() and sum(r.length for r in own) == len(x)
+        assert all(zlib.crc32(x[r.start : r.start + r.length].tobytes()) == r.ids_crc32 and r.doc_tokens == len(x) for r in own)
+    windows: dict[int, list] = {}
+    for r in got:
+        windows.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for w in windows.values():
+        w.sort()
+        assert [a for a, _ in w] == np.cumsum([0, *(n for _, n in w[:-1])]).tolist()
+    assert len(windows) == -(-sum(map(len, ids.values())) // size)
