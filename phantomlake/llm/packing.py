@@ -23,8 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phantomlake.llm.common import by_bytes, id_text, written
-from phantomlake.llm.tokens import ChunkEncoder
+from phantomlake.llm.common import id_text, written
+from phantomlake.llm.tokens import ChunkEncoder, grouped, texts_of
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 FIELDS = [(x.split()[0], pa.int64()) for x in PIECES.split(", ")]
@@ -32,8 +32,6 @@ FIELDS = [(x.split()[0], pa.int64()) for x in PIECES.split(", ")]
 PLACED = pa.schema([*FIELDS, ("ids", pa.binary()), ("part", pa.int64()), ("open", pa.bool_())])
 #: Sequence ids: the partition above, a counter of the partition below.
 SHIFT = 32
-#: Ids of merged windows start here, above all others.
-MERGED = 1 << 60
 
 
 class Windows:
@@ -84,8 +82,6 @@ class Windows:
 
 def placed(docs: DataFrame, tokenizer: str, size: int, end_id: int, open_windows: int) -> DataFrame:
     """The pieces of every document with their window, as each partition packs them."""
-    end = end_id.to_bytes(4, "little")
-
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part_id = ChunkEncoder.of(tokenizer), TaskContext.get().partitionId()
         windows = Windows(size, open_windows, part_id << SHIFT)
@@ -97,26 +93,25 @@ def placed(docs: DataFrame, tokenizer: str, size: int, end_id: int, open_windows
             ids = pa.array(columns[-1], pa.binary()) if is_open else pa.nulls(len(rows), pa.binary())
             return pa.RecordBatch.from_arrays([*arrays, ids, pa.array([part_id] * len(rows), pa.int64()), pa.array([is_open] * len(rows), pa.bool_())], schema=PLACED)
 
-        for batch in parts:
-            texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-            for a, z in by_bytes(texts):
-                rows: list[tuple] = []
-                for doc_id, tokens in zip(ids[a:z], encoder.encode(texts[a:z]), strict=True):
-                    tokens += end
-                    n = len(tokens) // 4
-                    for start in range(0, n, size):
-                        length = min(size, n - start)
-                        if length == size:
-                            rows.append((doc_id, start, length, zlib.crc32(tokens[4 * start : 4 * (start + length)]), n, windows.new_id(), 0, None))
-                            continue
-                        parts_, done = windows.place(length)
-                        for window, at, some in parts_:
-                            own = tokens[4 * start : 4 * (start + some)]
-                            waiting.setdefault(window, []).append((doc_id, start, some, zlib.crc32(own), n, window, at, own))
-                            start += some
-                        for k in done:
-                            rows += waiting.pop(k)
-                yield table(rows, False)
+        for batch in grouped(parts):
+            tokens, begins = encoder.encode(texts_of(batch), end_id)
+            at_ = begins.tolist()
+            rows: list[tuple] = []
+            for doc_id, a, z in zip(batch.column("doc_id").to_pylist(), at_, at_[1:], strict=False):
+                n = z - a
+                for start in range(0, n, size):
+                    length = min(size, n - start)
+                    if length == size:
+                        rows.append((doc_id, start, length, zlib.crc32(tokens[a + start : a + start + length]), n, windows.new_id(), 0, None))
+                        continue
+                    parts_, done = windows.place(length)
+                    for window, at, some in parts_:
+                        own = tokens[a + start : a + start + some].tobytes()
+                        waiting.setdefault(window, []).append((doc_id, start, some, zlib.crc32(own), n, window, at, own))
+                        start += some
+                    for k in done:
+                        rows += waiting.pop(k)
+            yield table(rows, False)
         yield table([x for xs in waiting.values() for x in xs], True)
 
     return id_text(docs).mapInArrow(run, PIECES + ", ids binary, part long, open boolean")

@@ -18,18 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phantomlake.llm.common import by_bytes, id_text
-from phantomlake.llm.tokens import ChunkEncoder, version_digest
+from phantomlake.llm.common import exists, id_text, written
+from phantomlake.llm.tokens import ChunkEncoder, grouped, texts_of, version_digest
 
 COUNTS = pa.schema([("digest", pa.binary()), ("n_tokens", pa.int64())])
 CACHE = "digest binary, n_tokens long, version string"
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
 def cached_counts(spark: SparkSession, cache: str, version: str) -> DataFrame:
     """digest, n_tokens of one tokenizer version; empty where the cache does not exist yet."""
     if not exists(spark, cache):
@@ -42,12 +37,9 @@ def encoded(misses: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkEncoder.of(tokenizer)
-        for part in parts:
-            texts = part.column("text").to_pylist()
-            counts: list[int] = []
-            for a, z in by_bytes(texts):
-                counts += [len(x) // 4 for x in encoder.encode(texts[a:z])]
-            yield pa.RecordBatch.from_arrays([part.column("digest").cast(pa.binary()), pa.array(counts, pa.int64())], schema=COUNTS)
+        for table in grouped(parts):
+            digests = table.column("digest").combine_chunks().cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([digests, pa.array(encoder.counts(texts_of(table)))], schema=COUNTS)
 
     return misses.select("digest", "text").mapInArrow(run, "digest binary, n_tokens long")
 
@@ -59,5 +51,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, limit: int = 1024,
     misses = keyed.select("digest", "text").dropDuplicates(["digest"]).join(cached_counts(spark, cache, version), "digest", "left_anti")
     encoded(misses, tokenizer).withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(cache)
     slim = keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
-    joined = slim.join(cached_counts(spark, cache, version), "digest", "left")
+    # as a table of its own, so that AQE can split a digest that very many rows have
+    counts = written(cached_counts(spark, cache, version), "token-counts")
+    joined = slim.join(counts, "digest", "left")
     return joined.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from phantomlake.llm import cleaning, decontaminate, license_scan, line_crf, near_dedup, packing, ppm, token_counts, token_files, url_filter
@@ -34,13 +35,31 @@ def rows():
     return base + copies + [(200, ""), (201, "one two three"), (202, "One Two THREE"), (203, None)]
 
 
+@pytest.mark.parametrize("most_bytes", [48_000_000, 20_000])
 @pytest.mark.parametrize("path", [BYTES, WORD])
-def test_chunks_encode_as_the_library(path):
-    encoder, rng = ChunkEncoder(path), random.Random(7)
-    parts = ["a", "Word", "IT'S", "12", "3.5", " ", "  ", "\n", "\t", " \n ", "é", "É", "ß", "Σ", "İ", "中文", "🙂", "́", "\x1c", "\x85", "\xa0", "​", "<|endoftext|>", "<|startoftext|>", "!?", "_", "²", "ª", "'ll", "'"]
+def test_chunks_encode_as_the_library(path, most_bytes):
+    """Odd characters, white space and special strings, in many batches, with room for all chunks and for few."""
+    encoder, rng = ChunkEncoder(path, most_bytes, joined=11), random.Random(7)
+    parts = ["a", "Word", "IT'S", "12", "3.5", " ", "  ", "\n", "\t", " \n ", "é", "É", "ß", "Σ", "İ", "ſ", "ŉ", "Ĳ", "中文", "🙂", "́", "\x1c", "\x85", "\xa0", "\xad", "​", "\x00", "<|endoftext|>", "<|startoftext|>", "!?", "_", "²", "ª", "'ll", "'"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(3000)] + [prose(3), ""]
     want = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == want
+    for a in range(0, len(texts), 300):
+        some = pa.array(texts[a : a + 300], pa.large_string())
+        ids, at = encoder.encode(some)
+        assert [ids[x:y].tolist() for x, y in zip(at, at[1:], strict=False)] == want[a : a + 300]
+        assert encoder.counts(some).tolist() == list(map(len, want[a : a + 300]))
+        ids, at = encoder.encode(some, 7)
+        assert [ids[x:y].tolist() for x, y in zip(at, at[1:], strict=False)] == [[*x, 7] for x in want[a : a + 300]]
+
+
+def test_what_the_encoder_keeps_is_bounded():
+    """Texts without spaces are one chunk each, and no two are alike: all but the last batch is forgotten."""
+    encoder, rng = ChunkEncoder(BYTES, most_bytes=100_000), random.Random(3)
+    for _ in range(20):
+        texts = ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(2000)) for _ in range(5)]
+        ids, at = encoder.encode(pa.array(texts, pa.large_string()))
+        assert [ids[x:y].tolist() for x, y in zip(at, at[1:], strict=False)] == [e.ids for e in encoder.tokenizer.encode_batch(texts)]
+        assert encoder.held() < 100_000 + 5 * 2000 * (3 + 4 * 3) + 1000
 
 
 def test_token_counts_use_the_cache(spark, make, rows):
@@ -89,6 +108,28 @@ def test_shards_round_trip(spark, make, rows):
     assert found == ids
 
 
+def test_equal_keys_over_several_shards(spark, make):
+    """One id on many rows fills several shards and tasks: all of its records are found, null ids only read back."""
+    rows = [(5, prose(k, 50)) for k in range(60)] + [(None, prose(k, 50)) for k in range(60, 90)] + [(k, prose(k, 50)) for k in range(3, 9)]
+    path = new_path(spark, "shards")
+    manifest = written(token_files.write_shards(make(rows).repartition(4), path, WORD, shard_ids=1500, partitions=6), "manifest")
+    assert manifest.filter("min_key = 5").count() > 1
+    encoder = ChunkEncoder.of(WORD).tokenizer
+    want = Counter((i, *encoder.encode(t).ids, 1) for i, t in rows)
+    found = Counter((r.doc_id, *r.ids) for r in token_files.lookup(spark, path, manifest, spark.createDataFrame([(k,) for k in range(20)], "doc_id long")).collect())
+    assert found == Counter({x: n for x, n in want.items() if x[0] is not None})
+    got = sorted(token_files.read_shards(spark, path, manifest).collect(), key=lambda r: r.start)
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got[:-1])]).tolist()
+    assert [r.doc_id for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i))
+    assert Counter((r.doc_id, r.ids_crc32) for r in got) == Counter({(x[0], zlib.crc32(np.array(x[1:], "<u4").tobytes())): n for x, n in want.items()})
+
+
+def test_absent_keys_of_a_full_shard():
+    keys = list(range(0, 3000, 3))
+    shard = token_files.Shard.of(token_files.shard_bytes(keys, [np.array([k], "<u4").tobytes() for k in keys], 1))
+    assert [[x.tolist() for x in shard.find(k)] for k in range(-50, 3050)] == [[[k]] if k in keys else [] for k in range(-50, 3050)]
+
+
 def test_perfect_hash_has_no_gap():
     for n in (1, 2, 7, 1000):
         keys = np.random.default_rng(n).choice(10**9, n, replace=False).astype(np.int64)
