@@ -5,12 +5,15 @@ A line is judged if it has a word (a run of anything but space and \\t-\\r). It
     symbols      more than 3 characters of #*$%&|<> in 10 words
     shouting     10 or more ASCII letters, over 7 of 10 in upper case
     marks        more than 3 doubled marks (!! or ??) in 10 words
-    navigation   3 or more of the separators | » › ·
+    navigation   3 or more of the separators | » › ·, and 1 or more in 20 words
     menu         the whole line is an entry of MENU
-    boilerplate  it has a phrase of BOILERPLATE
-    repetition   10 or more words, fewer than 1 in 5 distinct
+    boilerplate  it has phrases of BOILERPLATE, and 1 or more (of different ones) in 50 words
+    repetition   10 or more words, fewer than 1 in 5 (of more than 500 words, fewer than 100) distinct
     copy         the same line stands earlier in the document
-    unfinished   3 or more words, yet no closing mark and no letter, digit or mark that could end a line
+    unfinished   3 to 60 words, the last one ending in a comma, dash, slash or opening bracket
+    listing      under 8 words and no end mark, and so are its neighbours: 3 or more such lines in a row
+
+Rules grow with a line's length, so that a text without line ends is not lost by one phrase in it.
 
 A document is rejected when the removed lines hold more than half of its words, or when it fails the base
 rules: under 50 words, or more than half of its words in 3-word windows that occur twice or more.
@@ -37,14 +40,21 @@ SEPARATORS = ("|", "»", "›", "·")
 MENU = (
     "home", "menu", "login", "log in", "sign in", "sign up", "register", "search", "contact", "contact us", "about", "about us",
     "next", "previous", "back", "back to top", "share", "tweet", "print", "sitemap", "help", "faq", "skip to content", "read more",
+    "accueil", "connexion", "se connecter", "s'inscrire", "rechercher", "suivant", "retour", "partager", "imprimer", "plan du site", "aide", "lire la suite", "en savoir plus",
+    "startseite", "anmelden", "registrieren", "suche", "kontakt", "weiter", "zurück", "nach oben", "teilen", "drucken", "hilfe", "weiterlesen", "mehr erfahren", "impressum",
+    "inicio", "iniciar sesión", "registrarse", "buscar", "contacto", "siguiente", "anterior", "volver arriba", "compartir", "imprimir", "ayuda", "leer más", "mapa del sitio",
 )
 BOILERPLATE = (
     "all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy", "use of cookies", "uses cookies",
     "enable javascript", "javascript is disabled", "lorem ipsum", "click here", "subscribe to our", "sign up for our", "newsletter",
     "powered by", "page not found", "404 not found", "share this", "follow us on", "leave a comment", "add to cart", "terms and conditions",
+    "tous droits réservés", "politique de confidentialité", "mentions légales", "conditions d'utilisation", "utilise des cookies", "cliquez ici", "abonnez-vous", "ajouter au panier", "laisser un commentaire",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "verwendet cookies", "klicken sie hier", "folgen sie uns", "in den warenkorb", "kommentar hinterlassen", "seite nicht gefunden",
+    "todos los derechos reservados", "política de privacidad", "aviso legal", "términos de uso", "utiliza cookies", "haga clic aquí", "suscríbete", "síguenos en", "añadir al carrito", "deja un comentario",
 )
-#: Characters that a finished line does not end with.
+#: Characters that a finished line does not end with, and those that end a sentence.
 OPEN_ENDS = ",(-/[{"
+END_MARKS = ".!?…:;\"')]}»”’。！？"
 
 COLUMNS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lines long, n_bad_lines long, n_lost_words long"
 ARROW = pa.schema([(c.split()[0], pa.bool_() if c.endswith("boolean") else pa.int64()) for c in COLUMNS.split(", ")])
@@ -57,6 +67,7 @@ _PHRASES = [x.encode() for x in BOILERPLATE]
 _NOT_UPPER = bytes(x for x in range(256) if not 65 <= x <= 90)
 _NOT_LOWER = bytes(x for x in range(256) if not 97 <= x <= 122)
 _OPEN = tuple(x.encode() for x in OPEN_ENDS)
+_END = tuple(x.encode() for x in END_MARKS)
 
 
 class Limits(NamedTuple):
@@ -79,16 +90,18 @@ def line_fails(line: bytes, words: list[bytes]) -> bool:
             return True
     if 10 * (line.count(b"!!") + line.count(b"??")) > 3 * n:
         return True
-    if sum(line.count(x) for x in _SEP) >= 3:
+    seps = sum(line.count(x) for x in _SEP)
+    if seps >= 3 and 20 * seps >= n:
         return True
     low = line.translate(LOWER)
     if n <= 3 and b" ".join(words).translate(LOWER) in _MENU:
         return True
-    if any(x in low for x in _PHRASES):
+    phrases = sum(x in low for x in _PHRASES)
+    if phrases and 50 * phrases >= n:
         return True
-    if n >= 10 and 5 * len(set(words)) < n:
+    if n >= 10 and 5 * len(set(words)) < min(n, 500):
         return True
-    return n >= 3 and words[-1].endswith(_OPEN)
+    return 3 <= n <= 60 and words[-1].endswith(_OPEN)
 
 
 class Judged(NamedTuple):
@@ -106,21 +119,35 @@ class Judged(NamedTuple):
 
 def judged(text: bytes) -> Judged:
     seen: set[bytes] = set()
-    kept: list[bytes] = []
-    n_lines = n_words = dup = bad = lost = 0
-    for line in text.split(b"\n"):
+    lines = text.split(b"\n")
+    lost: dict[int, int] = {}  # line -> words, of the lines that failed
+    listing: list[tuple[int, int]] = []  # line, words of the lines without an end mark up to here
+    n_lines = n_words = dup = 0
+
+    def close() -> None:
+        if len(listing) >= 3:
+            lost.update(listing)
+        listing.clear()
+
+    for k, line in enumerate(lines):
         words = line.split()
-        if words:
-            n_lines, n_words = n_lines + 1, n_words + len(words)
-            copy = line in seen
-            dup += copy
-            seen.add(line)
-            if copy or line_fails(line, words):
-                bad, lost = bad + 1, lost + len(words)
-                continue
-        kept.append(line)
+        if not words:
+            continue
+        n = len(words)
+        n_lines, n_words = n_lines + 1, n_words + n
+        copy = line in seen
+        dup += copy
+        seen.add(line)
+        if n < 8 and not words[-1].endswith(_END):
+            listing.append((k, n))
+        else:
+            close()
+        if copy or line_fails(line, words):
+            lost[k] = n
+    close()
     chars = len(text.decode(errors="replace")) - sum(text.count(x) for x in _BLANKS)
-    return Judged(n_words, chars, sum(text.count(x) for x in _SYM), dup, n_lines, bad, lost, b"\n".join(kept) if bad else text)
+    clean = b"\n".join([x for k, x in enumerate(lines) if k not in lost]) if lost else text
+    return Judged(n_words, chars, sum(text.count(x) for x in _SYM), dup, n_lines, len(lost), sum(lost.values()), clean)
 
 
 def repeat_words(texts: list[bytes], hashes: WordHashes) -> np.ndarray:
@@ -197,8 +224,9 @@ def oracle_sql(limits: Limits = Limits()) -> str:
     word = r"[^\x20\x09-\x0D]+"
     words = lambda x: f"regexp_extract_all({x}, '{word}')"
     low = "translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    phrases = " or ".join(f"contains({low}, '{x}')" for x in BOILERPLATE)
-    menu = ", ".join(f"'{x}'" for x in MENU)
+    quoted = lambda xs: ", ".join("'" + x.replace("'", "''") + "'" for x in xs)
+    phrases = f"len(list_filter([{quoted(BOILERPLATE)}], lambda p: contains({low}, p)))"
+    menu = quoted(MENU)
     seps = " + ".join(f"(length(line) - length(replace(line, '{x}', '')))" for x in SEPARATORS)
     lowwords = words(low)
     return f"""
@@ -206,22 +234,30 @@ with d as (select doc_id, coalesce(text, '') as text from documents),
 w as (select doc_id, text, {words("text")} as ws from d),
 l as (select doc_id, unnest(lines) as line, unnest(range(len(lines))) as k from (select doc_id, string_split(text, chr(10)) as lines from d)),
 m as (
-  select doc_id, line, {words("line")} as ws, {lowwords} as lws,
+  select doc_id, k, line, {words("line")} as ws, {lowwords} as lws,
          row_number() over (partition by doc_id, line order by k) > 1 as again
   from l where regexp_matches(line, '{word}')
 ),
+o as (
+  select *, {phrases} as n_phrases, {seps} as n_seps, len(ws) < 8 and right(ws[-1], 1) not in ({quoted(END_MARKS)}) as is_open from m
+), runs as (
+  select *, sum(case when is_open then 0 else 1 end) over (partition by doc_id order by k rows unbounded preceding) as run from o
+), p as (
+  select *, is_open and sum(case when is_open then 1 else 0 end) over (partition by doc_id, run) >= 3 as listed from runs
+),
 f as (
   select doc_id, len(ws) as n, again,
          again
          or 10 * (length(line) - length(translate(line, '{SYMBOLS}', ''))) > 3 * len(ws)
          or (length(regexp_replace(line, '[^A-Za-z]', '', 'g')) >= 10 and 10 * length(regexp_replace(line, '[^A-Z]', '', 'g')) > 7 * length(regexp_replace(line, '[^A-Za-z]', '', 'g')))
          or 10 * ((length(line) - length(replace(line, '!!', ''))) / 2 + (length(line) - length(replace(line, '??', ''))) / 2) > 3 * len(ws)
-         or {seps} >= 3
+         or (n_seps >= 3 and 20 * n_seps >= len(ws))
          or (len(ws) <= 3 and array_to_string(lws, ' ') in ({menu}))
-         or {phrases}
-         or (len(ws) >= 10 and 5 * len(list_distinct(ws)) < len(ws))
-         or (len(ws) >= 3 and right(ws[-1], 1) in ({", ".join(f"'{x}'" for x in OPEN_ENDS)})) as bad
-  from m
+         or (n_phrases > 0 and 50 * n_phrases >= len(ws))
+         or (len(ws) >= 10 and 5 * len(list_distinct(ws)) < least(len(ws), 500))
+         or (len(ws) between 3 and 60 and right(ws[-1], 1) in ({quoted(OPEN_ENDS)}))
+         or listed as bad
+  from p
 ),
 ls as (
   select doc_id, count(*) as n_lines, count(*) filter (again) as n_dup, count(*) filter (bad) as n_bad, coalesce(sum(n) filter (bad), 0) as lost
