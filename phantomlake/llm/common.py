@@ -27,14 +27,17 @@ BATCH_ROWS = 1000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, from spark.checkpoint.dir.
 
-    Where the session has none (tests on one machine), a temporary folder is set for it.
+    Only where all run on one machine (tests) a temporary folder is set for a session that has none.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = found.get().rsplit("/", 1)[0] if found.isDefined() else "file://" + tempfile.mkdtemp(prefix="spark-")
-        if not found.isDefined():
-            spark.sparkContext.setCheckpointDir(path)
+        if found.isDefined():
+            return found.get().rsplit("/", 1)[0]
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(path)
     return path
 
 
@@ -100,13 +103,15 @@ def crc_ids(ids: bytes) -> int:
 
 
 class WordHashes(dict):
-    """word -> 64-bit hash, equal on every machine; forgets all when it holds too many."""
+    """word -> 64-bit hash, equal on every machine; forgets all when it holds too many, and never keeps long words."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 300_000, longest: int = 100):
         super().__init__()
-        self.most = most
+        self.most, self.longest = most, longest
 
     def __missing__(self, word: bytes) -> int:
+        if len(word) > self.longest:
+            return xxhash.xxh3_64_intdigest(word)
         if len(self) >= self.most:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)

@@ -42,6 +42,8 @@ COORDS, WIDTH = 64, 5
 WIDE = 384
 #: The share of the pairs right at the threshold that either signature may miss.
 MISS = 1 / 30_000
+#: Pairs of one list block that are confirmed together.
+PAIRS = 2048
 SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary())])
 SETS = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary()), ("wide", pa.binary())])
 
@@ -179,7 +181,9 @@ def candidates(posts: DataFrame, coords: int, matches: int, wide_matches: int, b
             if len(table) > 1:
                 a, b = unit(table)
                 if a:
-                    yield pa.RecordBatch.from_arrays([pa.array([table.column("u")[0].as_py()] * len(a)), pa.array(a), pa.array(b)], schema=out)
+                    # a block of a large group finds up to block * block pairs: they are confirmed apart, a few at a time
+                    own = np.int64(table.column("u")[0].as_py()).view(np.uint64) + mixed(np.arange(len(a), dtype=np.uint64) // np.uint64(PAIRS))
+                    yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(a), pa.array(b)], schema=out)
 
         for part in parts:
             if not part.num_rows:

@@ -4,6 +4,9 @@ Every url is lower-cased (A-Z) and read once by an automaton over all terms. A h
 characters on both sides are not letters or digits. A strict term weighs 1, a soft term 1 / `min_soft`; a
 url is blocked when its distinct terms weigh 1 or more: one strict term, or `min_soft` distinct soft terms.
 
+Rules and vocabulary can be given as a table (`policy_of`); the default is a small list of this module. The automaton
+is built once per worker. Where two rules of one length fit, the first of the list wins.
+
 Null or malformed urls (no "://") have an empty host and path; a null url has no hits and is allowed.
 Repeated rows are judged each on their own; an empty table gives an empty table.
 """
@@ -63,6 +66,12 @@ class UrlPolicy:
                     best = rule, action
         return best
 
+    def known(self) -> ahocorasick.Automaton:
+        """The automaton, built once per worker process."""
+        if _BUILT.get("of") != self:
+            _BUILT.update(of=self, automaton=self.automaton())
+        return _BUILT["automaton"]
+
     def automaton(self) -> ahocorasick.Automaton:
         found = ahocorasick.Automaton()
         for term in self.soft:
@@ -73,6 +82,23 @@ class UrlPolicy:
         return found
 
 
+#: The policy that this worker used last, and its automaton.
+_BUILT: dict = {}
+
+
+def policy_of(terms: DataFrame, rules: DataFrame | None = None, min_soft: int = 2, most: int = 1_000_000) -> UrlPolicy:
+    """A policy from a table (term, strict boolean) and one of (rule, action, rank); terms are lower-cased (A-Z), null and
+    empty ones left out, and a term that is both counts as strict. More than `most` terms or rules are an error, for the
+    automaton goes to every worker."""
+    clean = terms.select(lower_az(F.col("term")).alias("term"), F.coalesce("strict", F.lit(False)).alias("strict")).filter("term <> ''").groupBy("term").agg(F.max("strict").alias("strict"))
+    found = clean.limit(most + 1).toArrow().to_pylist()
+    ranked = rules.filter("rule is not null and action in ('allow', 'block')").orderBy("rank", "rule").select("rule", "action").limit(most + 1).toArrow().to_pylist() if rules is not None else []
+    if max(len(found), len(ranked)) > most:
+        raise ValueError(f"more than {most} terms or rules")
+    of = lambda strict: tuple(sorted(x["term"] for x in found if x["strict"] == strict))
+    return UrlPolicy(tuple((x["rule"], x["action"]) for x in ranked) if rules is not None else RULES, of(True), of(False), min_soft)
+
+
 def counted(url: str, automaton: ahocorasick.Automaton) -> tuple[int, int, int]:
     """Strict hits, soft hits and distinct soft terms of a lower-cased url."""
     strict, soft, kinds, n = 0, 0, set(), len(url)
@@ -98,7 +124,7 @@ def judge_urls(pages: DataFrame, policy: UrlPolicy = UrlPolicy(), id_col: str =
     slim = slim.select("page_id", lower_az(after).alias("host"), path.alias("path"), lower_az(F.col("url")).alias("url"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = policy.automaton()
+        automaton = policy.known()
         for part in parts:
             hosts, paths = part.column("host").to_pylist(), part.column("path").to_pylist()
             rows: list[tuple] = []
