@@ -37,8 +37,8 @@ def iso_date(x: Column) -> Column:
 
 
 def iso_to_fr(x: Column) -> Column:
-    """dd/mm/yyyy; what is no date stays as it is."""
-    return F.coalesce(F.date_format(iso_date(x), "dd/MM/yyyy"), x)
+    """dd/mm/yyyy of text that begins with a date; what does not stays as it is, null becomes blank."""
+    return F.coalesce(F.date_format(iso_date(F.substring(x, 1, 10)), "dd/MM/yyyy"), x, F.lit(""))
 
 
 def run_date_fr(x: Column) -> Column:
@@ -164,6 +164,11 @@ def display_name(hospital: Column, name: Column, manufacturer: Column, model: Co
     return F.coalesce(blank_to_null(F.concat_ws(" - ", blank_to_null(hospital), blank_to_null(F.coalesce(blank_to_null(name), maker)), number)), F.lit(NO_NAME))
 
 
+def manual_id(*row: Column) -> Column:
+    """The id of an installation without any identity: "manual-" and 8 hexadecimal digits of the row's content."""
+    return F.concat(F.lit("manual-"), F.substring(F.sha2(F.to_json(F.struct(*row)), 256), 1, 8))
+
+
 def run_key(series_uid: Column, run_date: Column, *row: Column) -> Column:
     """The series, else the date with 8 hexadecimal digits of the row's content."""
     digest = F.substring(F.sha2(F.to_json(F.struct(*row)), 256), 1, 8)
@@ -214,6 +219,11 @@ def window_level(hu: Column, width: float, level: float) -> Column:
     return F.transform(hu, lambda v: ((F.least(F.greatest(v, F.lit(low)), F.lit(high)) - low) / (high - low) * 255).cast("int"))
 
 
-def ring_count(side: int) -> int:
+def ring_count_of(side: Column) -> Column:
     """Rings of a square spectrum, up to 1.375 times the Nyquist frequency."""
-    return int(side // 2 * 1.375) + 1
+    return (F.floor(side / 2) * F.lit(1.375)).cast("int") + 1
+
+
+def frequency_axis(side: Column, px: Column) -> Column:
+    """The frequencies of the cells along one axis of a spectrum, zero at side // 2."""
+    return F.transform(F.sequence(F.lit(0), side - 1), lambda k: (k - F.floor(side / 2)) / (side * px))

@@ -36,7 +36,11 @@ def with_references(runs: DataFrame, references: DataFrame) -> DataFrame:
 
 
 def set_references(devices: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Before and after: noise always comes from the chosen control, the frequency only where it was measured."""
-    new = chosen.select("device_id", F.col("noise").alias("new_noise"), F.col("nps_freq").alias("new_nps"))
+    """Before and after: noise always comes from the chosen control, the frequency only where it was measured, and the
+    geometry of its regions is frozen with them where it has one."""
+    new = chosen.select("device_id", F.col("noise").alias("new_noise"), F.col("nps_freq").alias("new_nps"), F.col("geometry").alias("new_geometry"))
     rows = devices.join(new, "device_id")
-    return rows.select("device_id", F.col("ref_noise").alias("noise_before"), F.col("new_noise").alias("noise_after"), F.col("ref_nps_freq").alias("nps_before"), F.coalesce("new_nps", "ref_nps_freq").alias("nps_after"))
+    return rows.select(
+        "device_id", F.col("ref_noise").alias("noise_before"), F.col("new_noise").alias("noise_after"), F.col("ref_nps_freq").alias("nps_before"), F.coalesce("new_nps", "ref_nps_freq").alias("nps_after"),
+        F.col("geometry").alias("geometry_before"), F.coalesce("new_geometry", "geometry").alias("geometry_after"),
+    )

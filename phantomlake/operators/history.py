@@ -10,6 +10,9 @@ from phantomlake.functions import scalars as S
 
 DEFAULT_CONTROL_TYPE = "trimestriel"
 METRICS = ("water_ct", "uniformity", "noise", "nps_freq")
+#: Fixed value: the CT number beyond which a deviation is serious.
+CT_LINE = 25.0
+NOT_GIVEN = "Non renseigné"
 
 
 def upsert(runs: DataFrame, order: str = "event_id") -> DataFrame:
@@ -26,6 +29,22 @@ def upsert(runs: DataFrame, order: str = "event_id") -> DataFrame:
     return rows.drop("_action", "_n", "_k")
 
 
+def action_event() -> Column:
+    """The event that a row's corrective action comes from: its own if it has one."""
+    blank = (F.coalesce("corrective_action", F.lit("")) == "") & (F.coalesce("corrective_action_date", F.lit("")) == "")
+    return F.when(~blank, F.col("event_id"))
+
+
+def latest(runs: DataFrame) -> DataFrame:
+    """The upsert of rows that have `action_event`, as one aggregate: it does not depend on the order in which rows
+    come, and folding a part of them first changes nothing."""
+    action = ["corrective_action", "corrective_action_date", "action_event"]
+    others = [c for c in runs.columns if c not in (*action, "device_id", "run_id")]
+    found = runs.groupBy("device_id", "run_id").agg(F.max_by(F.struct(*others), "event_id").alias("r"), F.max_by(F.struct(*action), "action_event").alias("a"))
+    blank = {"corrective_action": F.lit(""), "corrective_action_date": F.lit("")}
+    return found.select("device_id", "run_id", "r.*", *(F.coalesce(f"a.{x}", y).alias(x) for x, y in blank.items()), "a.action_event").select(runs.columns)
+
+
 def recent(runs: DataFrame, n: int = 10) -> DataFrame:
     """The n latest controls of each device, newest first."""
     w = Window.partitionBy("device_id").orderBy(F.desc("run_date"), F.desc("recorded_at"), F.desc("event_id"))
@@ -53,17 +72,19 @@ def trend_points(runs: DataFrame) -> DataFrame:
 
 
 def trend_bands(runs: DataFrame, references: DataFrame) -> DataFrame:
-    """Per device and metric the band from the references in force today, and the padded range of dates: 5 % on
-    both sides, or as much as makes 180 days."""
+    """Per device and metric the band from the references in force today, the lines of a serious deviation of the CT
+    number, and the padded range of dates: a window of 180 days, 45 more on both sides at least, or 5 %."""
     span = runs.filter("run_date is not null").groupBy("device_id").agg(F.min("run_date").alias("a"), F.max("run_date").alias("b"))
     days = F.datediff("b", "a")
-    pad = F.when(days < 180, F.ceil((180 - days) / 2)).otherwise(F.ceil(days * F.lit(0.05))).cast("int")
-    rows = span.join(references, "device_id", "left").withColumn("metric", F.explode(F.array(*map(F.lit, METRICS)))).withColumn("pad", pad)
+    short = F.greatest(F.lit(45), F.floor((180 - days) / 2))
+    pads = {"pad_a": F.when(days < 180, short).otherwise(F.ceil(days / 20)).cast("int"), "pad_b": F.when(days < 180, short).otherwise(F.floor(days / 20)).cast("int")}
+    rows = span.join(references, "device_id", "left").withColumn("metric", F.explode(F.array(*map(F.lit, METRICS)))).withColumns(pads)
     rows = rows.withColumn("band", R.tolerance_band(F.col("metric"), F.col("ref_noise"), F.col("ref_nps_freq")))
-    return rows.select("device_id", "metric", "band.low", "band.high", "band.reference", F.expr("date_sub(a, pad)").alias("from_date"), F.expr("date_add(b, pad)").alias("to_date"))
+    line = F.when(F.col("metric") == "water_ct", CT_LINE)
+    return rows.select("device_id", "metric", "band.low", "band.high", "band.reference", (-line).alias("line_low"), line.alias("line_high"), F.expr("date_sub(a, pad_a)").alias("from_date"), F.expr("date_add(b, pad_b)").alias("to_date"))
 
 
-CSV_HEADER = ("date", "kV", "mAs", "ct_eau_UH", "uniformite_UH", "bruit_UH", "bruit_ref_UH", "f_spb_cmm", "f_spb_ref_cmm", "artefacts", "statut", "action_corrective_date", "action_corrective", "notes")
+CSV_HEADER = ("date", "kV", "mAs", "ct_eau_UH", "uniformite_UH", "bruit_UH", "bruit_ref_UH", "f_spb_cmm", "f_spb_ref_cmm", "artefacts", "statut", "action_corrective_date", "action_corrective", "notes", "pdf")
 
 
 def csv_lines(judged: DataFrame, english: bool = False) -> DataFrame:
@@ -80,7 +101,7 @@ def csv_lines(judged: DataFrame, english: bool = False) -> DataFrame:
     cells = [
         F.coalesce(F.col("run_date").cast("string"), F.lit("")), number("kvp", 0), number("mas", 0), number("water_ct", 1), number("uniformity", 1),
         number("noise", 2), number("ref_noise", 2), number("nps_freq", 3), number("ref_nps_freq", 3),
-        F.coalesce(F.col("artifacts_present").cast("int").cast("string"), F.lit("")), R.worded(F.col("overall"), R.SHORT), F.col("corrective_action_date"), F.col("corrective_action"), F.col("notes"),
+        F.coalesce(F.col("artifacts_present").cast("int").cast("string"), F.lit("")), R.worded(F.col("overall"), R.SHORT), F.col("corrective_action_date"), F.col("corrective_action"), F.col("notes"), F.coalesce("pdf_path", F.lit("")),
     ]
     return judged.select("device_id", "run_date", "recorded_at", "event_id", F.concat_ws(sep, *(quoted(x) for x in cells)).alias("line"))
 
@@ -101,3 +122,25 @@ def reference_eligible(runs: DataFrame) -> DataFrame:
 
 def corrective_actions(runs: DataFrame) -> DataFrame:
     return runs.filter("corrective_action <> '' or corrective_action_date <> ''").select("device_id", "event_id", "run_date", "corrective_action_date", "corrective_action")
+
+
+def register_extract(judged: DataFrame, equipment: DataFrame, acquisitions: DataFrame) -> DataFrame:
+    """One row of the register of operations per control: when and what it was, the installation, the acquisition, the
+    slices and the verdict, as texts. Controls of unknown installations or without images keep their row.
+
+    `equipment` has device_id and the installation's names and numbers, `acquisitions` event_id and header values.
+    """
+    given = lambda x: F.coalesce(S.blank_to_null(F.trim(x)), F.lit(NOT_GIVEN)).alias(x)
+    dash = lambda x: F.coalesce(x, F.lit(S.DASH))
+    positive = lambda x, text: dash(F.when(F.col(x) > 0, text))
+    rows = judged.drop("kvp", "mas").join(equipment, "device_id", "left").join(acquisitions, "event_id", "left")
+    return rows.select(
+        "event_id", "device_id", F.coalesce(F.date_format("run_date", "dd/MM/yyyy"), F.lit(S.UNKNOWN_DATE)).alias("day"),
+        F.coalesce(S.blank_to_null(F.col("control_type")), F.lit(DEFAULT_CONTROL_TYPE)).alias("control_type"),
+        given("hospital_name"), given("serial_number"), given("inventory_number"), dash(S.blank_to_null(F.trim("manufacturer"))).alias("manufacturer"), dash(S.blank_to_null(F.trim("model_name"))).alias("model_name"),
+        dash(S.blank_to_null(F.col("description"))).alias("protocol"), positive("kvp", F.format_string("%.0f", "kvp")).alias("kvp_text"), positive("tube_current", F.format_string("%.0f", "tube_current")).alias("ma_text"),
+        positive("mas", S.format_fr(F.col("mas"), 0)).alias("mas_text"), positive("rotation_time", F.concat(S.format_fr(F.col("rotation_time"), 2), F.lit(" s"))).alias("rotation_text"),
+        positive("px", F.concat(S.format_fr(F.col("px"), 3), F.lit(" mm"))).alias("pixel_text"), positive("n_rows", F.concat_ws(" × ", "n_rows", "n_rows")).alias("matrix_text"),
+        positive("n_rows", F.concat(F.format_string("%.0f", F.col("n_rows") * F.col("px")), F.lit(" mm"))).alias("fov_text"),
+        dash(S.hu_slice_text(F.col("hu_slice"), F.col("n_slices"), F.col("z"))).alias("hu_slice_text"), F.col("series_uid").cast("string").alias("series_uid"), "overall",
+    )

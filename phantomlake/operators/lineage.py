@@ -1,4 +1,4 @@
-"""Cutting the lineage of iterative work, safe against lost executors."""
+"""Writing what several steps read, safe against lost executors."""
 
 from __future__ import annotations
 
@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed in the folder that spark.checkpoint.dir names; one is set only where there is none."""
+    """df checkpointed in the shared folder that spark.checkpoint.dir names. Only where all runs on one machine (tests) a
+    temporary folder is set for a session that has none."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-"))
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not path and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()

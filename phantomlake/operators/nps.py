@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from phantomlake.functions.scalars import format_fr, ring_count
+from phantomlake.functions.scalars import format_fr, ring_count_of
 
 FIT_DEGREE = 11
 
@@ -109,14 +109,21 @@ def mean_spectrum_fft(tiles: DataFrame, px: float) -> DataFrame:
     return cells.join(counts, ["series_id", "side"]).select("series_id", "side", "n_tiles", "cell", (F.col("p") / F.col("n_tiles")).alias("power"))
 
 
-def radial(spectrum: DataFrame, side: int, px: float) -> DataFrame:
-    """series_id, ring, freq, power: mean over the cells of each ring (lower edge of its distance); 0 for an empty ring."""
-    half, rings = side // 2, ring_count(side)
+def radial_of(spectrum: DataFrame) -> DataFrame:
+    """series_id, ring, freq, power of spectra (series_id, side, px, cell, power): the mean over the cells of each ring
+    (lower edge of its distance); 0 for an empty ring."""
+    side = F.col("side")
+    half, rings = F.floor(side / 2), ring_count_of(side)
     dy, dx = F.floor(F.col("cell") / side) - half, F.col("cell") % side - half
     ring = F.floor(F.sqrt((dx * dx + dy * dy).cast("double"))).cast("int")
     means = spectrum.withColumn("ring", ring).filter(F.col("ring") < rings).groupBy("series_id", "ring").agg(F.avg("power").alias("power"))
-    axis = spectrum.select("series_id").distinct().select("series_id", F.explode(F.sequence(F.lit(0), F.lit(rings - 1))).alias("ring"))
-    return axis.join(means, ["series_id", "ring"], "left").select("series_id", "ring", (F.col("ring") / (side * px)).alias("freq"), F.coalesce("power", F.lit(0.0)).alias("power"))
+    axis = spectrum.select("series_id", "side", "px").distinct().select("*", F.explode(F.sequence(F.lit(0), rings - 1)).alias("ring"))
+    return axis.join(means, ["series_id", "ring"], "left").select("series_id", "ring", (F.col("ring") / (side * F.col("px"))).alias("freq"), F.coalesce("power", F.lit(0.0)).alias("power"))
+
+
+def radial(spectrum: DataFrame, side: int, px: float) -> DataFrame:
+    """The rings of spectra that all have one size and pixel."""
+    return radial_of(spectrum.withColumns({"side": F.lit(side), "px": F.lit(px)}))
 
 
 def mean_frequency(rings: DataFrame) -> DataFrame:

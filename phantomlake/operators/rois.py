@@ -99,10 +99,10 @@ def skipped_rois(rois: DataFrame, keys: list[str]) -> DataFrame:
     return rois.groupBy(*keys).agg(F.array_sort(F.collect_set(out)).alias("skipped"))
 
 
-def roi_tiles(image_rows: DataFrame, rois: DataFrame, n_rows: int) -> DataFrame:
+def roi_tiles(image_rows: DataFrame, rois: DataFrame, n_rows: int, n_cols: int | None = None) -> DataFrame:
     """slice_id, roi_idx, side, z: the row-major pixels of each square inside the image."""
     start = F.col("y") - F.floor(F.col("side") / 2)
-    whole = rois.filter(inside(F.col("x"), F.col("y"), F.col("side"), F.lit(n_rows), F.lit(n_rows)))
+    whole = rois.filter(inside(F.col("x"), F.col("y"), F.col("side"), F.lit(n_rows), F.lit(n_cols or n_rows)))
     rows = whole.select("slice_id", "roi_idx", "x", "side", F.explode(F.sequence(start.cast("int"), (start + F.col("side") - 1).cast("int"))).alias("row_idx"))
     parts = image_rows.join(rows, ["slice_id", "row_idx"]).select("slice_id", "roi_idx", "side", "row_idx", F.slice("hu", (F.col("x") - F.floor(F.col("side") / 2) + 1).cast("int"), F.col("side")).alias("part"))
     ordered = F.array_sort(F.collect_list(F.struct("row_idx", "part")))
@@ -117,28 +117,42 @@ def roi_table(hu: DataFrame, nps: DataFrame, n_rows: int) -> DataFrame:
     return a.unionByName(b)
 
 
-NPS_SCHEMA = "ROI array<struct<X:int,Y:int,side_square:int>>"
+#: Fixed values of ROI files.
+NPS_COMMENT = "NPS - ROI's position given in pixel (top-left corner), section in mm"
+HU_COMMENT = "HU - ROI's position given in pixel (circular ROIs), slice in mm"
+CLOCK_NAMES = ("Centre", "12h", "3h", "6h", "9h")
+NPS_SCHEMA = "ROI array<struct<X:double,Y:double,side_square:double>>"
 
 
 def read_nps_rois(files: DataFrame, json_col: str) -> DataFrame:
     """Squares of ROI files, whose top-left corners become centres."""
     roi = files.withColumn("j", F.from_json(json_col, NPS_SCHEMA)).select(*[c for c in files.columns if c != json_col], F.posexplode("j.ROI").alias("roi_idx", "r"))
-    half = F.floor(F.col("r.side_square") / 2)
-    return roi.select(*[c for c in files.columns if c != json_col], "roi_idx", (F.col("r.X") + half).cast("int").alias("x"), (F.col("r.Y") + half).cast("int").alias("y"), F.col("r.side_square").alias("side"))
+    side = F.col("r.side_square").cast("int")
+    half = F.floor(side / 2)
+    return roi.select(*[c for c in files.columns if c != json_col], "roi_idx", (F.col("r.X").cast("int") + half).cast("int").alias("x"), (F.col("r.Y").cast("int") + half).cast("int").alias("y"), side.alias("side"))
 
 
-def write_nps_rois(rois: DataFrame, keys: list[str]) -> DataFrame:
-    """One ROI file per key: centres become top-left corners, in order of roi_idx."""
-    half = F.floor(F.col("side") / 2)
-    each = F.struct("roi_idx", (F.col("x") - half).cast("int").alias("X"), (F.col("y") - half).cast("int").alias("Y"), F.col("side").alias("side_square"))
-    ordered = F.transform(F.array_sort(F.collect_list(each)), lambda r: F.struct(r["X"].alias("X"), r["Y"].alias("Y"), r["side_square"].alias("side_square")))
-    made = rois.groupBy(*keys).agg(ordered.alias("ROI"))
-    return made.select(keys[0], F.to_json(F.struct(F.lit("NPS_ROI").alias("type_of_file"), F.col("px").alias("pixel_size"), "ROI")).alias("json"))
+def _file_head(kind: str) -> list[Column]:
+    number = lambda x, name: F.col(x).cast("double").alias(name)
+    text = lambda x: F.coalesce(F.col(x), F.lit("")).alias(x)
+    return [F.lit(kind).alias("type_of_file"), text("phantom"), text("measurement_date"), number("dfov", "DFOV"), number("px", "pixel_size"), number("width", "width_in_pixel")]
 
 
-def write_hu_rois(rois: DataFrame, key: str) -> DataFrame:
-    """One ROI file per slice with its five circles and its position."""
-    each = F.struct("roi_idx", "name", F.col("cx").alias("x"), F.col("cy").alias("y"), "radius")
-    ordered = F.transform(F.array_sort(F.collect_list(each)), lambda r: F.struct(r["name"].alias("name"), r["x"].alias("x"), r["y"].alias("y"), r["radius"].alias("radius")))
-    made = rois.groupBy(key, "slice_mm").agg(ordered.alias("ROI"))
-    return made.select(key, F.to_json(F.struct("slice_mm", "ROI")).alias("json"))
+def write_nps_rois(rois: DataFrame, headers: DataFrame, key: str) -> DataFrame:
+    """One ROI file per key: centres become top-left corners, in order of roi_idx. `headers` has phantom,
+    measurement_date, dfov, px, width, phantom_diameter (mm), slice_start_mm and slice_end_mm of each key."""
+    half = F.floor(F.col("side") / 2)
+    each = F.struct("roi_idx", (F.col("x") - half).cast("double").alias("X"), (F.col("y") - half).cast("double").alias("Y"), F.col("side").cast("double").alias("side_square"))
+    ordered = F.transform(F.array_sort(F.collect_list(each)), lambda r: F.struct(r["X"].alias("X"), r["Y"].alias("Y"), r["side_square"].alias("side_square")))
+    made = rois.groupBy(key).agg(ordered.alias("ROI")).join(headers, key)
+    section = F.struct(F.col("slice_start_mm").cast("double").alias("start"), F.col("slice_end_mm").cast("double").alias("stop")).alias("section")
+    return made.select(key, F.to_json(F.struct(*_file_head("NPS"), F.col("phantom_diameter").cast("double").alias("phantom_diameter"), F.lit(NPS_COMMENT).alias("commentaire"), section, "ROI")).alias("json"))
+
+
+def write_hu_rois(rois: DataFrame, headers: DataFrame, key: str) -> DataFrame:
+    """One ROI file per key with its five circles and the position of its slice; `headers` as above, with slice_mm."""
+    name = F.element_at(F.array(*map(F.lit, CLOCK_NAMES)), F.col("roi_idx") + 1)
+    each = F.struct("roi_idx", name.alias("name"), *(F.col(x).cast("double").alias(y) for x, y in (("cx", "X"), ("cy", "Y"), ("radius", "radius"))))
+    ordered = F.transform(F.array_sort(F.collect_list(each)), lambda r: F.struct(r["name"].alias("name"), r["X"].alias("X"), r["Y"].alias("Y"), r["radius"].alias("radius")))
+    made = rois.groupBy(key).agg(ordered.alias("ROI")).join(headers, key)
+    return made.select(key, F.to_json(F.struct(*_file_head("HU"), F.lit(HU_COMMENT).alias("commentaire"), F.col("slice_mm").cast("double").alias("slice_position_mm"), "ROI")).alias("json"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from phantomlake.operators import history
 
 
 def quarantine(documents: DataFrame, json_col: str, schema: str, required: str) -> DataFrame:
@@ -42,10 +45,76 @@ def run_layout(runs: DataFrame) -> DataFrame:
     return runs.withColumn("position", F.row_number().over(Window.partitionBy("device_id").orderBy("run_date", "recorded_at", "event_id")) - 1)
 
 
-def write_runs(runs: DataFrame, path: str) -> None:
-    """Runs by device and month; only the partitions that occur are replaced."""
-    rows = runs.withColumn("month", F.date_format("run_date", "yyyy-MM"))
-    rows.repartition("device_id").sortWithinPartitions("device_id", "run_date", "recorded_at").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+def _files(spark: SparkSession, path: str) -> tuple[object, object]:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _versions(spark: SparkSession, path: str) -> tuple[int, dict[int, int]]:
+    """(newest version begun, bucket -> newest version that was written to its end)."""
+    at, fs = _files(spark, path)
+    names = lambda x: [f.getPath().getName() for f in fs.listStatus(x)]
+    found = sorted(int(n[2:]) for n in names(at) if n.startswith("v=")) if fs.exists(at) else []
+    current: dict[int, int] = {}
+    for v in found:
+        inside = names(_files(spark, f"{path}/v={v}")[0])
+        if "_SUCCESS" in inside:
+            current |= {int(n[7:]): v for n in inside if n.startswith("bucket=")}
+    return max(found, default=-1), current
+
+
+def read_runs(spark: SparkSession, path: str, schema: StructType, buckets: list[int] | None = None) -> DataFrame:
+    """The stored runs (of some buckets): one row per device and run."""
+    _, current = _versions(spark, path)
+    paths = [f"{path}/v={v}/bucket={b}" for b, v in current.items() if buckets is None or b in buckets]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def write_runs(runs: DataFrame, path: str, buckets: int = 64) -> None:
+    """Upserts runs into the store: the buckets of devices that they touch are read, merged and written as a new version;
+    no other bucket is read or written. A version counts once it is complete, so a failed or repeated write loses nothing
+    and changes nothing twice. One writer at a time; `tidy` removes what newer versions replace."""
+    spark = runs.sparkSession
+    rows = runs.drop("action_event").withColumn("action_event", history.action_event())
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("device_id"), F.lit(buckets)).cast("int"))
+    touched = sorted(r["bucket"] for r in rows.select("bucket").distinct().collect())  # at most `buckets` numbers
+    if not touched:
+        return
+    newest, _ = _versions(spark, path)
+    stored = read_runs(spark, path, rows.drop("bucket").schema, touched).withColumn("bucket", F.pmod(F.xxhash64("device_id"), F.lit(buckets)).cast("int"))
+    merged = history.latest(stored.unionByName(rows))
+    merged.repartition("bucket").sortWithinPartitions("bucket", "device_id", "run_date", "recorded_at").write.partitionBy("bucket").parquet(f"{path}/v={newest + 1}")
+
+
+def tidy(spark: SparkSession, path: str) -> list[str]:
+    """Removes the buckets that newer versions replace, and versions that were never finished; their paths are returned."""
+    newest, current = _versions(spark, path)
+    gone = []
+    for v in range(newest + 1):
+        at, fs = _files(spark, f"{path}/v={v}")
+        if not fs.exists(at):
+            continue
+        kept = {f"bucket={b}" for b, n in current.items() if n == v}
+        gone += [f"{path}/v={v}/{f.getPath().getName()}" for f in fs.listStatus(at) if f.isDirectory() and f.getPath().getName() not in kept] if kept else [f"{path}/v={v}"]
+    for x in gone:
+        at, fs = _files(spark, x)
+        fs.delete(at, True)
+    return gone
+
+
+def merged_documents(mine: DataFrame, theirs: DataFrame, known: list[str]) -> DataFrame:
+    """Documents to write: `theirs` (device_id, doc) is the text on disk, `mine` (device_id, doc) what this session holds.
+
+    Keys of theirs that are not `known` survive, values of mine replace known ones, and so do entries of theirs that
+    cannot be read (no JSON object, or without device_id): they come back as they are, with `kept` true.
+    """
+    fields = lambda x: F.from_json(x, "map<string,variant>")
+    their = theirs.select("device_id", F.col("doc").alias("their_doc"), fields("doc").alias("their"))
+    unread = their.filter("device_id is null or their is null").select("device_id", F.col("their_doc").alias("doc"), F.lit(True).alias("kept"))
+    pairs = mine.select("device_id", fields("doc").alias("own")).join(their.filter("device_id is not null and their is not null"), "device_id", "left")
+    foreign = F.map_filter(F.coalesce("their", fields(F.lit("{}"))), lambda k, _: ~k.isin(*known))
+    own = F.map_filter("own", lambda k, _: k.isin(*known) | ~F.array_contains(F.map_keys(foreign), k))
+    return pairs.select("device_id", F.to_json(F.map_concat(foreign, own)).alias("doc"), F.lit(False).alias("kept")).unionByName(unread)
 
 
 def _sides(base: DataFrame, mine: DataFrame, theirs: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:

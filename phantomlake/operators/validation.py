@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Published limits in percent.
-MAX_FREQUENCY_ERROR, MAX_NOISE_ERROR = 2.0, 1.0
+MAX_FREQUENCY_ERROR, MAX_NOISE_ERROR, MAX_RMS, MAX_PEAK_ERROR = 2.0, 1.0, 3.0, 5.0
 MIN_FREQUENCY = 0.05
 
 
@@ -23,18 +23,45 @@ def spectrum_compare(measured: DataFrame, reference: DataFrame, keys: list[str])
     return measured.join(other, [*keys, "ring"]).withColumn("same_axis", F.abs(F.col("freq") - F.col("ref_freq")) <= 1e-6)
 
 
+def read_spectra(spark: SparkSession, path: str) -> DataFrame:
+    """Published spectra from CSV files: frequency, raw and fit."""
+    return spark.read.schema("frequency double, raw double, fit double").option("header", True).csv(path)
+
+
+def parse_spectra(files: DataFrame, key: str) -> DataFrame:
+    """key, ring, freq, power, fit of the text of such files: a header, then three columns."""
+    lines = files.select(key, F.posexplode(F.filter(F.slice(F.split("text", "\r?\n"), 2, 1_000_000), lambda x: F.trim(x) != "")).alias("ring", "line"))
+    value = lambda k: F.trim(F.get(F.split("line", ","), k)).try_cast("double")
+    return lines.select(key, "ring", value(0).alias("freq"), value(1).alias("power"), value(2).alias("fit"))
+
+
 def metrics(compared: DataFrame, keys: list[str]) -> DataFrame:
-    """RMS and peak differences in percent of the reference peak, above the lowest frequencies, and peak frequencies."""
-    above = F.col("freq") > MIN_FREQUENCY
-    diff = F.when(above, (F.col("power") - F.col("ref_power")) ** 2)
-    peak = F.max(F.when(above, F.col("ref_power")))
+    """RMS difference above the lowest frequencies in percent of the reference peak, the error of the peak, and where it is."""
+    diff = F.when(F.col("freq") > MIN_FREQUENCY, (F.col("power") - F.col("ref_power")) ** 2)
     return compared.groupBy(*keys).agg(
-        (F.sqrt(F.avg(diff)) / peak * 100).alias("rms_percent"),
-        (F.abs(F.max(F.when(above, F.col("power"))) - peak) / peak * 100).alias("peak_percent"),
+        (F.sqrt(F.avg(diff)) / F.max("ref_power") * 100).alias("rms_percent"),
+        relative_error(F.max("power"), F.max("ref_power")).alias("peak_percent"),
         F.max_by("freq", "power").alias("peak_freq"),
     )
 
 
+def relative_error(measured: Column, reference: Column) -> Column:
+    """The deviation in percent of the reference; of a reference of 0, 0 if it is met and infinite if not."""
+    none = F.when(measured != 0, F.lit(float("inf"))).when(measured == 0, 0.0)
+    return F.when(reference == 0, none).otherwise(F.abs(measured - reference) / F.abs(reference) * 100)
+
+
+def value_errors(measured: DataFrame, reference: DataFrame, keys: list[str]) -> DataFrame:
+    """Errors in percent of mean frequency and noise, from tables with `mean_freq` and `noise`."""
+    other = reference.select(*keys, F.col("mean_freq").alias("_f"), F.col("noise").alias("_n"))
+    return measured.join(other, keys).select(*keys, relative_error(F.col("mean_freq"), F.col("_f")).alias("frequency_percent"), relative_error(F.col("noise"), F.col("_n")).alias("noise_percent"))
+
+
 def passed(frequency_percent: Column, noise_percent: Column) -> Column:
-    """Whether a series is within both limits."""
+    """Whether the values of a series are within both limits."""
     return (frequency_percent <= MAX_FREQUENCY_ERROR) & (noise_percent <= MAX_NOISE_ERROR)
+
+
+def spectrum_passed(rms_percent: Column, peak_percent: Column) -> Column:
+    """Whether the spectrum of a series is within both limits."""
+    return (rms_percent <= MAX_RMS) & (peak_percent <= MAX_PEAK_ERROR)

@@ -44,8 +44,8 @@ def trend_points(spark, d):
     return history.trend_points(view(spark, d, "qc_runs"))
 
 
-@query("trend_bands", f"""select b.device_id, b.metric, low, high, reference, cast(a - pad as date) as from_date, cast(z + pad as date) as to_date
-  from (select device_id, a, z, cast(case when z - a < 180 then ceil((180 - (z - a)) / 2.0) else ceil((z - a) * 0.05) end as int) as pad from (select device_id, min(run_date) as a, max(run_date) as z from {{qc_runs}} group by 1)) s
+@query("trend_bands", f"""select b.device_id, b.metric, low, high, reference, case when metric = 'water_ct' then cast(-25.0 as double) end as line_low, case when metric = 'water_ct' then cast(25.0 as double) end as line_high, cast(a - pad_a as date) as from_date, cast(z + pad_b as date) as to_date
+  from (select device_id, a, z, cast(case when z - a < 180 then greatest(45, (180 - (z - a)) // 2) else ceil((z - a) / 20.0) end as int) as pad_a, cast(case when z - a < 180 then greatest(45, (180 - (z - a)) // 2) else floor((z - a) / 20.0) end as int) as pad_b from (select device_id, min(run_date) as a, max(run_date) as z from {{qc_runs}} group by 1)) s
   join (select device_id, event_id, metric, low, high, reference from {BANDS_SQL}) b using (device_id) join (select device_id, max(event_id) as event_id from {{qc_runs}} group by 1) using (device_id, event_id)""")
 def trend_bands(spark, d):
     """The references in force are those of the device's last recorded control."""
@@ -59,7 +59,7 @@ def _csv(english: bool) -> str:
     number = lambda x, n: f"coalesce({'' if english else 'replace('}printf('%.{n}f', round_even(cast(cast({x} as varchar) as decimal(38, 20)), {n})){'' if english else chr(44) + chr(39) + '.' + chr(39) + ',' + chr(39) + ',' + chr(39) + ')'}, '')"
     quoted = lambda x: f"case when regexp_matches({x}, '[{sep}\"]') then '\"' || replace({x}, '\"', '\"\"') || '\"' else {x} end"
     short = "case overall " + " ".join(f"when '{k}' then '{v}'" for k, v in R.SHORT.items()) + " end"
-    cells = ["coalesce(cast(run_date as varchar), '')", number("kvp", 0), number("mas", 0), number("water_ct", 1), number("uniformity", 1), number("noise", 2), number("ref_noise", 2), number("nps_freq", 3), number("ref_nps_freq", 3), "coalesce(cast(cast(artifacts_present as int) as varchar), '')", short, "corrective_action_date", "corrective_action", "notes"]
+    cells = ["coalesce(cast(run_date as varchar), '')", number("kvp", 0), number("mas", 0), number("water_ct", 1), number("uniformity", 1), number("noise", 2), number("ref_noise", 2), number("nps_freq", 3), number("ref_nps_freq", 3), "coalesce(cast(cast(artifacts_present as int) as varchar), '')", short, "corrective_action_date", "corrective_action", "notes", "coalesce(pdf_path, '')"]
     return f"select event_id, concat_ws('{sep}', {', '.join(map(quoted, cells))}) as line from {VERDICT_SQL}"
 
 
@@ -99,18 +99,16 @@ def reference_eligible(spark, d):
     return history.reference_eligible(view(spark, d, "qc_runs")).select("device_id", "event_id")
 
 
-_CHOSEN = "(select device_id, arg_max(noise, event_id) as noise, arg_max(case when event_id % 3 <> 0 then nps_freq end, event_id) filter (event_id % 3 <> 0) as nps from {qc_runs} where noise is not null group by 1)"
-
-
-@query("set_references", """select device_id, b.ref_noise as noise_before, c.noise as noise_after, b.ref_nps_freq as nps_before, coalesce(c.nps_freq, b.ref_nps_freq) as nps_after
-  from (select device_id, ref_noise, ref_nps_freq from (select *, row_number() over (partition by device_id order by event_id) as rk from {qc_runs}) where rk = 1) b
-  join (select device_id, noise, case when event_id % 3 <> 0 then nps_freq end as nps_freq from (select *, row_number() over (partition by device_id order by event_id desc) as rk from {qc_runs} where noise is not null) where rk = 1) c using (device_id)""")
+@query("set_references", """select device_id, b.ref_noise as noise_before, c.noise as noise_after, b.ref_nps_freq as nps_before, coalesce(c.nps_freq, b.ref_nps_freq) as nps_after, b.geometry as geometry_before, coalesce(c.geometry, b.geometry) as geometry_after
+  from (select device_id, ref_noise, ref_nps_freq, 'r' || hu_slice as geometry from (select *, row_number() over (partition by device_id order by event_id) as rk from {qc_runs}) where rk = 1) b
+  join (select device_id, noise, case when event_id % 3 <> 0 then nps_freq end as nps_freq, case when event_id % 2 = 0 then 'r' || hu_slice end as geometry from (select *, row_number() over (partition by device_id order by event_id desc) as rk from {qc_runs} where noise is not null) where rk = 1) c using (device_id)""")
 def set_references(spark, d):
-    """The references of a device's first control give way to its last measured one, which has no frequency every third time."""
-    runs = view(spark, d, "qc_runs")
-    old = runs.groupBy("device_id").agg(F.min_by(F.struct("ref_noise", "ref_nps_freq"), "event_id").alias("r")).select("device_id", "r.*")
-    freq = F.when(C("event_id") % 3 != 0, C("nps_freq")).alias("nps_freq")
-    new = runs.filter("noise is not null").groupBy("device_id").agg(F.max_by(F.struct("noise", freq), "event_id").alias("n")).select("device_id", "n.*")
+    """The references of a device's first control give way to its last measured one, which has no frequency every third
+    time and no geometry every second. The text of a slice number stands for a geometry."""
+    runs = view(spark, d, "qc_runs").withColumn("geometry", F.concat(F.lit("r"), C("hu_slice")))
+    old = runs.groupBy("device_id").agg(F.min_by(F.struct("ref_noise", "ref_nps_freq", "geometry"), "event_id").alias("r")).select("device_id", "r.*")
+    freq, own = F.when(C("event_id") % 3 != 0, C("nps_freq")).alias("nps_freq"), F.when(C("event_id") % 2 == 0, C("geometry")).alias("geometry")
+    new = runs.filter("noise is not null").groupBy("device_id").agg(F.max_by(F.struct("noise", freq, own), "event_id").alias("n")).select("device_id", "n.*")
     return devices.set_references(old, new)
 
 
@@ -119,13 +117,24 @@ def corrective_actions(spark, d):
     return history.corrective_actions(view(spark, d, "qc_runs"))
 
 
-@query("register_extract", f"""select event_id, device_id, case when run_date is null then 'date inconnue' else strftime(run_date, '%d/%m/%Y') end as day, coalesce(nullif(control_type, ''), 'trimestriel') as control_type, kvp, mas,
-  case when kvp > 0 then printf('%.0f', kvp) else '—' end as kvp_text, cast(hu_slice + 1 as int) as hu_slice, overall from {VERDICT_SQL}""")
+def _fr(x: str, n: int) -> str:
+    return f"replace(printf('%.{n}f', round_even(cast(cast({x} as varchar) as decimal(38, 20)), {n})), '.', ',')"
+
+
+@query("register_extract", f"""select event_id, q.device_id, case when run_date is null then 'date inconnue' else strftime(run_date, '%d/%m/%Y') end as day, coalesce(nullif(control_type, ''), 'trimestriel') as control_type,
+  coalesce(nullif(trim(hospital_name), ''), 'Non renseigné') as hospital_name, coalesce(nullif(trim(serial_number), ''), 'Non renseigné') as serial_number, coalesce(nullif(trim(inventory_number), ''), 'Non renseigné') as inventory_number,
+  coalesce(nullif(trim(manufacturer), ''), '—') as manufacturer, coalesce(nullif(trim(model_name), ''), '—') as model_name, coalesce(nullif(description, ''), '—') as protocol,
+  case when h.kvp > 0 then printf('%.0f', h.kvp) else '—' end as kvp_text, case when tube_current > 0 then printf('%.0f', tube_current) else '—' end as ma_text, case when h.mas > 0 then {_fr("h.mas", 0)} else '—' end as mas_text,
+  case when rotation_time > 0 then {_fr("rotation_time", 2)} || ' s' else '—' end as rotation_text, case when px > 0 then {_fr("px", 3)} || ' mm' else '—' end as pixel_text, case when n_rows > 0 then n_rows || ' × ' || n_rows else '—' end as matrix_text, case when n_rows > 0 then printf('%.0f', n_rows * px) || ' mm' else '—' end as fov_text,
+  case when z is null then '—' else (hu_slice + 1) || case when n_slices > 0 then ' / ' || n_slices else '' end || ' (z = ' || case when round_even(z, 1) >= 0 then '+' else '' end || {_fr("z", 1)} || ' mm)' end as hu_slice_text, cast(series_uid as varchar) as series_uid, overall
+  from (select * exclude (kvp, mas) from {VERDICT_SQL}) q left join (select *, 'dev-' || s_suppkey as device_id from {{devices}}) e on e.device_id = q.device_id
+  left join (select series_uid as event_id, series_uid, description, kvp, tube_current, tube_current / 2 as mas, 0.5 as rotation_time, px, n_rows, slice_location as z from {{headers}} where instance_number = 1) h using (event_id)""")
 def register_extract(spark, d):
-    kind = F.coalesce(F.nullif(C("control_type"), F.lit("")), F.lit(history.DEFAULT_CONTROL_TYPE))
-    day = F.coalesce(F.date_format("run_date", "dd/MM/yyyy"), F.lit("date inconnue"))
-    kv = F.when(C("kvp") > 0, F.format_string("%.0f", C("kvp"))).otherwise("—")
-    return judged_runs(spark, d).select("event_id", "device_id", day.alias("day"), kind.alias("control_type"), "kvp", "mas", kv.alias("kvp_text"), (C("hu_slice") + 1).cast("int").alias("hu_slice"), "overall")
+    """Supplier k stands for the scanner dev-k, order k for the images of control k; others have neither."""
+    equipment = view(spark, d, "devices").withColumn("device_id", F.concat(F.lit("dev-"), C("s_suppkey")))
+    first = view(spark, d, "headers").filter("instance_number = 1")
+    images = first.select(C("series_uid").alias("event_id"), "series_uid", "description", "kvp", "tube_current", (C("tube_current") / 2).alias("mas"), F.lit(0.5).alias("rotation_time"), "px", "n_rows", C("slice_location").alias("z"))
+    return history.register_extract(judged_runs(spark, d), equipment, images)
 
 
 @query("record_controls", f"""select device_id, run_id, run_date, noise, ref_noise, ref_nps_freq, corrective_action, replaced from (select u.* exclude (ref_noise, ref_nps_freq), r.noise as ref_noise, r.nps_freq as ref_nps_freq from {UPSERT_SQL} u left join ({_LATEST}) r using (device_id))""")

@@ -74,7 +74,7 @@ STATS_SQL = f"""(select slice_id, roi_idx, name, count(*) as n, avg(hu) as mean_
 
 
 def stats_of(spark, d):
-    return rois.roi_stats(image_rows(view(spark, d, "pixels")), hu_rois_of(spark, d))
+    return rois.roi_stats(image_rows(spark, d), hu_rois_of(spark, d))
 
 
 @query("roi_stats", f"select slice_id, roi_idx, name, n, round(mean_hu, 6) as mean_hu, round(std_hu, 6) as std_hu, min_hu, max_hu from {STATS_SQL}")
@@ -84,7 +84,7 @@ def roi_stats(spark, d):
 
 @query("roi_pixels", f"select slice_id, roi_idx, name, row_idx, count(*) as n, sum(hu) as total from {HU_SQL} join {{pixels}} using (slice_id) where (row_idx - cy) * (row_idx - cy) + (col_idx - cx) * (col_idx - cx) <= radius * radius group by 1, 2, 3, 4")
 def roi_pixels(spark, d):
-    parts = rois.circle_parts(image_rows(view(spark, d, "pixels")), hu_rois_of(spark, d))
+    parts = rois.circle_parts(image_rows(spark, d), hu_rois_of(spark, d))
     return parts.select("slice_id", "roi_idx", "name", "row_idx", F.size("part").cast("long").alias("n"), F.aggregate("part", F.lit(0.0), lambda a, v: a + v).alias("total"))
 
 
@@ -117,7 +117,7 @@ def water_phantom(spark, d):
 def roi_tiles(spark, d):
     """Each tile told by its size, mean and position-weighted sum."""
     placed = nps_rois_of(spark, d, "phantoms").select("slice_id", "roi_idx", "x", "y", "side")
-    tiles = rois.roi_tiles(image_rows(view(spark, d, "pixels")), placed, N)
+    tiles = rois.roi_tiles(image_rows(spark, d), placed, N)
     cells = tiles.join(placed.select("slice_id", "roi_idx", (C("x") - F.floor(C("side") / 2)).alias("x0"), (C("y") - F.floor(C("side") / 2)).alias("y0")), ["slice_id", "roi_idx"]).select("slice_id", "roi_idx", "side", "x0", "y0", F.posexplode("z").alias("i", "hu"))
     at = (C("y0") + F.floor(C("i") / C("side"))) * N + C("x0") + C("i") % C("side")
     return cells.groupBy("slice_id", "roi_idx").agg(F.count("*").alias("n"), F.round(F.avg("hu"), 6).alias("mean_hu"), F.sum(C("hu") * at).alias("weighted"))
@@ -186,12 +186,6 @@ def mean_frequency(spark, d):
     return rounded(nps.mean_frequency(rings_of(spark, d)), "mean_freq")
 
 
-@query("nps_fit")
-def nps_fit(spark, d):
-    """With six rings no fit of degree 11 exists, so half that degree is used here."""
-    return rounded(nps.fitted(rings_of(spark, d), 3), "power", "fit")
-
-
 @query("noise", f"select series_id, round(avg(std_hu), 6) as noise, count(*) as n_tiles from {_STATS} group by 1")
 def noise(spark, d):
     return rounded(nps.noise(nps.tile_stats(tiles_of(spark, d))), "noise")
@@ -246,12 +240,25 @@ def spectrum_compare(spark, d):
     return rounded(validation.spectrum_compare(*halves(spark, d), ["series_id"]), "power", "ref_power")
 
 
-@query("validation", f"""select m.series_id, round(rms_percent, 6) as rms_percent, round(peak_percent, 6) as peak_percent, peak_freq, rms_percent <= 2.0 and peak_percent <= 1.0 as passed
-  from (select series_id, sqrt(avg((power - ref_power) * (power - ref_power)) filter (freq > 0.05)) / max(ref_power) filter (freq > 0.05) * 100 as rms_percent, abs(max(power) filter (freq > 0.05) - max(ref_power) filter (freq > 0.05)) / max(ref_power) filter (freq > 0.05) * 100 as peak_percent, arg_max(freq, power) as peak_freq from {_COMPARED} group by 1) m""")
+def _values(k: int) -> str:
+    return f"(select series_id, mean_freq, noise from {_FREQ.replace(_RINGS, _half(k))} join (select series_id, avg(std_hu) as noise from {_STATS} where vec_id % 2 = {k} group by 1) using (series_id))"
+
+
+def _error(a: str, b: str) -> str:
+    return f"case when {b} = 0 then case when {a} <> 0 then cast('inf' as double) else 0 end else abs({a} - {b}) / abs({b}) * 100 end"
+
+
+@query("validation", f"""select series_id, round(frequency_percent, 6) as frequency_percent, round(noise_percent, 6) as noise_percent, round(rms_percent, 6) as rms_percent, round(peak_percent, 6) as peak_percent, peak_freq,
+  frequency_percent <= 2.0 and noise_percent <= 1.0 as passed, rms_percent <= 3.0 and peak_percent <= 5.0 as spectrum_passed
+  from (select series_id, sqrt(avg((power - ref_power) * (power - ref_power)) filter (freq > 0.05)) / max(ref_power) * 100 as rms_percent, {_error("max(power)", "max(ref_power)")} as peak_percent, arg_max(freq, power) as peak_freq from {_COMPARED} group by 1)
+  join (select a.series_id, {_error("a.mean_freq", "b.mean_freq")} as frequency_percent, {_error("a.noise", "b.noise")} as noise_percent from {_values(0)} a join {_values(1)} b on a.series_id = b.series_id) using (series_id)""")
 def validate(spark, d):
-    rows = validation.metrics(validation.spectrum_compare(*halves(spark, d), ["series_id"]), ["series_id"])
-    rows = rows.withColumn("passed", validation.passed(C("rms_percent"), C("peak_percent")))
-    return rounded(rows, "rms_percent", "peak_percent")
+    """Even tiles of each series against its odd ones."""
+    even, odd = halves(spark, d)
+    values = [nps.mean_frequency(r).join(nps.noise(nps.tile_stats(tiles_of(spark, d).filter(C("vec_id") % 2 == k))), "series_id") for k, r in enumerate((even, odd))]
+    rows = validation.metrics(validation.spectrum_compare(even, odd, ["series_id"]), ["series_id"]).join(validation.value_errors(*values, ["series_id"]), "series_id")
+    rows = rows.withColumns({"passed": validation.passed(C("frequency_percent"), C("noise_percent")), "spectrum_passed": validation.spectrum_passed(C("rms_percent"), C("peak_percent"))})
+    return rounded(rows, "frequency_percent", "noise_percent", "rms_percent", "peak_percent")
 
 
 # -- detection -------------------------------------------------------------------------------------------------
@@ -265,12 +272,12 @@ def validate(spark, d):
   s as (select slice_id, label, sum(b - a + 1) as n, sum((b - a + 1) * row_idx) as rr, sum((b - a + 1) * (a + b) / 2.0) as cc from n join l using (slice_id, id) group by 1, 2)
   select slice_id, cast(n as bigint) as n, round(rr / n, 6) as center_row, round(cc / n, 6) as center_col from (select *, row_number() over (partition by slice_id order by n desc, label) as rk from s) where rk = 1""")
 def water_component(spark, d):
-    return rounded(phantom.water_component(image_rows(view(spark, d, "pixels"))), "center_row", "center_col")
+    return rounded(phantom.water_component(image_rows(spark, d)), "center_row", "center_col")
 
 
 def wall_points(spark, d):
     """Pixels of the wall that touch water to their left: a ragged half circle."""
-    rows = image_rows(view(spark, d, "pixels"))
+    rows = image_rows(spark, d)
     at = F.filter(F.sequence(F.lit(1), F.size("hu") - 1), lambda k: (F.element_at("hu", k) < 100) & (F.element_at("hu", k) > -100) & (F.element_at("hu", k + 1) == 120))
     return rows.select("slice_id", C("row_idx").cast("double").alias("row"), F.explode(at).alias("at")).select("slice_id", "row", C("at").cast("double").alias("col"))
 
@@ -296,7 +303,7 @@ def circle_round(spark, d):
 @query("ray_edges")
 def ray_edges(spark, d):
     centres = view(spark, d, "phantoms").select("slice_id", C("center_row").cast("double").alias("center_row"), C("center_col").cast("double").alias("center_col"))
-    return rounded(phantom.ray_edges(image_rows(view(spark, d, "pixels")), centres, N, N), "row", "col")
+    return rounded(phantom.ray_edges(image_rows(spark, d), centres), "row", "col")
 
 
 @query("robust_circle")
@@ -306,13 +313,4 @@ def robust_circle(spark, d):
 
 @query("detect_phantom")
 def detect_phantom(spark, d):
-    return rounded(phantom.detect_phantom(image_rows(view(spark, d, "pixels")), N, N), "center_row", "center_col", "radius")
-
-
-@query("reanalyse")
-def reanalyse(spark, d):
-    """Detection, ROI placement and HU results of every slice from its pixels alone."""
-    rows = image_rows(view(spark, d, "pixels"))
-    found = phantom.detect_phantom(rows, N, N).select("slice_id", F.bround("center_row", 0).cast("int").alias("center_row"), F.bround("center_col", 0).cast("int").alias("center_col"), (2 * C("radius")).alias("diameter_px"), F.lit(1.0).alias("px"), (C("n_points") > 0).alias("detected"))
-    results = rois.water_results(rois.roi_stats(rows, rois.hu_rois(found, rois.roi_geometry(C("diameter_px"), C("px")))))
-    return rounded(found.select("slice_id", "detected").join(results, "slice_id", "left"), "water_ct", "uniformity", "central_std")
+    return rounded(phantom.detect_phantom(image_rows(spark, d)), "center_row", "center_col", "radius")

@@ -34,9 +34,10 @@ def scan_date(spark, d):
 
 @query("dates", f"""select {K}, coalesce(strftime(try_strptime(case when regexp_matches(substr(trim(series_date), 1, 8), '^[0-9]{{{{8}}}}$') then substr(trim(series_date), 1, 8) end, '%Y%m%d'), '%Y-%m-%d'), '') as iso,
   case when regexp_matches(iso_date, '^[0-9]{{{{4}}}}-[0-9]{{{{2}}}}-[0-9]{{{{2}}}}$') then strftime(cast(iso_date as date), '%d/%m/%Y') else iso_date end as fr,
-  case when regexp_matches(iso_date, '^[0-9]{{{{4}}}}-[0-9]{{{{2}}}}-[0-9]{{{{2}}}}$') then strftime(cast(iso_date as date), '%d/%m/%Y') else 'date inconnue' end as run_fr from {{raw_headers}}""")
+  case when regexp_matches(iso_date, '^[0-9]{{{{4}}}}-[0-9]{{{{2}}}}-[0-9]{{{{2}}}}$') then strftime(cast(iso_date as date), '%d/%m/%Y') else 'date inconnue' end as run_fr from {{raw_headers}}""".replace("as fr,", """as fr, case when l_linenumber = 1 then '' when regexp_matches(iso_date, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') then strftime(cast(substr(iso_date, 1, 10) as date), '%d/%m/%Y') else iso_date || 'T10:00:00' end as timed_fr,"""))
 def dates(spark, d):
-    return raw(spark, d).select(*KEY, S.dicom_date_to_iso(C("series_date")).alias("iso"), S.iso_to_fr(C("iso_date")).alias("fr"), S.run_date_fr(C("iso_date")).alias("run_fr"))
+    timed = F.when(C("l_linenumber") > 1, F.concat("iso_date", F.lit("T10:00:00")))
+    return raw(spark, d).select(*KEY, S.dicom_date_to_iso(C("series_date")).alias("iso"), S.iso_to_fr(C("iso_date")).alias("fr"), S.iso_to_fr(timed).alias("timed_fr"), S.run_date_fr(C("iso_date")).alias("run_fr"))
 
 
 @query("datetime_fr", f"""select {K}, case when length(study_date) >= 8 then substr(study_date, 7, 2) || '/' || substr(study_date, 5, 2) || '/' || substr(study_date, 1, 4) else 'date inconnue' end ||
@@ -135,6 +136,20 @@ def run_key(spark, d):
     return view(spark, d, "qc_runs").select("event_id", S.run_key(uid, C("run_date"), C("device_id"), C("event_id"), C("water_ct")).alias("run_key"))
 
 
+@query("manual_ids")
+def manual_ids(spark, d):
+    """Scanners without any identity get an id of their own; all others keep theirs."""
+    known = S.device_id(C("manufacturer"), C("model_name"), C("station_name"), C("serial_number"))
+    return view(spark, d, "devices").select("s_suppkey", F.coalesce(S.blank_to_null(known), S.manual_id(C("s_suppkey"))).alias("device_id"))
+
+
+@query("freq_axes_2d", "select fmt_id, cast(side as int) as side, cast(k as int) as k, round((k - side // 2) / (side * px), 6) as freq from (select fmt_id, px, side, unnest(range(side)) as k from (select fmt_id, px, 32 + 8 * (fmt_id % 13) as side from {formats}))")
+def freq_axes_2d(spark, d):
+    """Both axes of a square spectrum are alike."""
+    sides = view(spark, d, "formats").select("fmt_id", "px", (32 + 8 * (C("fmt_id") % 13)).cast("int").alias("side"))
+    return sides.select("fmt_id", "side", F.posexplode(S.frequency_axis(C("side"), C("px"))).alias("k", "f")).select("fmt_id", "side", "k", F.round("f", 6).alias("freq"))
+
+
 @query("focal_text", f"""select {K}, case when list_contains([try_cast(x as double) is null for x in string_split(focal_spots, '/')], true) then coalesce(nullif(focal_spots, ''), '—')
   else array_to_string([replace(regexp_replace(cast(cast(x as double) as varchar), '\\.0$', ''), '.', ',') for x in string_split(focal_spots, '/')], ' / ') || ' mm' end as focal from (select *, focal_spots as f from {{raw_headers}})""".replace("cast(cast(x as double) as varchar)", "cast(try_cast(x as double) as varchar)"))
 def focal_text(spark, d):

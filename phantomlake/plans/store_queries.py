@@ -95,21 +95,64 @@ def roi_json_in(spark, d):
     return rois.read_nps_rois(rows.select("fmt_id", text.alias("json")), "json")
 
 
-@query("roi_json_out", """select fmt_id, '{{{{"type_of_file":"NPS_ROI","pixel_size":' || cast(px as varchar) || ',"ROI":[' || string_agg('{{{{"X":' || (center_col + i * 4 - side // 2) || ',"Y":' || (center_row - i - side // 2) || ',"side_square":' || side || '}}}}', ',' order by i) || ']}}}}' as json
-  from (select *, 32 + 8 * (fmt_id % 5) as side from {formats}), range(4) t(i) group by fmt_id, px""".replace("{{{{", "{{").replace("}}}}", "}}"))
+#: How a file of regions begins: kind, phantom and key stand for themselves.
+_HEAD = """'{{"type_of_file":"KIND","phantom":"PHANTOM ' || KEY || '","measurement_date":"20260315","DFOV":' || cast(dfov as varchar) || ',"pixel_size":' || cast(px as varchar) || ',"width_in_pixel":' || cast(cast(width as double) as varchar)"""
+
+
+def _nps_file() -> str:
+    roi = """'{{"X":' || cast(cast(center_col + i * 4 - side // 2 as double) as varchar) || ',"Y":' || cast(cast(center_row - i - side // 2 as double) as varchar) || ',"side_square":' || cast(cast(side as double) as varchar) || '}}'"""
+    head = _HEAD.replace("KIND", "NPS").replace("PHANTOM", "Water").replace("KEY", "fmt_id")
+    tail = """ || ',"phantom_diameter":' || cast(diameter_px * px as varchar) || ',"commentaire":"NPS - ROI''s position given in pixel (top-left corner), section in mm","section":{{"start":' || cast(start_mm as varchar) || ',"stop":' || cast(start_mm + 22.5 as varchar) || '}},"ROI":[' || string_agg(""" + roi + """, ',' order by i) || ']}}' as json"""
+    return f"select fmt_id, {head}{tail} from (select *, n_rows * px as dfov, n_rows as width, 32 + 8 * (fmt_id % 5) as side, cast(fmt_id % 40 as double) / 4 - 5 as start_mm from {{formats}}), range(4) t(i) group by fmt_id, px, dfov, width, diameter_px, start_mm"
+
+
+@query("roi_json_out", _nps_file())
 def roi_json_out(spark, d):
-    """Centres become top-left corners."""
-    rows = view(spark, d, "formats").withColumn("side", (32 + 8 * (C("fmt_id") % 5)).cast("int")).withColumn("roi_idx", F.explode(F.sequence(F.lit(0), F.lit(3))))
-    placed = rows.select("fmt_id", "px", "roi_idx", (C("center_col") + C("roi_idx") * 4).alias("x"), (C("center_row") - C("roi_idx")).alias("y"), "side")
-    return rois.write_nps_rois(placed, ["fmt_id", "px"])
+    """Centres become top-left corners; the file says what it was measured on."""
+    formats = view(spark, d, "formats")
+    rows = formats.withColumn("side", (32 + 8 * (C("fmt_id") % 5)).cast("int")).withColumn("roi_idx", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    placed = rows.select("fmt_id", "roi_idx", (C("center_col") + C("roi_idx") * 4).alias("x"), (C("center_row") - C("roi_idx")).alias("y"), "side")
+    start = (C("fmt_id") % 40).cast("double") / 4 - 5
+    headers = formats.select("fmt_id", F.concat(F.lit("Water "), C("fmt_id")).alias("phantom"), F.lit("20260315").alias("measurement_date"), (C("n_rows") * C("px")).alias("dfov"), "px", C("n_rows").alias("width"), (C("diameter_px") * C("px")).alias("phantom_diameter"), start.alias("slice_start_mm"), (start + 22.5).alias("slice_end_mm"))
+    return rois.write_nps_rois(placed, headers, "fmt_id")
+
+
+def _hu_file() -> str:
+    roi = """'{{"name":"' || name || '","X":' || cast(cast(x as double) as varchar) || ',"Y":' || cast(cast(y as double) as varchar) || ',"radius":' || cast(cast(r as double) as varchar) || '}}'"""
+    head = _HEAD.replace("KIND", "HU").replace("PHANTOM", "Phantom").replace("KEY", "slice_id")
+    tail = """ || ',"commentaire":"HU - ROI''s position given in pixel (circular ROIs), slice in mm","slice_position_mm":' || cast(cast(slice_id as double) * 2.5 as varchar) || ',"ROI":[' || string_agg(""" + roi + """, ',' order by i) || ']}}' as json"""
+    return f"""select slice_id, {head}{tail} from (
+  select slice_id, px, 96 * px as dfov, 96 as width, i, ['Centre', '12h', '3h', '6h', '9h'][i + 1] as name, center_col + case i when 2 then 20 when 4 then -20 else 0 end as x, center_row + case i when 1 then -20 when 3 then 20 else 0 end as y, case i when 0 then 13 else 6 end as r from {{phantoms}}, range(5) t(i)) group by slice_id, px, dfov, width"""
 
 
-@query("hu_roi_json_out", """select slice_id, '{{"slice_mm":' || cast(cast(slice_id as double) * 2.5 as varchar) || ',"ROI":[' || string_agg('{{"name":"' || name || '","x":' || x || ',"y":' || y || ',"radius":' || r || '}}', ',' order by i) || ']}}' as json from (
-  select slice_id, i, ['centre', 'haut', 'droite', 'bas', 'gauche'][i + 1] as name, center_col + case i when 2 then 20 when 4 then -20 else 0 end as x, center_row + case i when 1 then -20 when 3 then 20 else 0 end as y, case i when 0 then 13 else 6 end as r from {phantoms}, range(5) t(i)) group by slice_id""")
+@query("hu_roi_json_out", _hu_file())
 def hu_roi_json_out(spark, d):
     g = {"central_radius": F.lit(13), "peripheral_radius": F.lit(6), "peripheral_distance": F.lit(20)}
-    rows = rois.hu_rois(view(spark, d, "phantoms"), g).withColumn("slice_mm", C("slice_id").cast("double") * 2.5)
-    return rois.write_hu_rois(rows, "slice_id")
+    phantoms = view(spark, d, "phantoms")
+    headers = phantoms.select("slice_id", F.concat(F.lit("Phantom "), C("slice_id")).alias("phantom"), F.lit("20260315").alias("measurement_date"), (96 * C("px")).alias("dfov"), "px", F.lit(96).alias("width"), (C("slice_id").cast("double") * 2.5).alias("slice_mm"))
+    return rois.write_hu_rois(rois.hu_rois(phantoms, g).drop("px"), headers, "slice_id")
+
+
+@query("ref_spectrum_parse", "select p_partkey, cast(i as int) as ring, i / 30.0 as freq, round(p_retailprice / (i + 1), 4) as power, round(p_size / 7.0, 4) as fit from {part}, range(3) t(i)")
+def ref_spectrum_parse(spark, d):
+    """Spectrum files are CSV: a header, then frequency, raw and fitted power."""
+    line = lambda i: F.concat_ws(",", F.lit(i / 30).cast("string"), F.round(C("p_retailprice") / (i + 1), 4).cast("string"), F.round(C("p_size") / 7.0, 4).cast("string"))
+    text = F.concat_ws("\n", F.lit("Frequency,NPS_1D_raw,NPS_1D_fit"), *(line(i) for i in range(3)), F.lit(""))
+    return validation.parse_spectra(view(spark, d, "part").select("p_partkey", text.alias("text")), "p_partkey")
+
+
+@query("document_merge", """select user_id, count(*) as n, count(*) filter (kept) as n_kept, count(*) filter (not kept and v is not null) as n_foreign, cast(sum(k) as bigint) as total from (
+  select user_id, event_id % 7 = 0 as kept, case when event_id % 7 <> 0 and event_id % 3 = 0 then 'x' end as v, case when event_id % 7 <> 0 then event_id end as k from {events}) group by 1""")
+def document_merge(spark, d):
+    """Documents on disk, every seventh of them broken and every third with a key of a newer writer, under this session's
+    own: foreign keys and broken entries survive, own values win."""
+    events = view(spark, d, "events").select("user_id", "event_id")
+    key = F.concat(F.lit("dev-"), C("event_id").cast("string"))
+    text = F.concat(F.lit('{"k":-1'), F.when(C("event_id") % 3 == 0, F.lit(',"v":{"x":[1]}')).otherwise(""), F.when(C("event_id") % 7 != 0, F.lit("}")).otherwise(""))
+    theirs, mine = events.select(key.alias("device_id"), text.alias("doc")), events.filter("event_id % 7 <> 0").select(key.alias("device_id"), F.concat(F.lit('{"k":'), C("event_id"), F.lit("}")).alias("doc"))
+    out = store.merged_documents(mine, theirs, ["k"]).join(events.select(key.alias("device_id"), "user_id"), "device_id")
+    rows = out.withColumns({"v": F.get_json_object("doc", "$.v"), "own": F.when(~C("kept"), F.get_json_object("doc", "$.k").cast("long"))})
+    return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if("kept").alias("n_kept"), F.count_if(~C("kept") & C("v").isNotNull()).alias("n_foreign"), F.sum("own").alias("total"))
 
 
 @query("ref_results_parse", "select p_partkey, round(p_retailprice / 100, 6) as noise, round(p_size / 100.0, 6) as freq from {part}")

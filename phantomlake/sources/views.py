@@ -27,6 +27,7 @@ select concat('dev-', cast(user_id as string)) as device_id,
        case when event_id % 9 = 0 then cast(0.0 as double) else 100.0 + event_id % 3 * 20 end as kvp,
        cast(event_id % 250 as double) as mas,
        case when event_id % 8 = 0 then concat('a;b "', cast(event_id as string), '"') else '' end as notes,
+       case when event_id % 5 = 0 then null when event_id % 10 = 3 then concat('/reports/a;', cast(event_id as string), '.pdf') else concat('/reports/', cast(event_id as string), '.pdf') end as pdf_path,
        cast(event_id % 30 as int) as hu_slice, cast(event_id % 50 as int) as n_slices,
        event_id % 13 <> 0 as hu_detected, event_id % 17 <> 0 as nps_detected
 from {events}"""
@@ -109,15 +110,19 @@ select c_custkey as k, case when c_custkey % 5 = 0 then concat(c_name, '-T') els
 from {customer} where (c_custkey % 13 <> 0 and c_custkey % 17 <> 0) or c_custkey % 39 = 0"""
 
 #: Synthetic phantoms, one pixel a row: water with integer noise, a wall, air.
-_PIXELS = """
+PIXELS_DUCK = """
 select s_suppkey as slice_id, cast(r as int) as row_idx, cast(k as int) as col_idx, cast(case
   when (r-(48+s_suppkey%5-2))*(r-(48+s_suppkey%5-2)) + (k-(48+s_suppkey%7-3))*(k-(48+s_suppkey%7-3)) <= (34+s_suppkey%3)*(34+s_suppkey%3)
     then (r*7919 + k*104729 + s_suppkey*31) % 41 - 20
   when (r-(48+s_suppkey%5-2))*(r-(48+s_suppkey%5-2)) + (k-(48+s_suppkey%7-3))*(k-(48+s_suppkey%7-3)) <= (38+s_suppkey%3)*(38+s_suppkey%3)
     then 120 else -1000 end as double) as hu
-from {{supplier}}, {grid}"""
-PIXELS = _PIXELS.format(grid="(select id as r from range(96)) a, (select id as k from range(96)) b")
-PIXELS_DUCK = _PIXELS.format(grid="range(96) a(r), range(96) b(k)")
+from {supplier}, range(96) a(r), range(96) b(k)"""
+#: The same images as one array an image row; what holds for a whole row is worked out once.
+IMAGE_ROWS = """
+select slice_id, row_idx, transform(sequence(0L, 95L), k -> case when (k - c) * (k - c) <= water then cast((base + k * 104729) % 41 - 20 as double) when (k - c) * (k - c) <= wall then 120D else -1000D end) as hu
+from (select s_suppkey as slice_id, cast(r as int) as row_idx, 48 + s_suppkey % 7 - 3 as c, r * 7919 + s_suppkey * 31 as base,
+             pow(34 + s_suppkey % 3, 2) - pow(r - (46 + s_suppkey % 5), 2) as water, pow(38 + s_suppkey % 3, 2) - pow(r - (46 + s_suppkey % 5), 2) as wall
+      from (select s_suppkey, explode(sequence(0L, 95L)) as r from {slice_ids}))"""
 
 #: What a reviewer of images looked up for each slice: centre and inner radius, known by construction.
 PHANTOMS = """
@@ -133,7 +138,7 @@ from {part}"""
 
 VIEWS = {
     "qc_runs": QC_RUNS, "headers": HEADERS, "raw_headers": RAW_HEADERS, "devices": DEVICES, "tiles": TILES, "paths": PATHS,
-    "base": BASE, "mine": MINE, "theirs": THEIRS, "pixels": PIXELS, "phantoms": PHANTOMS, "formats": FORMATS,
+    "base": BASE, "mine": MINE, "theirs": THEIRS, "phantoms": PHANTOMS, "formats": FORMATS,
 }
 
 
@@ -154,9 +159,7 @@ def duck(text: str) -> str:
     return text.format(**{x: f"({duck(texts[x])})" if x in texts else x for x in names_in(text)})
 
 
-def image_rows(pixels: DataFrame) -> DataFrame:
-    """slice_id, row_idx, hu ARRAY<DOUBLE>: one record per image row."""
-    from pyspark.sql import functions as F
-
-    ordered = F.array_sort(F.collect_list(F.struct("col_idx", "hu")))
-    return pixels.groupBy("slice_id", "row_idx").agg(F.transform(ordered, lambda x: x["hu"]).alias("hu"))
+def image_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """slice_id, row_idx, hu ARRAY<DOUBLE>: the images row by row, made by all cores from the few rows of their table."""
+    ids = view(spark, sf_dir, "supplier").select("s_suppkey").repartition(spark.sparkContext.defaultParallelism)
+    return spark.sql(IMAGE_ROWS, slice_ids=ids)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from phantomlake.functions import rules
-from phantomlake.operators import history
+from phantomlake.operators import store
 
 
 def judged(runs: DataFrame, devices: DataFrame | None = None) -> DataFrame:
@@ -19,17 +19,12 @@ def judged(runs: DataFrame, devices: DataFrame | None = None) -> DataFrame:
     return rows.join(known, "device_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
-def follow(runs: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
-    """Upserts every new batch of controls into the store: one folder per version, the newest is the current one.
-
-    A batch that is repeated after a failure writes the version of its own number again, so each takes effect once.
-    """
+def follow(runs: DataFrame, path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Upserts every new batch of controls into the store; only the buckets of devices that it touches are read and
+    written. A batch that is repeated after a failure, or read again under a new checkpoint, finds its own rows and
+    changes nothing."""
 
     def fold(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.withColumn("version", F.lit(number).cast("long"))
-        if number:
-            rows = spark.read.schema(rows.schema).parquet(f"{store}/v={number - 1}").unionByName(rows)
-        history.upsert(rows).drop("replaced").select(rows.columns).write.mode("overwrite").parquet(f"{store}/v={number}")
+        store.write_runs(batch, path, buckets)
 
     return runs.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
