@@ -4,19 +4,22 @@ The unit is the word (runs of letters and digits, lower-cased; other ASCII chara
 reads a sequence of words with a pointer and writes the word under it, 3n times for n words; after each step the
 pointer moves on or stays, by a random bit of (step, word). Sequences at a small edit distance walk in step most
 of the time, so edit distance becomes Hamming distance of the embeddings. A repetition samples `bits` coordinates
-of one of `walks` embeddings and hashes them; equal hashes make a candidate. The number of repetitions is set so
-that an item with `max_edits` of its words edited is found with probability `recall`, measured on the items
-themselves with random edits.
+of one of `walks` embeddings and hashes them; equal hashes make a candidate. The number of repetitions is the fewest
+that find items with `max_edits` of their words edited with probability `recall`. It is measured on the items themselves,
+randomly edited inside other words, through the same search that documents go through; where `most_repetitions` do not
+reach it, no window is left out and all go to the exact check.
 
-Windows are as long as the item and start where the item would start: each item names up to `anchors` of its
-words (those in fewest items, spread by a hash), a window is laid through every anchor word of a document, and
-the walk runs over it. An edited anchor leaves the others. Candidates are confirmed by the edit distance of the
-item to the best stretch of the document around the window (ends free): at most `max_edits` of its words.
+Windows are as long as the item and start where the item would start: each item names more of its words than may be
+edited (those in fewest items, spread by a hash) and a window is laid through every such anchor word of a document, so
+one anchor at least stands whatever the edits are. Candidates are confirmed by the edit distance of the item to the best
+stretch of the document around the window (ends free): at most `max_edits` of its words. Items of fewer than `min_words`
+words are found where all their words stand as they are.
 
 Documents are read whole, in one pass without a shuffle. The benchmark is a bounded query set: it is broadcast in
-blocks of `block` items, one pass of the documents each. An item with fewer than `min_words` words is too common
-to tell anything and is not looked for. Null and empty texts hold nothing; a null doc_id is reported with null;
-repeated rows are reported each; equal items are reported under each of their ids.
+blocks of at most `block` items or `block_words` words, one pass of the documents each. Null and empty texts hold
+nothing; a null doc_id is reported with null; repeated rows are reported each; an item is reported once in a document,
+at the place with the fewest edits, of several the first; equal items are reported under each of their ids; items
+without a word or an id are not looked for; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phantomlake.llm.common import WordHashes, by_bytes, id_text, mixed, raw, small_batches
+from phantomlake.llm.common import WordHashes, by_bytes, id_text, mixed, raw, small_batches, windows_hash
 
 #: ASCII bytes that are not letters or digits become spaces.
 SEPARATE = bytes(x if x >= 128 or chr(x).isalnum() else 32 for x in range(256))
@@ -46,14 +49,18 @@ class Settings:
 
     max_edits: float = 0.2
     min_words: int = 8
-    anchors: int = 8
-    walks: int = 4
-    bits: int = 3
+    walks: int = 8
+    bits: int = 2
     recall: float = 0.99
     most_repetitions: int = 96
     block: int = 20_000
+    block_words: int = 2_000_000
     seed: int = 17
 
+    def edits(self, size: int) -> int:
+        """The edits that an item of so many words may have."""
+        return int(self.max_edits * size)
+
 
 def walk_bits(words: np.ndarray, step: int, walk: int, seed: int) -> np.ndarray:
     """The random bit of (walk, step, word) for each word hash."""
@@ -79,27 +86,37 @@ def embedded(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ends: np.
 
 
 class Lsh:
-    """The items' hashes in every repetition, and what finds windows for them."""
+    """The items' anchors and hashes in every repetition, and what finds windows for them."""
 
     def __init__(self, ids: list[int], items: list[np.ndarray], settings: Settings):
         self.settings, self.ids, self.items = settings, np.array(ids, np.int64), items
         self.sizes = np.array([len(x) for x in items], np.int64)
-        self.repetitions = self.enough()
-        ends = np.cumsum(self.sizes)
-        self.keys = self.hashes(np.concatenate(items), ends - self.sizes, self.sizes, ends) if items else np.zeros((self.repetitions, 0), np.uint64)
+        long = [k for k, x in enumerate(items) if len(x) >= settings.min_words]
         often: dict[int, int] = {}
-        for x in items:
-            for w in set(x.tolist()):
+        for k in long:
+            for w in set(items[k].tolist()):
                 often[w] = often.get(w, 0) + 1
         anchors: dict[int, list[tuple[int, int]]] = {}
-        for k, x in enumerate(items):
+        for k in long:
+            x = items[k]
             order = np.lexsort((mixed(x), [often[w] for w in x.tolist()]))
-            for offset in order[: settings.anchors].tolist():
+            for offset in order[: settings.edits(len(x)) + 1].tolist():
                 anchors.setdefault(int(x[offset]), []).append((k, offset))
         self.words = np.array(sorted(anchors), np.uint64)
         self.first = np.cumsum([0] + [len(anchors[int(w)]) for w in self.words])
         pairs = np.array([x for w in self.words for x in anchors[int(w)]], np.int64).reshape(-1, 2)
         self.item, self.offset = pairs[:, 0], pairs[:, 1]
+        self.short: dict[int, dict[int, list[int]]] = {}  # number of words -> hash of all of them -> items
+        for k, x in enumerate(items):
+            if len(x) < settings.min_words:
+                self.short.setdefault(len(x), {}).setdefault(int(windows_hash(x, len(x))[0]), []).append(k)
+        ends = np.cumsum(self.sizes)
+        self.keys = np.zeros((settings.most_repetitions, len(items)), np.uint64)
+        if long:
+            words, at = np.concatenate(items), np.array(long)
+            self.keys[:, at] = self.hashes(words, (ends - self.sizes)[at], self.sizes[at], ends[at], settings.most_repetitions)
+        self.repetitions, self.reached = self.enough(long)
+        self.keys = self.keys[: self.repetitions]
 
     def samples(self, repetition: int, sizes: np.ndarray) -> np.ndarray:
         """sizes x bits: the coordinates that a repetition samples. The walk over a window ends after
@@ -107,9 +124,8 @@ class Lsh:
         seeds = np.arange(self.settings.bits, dtype=np.uint64) + np.uint64(repetition * 1009 + self.settings.seed)
         return (mixed(seeds)[None, :] % np.maximum(7 * sizes // 4, 1)[:, None].astype(np.uint64)).astype(np.int64)
 
-    def hashes(self, words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ends: np.ndarray, repetitions: int | None = None) -> np.ndarray:
-        """repetitions x windows hashes; a window has the size of the item it is laid for."""
-        n = repetitions or self.repetitions
+    def hashes(self, words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+        """n repetitions x windows hashes; a window has the size of the item it is laid for."""
         out = np.zeros((n, len(starts)), np.uint64)
         order = np.argsort(-sizes, kind="stable")
         starts, sizes, ends = starts[order], sizes[order], ends[order]
@@ -125,30 +141,33 @@ class Lsh:
                 out[r, order] = mixed(h)
         return out
 
-    def enough(self) -> int:
-        """Repetitions that find items with the allowed share of edits with the wanted probability."""
+    def enough(self, long: list[int], trials: int = 600) -> tuple[int, float]:
+        """(repetitions, recall): the fewest that find edited items as often as wanted, and how often they do. 0
+        repetitions where none do: then all windows are candidates."""
         rng, s = np.random.default_rng(self.settings.seed), self.settings
-        chosen = [self.items[k] for k in rng.permutation(len(self.items))[:100]]
-        if not chosen:
-            return 1
-        hits = np.zeros((len(chosen), s.most_repetitions), bool)
-        for k, x in enumerate(chosen):
-            edited = x.tolist()
-            for _ in range(int(s.max_edits * len(x))):
+        if not long:
+            return 0, 1.0
+        texts: list[np.ndarray] = []
+        own = rng.permutation(np.resize(rng.permutation(long), trials))
+        strange = lambda n: rng.integers(1, 2**62, n).tolist()
+        for k in own:
+            edited = self.items[k].tolist()
+            for _ in range(s.edits(len(edited))):
                 at, kind = int(rng.integers(len(edited))), int(rng.integers(3))
-                if kind == 0:
-                    edited[at] = int(rng.integers(1, 2**62))
-                elif kind == 1:
-                    edited.insert(at, int(rng.integers(1, 2**62)))
-                else:
-                    del edited[at]
-            other = np.array([*edited, *rng.integers(1, 2**62, len(x)).tolist()], np.uint64)
-            zero, size = np.zeros(1, np.int64), np.array([len(x)])
-            hits[k] = (self.hashes(x, zero, size, size, s.most_repetitions) == self.hashes(other, zero, size, np.array([len(other)]), s.most_repetitions))[:, 0]
-        found = np.maximum.accumulate(hits, axis=1).mean(axis=0)
-        # the anchors lay several windows through one passage, which only adds to this
-        good = np.flatnonzero(found >= s.recall)
-        return int(good[0]) + 1 if len(good) else s.most_repetitions
+                edited[at : at + (kind != 1)] = strange(int(kind != 2))
+            texts.append(np.array([*strange(20), *edited, *strange(20)], np.uint64))
+        ends = np.cumsum([len(x) for x in texts])
+        words = np.concatenate(texts)
+        start, item, text = self.windows(words, ends - [len(x) for x in texts], ends)
+        mine = item == own[text]
+        start, item, text = start[mine], item[mine], text[mine]
+        same = self.hashes(words, start, self.sizes[item], ends[text], s.most_repetitions) == self.keys[:, item]
+        first = np.where(same.any(axis=0), same.argmax(axis=0), s.most_repetitions)
+        found = np.full(trials, s.most_repetitions)
+        np.minimum.at(found, text, first)
+        recall = np.cumsum(np.bincount(found, minlength=s.most_repetitions + 1)[:-1]) / trials
+        good = np.flatnonzero(recall >= s.recall)
+        return (int(good[0]) + 1, float(recall[good[0]])) if len(good) else (0, 1.0)
 
     def windows(self, words: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, item, text) of the windows through the anchor words of texts that lie one after another."""
@@ -163,7 +182,7 @@ class Lsh:
         start, item = np.repeat(hit, n) - self.offset[row], self.item[row]
         text = np.searchsorted(ends, np.repeat(hit, n), side="right")
         # a window may begin before its text or end after it by the edits allowed
-        slack = (self.settings.max_edits * self.sizes[item]).astype(np.int64)
+        slack = np.array([self.settings.edits(n) for n in self.sizes.tolist()], np.int64)[item]
         ok = (start >= begins[text] - slack) & (start + self.sizes[item] <= ends[text] + slack)
         start, item, text = np.maximum(start[ok], begins[text[ok]]), item[ok], text[ok]
         kinds = np.unique(np.stack([text, item, start]), axis=1) if len(start) else np.zeros((3, 0), np.int64)
@@ -172,11 +191,26 @@ class Lsh:
     def candidates(self, words: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int]]:
         """(text, item, start) of the windows whose hash equals their item's in some repetition."""
         start, item, text = self.windows(words, begins, ends)
+        out: list[tuple[int, int, int]] = self.exact(words, begins, ends)
+        most = max(1, 2_000_000 // int(self.sizes.max(initial=1)))  # windows at a time, by what their walks write
+        for a in range(0, len(start), most):
+            s, i, t = start[a : a + most], item[a : a + most], text[a : a + most]
+            if self.repetitions:
+                same = (self.hashes(words, s, self.sizes[i], ends[t], self.repetitions) == self.keys[:, i]).any(axis=0)
+                s, i, t = s[same], i[same], t[same]
+            out += zip(t.tolist(), i.tolist(), s.tolist(), strict=True)
+        return out
+
+    def exact(self, words: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int]]:
+        """(text, item, start) of the places where all words of a short item stand."""
         out: list[tuple[int, int, int]] = []
-        for a in range(0, len(start), 20_000):
-            s, i, t = start[a : a + 20_000], item[a : a + 20_000], text[a : a + 20_000]
-            same = (self.hashes(words, s, self.sizes[i], ends[t]) == self.keys[:, i]).any(axis=0)
-            out += zip(t[same].tolist(), i[same].tolist(), s[same].tolist(), strict=True)
+        for n, items in self.short.items():
+            h = windows_hash(words, n)
+            at = np.flatnonzero(np.isin(h, np.array(list(items), np.uint64)))
+            text = np.searchsorted(ends, at, side="right")
+            inside = at + n <= ends[text]
+            for t, start in zip(text[inside].tolist(), at[inside].tolist(), strict=True):
+                out += [(t, k, start) for k in items[int(h[start])]]
         return out
 
 
@@ -202,13 +236,14 @@ def contaminated(texts: list[bytes], lsh: Lsh, hashes: WordHashes) -> list[list[
         checked: dict[bytes, int] = {}
         for t, k, start in lsh.candidates(words, begins, ends):
             item = lsh.items[k]
-            allowed = int(lsh.settings.max_edits * len(item))
+            allowed = lsh.settings.edits(len(item)) if len(item) >= lsh.settings.min_words else 0
             if (t, k) in best and best[t, k][0] == 0:
                 continue
             stretch = words[max(begins[t], start - allowed) : min(ends[t], start + len(item) + allowed)]
             key = k.to_bytes(4, "little") + stretch.tobytes()
             if key not in checked:
-                checked[key] = edit_distance(item, stretch)
+                # every item word that the stretch lacks is an edit
+                checked[key] = edit_distance(item, stretch) if np.isin(item, stretch).sum() >= len(item) - allowed else len(item)
             edits, at = checked[key], int(start - begins[t])
             if edits <= allowed and ((t, k) not in best or (edits, at) < best[t, k]):
                 best[t, k] = edits, at
@@ -227,10 +262,10 @@ def item_blocks(benchmark: DataFrame, settings: Settings) -> Iterator[Lsh]:
     items: list[np.ndarray] = []
     for row in rows.distinct().orderBy("item_id", "text").toLocalIterator():
         words = hashes.of(words_of(bytes(row["text"])))
-        if len(words) >= settings.min_words:
+        if len(words):
             ids.append(row["item_id"])
             items.append(words)
-        if len(ids) == settings.block:
+        if len(ids) == settings.block or sum(map(len, items)) >= settings.block_words:
             yield Lsh(ids, items, settings)
             ids, items = [], []
     if ids:

@@ -191,15 +191,59 @@ def test_decontamination_finds_edited_items(spark, make):
     assert {r.doc_id for r in decontaminate.clean_documents(make(docs + clean), bench).collect()} == {i for i, _ in clean}
 
 
+def words_edited(text: str, edits: int, rng: random.Random) -> str:
+    """The text with so many words replaced, put in or taken out."""
+    words = text.split()
+    for _ in range(edits):
+        at, kind = rng.randrange(len(words)), rng.randrange(3)
+        words[at : at + (kind != 1)] = [f"new{rng.randrange(10**6)}"] * (kind != 2)
+    return " ".join(words)
+
+
 def test_lsh_recall_at_the_limit():
-    """Items with a fifth of their words edited, under the limit of the exact check: at least 0.9 come back."""
+    """Items with a fifth of their words edited, under the limit of the exact check, all kinds of edits: what all windows
+    would find by exact edit distance comes back for at least 0.95, and nothing else does."""
     rng = random.Random(4)
-    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(40)) for _ in range(60)]
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(20 + 3 * (k % 13))) for k in range(100)]
+    hashes = WordHashes()
+    of = lambda t: hashes.of(decontaminate.words_of(t.encode()))
+    lsh = decontaminate.Lsh(list(range(100)), [of(t) for t in texts], decontaminate.Settings())
+    assert lsh.reached >= 0.99 and 0 < lsh.repetitions <= decontaminate.Settings().most_repetitions
+    around = lambda: " ".join(f"x{rng.randrange(3000)}" for _ in range(30))
+    docs = [f"{around()} {words_edited(t, len(t.split()) // 5, rng)} {around()}" for t in texts]
+    found = [{x[0]: x[3] for x in xs} for xs in decontaminate.contaminated([x.encode() for x in docs], lsh, hashes)]
+    want = [{k: e for k, t in enumerate(texts) if (e := decontaminate.edit_distance(of(t), of(x))) <= len(t.split()) // 5} for x in docs]
+    assert all(k in want[k] for k in range(100))
+    assert all(set(f) <= set(w) and all(f[k] >= w[k] for k in f) for f, w in zip(found, want, strict=True))
+    assert sum(map(len, found)) >= 0.95 * sum(map(len, want))
+
+
+def test_targeted_edits_leave_an_anchor():
+    """The rarest words of an item are those edited: it is still found, whichever repetition does it."""
+    rng = random.Random(6)
+    common = [f"c{k}" for k in range(60)]
+    texts = [" ".join([rng.choice(common) for _ in range(34)] + [f"r{k}a{j}" for j in range(6)]) for k in range(40)]
+    hashes = WordHashes()
+    lsh = decontaminate.Lsh(list(range(40)), [hashes.of(decontaminate.words_of(t.encode())) for t in texts], decontaminate.Settings())
+    docs = [" ".join(f"x{rng.randrange(300)}" for _ in range(20)) + " " + " ".join("gone" if w.startswith("r") else w for w in t.split()) for t in texts]
+    found = decontaminate.contaminated([x.encode() for x in docs], lsh, hashes)
+    assert sum(any(x[0] == k and x[3] <= 6 for x in xs) for k, xs in enumerate(found)) >= 38
+
+
+def test_short_items_stand_exactly(spark, make):
+    items = [(1, "alpha beta gamma"), (2, "Alpha"), (3, "beta gamma delta epsilon"), (4, "!!!"), (5, "gamma, delta")]
+    docs = [(1, "An ALPHA, beta gamma."), (2, "beta gamma delta"), (3, "alphabet"), (4, None), (5, "x beta"), (6, "gamma delta epsilon")]
+    got = {(r.doc_id, r.item_id, r.start, r.edits) for r in decontaminate.find_items(make(docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1, 1, 0), (1, 2, 1, 0), (2, 5, 1, 0), (6, 5, 0, 0)}
+
+
+def test_all_windows_are_checked_where_recall_is_not_reached():
     hashes = WordHashes()
-    lsh = decontaminate.Lsh(list(range(60)), [hashes.of(decontaminate.words_of(t.encode())) for t in texts], decontaminate.Settings())
-    around = lambda k: " ".join(f"x{rng.randrange(3000)}" for _ in range(30))
-    found = decontaminate.contaminated([f"{around(k)} {near_copy(t, 8, k)} {around(k)}".encode() for k, t in enumerate(texts)], lsh, hashes)
-    assert sum(any(x[0] == k for x in xs) for k, xs in enumerate(found)) >= 54
+    items = [hashes.of([f"w{k}x{j}".encode() for j in range(30)]) for k in range(20)]
+    lsh = decontaminate.Lsh(list(range(20)), items, decontaminate.Settings(bits=8, most_repetitions=2))
+    assert lsh.repetitions == 0
+    docs = [" ".join(f"w{k}x{j}" if j % 6 else "other" for j in range(30)).encode() for k in range(20)]
+    assert [[x[0] for x in xs] for xs in decontaminate.contaminated(docs, lsh, hashes)] == [[k] for k in range(20)]
 
 
 def test_quality_counts(spark, make, rows):
@@ -222,6 +266,24 @@ def test_quality_counts(spark, make, rows):
     assert kept[402] == prose(7) and kept[1] == prose(1, 90) and 200 not in kept
 
 
+def test_quality_line_rules():
+    """One line for each rule on either side of its limit; the lines that fail are gone from the text."""
+    words = lambda n: " ".join(f"w{k}" for k in range(n))
+    bad = [
+        "a # b * c $ d & e", "THIS IS ALL IN UPPER CASE", "no!! way?? oh!!", "one | two | three | four", "Mentions légales", "sign in", "zurück", "Tous droits réservés 2020.",
+        "same same same same same same same same same same same", "and then came the river,", words(90) + " privacy policy and terms of use.",
+    ]
+    good = [words(300) + " a | b | c | d.", words(80) + " newsletter.", words(61) + ",", " ".join(["the", "of", "and"] * 400 + [f"x{k}" for k in range(120)]) + ".", "Short line\nAnother one", prose(2, 20000).replace("\n", " ") + " click here"]
+    for line in bad:
+        x = cleaning.judged(f"{prose(1)}\n{line}\n{prose(2)}".encode())
+        assert (x.n_bad_lines, x.n_lost_words, x.clean.decode()) == (1, len(line.split()), f"{prose(1)}\n{prose(2)}"), line
+    for line in good:
+        assert cleaning.judged(f"{prose(1)}\n{line}\n{prose(2)}".encode()).n_bad_lines == 0, line[:80]
+    listing = "First entry\nSecond entry\n\nThird entry"
+    x = cleaning.judged(f"{prose(1)}\n{listing}\n{prose(2)}\n{listing.upper()}".encode())
+    assert (x.n_bad_lines, x.clean.decode()) == (6, f"{prose(1)}\n\n{prose(2)}\n")
+
+
 def test_ppm_is_a_distribution(spark, make, rows):
     """Base scores against the definition; the model's next-symbol probabilities add up to one in any context."""
     got = {r.doc_id: r for r in ppm.score(make(rows), order=3).collect()}
@@ -357,3 +419,27 @@ def test_url_counts_hits_at_boundaries():
     automaton = url_filter.UrlPolicy(strict=("xxx",), soft=("free", "bets", "free-bets2")).automaton()
     assert url_filter.counted("http://free-bets.com/xxxx?xxx", automaton) == (1, 2, 2)
     assert url_filter.counted("freebets/free/free", automaton) == (0, 2, 1)
+
+
+def test_url_policy_from_tables(spark):
+    terms = spark.createDataFrame([("Bad-Thing", True), ("soft", False), ("bad-thing", False), (None, True), ("", True), ("meh", None)], "term string, strict boolean")
+    rules = spark.createDataFrame([("net/", "block", 2), ("net/", "allow", 1), ("x.net/a", "nothing", 0)], "rule string, action string, rank int")
+    policy = url_filter.policy_of(terms, rules)
+    assert (policy.strict, policy.soft, policy.rules) == (("bad-thing",), ("meh", "soft"), (("net/", "allow"), ("net/", "block")))
+    pages = spark.createDataFrame([(1, "http://a.net/bad-thing"), (2, "http://a.com/BAD-thing"), (3, "http://a.com/soft/meh"), (4, "http://a.com/soft"), (5, "http://a.com/" + "soft-" * 50_000)], "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.rule) for r in url_filter.judge_urls(pages, policy).collect()}
+    assert got == {1: ("allow", "net/"), 2: ("block", None), 3: ("block", None), 4: ("allow", None), 5: ("allow", None)}
+    assert url_filter.judge_urls(pages.limit(0), policy).count() == 0
+    with pytest.raises(ValueError):
+        url_filter.policy_of(terms, most=2)
+
+
+def test_crf_takes_one_bounded_row_of_an_id(spark, make):
+    """Repeated rows of a sampled id and very many lines leave the fit as it is without them."""
+    rows = [(k, prose(k, 120) if k % 3 else "BUY ### NOW!!\n" * 12) for k in range(60)]
+    labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(60)], "doc_id long, quality int")
+    one = line_crf.fit(make(rows), labels)
+    many = line_crf.fit(make(rows + rows[:1] * 400), labels)
+    assert np.allclose(one.weights, many.weights) and np.allclose(one.change, many.change)
+    short = line_crf.fit(make([(k, t + "\n" + "tail line here.\n" * 3000) for k, t in rows]), labels, sample_lines=7)
+    assert np.isfinite(short.weights).all()
