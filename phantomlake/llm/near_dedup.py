@@ -39,11 +39,11 @@ from phantomlake.llm.common import LOWER, WordHashes, by_bytes, id_text, mixed,
 
 COORDS, WIDTH = 64, 5
 #: A second, longer signature (a byte each) of the posted documents alone.
-WIDE = 384
+WIDE = 768
 #: The share of the pairs right at the threshold that either signature may miss.
 MISS = 1 / 30_000
 #: Pairs of one list block that are confirmed together.
-PAIRS = 2048
+PAIRS = 512
 SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary())])
 SETS = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary()), ("wide", pa.binary())])
 

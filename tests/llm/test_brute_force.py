@@ -93,6 +93,31 @@ def test_packing_round_trip(spark, make, rows):
     assert len(windows) <= 1.1 * sum(map(len, ids.values())) / 256 + 1
 
 
+def test_windows_by_the_rule():
+    """Every piece against the rule read literally: the window it leaves least room in, else the fullest is filled by
+    its head and emitted, and the tail is placed the same way."""
+    rng = random.Random(8)
+    windows, left = packing.Windows(100, 5, 0), {}
+    for _ in range(2000):
+        length = rng.randint(1, 99)
+        parts, done = windows.place(length)
+        assert sum(n for _, _, n in parts) == length
+        for k, (w, at, n) in enumerate(parts):
+            fits = [100 - used - (length if not k else length - parts[0][2]) for used in left.values()]
+            best = min((x for x in fits if x >= 0), default=None)
+            if best is not None:
+                assert at == left[w] and 100 - at - n == best
+            elif len(left) == 5:
+                assert at == left[w] == max(left.values()) and n == 100 - at and len(parts) == 2
+            else:
+                assert at == 0 and w not in left
+            left[w] = at + n
+            if left[w] == 100:
+                assert w in done
+                del left[w]
+        assert len(left) <= 5 and left == windows.open
+
+
 def test_shards_round_trip(spark, make, rows):
     path = new_path(spark, "shards")
     manifest = written(token_files.write_shards(make(rows), path, WORD, shard_ids=2000, partitions=3), "manifest")

@@ -1,10 +1,15 @@
 """Every operator over odd rows and over an empty table: no crash, a row per document, defined values."""
 
+import os
+import zlib
+
+import numpy as np
 import pytest
 
 from phantomlake.llm import cleaning, decontaminate, license_scan, line_crf, near_dedup, packing, ppm, token_counts, token_files, url_filter
 from phantomlake.llm.common import new_path, written
-from phantomlake.llm.tokens import default_tokenizer
+from phantomlake.llm.queries import queries
+from phantomlake.llm.tokens import ChunkEncoder, default_tokenizer
 
 BYTES, WORD = default_tokenizer("byte_bpe_50k.json"), default_tokenizer("word_bpe_49k.json")
 
@@ -37,6 +42,40 @@ def test_empty_table(spark, make, name):
     assert RUNS[name](spark, make([])).count() == 0
 
 
+def test_values_of_odd_texts(spark, make, odd_rows):
+    """Null (2), empty (3), one endless word (7), blanks alone (8)."""
+    got = {name: {r.doc_id: r for r in RUNS[name](spark, make(odd_rows)).collect()} for name in RUNS}
+    of = lambda name, *columns: [tuple(got[name][i][c] for c in columns) for i in (2, 3, 7, 8)]
+    assert of("op2", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score") == [(n, 0, None, None, "", "", 0.0) for n in (0, 0, 1, 0)]
+    assert of("op3", "n_tokens") == [(1,), (1,), (2,), (1,)]
+    assert got["op3"][2].score == got["op3"][3].score and got["op3"][2].base_score == got["op3"][3].base_score < 0
+    assert got["op4"][2].score == got["op4"][3].score and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got["op4"].values())
+    assert of("op7", "n_shingles", "component_id", "kept") == [(0, 2, True), (0, 3, True), (1, 7, True), (0, 8, True)]
+    assert (got["op7"][None].component_id, got["op7"][None].kept, got["op7"][5].component_id, got["op7"][5].kept) == (None, True, 1, False)
+    assert of("op8", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept") == [(n, 50_000 * n, 0, 0, 0, True, False) for n in (0, 0, 1, 0)]
+    tokenizer = ChunkEncoder.of(BYTES).tokenizer
+    assert of("op9", "n_bytes", "n_tokens", "over_limit") == [(0, 0, False), (0, 0, False), (50_000, len(tokenizer.encode("x" * 50_000).ids), True), (5, len(tokenizer.encode(" \t\n \x0b").ids), False)]
+    word = ChunkEncoder.of(WORD).tokenizer
+    for i, text in ((2, ""), (3, ""), (7, "x" * 50_000), (8, " ")):
+        ids = [*word.encode(text).ids, 1]
+        assert (got["op10"][i].n_tokens, got["op10"][i].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    assert got["op10"][None].start == 0
+
+
+@pytest.fixture(scope="module")
+def empty_tables(spark, tmp_path_factory):
+    path = tmp_path_factory.mktemp("empty")
+    for name in ("documents", "pages", "benchmark", "labels"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).write.parquet(f"{path}/{name}.parquet")
+    return str(path)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(queries()))
+def test_registered_query_over_empty_tables(spark, empty_tables, name):
+    assert queries()[name](spark, empty_tables).count() == 0
+
+
 def test_packing_edges(spark, make, odd_rows):
     got = packing.pack(make(odd_rows), BYTES).collect()
     assert {str(r.doc_id) for r in got} == {str(i) for i, _ in odd_rows}
