@@ -9,12 +9,13 @@
    (skip). Of the rest only the `coords - matches + 1` rarest values of a document are posted (prefix): two
    documents with `matches` equal coordinates share one of these.
 3. The members of a posting list are compared in a task by whole signatures, collisions counted in array code;
-   pairs with `matches` or more whose longer signatures agree as well (again all but `MISS` of the pairs at the
-   threshold) are candidates, told by the first list the two share, once. Lists longer than
-   `block` are cut into blocks, each pair of blocks a task of its own, so no task takes a whole long list.
+   two documents meet in the first list that they share, once. Lists longer than `block` are cut into blocks, each
+   pair of blocks a task of its own, so no task takes a whole long list; a list of long documents is cut finer.
    Before that, long lists are thinned: members first meet the list's most central documents only, and pairs
    inside one confirmed component are not looked for again.
-4. Candidates are confirmed on whole shingle sets, in the tasks of their list blocks.
+4. Documents with `matches` or more collisions in a unit of comparison get their whole shingle sets there, and the
+   pairs are confirmed on these in the same task. Only links leave it, and of each unit a spanning forest: no
+   table holds the pairs of a group.
 5. Components of the confirmed links come from min-label propagation with pointer jumping over class ids.
 
 No pair is emitted because of a shared passage alone, and copies never meet each other.
@@ -38,14 +39,14 @@ from pyspark.sql import functions as F
 from phantomlake.llm.common import LOWER, WordHashes, by_bytes, id_text, mixed, raw, windows_hash, written
 
 COORDS, WIDTH = 64, 5
-#: A second, longer signature (a byte each) of the posted documents alone.
-WIDE = 768
-#: The share of the pairs right at the threshold that either signature may miss.
+#: The share of the pairs right at the threshold that the signature may miss.
 MISS = 1 / 30_000
-#: Pairs of one list block that are confirmed together.
-PAIRS = 512
+#: Shingles of an ordinary document: a block of a list holds `block` times as many at most.
+ORDINARY = 2_000
+#: Buckets of the table in which the shingles of one document are marked.
+MARKS = 1 << 18
 SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary())])
-SETS = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary()), ("wide", pa.binary())])
+SETS = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary())])
 
 
 def missed(threshold: int, coords: int, matches: int) -> float:
@@ -73,12 +74,12 @@ def multipliers(coords: int) -> np.ndarray:
     return mixed(np.arange(1, coords + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def signatures(sets: list[np.ndarray], coords: int, skip: int = 0) -> np.ndarray:
-    """documents x coords minima (upper 32 bits), after the first `skip` coordinates; only for non-empty sets."""
+def signatures(sets: list[np.ndarray], coords: int) -> np.ndarray:
+    """documents x coords minima (upper 32 bits); only for non-empty sets."""
     starts = np.cumsum([0] + [len(x) for x in sets[:-1]])
     h = mixed(np.concatenate(sets))
     out = np.empty((len(sets), coords), np.uint32)
-    for k, a in enumerate(multipliers(skip + coords)[skip:]):
+    for k, a in enumerate(multipliers(coords)):
         out[:, k] = np.minimum.reduceat(((h * a) >> np.uint64(32)).astype(np.uint32), starts)
     return out
 
@@ -101,27 +102,28 @@ def signed(docs: DataFrame, coords: int = COORDS) -> DataFrame:
 
 
 def posted(reps: DataFrame, coords: int, matches: int) -> DataFrame:
-    """rep, n_shingles, sig, prefix, coord, value, freq: the rarest shared values of the classes that could have
-    a partner. prefix holds, as one bit for each coordinate, where the class is posted."""
-    values = pa.schema([("rep", pa.int64()), ("coord", pa.int32()), ("value", pa.int64())])
+    """rep, n_shingles, sig, prefix, coord, value, freq, mass: the rarest shared values of the classes that could
+    have a partner, with the documents of the value and the shingles of these together. prefix holds, as one bit
+    for each coordinate, where the class is posted."""
+    values = pa.schema([("rep", pa.int64()), ("size", pa.int64()), ("coord", pa.int32()), ("value", pa.int64())])
 
     def spread(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             n = part.num_rows
             sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("rep").to_numpy(), coords)), pa.array(np.tile(np.arange(coords, dtype=np.int32), n)), pa.array(sig.astype(np.int64))], schema=values)
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(part.column(k).to_numpy(), coords)) for k in ("rep", "n_shingles")), pa.array(np.tile(np.arange(coords, dtype=np.int32), n)), pa.array(sig.astype(np.int64))], schema=values)
 
-    each = reps.select("rep", "sig").mapInArrow(spread, "rep long, coord int, value long")
+    each = reps.select("rep", "n_shingles", "sig").mapInArrow(spread, "rep long, size long, coord int, value long")
     # as a table of its own, so that AQE can split a value that very many documents have
-    freq = written(each.groupBy("coord", "value").agg(F.count("*").alias("freq")).filter("freq > 1"), "frequencies")
-    shared = each.join(freq, ["coord", "value"]).groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("freq", "coord", "value"))).alias("shared"))
+    freq = written(each.groupBy("coord", "value").agg(F.count("*").alias("freq"), F.sum("size").alias("mass")).filter("freq > 1"), "frequencies")
+    shared = each.join(freq, ["coord", "value"]).groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("freq", "coord", "value", "mass"))).alias("shared"))
     able = shared.filter(F.size("shared") >= matches)
     # the values that only one document has come first in the order by frequency; these are posted nowhere
     able = able.withColumn("shared", F.slice("shared", F.lit(1), F.size("shared") - (matches - 1)))
     bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x["coord"])
     able = able.withColumn("prefix", F.aggregate("shared", F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(bit(x))))
     rows = able.join(reps, "rep").select("rep", "n_shingles", "sig", "prefix", F.explode("shared").alias("p"))
-    return rows.select("rep", "n_shingles", "sig", "prefix", "p.coord", "p.value", "p.freq")
+    return rows.select("rep", "n_shingles", "sig", "prefix", "p.coord", "p.value", "p.freq", "p.mass")
 
 
 UNIT = ["coord", "value", "i", "j"]
@@ -129,82 +131,121 @@ UNIT = ["coord", "value", "i", "j"]
 
 def list_blocks(members: DataFrame, block: int) -> DataFrame:
     """Every pair (i, j) of blocks of a list becomes a unit of comparison; short lists have one block."""
-    sized = members.withColumn("blocks", F.ceil(F.col("freq") / block).cast("int"))
+    sized = members.withColumn("blocks", F.ceil(F.greatest(F.col("freq") / block, F.col("mass") / (block * ORDINARY))).cast("int"))
     own = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("rep"), F.col("blocks"))).otherwise(F.lit(0)).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     both = sized.withColumn("own", own).select("*", other)
     return both.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
 
 
-def compared(x: dict[str, np.ndarray], coord: int, across: bool, j: int, matches: int, wide_matches: int, threshold: int) -> tuple[list[int], list[int]]:
-    """The pairs of one unit that collide often enough, lie in different components and meet here first."""
-    order = np.lexsort((x["rep"], x["own"]))
-    rep, own, comp, size, sig, bits, wide = (x[k][order] for k in ("rep", "own", "comp", "n_shingles", "sig", "bits", "wide"))
-    second = int(np.searchsorted(own, j)) if across else 0
-    a, b = [], []
-    for k in range(second if across else len(rep) - 1):
-        rest = slice(second if across else k + 1, None)
-        fit = (comp[rest] != comp[k]) & (100 * np.minimum(size[rest], size[k]) >= threshold * np.maximum(size[rest], size[k]))
-        at = np.flatnonzero(fit)
-        if not len(at):
+def units(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each unit of comparison as one table, from rows sorted by unit."""
+    held: list[pa.Table] = []
+    for part in parts:
+        if not part.num_rows:
             continue
-        same = sig[rest][at] == sig[k]
-        enough = same.sum(axis=1) >= matches
-        at, same = at[enough], same[enough]
-        close = (wide[rest][at] == wide[k]).sum(axis=1) >= wide_matches
-        at, same = at[close], same[close]
-        first = (same & bits[rest][at] & bits[k]).argmax(axis=1) == coord
-        found = rep[rest][at[first]]
-        a += np.minimum(found, rep[k]).tolist()
-        b += np.maximum(found, rep[k]).tolist()
-    return a, b
-
-
-def candidates(posts: DataFrame, coords: int, matches: int, wide_matches: int, block: int, threshold: int) -> DataFrame:
-    """u, a, b: pairs with enough collisions, each once; u is the hash of the unit that found them."""
-    out = pa.schema([("u", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
-    one = np.uint64(1)
+        table = pa.Table.from_batches([part])
+        keys = np.stack([part.column(k).to_numpy().astype(np.int64) for k in UNIT])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), part.num_rows]
+        if held and any(held[-1].column(k)[-1].as_py() != keys[n, 0] for n, k in enumerate(UNIT)):
+            yield pa.concat_tables(held).combine_chunks()
+            held = []
+        for p, q in zip(cuts, cuts[1:], strict=False):
+            held.append(table.slice(p, q - p))
+            if q < part.num_rows:
+                yield pa.concat_tables(held).combine_chunks()
+                held = []
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
+
+
+class Unit:
+    """The documents of one unit, ordered by block and id; `comp` may be relabelled while they are compared."""
+
+    def __init__(self, table: pa.Table, coords: int, matches: int, threshold: int):
+        self.matches, self.threshold = matches, threshold
+        rep, own = (table.column(k).to_numpy() for k in ("rep", "own"))
+        self.order = np.lexsort((rep, own))
+        self.rep, own = rep[self.order], own[self.order]
+        self.comp, self.size = (table.column(k).to_numpy()[self.order] for k in ("comp", "n_shingles"))
+        self.sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, coords)[self.order]
+        prefix = table.column("prefix").to_numpy().view(np.uint64)[self.order]
+        self.bits = ((prefix[:, None] >> np.arange(coords, dtype=np.uint64)) & np.uint64(1)).astype(bool)
+        self.coord, i, j = (table.column(k)[0].as_py() for k in ("coord", "i", "j"))
+        self.second = int(np.searchsorted(own, j)) if i != j else None
+
+    def partners(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each document with those after it (or in the other block) of other components that collide with it often
+        enough, are not too large or small, and meet it here first."""
+        for k in range(len(self.rep) - 1 if self.second is None else self.second):
+            start = k + 1 if self.second is None else self.second
+            size, rest = self.size[k], slice(start, None)
+            fit = (self.comp[rest] != self.comp[k]) & (100 * np.minimum(self.size[rest], size) >= self.threshold * np.maximum(self.size[rest], size))
+            at = np.flatnonzero(fit) + start
+            if not len(at):
+                continue
+            same = self.sig[at] == self.sig[k]
+            enough = same.sum(axis=1) >= self.matches
+            at, same = at[enough], same[enough]
+            at = at[(same & self.bits[at] & self.bits[k]).argmax(axis=1) == self.coord]
+            if len(at):
+                yield k, at
+
+
+def meeting(posts: DataFrame, coords: int, matches: int, block: int, threshold: int) -> DataFrame:
+    """The units of comparison with the documents that have a partner there, a row for each."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-
-        def unit(table: pa.Table) -> tuple[list[int], list[int]]:
-            x = {k: table.column(k).to_numpy() for k in ("rep", "own", "comp", "n_shingles")}
-            x["sig"] = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, coords)
-            x["wide"] = np.frombuffer(b"".join(table.column("wide").to_pylist()), np.uint8).reshape(-1, WIDE)
-            x["bits"] = ((table.column("prefix").to_numpy().view(np.uint64)[:, None] >> np.arange(coords, dtype=np.uint64)) & one).astype(bool)
-            coord, i, j = (table.column(k)[0].as_py() for k in ("coord", "i", "j"))
-            return compared(x, coord, i != j, j, matches, wide_matches, threshold)
-
-        def found(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
-            table = pa.concat_tables(tables).combine_chunks()
+        for table in units(parts):
             if len(table) > 1:
-                a, b = unit(table)
-                if a:
-                    # a block of a large group finds up to block * block pairs: they are confirmed apart, a few at a time
-                    own = np.int64(table.column("u")[0].as_py()).view(np.uint64) + mixed(np.arange(len(a), dtype=np.uint64) // np.uint64(PAIRS))
-                    yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(a), pa.array(b)], schema=out)
-
-        for part in parts:
-            if not part.num_rows:
-                continue
-            table = pa.Table.from_batches([part])
-            keys = np.stack([part.column(k).to_numpy().astype(np.int64) for k in UNIT])
-            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), part.num_rows]
-            if held and any(held[-1].column(k)[-1].as_py() != keys[n, 0] for n, k in enumerate(UNIT)):
-                yield from found(held)
-                held = []
-            for p, q in zip(cuts, cuts[1:], strict=False):
-                held.append(table.slice(p, q - p))
-                if q < part.num_rows:
-                    yield from found(held)
-                    held = []
-        if held:
-            yield from found(held)
+                unit = Unit(table, coords, matches, threshold)
+                kept = np.zeros(len(table), bool)
+                for k, at in unit.partners():
+                    kept[unit.order[k]] = True
+                    kept[unit.order[at]] = True
+                if kept.any():
+                    yield from table.filter(pa.array(kept)).combine_chunks().to_batches()
+
+    dealt = list_blocks(posts, block).select(*UNIT, "own", "rep", "comp", "n_shingles", "sig", "prefix")
+    return dealt.repartition(*UNIT).sortWithinPartitions(*UNIT).mapInArrow(run, dealt.schema)
+
+
+def similar(one: np.ndarray, others: list[np.ndarray], marks: np.ndarray, threshold: int) -> Iterator[int]:
+    """Which of the sets share enough with `one`. Marks give an upper bound for all at once; sets that pass it are
+    intersected. `marks` is all zero before and after."""
+    own = one & np.uint64(MARKS - 1)
+    marks[own] = 1
+    sizes = np.fromiter(map(len, others), np.int64, len(others))
+    most = np.add.reduceat(marks[np.concatenate(others) & np.uint64(MARKS - 1)], np.cumsum(sizes) - sizes)
+    marks[own] = 0
+    for n in np.flatnonzero(100 * most >= threshold * (len(one) + sizes - most)).tolist():
+        both = len(np.intersect1d(one, others[n], assume_unique=True))
+        if 100 * both >= threshold * (len(one) + len(others[n]) - both):
+            yield n
+
+
+def met(posts: DataFrame, sets: DataFrame, coords: int, matches: int, block: int, threshold: int) -> DataFrame:
+    """a, b: the links between documents that meet in a list, of each unit a spanning forest."""
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    units = list_blocks(posts, block).withColumn("u", F.xxhash64(*UNIT))
-    columns = ["u", *UNIT, "own", "rep", "comp", "n_shingles", "sig", "prefix", "wide"]
-    return units.select(columns).repartition(*UNIT).sortWithinPartitions(*UNIT).mapInArrow(run, "u long, a long, b long")
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.zeros(MARKS, np.int64)
+        for table in units(parts):
+            unit, a, b = Unit(table, coords, matches, threshold), [], []
+            column = table.column("shingles")
+            own = [np.frombuffer(column[n].as_py(), np.uint64) for n in unit.order.tolist()]
+            for k, at in unit.partners():
+                for n in similar(own[k], [own[m] for m in at.tolist()], marks, threshold):
+                    m = at[n]
+                    if unit.comp[m] != unit.comp[k]:
+                        unit.comp[unit.comp == unit.comp[m]] = unit.comp[k]
+                        a.append(min(unit.rep[k], unit.rep[m]))
+                        b.append(max(unit.rep[k], unit.rep[m]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=out)
+
+    held = meeting(posts, coords, matches, block, threshold).join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
+    return held.repartition(*UNIT).sortWithinPartitions(*UNIT).mapInArrow(run, "a long, b long")
 
 
 def hub_pairs(posts: DataFrame, matches: int, coords: int, long_list: int) -> DataFrame:
@@ -230,7 +271,7 @@ def hub_pairs(posts: DataFrame, matches: int, coords: int, long_list: int) -> Da
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, broadcast_ids: int = 1_000_000) -> DataFrame:
-    """doc_id, shingles (sorted 64-bit hashes) and wide signature of the wanted ids, whose texts have words; few
+    """doc_id, shingles (sorted 64-bit hashes) of the wanted ids, whose texts have words, one row of each; few
     enough ids (8 bytes each) are broadcast."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,19 +280,20 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, broadcast_ids: int = 1_000_
             texts, ids = raw(part.column("text")), part.column("doc_id")
             for a, z in by_bytes(texts, 1_000_000):
                 sets = [shingle_hashes(x.translate(LOWER).split(), hashes) for x in texts[a:z]]
-                wide = (signatures(sets, WIDE, COORDS) & 0xFF).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([ids.slice(a, z - a), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([x.tobytes() for x in wide], pa.binary())], schema=SETS)
+                yield pa.RecordBatch.from_arrays([ids.slice(a, z - a), pa.array([x.tobytes() for x in sets], pa.binary())], schema=SETS)
 
     ids = F.broadcast(wanted) if wanted.count() <= broadcast_ids else wanted
-    return docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles binary, wide binary")
+    rows = docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles binary")
+    return rows.groupBy("doc_id").agg(F.min("shingles").alias("shingles"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int, unit_pairs: int = 256) -> DataFrame:
-    """a, b of the candidates whose sets are similar enough; of each unit of pairs a spanning forest is enough.
+    """a, b of the pairs (one a member of a long list) whose sets are similar enough; of each unit of pairs a spanning
+    forest is enough.
 
-    Lists are dealt to units of about `unit_pairs` pairs; a unit holds the sets of its own documents only."""
-    units = max(1, -(-pairs.count() // unit_pairs))
-    dealt = pairs.select(F.pmod("u", F.lit(units)).alias("unit"), "a", "b")
+    Pairs are dealt to units of about `unit_pairs` pairs; a unit holds the sets of its own documents only."""
+    n_units = max(1, -(-pairs.count() // unit_pairs))
+    dealt = pairs.select(F.pmod("u", F.lit(n_units)).alias("unit"), "a", "b")
     need = dealt.select(F.col("unit").alias("own"), F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(sets.select("doc_id", "shingles"), "doc_id")
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -294,10 +336,9 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, threshold: int = 85, coords: int = COORDS, matches: int | None = None, block: int = 256, long_list: int = 512, hub_rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: int = 85, coords: int = COORDS, matches: int | None = None, block: int = 512, long_list: int = 512, hub_rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document. Without `matches`, it follows from the threshold."""
     matches = least_matches(threshold, coords) if matches is None else matches
-    wide_matches = least_matches(threshold, WIDE)
     slim = id_text(docs)
     every = written(signed(slim, coords), "signatures")
     linked = every.filter("digest is not null and doc_id is not null")
@@ -306,16 +347,17 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, coords: int = COORDS,
     classes = written(classes, "classes")
     posts = written(posted(classes.select("rep", "n_shingles", "sig"), coords, matches), "posts")
     sets = written(shingle_sets(slim, posts.select(F.col("rep").alias("doc_id")).distinct()), "sets")
-    wide = sets.select(F.col("doc_id").alias("rep"), "wide").dropDuplicates(["rep"])
-    posts = written(posts.join(wide, "rep"), "wide-posts")
     rounds = hub_rounds if posts.filter(F.col("freq") > long_list).limit(1).count() else 0
     links = comps = None
     for k in range(rounds + 1):
         now = posts.withColumn("comp", F.col("rep")).withColumn("open", F.lit(True))
         if comps is not None:
             now = posts.join(comps, posts["rep"] == comps["node"], "left").withColumn("open", F.col("node").isNull()).withColumn("comp", F.coalesce("comp", "rep")).drop("node")
-        found = hub_pairs(now, matches, coords, long_list) if k < rounds else candidates(now, coords, matches, wide_matches, block, threshold)
-        more = written(confirmed(written(found, "pairs"), sets, threshold), "links")
+        if k < rounds:
+            found = confirmed(written(hub_pairs(now, matches, coords, long_list), "pairs"), sets, threshold)
+        else:
+            found = met(now, sets, coords, matches, block, threshold)
+        more = written(found, "links")
         links = more if links is None else links.unionByName(more)
         comps = components(links)
     rows = every.join(classes.select("digest", "n_shingles", "rep"), ["digest", "n_shingles"], "left")

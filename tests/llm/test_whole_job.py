@@ -30,7 +30,7 @@ def test_pipeline_drops_near_copies_from_080(spark, make):
 
 def test_signature_misses_stay_under_the_stated_rate():
     for threshold in (70, 80, 85, 95):
-        for coords in (near_dedup.COORDS, near_dedup.WIDE):
+        for coords in (near_dedup.COORDS, 256):
             m = near_dedup.least_matches(threshold, coords)
             assert near_dedup.missed(threshold, coords, m) <= near_dedup.MISS < near_dedup.missed(threshold, coords, m + 1)
 
