@@ -102,9 +102,9 @@ def signed(docs: DataFrame, coords: int = COORDS) -> DataFrame:
 
 
 def posted(reps: DataFrame, coords: int, matches: int) -> DataFrame:
-    """rep, n_shingles, sig, prefix, coord, value, freq, mass: the rarest shared values of the classes that could
-    have a partner, with the documents of the value and the shingles of these together. prefix holds, as one bit
-    for each coordinate, where the class is posted."""
+    """rep, n_shingles, sig, prefix, shared: the classes that could have a partner, a row for each. shared holds their
+    rarest shared values as (freq, coord, value, mass), with the documents of the value and the shingles of these
+    together; prefix holds, as one bit for each coordinate, where the class is posted."""
     values = pa.schema([("rep", pa.int64()), ("size", pa.int64()), ("coord", pa.int32()), ("value", pa.int64())])
 
     def spread(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,16 +122,23 @@ def posted(reps: DataFrame, coords: int, matches: int) -> DataFrame:
     able = able.withColumn("shared", F.slice("shared", F.lit(1), F.size("shared") - (matches - 1)))
     bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x["coord"])
     able = able.withColumn("prefix", F.aggregate("shared", F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(bit(x))))
-    rows = able.join(reps, "rep").select("rep", "n_shingles", "sig", "prefix", F.explode("shared").alias("p"))
-    return rows.select("rep", "n_shingles", "sig", "prefix", "p.coord", "p.value", "p.freq", "p.mass")
+    return able.join(reps, "rep").select("rep", "n_shingles", "sig", "prefix", "shared")
+
+
+def members(posts: DataFrame, longer: int = 0) -> DataFrame:
+    """A row for each document and list of more than `longer` documents; weight: the lengths of these lists of the
+    document together."""
+    wanted = F.filter("shared", lambda x: x["freq"] > longer)
+    weighed = posts.withColumn("shared", wanted).withColumn("weight", F.aggregate("shared", F.lit(0).cast("long"), lambda n, x: n + x["freq"]))
+    return weighed.select("*", F.explode("shared").alias("p")).drop("shared").select("*", "p.*").drop("p")
 
 
 UNIT = ["coord", "value", "i", "j"]
 
 
-def list_blocks(members: DataFrame, block: int) -> DataFrame:
+def list_blocks(rows: DataFrame, block: int) -> DataFrame:
     """Every pair (i, j) of blocks of a list becomes a unit of comparison; short lists have one block."""
-    sized = members.withColumn("blocks", F.ceil(F.greatest(F.col("freq") / block, F.col("mass") / (block * ORDINARY))).cast("int"))
+    sized = rows.withColumn("blocks", F.ceil(F.greatest(F.col("freq") / block, F.col("mass") / (block * ORDINARY))).cast("int"))
     own = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("rep"), F.col("blocks"))).otherwise(F.lit(0)).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     both = sized.withColumn("own", own).select("*", other)
@@ -206,7 +213,7 @@ def meeting(posts: DataFrame, coords: int, matches: int, block: int, threshold:
                 if kept.any():
                     yield from table.filter(pa.array(kept)).combine_chunks().to_batches()
 
-    dealt = list_blocks(posts, block).select(*UNIT, "own", "rep", "comp", "n_shingles", "sig", "prefix")
+    dealt = list_blocks(members(posts), block).select(*UNIT, "own", "rep", "comp", "n_shingles", "sig", "prefix")
     return dealt.repartition(*UNIT).sortWithinPartitions(*UNIT).mapInArrow(run, dealt.schema)
 
 
@@ -251,12 +258,11 @@ def met(posts: DataFrame, sets: DataFrame, coords: int, matches: int, block: int
 def hub_pairs(posts: DataFrame, matches: int, coords: int, long_list: int) -> DataFrame:
     """u, a, b: each member of a long list with the list's most central open member, if they collide enough.
     Central: the largest sum of the frequencies of its posted values."""
-    long = posts.filter(F.col("freq") > long_list)
-    members = long.join(long.groupBy("rep").agg(F.sum("freq").alias("weight")), "rep")
+    long = members(posts, long_list)
     central = F.max(F.struct("weight", (-F.col("rep")).alias("neg"), "sig", "comp")).alias("hub")
-    hubs = members.filter("open").groupBy("coord", "value").agg(central)
+    hubs = long.filter("open").groupBy("coord", "value").agg(central)
     hubs = hubs.select("coord", "value", (-F.col("hub.neg")).alias("hub"), F.col("hub.sig").alias("hub_sig"), F.col("hub.comp").alias("hub_comp"))
-    pairs = members.join(hubs, ["coord", "value"]).filter("comp <> hub_comp")
+    pairs = long.join(hubs, ["coord", "value"]).filter("comp <> hub_comp")
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,8 +352,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, coords: int = COORDS,
     classes = linked.groupBy("digest", "n_shingles").agg(smallest).select("digest", "n_shingles", F.col("m.doc_id").alias("rep"), F.col("m.sig").alias("sig"))
     classes = written(classes, "classes")
     posts = written(posted(classes.select("rep", "n_shingles", "sig"), coords, matches), "posts")
-    sets = written(shingle_sets(slim, posts.select(F.col("rep").alias("doc_id")).distinct()), "sets")
-    rounds = hub_rounds if posts.filter(F.col("freq") > long_list).limit(1).count() else 0
+    sets = written(shingle_sets(slim, posts.select(F.col("rep").alias("doc_id"))), "sets")
+    rounds = hub_rounds if posts.filter(F.exists("shared", lambda x: x["freq"] > long_list)).limit(1).count() else 0
     links = comps = None
     for k in range(rounds + 1):
         now = posts.withColumn("comp", F.col("rep")).withColumn("open", F.lit(True))
