@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phantomlake.llm import cleaning, decontaminate, license_scan, line_crf, near_dedup, packing, ppm, token_counts, token_files, url_filter
+from phantomlake.llm import cleaning, conversation_repair, decontaminate, license_scan, line_crf, near_dedup, packing, pii, ppm, prefix_trie, token_counts, token_files, url_filter
 from phantomlake.llm.common import documents, new_path, written
 from phantomlake.llm.tokens import default_tokenizer
 
@@ -55,6 +55,20 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_shards(spark, path, manifest)
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return pii.pii_report(docs, pii.fit(docs))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, present = conversation_repair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return conversation_repair.repair_report(rows, present).drop("n_rows")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
@@ -67,6 +81,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_token_counts": op9_token_counts,
         "op10_token_files": op10_token_files,
+        "op11_pii": op11_pii,
+        "op12_conversation_repair": op12_conversation_repair,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 

@@ -65,7 +65,7 @@ def test_values_of_odd_texts(spark, make, odd_rows):
 @pytest.fixture(scope="module")
 def empty_tables(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("empty")
-    for name in ("documents", "pages", "benchmark", "labels"):
+    for name in ("documents", "pages", "benchmark", "labels", "conversations"):
         spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).write.parquet(f"{path}/{name}.parquet")
     return str(path)
 
