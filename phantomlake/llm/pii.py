@@ -260,68 +260,96 @@ class SpanField:
         return spans[::-1]
 
 
-def _log_sum(x: np.ndarray) -> float:
-    top = x.max()
-    return top if np.isinf(top) else float(top + np.log(np.exp(x - top).sum()))
-
-
-def log_total(n: int, spans: list[tuple[int, int, int, float]], pairs: np.ndarray) -> tuple[float, list[float], np.ndarray]:
-    """Log of the sum over all segmentations, the probability of each candidate, the expected number of each pair."""
-    ends, begins = [[] for _ in range(n)], [[] for _ in range(n)]
-    for k, (i, j, y, s) in enumerate(spans):
-        ends[j].append((k, i, y, s))
-        begins[i].append((j, y, s))
-    left, right = np.full((n + 1, 5), -np.inf), np.full((n + 1, 5), -np.inf)
-    left[0, OUT], right[n] = 0.0, 0.0
-    for j in range(n):
-        left[j + 1, OUT] = _log_sum(left[j])
-        for _, i, y, s in ends[j]:
-            left[j + 1, y] = np.logaddexp(left[j + 1, y], _log_sum(left[i] + pairs[:, y]) + s)
+def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis=axis, keepdims=True)
+    top = np.where(np.isinf(top), 0.0, top)
+    with np.errstate(divide="ignore"):
+        return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
+
+
+def log_total(scores: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log of the sum over all segmentations, the probability of each candidate, the expected number of each pair.
+
+    scores: (islands, first atom, atoms less one, kind) of islands with equally many atoms, -inf where there is no candidate.
+    """
+    many, n, longest, _ = scores.shape
+    left, right = np.full((many, n + 1, 5), -np.inf), np.full((many, n + 1, 5), -np.inf)
+    left[:, 0, OUT], right[:, n] = 0.0, 0.0
+    into = np.full((many, n, 4), -np.inf)  # all that leads to a span of each kind that begins here
+    for i in range(n):
+        into[:, i] = _log_sum(left[:, i, :, None] + pairs, 1)
+        left[:, i + 1, OUT] = np.logaddexp(left[:, i + 1, OUT], _log_sum(left[:, i], 1))
+        for k in range(min(longest, n - i)):
+            at = left[:, i + k + 1, :4]
+            np.logaddexp(at, into[:, i] + scores[:, i, k], out=at)
     for i in range(n - 1, -1, -1):
-        for y in range(5):
-            right[i, y] = _log_sum(np.array([right[i + 1, OUT], *(pairs[y, c] + s + right[j + 1, c] for j, c, s in begins[i])]))
-    total = _log_sum(left[n])
-    chance, expected = [0.0] * len(spans), np.zeros((5, 4))
-    for j in range(n):
-        for k, i, y, s in ends[j]:
-            ways = np.exp(left[i] + pairs[:, y] + s + right[j + 1, y] - total)
-            chance[k] = float(ways.sum())
-            expected[:, y] += ways
+        reach = min(longest, n - i)
+        onward = _log_sum(scores[:, i, :reach] + right[:, i + 1 : i + 1 + reach, :4], 1)  # by the kind that begins here
+        right[:, i] = np.logaddexp(right[:, i + 1, OUT, None], _log_sum(pairs + onward[:, None], 2))
+    total = _log_sum(left[:, n], 1)
+    chance, expected = np.zeros_like(scores), np.zeros((many, 5, 4))
+    for i in range(n):
+        reach = min(longest, n - i)
+        chance[:, i, :reach] = np.exp(into[:, i, None] + scores[:, i, :reach] + right[:, i + 1 : i + 1 + reach, :4] - total[:, None, None])
+        share = np.exp(left[:, i, :, None] + pairs - np.where(np.isinf(into[:, i]), 0.0, into[:, i])[:, None])
+        expected += share * chance[:, i].sum(axis=1)[:, None]
     return total, chance, expected
 
 
-def trained(examples: list[tuple[Island, list[tuple[int, int, int]]]], rounds: int = 120, rate: float = 0.15, ridge: float = 0.02) -> SpanField:
-    """The field fitted by Adam on islands with their true spans (first atom, last atom, kind)."""
-    counts, islands_of = Counter(), {}
-    for island, truth in examples:
-        key = (island.signature, tuple(truth))
-        counts[key] += 1
-        islands_of[key] = island
+@dataclass
+class _Batch:
+    """Different islands of equally many atoms: which features each candidate has, the truth, weights and pairs seen."""
+
+    shape: tuple[int, int, int, int]
+    cells: np.ndarray
+    features: np.ndarray
+    truth: np.ndarray
+    weights: np.ndarray
+    seen: np.ndarray
+
+
+def _batches(counts: Counter, index: dict[tuple[int, str], int]) -> list[_Batch]:
+    by_atoms = {}
+    for (signature, truth), times in counts.items():
+        by_atoms.setdefault(signature[1], []).append((signature, truth, times))
+    out = []
+    for n, members in sorted(by_atoms.items()):
+        shape = (len(members), n, min(n, LONGEST), 4)
+        cells, features, truth, seen = [], [], np.zeros(shape), np.zeros((len(members), 5, 4))
+        for b, ((made_of, _, spans), true, _) in enumerate(members):
+            for i, j, names in spans:
+                for y in Island(made_of, []).kinds():
+                    cell = int(np.ravel_multi_index((b, i, j - i, y), shape))
+                    cells += [cell] * len(names)
+                    features += [index.setdefault((y, f), len(index)) for f in names]
+            last, place = OUT, 0
+            for i, j, y in true:
+                truth[b, i, j - i, y] = 1
+                seen[b, last if i == place else OUT, y] += 1
+                last, place = y, j + 1
+        out.append(_Batch(shape, np.array(cells), np.array(features), truth, np.sqrt([t for *_, t in members]), seen))
+    return out
+
+
+def trained(examples: list[tuple[Island, list[tuple[int, int, int]]]], rounds: int = 120, rate: float = 0.15, ridge: float = 0.02, most_atoms: int = 40) -> SpanField:
+    """The field fitted by Adam on islands of at most `most_atoms` atoms with their true spans (first atom, last atom, kind)."""
+    counts = Counter((island.signature, tuple(truth)) for island, truth in examples if len(island.atoms) <= most_atoms)
     if not any(truth for _, truth in counts):
         return SpanField({}, np.full((5, 4), -1.0))
-    index, spans_of, size = {}, [], 0
-    for key, island in islands_of.items():
-        spans = []
-        for i, j, features in island.spans:
-            for y in island.kinds():
-                spans.append((i, j, y, np.array([index.setdefault((y, f), len(index)) for f in features])))
-        spans_of.append((island, spans, key[1], float(np.sqrt(counts[key]))))
-    size = len(index)
+    index: dict[tuple[int, str], int] = {}
+    batches = _batches(counts, index)
+    size, weight = len(index), sum(b.weights.sum() for b in batches)
     params, m, v = np.zeros(size + 20), np.zeros(size + 20), np.zeros(size + 20)
-    weight = sum(w for *_, w in spans_of)
     for k in range(1, rounds + 1):
         pairs, grad = params[size:].reshape(5, 4), np.zeros(size + 20)
-        for island, spans, truth, w in spans_of:
-            scored = [(i, j, y, float(params[f].sum())) for i, j, y, f in spans]
-            _, chance, expected = log_total(len(island.atoms), scored, pairs)
-            wanted = set(truth)
-            for (i, j, y, f), p in zip(spans, chance, strict=True):
-                grad[f] += w * (((i, j, y) in wanted) - p)
-            seen, last, place = np.zeros((5, 4)), OUT, 0
-            for i, j, y in truth:
-                seen[last if i == place else OUT, y] += 1
-                last, place = y, j + 1
-            grad[size:] += w * (seen - expected).ravel()
+        for b in batches:
+            total = int(np.prod(b.shape))
+            scores = np.full(total, -np.inf)
+            scores[b.cells] = np.bincount(b.cells, params[b.features], total)[b.cells]
+            _, chance, expected = log_total(scores.reshape(b.shape), pairs)
+            missed = ((b.truth - chance) * b.weights[:, None, None, None]).ravel()
+            grad[:size] += np.bincount(b.features, missed[b.cells], size)
+            grad[size:] += ((b.seen - expected) * b.weights[:, None, None]).sum(axis=0).ravel()
         grad = grad / weight - ridge / weight * params
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         params = params + rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
