@@ -154,3 +154,9 @@ def by_bytes(rows: Iterable[bytes], most: int = 4_000_000) -> Iterator[tuple[int
 
 def batches(columns: dict[str, list | np.ndarray], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of an ASCII string: bit by bit, the lowest bit of each character first."""
+    bits = f"flatten(list_transform(range(1, length({text}) + 1), lambda i: list_transform(range(0, 8), lambda k: ((ascii({text}[i]) >> k) & 1)::BIGINT)))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bits}), lambda c, b: CASE WHEN xor(c & 1, b) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295)"

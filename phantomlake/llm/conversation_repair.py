@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phantomlake.llm.common import small_batches
+from phantomlake.llm.common import crc32_sql, small_batches
 
 BLANKS, ENDINGS = " \t\n\x0b\x0c\r", (".", "!", "?")
 #: States of the pattern: nothing yet, after the system row, after a user row, after an assistant row.
@@ -282,3 +282,54 @@ def repair_report(conversations: DataFrame, present: Column | None = None) -> Da
     """The plan of each conversation with the SHA-256 of its repaired rows as `role:text`, one a line."""
     plan = plans(conversations, present)
     return _with_rows(conversations, plan, present).mapInArrow(_digests_out, f"{PLAN}, repaired_sha256 string")
+
+
+def oracle_sql() -> str:
+    """The report of the damaged conversations in DuckDB: the least string of cost and audit for each state, row by row from the end, then a walk along it."""
+
+    def put(letter: str, cost: int | str, rest: str) -> str:
+        return f"lpad((substr({rest}, 1, 9)::BIGINT + {cost})::VARCHAR, 9, '0') || '{letter}' || substr({rest}, 10)"
+
+    def inserted(names: list[str]) -> str:
+        return ", ".join(f"least({names[s]}, {put('I', INSERT, names[FOLLOWS[s]])}) AS f{s}" for s in range(4))
+
+    def ways(s: int) -> str:
+        keep = [f"CASE WHEN initial = '{letter}' THEN {put('K', 'cut', f'f{to[s]}')} END" for letter, to in KEEPS.items() if s in to]
+        stay = ", ".join([*keep, put("R", f"{RENAME} + cut", f"f{FOLLOWS[s]}")])
+        return f"least({put('D', DELETE, f'f{s}')}, CASE WHEN fault NOT IN ('b', 'd') THEN least({stay}) END) AS w{s}"
+
+    state = f"CASE letter WHEN 'D' THEN state WHEN 'K' THEN CASE substr(role, 1, 1) WHEN 's' THEN {SYSTEM} WHEN 'u' THEN {USER} ELSE {ASSISTANT} END ELSE CASE WHEN state = {USER} THEN {ASSISTANT} ELSE {USER} END END"
+    line = f"CASE letter WHEN 'K' THEN role || ':' || text ELSE CASE WHEN state = {USER} THEN 'assistant:' ELSE 'user:' END || CASE letter WHEN 'R' THEN text ELSE '' END END"
+    return rf"""
+WITH RECURSIVE coded AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc32_sql("name")} % 20 AS code
+  FROM (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations)
+), there AS (
+  SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE WHEN code = 3 THEN 2 ELSE 1 END)) FROM coded WHERE code <> 0)
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS shown FROM there
+), marked AS (
+  SELECT *, CASE WHEN shown = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN right(shown, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+         substr(role, 1, 1) AS initial, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before
+  FROM numbered
+), rows_of AS (SELECT *, CASE fault WHEN 't' THEN {CUT} ELSE 0 END AS cut FROM marked
+), counts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+         count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM rows_of GROUP BY conv_id
+), backward AS (
+  SELECT conv_id, n AS i, {inserted(["z", "NULL::VARCHAR", "NULL::VARCHAR", "z"])} FROM (SELECT *, '000000000' AS z FROM counts)
+  UNION ALL
+  SELECT conv_id, i, {inserted(["w0", "w1", "w2", "w3"])}
+  FROM (SELECT b.conv_id, b.i - 1 AS i, {", ".join(ways(s) for s in range(4))} FROM backward b JOIN rows_of r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.i = b.i WHERE b.i > 0)
+), forward AS (
+  SELECT conv_id, 1::BIGINT AS i, {NOTHING} AS state, substr(f0, 10) AS rest, NULL::VARCHAR AS done FROM backward WHERE i = 0
+  UNION ALL
+  SELECT conv_id, i + (letter <> 'I')::BIGINT, {state}, substr(rest, 2), CASE WHEN letter = 'D' THEN done ELSE coalesce(done || chr(10), '') || {line} END
+  FROM (SELECT f.*, substr(rest, 1, 1) AS letter, r.role, r.text FROM forward f LEFT JOIN rows_of r ON r.conv_id IS NOT DISTINCT FROM f.conv_id AND r.i = f.i WHERE rest <> '')
+), whole AS (SELECT b.conv_id, substr(f0, 1, 9)::BIGINT AS cost, substr(f0, 10) AS audit, done FROM backward b JOIN forward f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.rest = '' WHERE b.i = 0)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(done, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN whole w ON w.conv_id IS NOT DISTINCT FROM a.conv_id
+"""

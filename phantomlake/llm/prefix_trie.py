@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phantomlake.llm.common import small_batches, written
+from phantomlake.llm.common import crc32_sql, small_batches, written
 
 WIDTH = 16
 SHARD, SHARD_TURNS = 50_000, 1_000_000
@@ -319,3 +319,35 @@ def trie(lists: DataFrame, shard: int = SHARD, shard_turns: int = SHARD_TURNS) -
 def conversation_trie(conversations: DataFrame) -> DataFrame:
     """The trie of all rebuilt conversations."""
     return trie(rebuilt(turn_lists(conversations)))
+
+
+def oracle_sql() -> str:
+    """conversation_trie in DuckDB: nodes by the digests of all their turns, subtrees by every pair of a node and one above it."""
+    return f"""
+WITH o AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p, coalesce(role, '') AS r, coalesce(text, '') AS t
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (SELECT conv_id, conv_id::VARCHAR AS name FROM (SELECT DISTINCT conv_id FROM o)
+), h AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {crc32_sql("name")} % 9 AS h FROM ids
+), head AS (SELECT h.conv_id, o.p AS d, r, t FROM h JOIN o ON o.conv_id = h.base WHERE o.p <= h.h
+), turns AS (
+  SELECT * FROM head
+  UNION ALL
+  SELECT o.conv_id, p - h + coalesce(n, 0) AS d, r, t FROM o JOIN h USING (conv_id) LEFT JOIN (SELECT conv_id, count(*) AS n FROM head GROUP BY 1) USING (conv_id) WHERE p > h
+), paths AS (
+  SELECT conv_id, d, strlen(t) AS b, array_to_string(list(md5(strlen(r) || ':' || r || t)) OVER (PARTITION BY conv_id ORDER BY d), '') AS k FROM turns
+  UNION ALL
+  SELECT conv_id, 0, 0, '' FROM h
+), ends AS (SELECT k, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS e FROM (SELECT *, max(d) OVER (PARTITION BY conv_id) AS last FROM paths) WHERE d = last GROUP BY k
+), nodes AS (SELECT k, min(conv_id) AS conv_id, max(d) AS d, max(b) AS b, count(*) AS n FROM paths GROUP BY k
+), children AS (SELECT substr(k, 1, length(k) - 32) AS k, count(*) AS n FROM nodes WHERE k <> '' GROUP BY 1
+), full_nodes AS (SELECT n.*, coalesce(c.n, 0) AS n_children FROM nodes n LEFT JOIN children c USING (k)
+), below AS (
+  SELECT a.k, sum((x.n_children = 0)::BIGINT) AS n_leaves, sum((x.n - 1) * x.b) AS saved
+  FROM (SELECT DISTINCT k, substr(k, 1, 32 * up) AS above FROM (SELECT k, unnest(range(0, d + 1)) AS up FROM nodes)) pairs
+  JOIN full_nodes x ON x.k = pairs.k JOIN nodes a ON a.k = pairs.above GROUP BY a.k
+)
+SELECT f.conv_id, f.d::BIGINT AS depth, p.conv_id AS parent_conv_id, f.n::BIGINT AS n_convs, f.n_children::BIGINT AS n_children, below.n_leaves::BIGINT AS n_leaves,
+       below.saved::BIGINT AS saved_tokens, sha256(coalesce(e, '')) AS ends_sha256
+FROM full_nodes f JOIN below USING (k) LEFT JOIN ends USING (k) LEFT JOIN nodes p ON f.d > 0 AND p.k = substr(f.k, 1, greatest(length(f.k) - 32, 0))
+"""

@@ -88,4 +88,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.oracle_sql(), "op7_near_dedup": near_dedup.oracle_sql(), "op8_quality_rules": cleaning.oracle_sql()}
+    return {
+        "op1_url_filter": url_filter.oracle_sql(),
+        "op7_near_dedup": near_dedup.oracle_sql(),
+        "op8_quality_rules": cleaning.oracle_sql(),
+        "op12_conversation_repair": conversation_repair.oracle_sql(),
+        "op13_prefix_trie": prefix_trie.oracle_sql(),
+    }

@@ -32,7 +32,7 @@ def test_pipeline(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["op1_url_filter", "op7_near_dedup", "op8_quality_rules"])
+@pytest.mark.parametrize("name", ["op1_url_filter", "op7_near_dedup", "op8_quality_rules", "op12_conversation_repair", "op13_prefix_trie"])
 def test_oracle(spark, name):
     from phantomlake.llm import queries as q
 
