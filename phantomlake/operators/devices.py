@@ -18,8 +18,10 @@ def unknown_scanners(slices: DataFrame, devices: DataFrame) -> DataFrame:
 
 
 def geometry_fits(rows: Column, columns: Column, px: Column, g_rows: Column, g_columns: Column, g_px: Column) -> Column:
-    """Whether a frozen geometry holds for an image: same matrix, pixel size within 0.5 %."""
-    return (rows == g_rows) & (columns == g_columns) & (F.abs(px - g_px) <= 0.005 * g_px)
+    """Whether a frozen geometry holds for an image: same matrix, pixel size less than 0.5 % away; never one without a
+    positive pixel size of its own."""
+    near = F.when(g_px > 0, F.abs(px - g_px) / g_px < 0.005)
+    return F.coalesce((rows == g_rows) & (columns == g_columns) & near, F.lit(False))
 
 
 def freeze_geometry(runs: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ METRICS = ("water_ct", "uniformity", "noise", "nps_freq")
 #: Fixed value: the CT number beyond which a deviation is serious.
 CT_LINE = 25.0
 NOT_GIVEN = "Non renseigné"
+NO_SPECTRUM = "SPB non calculé"
 
 
 def upsert(runs: DataFrame, order: str = "event_id") -> DataFrame:
@@ -73,15 +74,16 @@ def trend_points(runs: DataFrame) -> DataFrame:
 
 def trend_bands(runs: DataFrame, references: DataFrame) -> DataFrame:
     """Per device and metric the band from the references in force today, the lines of a serious deviation of the CT
-    number, and the padded range of dates: a window of 180 days, 45 more on both sides at least, or 5 %."""
-    span = runs.filter("run_date is not null").groupBy("device_id").agg(F.min("run_date").alias("a"), F.max("run_date").alias("b"))
+    number, and the padded range of dates of the metric's own points: a window of 180 days, 45 more on both sides at least,
+    or 5 % in whole days. A metric without points has no range."""
+    measured = {m: F.when(F.col("run_date").isNotNull() & F.col(m).isNotNull(), F.col("run_date")) for m in METRICS}
+    spans = runs.groupBy("device_id").agg(*(F.struct(F.lit(m).alias("metric"), F.min(x).alias("a"), F.max(x).alias("b")).alias(m) for m, x in measured.items()))
     days = F.datediff("b", "a")
-    short = F.greatest(F.lit(45), F.floor((180 - days) / 2))
-    pads = {"pad_a": F.when(days < 180, short).otherwise(F.ceil(days / 20)).cast("int"), "pad_b": F.when(days < 180, short).otherwise(F.floor(days / 20)).cast("int")}
-    rows = span.join(references, "device_id", "left").withColumn("metric", F.explode(F.array(*map(F.lit, METRICS)))).withColumns(pads)
+    pad = F.when(days < 180, F.greatest(F.lit(45), F.floor((180 - days) / 2))).otherwise(F.floor(days / 20)).cast("int")
+    rows = spans.select("device_id", F.inline(F.array(*METRICS))).withColumn("pad", pad).join(references, "device_id", "left")
     rows = rows.withColumn("band", R.tolerance_band(F.col("metric"), F.col("ref_noise"), F.col("ref_nps_freq")))
     line = F.when(F.col("metric") == "water_ct", CT_LINE)
-    return rows.select("device_id", "metric", "band.low", "band.high", "band.reference", (-line).alias("line_low"), line.alias("line_high"), F.expr("date_sub(a, pad_a)").alias("from_date"), F.expr("date_add(b, pad_b)").alias("to_date"))
+    return rows.select("device_id", "metric", "band.low", "band.high", "band.reference", (-line).alias("line_low"), line.alias("line_high"), F.date_sub("a", "pad").alias("from_date"), F.date_add("b", "pad").alias("to_date"))
 
 
 CSV_HEADER = ("date", "kV", "mAs", "ct_eau_UH", "uniformite_UH", "bruit_UH", "bruit_ref_UH", "f_spb_cmm", "f_spb_ref_cmm", "artefacts", "statut", "action_corrective_date", "action_corrective", "notes", "pdf")
@@ -125,22 +127,35 @@ def corrective_actions(runs: DataFrame) -> DataFrame:
 
 
 def register_extract(judged: DataFrame, equipment: DataFrame, acquisitions: DataFrame) -> DataFrame:
-    """One row of the register of operations per control: when and what it was, the installation, the acquisition, the
-    slices and the verdict, as texts. Controls of unknown installations or without images keep their row.
+    """One row of the register of operations per control, as texts: every line of the installation and acquisition
+    sections, and the verdict. Controls of unknown installations or without images keep their row.
 
-    `equipment` has device_id and the installation's names and numbers, `acquisitions` event_id and header values.
+    `equipment` has device_id, the installation's names, numbers and dates, its phantom, the origin of the protocol and
+    the reconstruction algorithm. `acquisitions` has event_id, header values, z (of the HU slice), the slices of the
+    spectrum (nps_start, nps_end, null without one) with their locations z_first and z_last, series_uid and folder.
     """
-    given = lambda x: F.coalesce(S.blank_to_null(F.trim(x)), F.lit(NOT_GIVEN)).alias(x)
+    filled = lambda x, default: F.coalesce(S.blank_to_null(x), F.lit(default))
+    given = lambda x: filled(F.trim(x), NOT_GIVEN).alias(x)
     dash = lambda x: F.coalesce(x, F.lit(S.DASH))
+    shown = lambda x: dash(S.blank_to_null(F.trim(x)))
     positive = lambda x, text: dash(F.when(F.col(x) > 0, text))
     rows = judged.drop("kvp", "mas").join(equipment, "device_id", "left").join(acquisitions, "event_id", "left")
+    maker = F.concat_ws(" ", S.blank_to_null(F.col("phantom_brand")), S.blank_to_null(F.col("phantom_model")))
+    number = F.concat(F.lit("n° série "), S.blank_to_null(F.col("phantom_serial")))
+    phantom = F.when(number.isNull(), maker).when(maker == "", number).otherwise(F.concat(maker, F.lit(" ("), number, F.lit(")")))
+    ctdi = F.concat(S.format_fr(F.col("ctdi_vol"), 2), F.lit(" mGy"), F.coalesce(F.concat(F.lit(" (fantôme "), S.blank_to_null(F.col("ctdi_phantom")), F.lit(")")), F.lit("")))
+    n_nps = F.col("nps_end") - F.col("nps_start") + 1
     return rows.select(
-        "event_id", "device_id", F.coalesce(F.date_format("run_date", "dd/MM/yyyy"), F.lit(S.UNKNOWN_DATE)).alias("day"),
-        F.coalesce(S.blank_to_null(F.col("control_type")), F.lit(DEFAULT_CONTROL_TYPE)).alias("control_type"),
-        given("hospital_name"), given("serial_number"), given("inventory_number"), dash(S.blank_to_null(F.trim("manufacturer"))).alias("manufacturer"), dash(S.blank_to_null(F.trim("model_name"))).alias("model_name"),
-        dash(S.blank_to_null(F.col("description"))).alias("protocol"), positive("kvp", F.format_string("%.0f", "kvp")).alias("kvp_text"), positive("tube_current", F.format_string("%.0f", "tube_current")).alias("ma_text"),
+        "event_id", "device_id", F.coalesce(F.date_format("run_date", "dd/MM/yyyy"), F.lit(S.UNKNOWN_DATE)).alias("day"), filled(F.col("control_type"), DEFAULT_CONTROL_TYPE).alias("control_type"),
+        given("hospital_name"), given("hospital_location"), shown("manufacturer").alias("manufacturer"), shown("model_name").alias("model_name"), given("serial_number"), given("inventory_number"), given("commissioning_date"),
+        filled(phantom, NOT_GIVEN).alias("phantom"), given("clinical_protocol_origin"), given("reconstruction_algorithm"),
+        shown("description").alias("protocol"), positive("kvp", F.format_string("%.0f", "kvp")).alias("kvp_text"), positive("tube_current", F.format_string("%.0f", "tube_current")).alias("ma_text"),
         positive("mas", S.format_fr(F.col("mas"), 0)).alias("mas_text"), positive("rotation_time", F.concat(S.format_fr(F.col("rotation_time"), 2), F.lit(" s"))).alias("rotation_text"),
+        shown("mode").alias("mode"), shown("collimation").alias("collimation"), S.focal_text(F.col("focal_spots")).alias("focal_text"), shown("kernel").alias("kernel"),
+        positive("slice_thickness", F.concat(S.format_fr(F.col("slice_thickness"), 1), F.lit(" mm"))).alias("thickness_text"),
         positive("px", F.concat(S.format_fr(F.col("px"), 3), F.lit(" mm"))).alias("pixel_text"), positive("n_rows", F.concat_ws(" × ", "n_rows", "n_rows")).alias("matrix_text"),
-        positive("n_rows", F.concat(F.format_string("%.0f", F.col("n_rows") * F.col("px")), F.lit(" mm"))).alias("fov_text"),
-        dash(S.hu_slice_text(F.col("hu_slice"), F.col("n_slices"), F.col("z"))).alias("hu_slice_text"), F.col("series_uid").cast("string").alias("series_uid"), "overall",
+        positive("n_rows", F.concat(F.format_string("%.0f", F.col("n_rows") * F.col("px")), F.lit(" mm"))).alias("fov_text"), positive("ctdi_vol", ctdi).alias("ctdi_text"),
+        dash(F.concat(S.hu_slice_text(F.col("hu_slice"), F.col("n_slices"), F.col("z")), F.lit(" — nombre CT, uniformité"))).alias("hu_slice_text"),
+        F.coalesce(F.when(n_nps > 0, F.concat(S.nps_slice_text(F.col("nps_start"), F.col("nps_end"), n_nps, F.col("z_first"), F.col("z_last")), F.lit(" — bruit, SPB"))), F.lit(NO_SPECTRUM)).alias("nps_slice_text"),
+        dash(F.col("series_uid").cast("string")).alias("series_uid"), given("folder"), "overall",
     )

@@ -30,7 +30,7 @@ def read_spectra(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_spectra(files: DataFrame, key: str) -> DataFrame:
     """key, ring, freq, power, fit of the text of such files: a header, then three columns."""
-    lines = files.select(key, F.posexplode(F.filter(F.slice(F.split("text", "\r?\n"), 2, 1_000_000), lambda x: F.trim(x) != "")).alias("ring", "line"))
+    lines = files.select(key, F.posexplode(F.filter(F.slice(F.split("text", "\r?\n"), F.lit(2), F.size(F.split("text", "\r?\n"))), lambda x: F.trim(x) != "")).alias("ring", "line"))
     value = lambda k: F.trim(F.get(F.split("line", ","), k)).try_cast("double")
     return lines.select(key, "ring", value(0).alias("freq"), value(1).alias("power"), value(2).alias("fit"))
 

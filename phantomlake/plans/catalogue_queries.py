@@ -162,15 +162,18 @@ def unknown_scanner(spark, d):
     return devices.unknown_scanners(slices_with_id(spark, d).select("file_path", "device_id"), known)
 
 
-@query("geometry_match", "select file_path, n_rows = 512 and abs(px - case when series_uid % 2 = 0 then 0.5 else 0.501 end) <= 0.005 * case when series_uid % 2 = 0 then 0.5 else 0.501 end as fits from {headers}")
+@query("geometry_match", """select file_path, n_rows = 512 and g > 0 and abs(px * 402 - g) / case when g > 0 then g end < 0.005 as fits
+  from (select *, cast(case series_uid % 4 when 0 then 200.0 when 1 then 200.5 when 2 then 0.0 else 201.0 end as double) as g from {headers})""")
 def geometry_match(spark, d):
-    g_px = F.when(C("series_uid") % 2 == 0, 0.5).otherwise(0.501)
-    fits = devices.geometry_fits(C("n_rows"), C("n_rows"), C("px"), F.lit(512), F.lit(512), g_px)
+    """Sizes of 200.5 and 201 fit one of 201; 200 is exactly 0.5 % away and does not, nor does a stored size of 0."""
+    k = C("series_uid") % 4
+    g_px = F.when(k == 0, 200.0).when(k == 1, 200.5).when(k == 2, 0.0).otherwise(201.0)
+    fits = devices.geometry_fits(C("n_rows"), C("n_rows"), C("px") * 402, F.lit(512), F.lit(512), g_px)
     return view(spark, d, "headers").select("file_path", fits.alias("fits"))
 
 
 @query("geometry_lookup", """select h.file_path, coalesce(g.device_px, h.px) as geometry_px, g.device_px is null as recomputed, g.device_px is null and h.suppkey % 3 <> 0 as mismatch
-  from {headers} h left join (select s_suppkey, case when s_suppkey % 2 = 0 then 0.5 else 0.25 end as device_px from {supplier} where s_suppkey % 3 <> 0) g on h.suppkey = g.s_suppkey and h.n_rows = 512 and abs(h.px - g.device_px) <= 0.005 * g.device_px""")
+  from {headers} h left join (select s_suppkey, case when s_suppkey % 2 = 0 then 0.5 else 0.25 end as device_px from {supplier} where s_suppkey % 3 <> 0) g on h.suppkey = g.s_suppkey and h.n_rows = 512 and abs(h.px - g.device_px) / g.device_px < 0.005""")
 def geometry_lookup(spark, d):
     """The frozen geometry where it fits the image, else one of its own; a mismatch is marked."""
     frozen = view(spark, d, "supplier").filter("s_suppkey % 3 <> 0").select("s_suppkey", F.when(C("s_suppkey") % 2 == 0, 0.5).otherwise(0.25).alias("device_px"))

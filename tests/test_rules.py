@@ -1,6 +1,8 @@
 """Boundary values of the criteria, merges and the synthetic phantom."""
 
+import datetime as dt
 import json
+import re
 
 import numpy as np
 import pytest
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 
 from phantomlake.functions import rules as R
 from phantomlake.functions import scalars as S
-from phantomlake.operators import archive, history, nps, phantom, rois, store
+from phantomlake.operators import archive, devices, history, nps, phantom, rois, store
 
 
 def value(spark, column):
@@ -217,3 +219,32 @@ def test_foreign_keys_and_unreadable_entries_survive(spark):
     got = {(r.device_id, r.kept): r.doc for r in store.merged_documents(mine, theirs, ["name", "n"]).collect()}
     assert json.loads(got["a", False]) == {"name": "mine", "n": 3, "new_key": {"x": [1, True]}} and json.loads(got["c", False]) == {"name": "fresh"}
     assert got["b", True] == "{broken" and got[None, True] == '{"other":1}' and len(got) == 4
+
+
+@pytest.mark.parametrize(("px", "g_px", "rows", "fits"), [(201.0, 200.0, 512, False), (200.99, 200.0, 512, True), (199.0, 200.0, 512, False), (0.0, 0.0, 512, False), (0.5, 0.0, 512, False), (0.5, -1.0, 512, False), (0.5, None, 512, False), (0.5, 0.5, 1024, False), (0.5, 0.5, 512, True)])
+def test_geometry_fits_strictly_below_the_limit(spark, px, g_px, rows, fits):
+    lit = F.lit
+    assert value(spark, devices.geometry_fits(lit(512), lit(512), lit(px), lit(rows), lit(512), lit(g_px).cast("double"))) is fits
+
+
+def test_trend_ranges_come_from_the_points_of_each_metric(spark):
+    """One day of noise gets 90 days on both sides, a metric without points none; long spans 5 % in whole days."""
+    schema = "device_id string, event_id long, run_date date, water_ct double, uniformity double, noise double, nps_freq double"
+    day = dt.date.fromisoformat
+    runs = spark.createDataFrame([("a", 1, day("2025-01-01"), 1.0, 2.0, None, None), ("a", 2, day("2025-06-01"), 1.0, None, 5.0, None), ("a", 3, day("2025-07-30"), 1.0, None, None, None), ("a", 4, None, None, None, 3.0, 0.2)], schema)
+    refs = spark.createDataFrame([("a", 5.0, 0.3)], "device_id string, ref_noise double, ref_nps_freq double")
+    got = {r.metric: (str(r.from_date), str(r.to_date)) for r in history.trend_bands(runs, refs).collect()}
+    assert got == {"water_ct": ("2024-12-22", "2025-08-09"), "uniformity": ("2024-10-03", "2025-04-01"), "noise": ("2025-03-03", "2025-08-30"), "nps_freq": ("None", "None")}
+
+
+def test_run_keys(spark):
+    """The series names a control, else its date and content: the same in any order and partitioning, 8 hexadecimal digits."""
+    rows = spark.createDataFrame([("1.2.3", "2026-01-02", 1.5), ("", "2026-01-02", 1.5), (None, "2026-01-02", 1.5), ("", "2026-01-02", 2.5), ("", None, 1.5)], "uid string, day string, value double")
+    keyed = lambda df: sorted((str(r.uid), str(r.day), r.value, r.k) for r in df.select("*", S.run_key(F.col("uid"), F.col("day"), F.col("day"), F.col("value")).alias("k")).collect())
+    got = keyed(rows)
+    assert got == keyed(rows.orderBy(F.desc("value")).repartition(5))
+    keys = {x[:3]: x[3] for x in got}
+    assert keys["1.2.3", "2026-01-02", 1.5] == "1.2.3" and keys["", "2026-01-02", 1.5] == keys["None", "2026-01-02", 1.5] != keys["", "2026-01-02", 2.5]
+    assert re.fullmatch("2026-01-02-[0-9a-f]{8}", keys["", "2026-01-02", 1.5]) and re.fullmatch("date-[0-9a-f]{8}", keys["", "None", 1.5])
+    manual = [r[0] for r in rows.select(S.manual_id(F.col("uid"), F.col("value"))).collect()]
+    assert all(re.fullmatch("manual-[0-9a-f]{8}", x) for x in manual) and len(set(manual)) == 4
