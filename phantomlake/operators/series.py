@@ -24,6 +24,10 @@ TOO_FEW = "l'analyse du SPB demande au moins {n} coupes, la série n'en contient
 NO_ROI = "aucune ROI du SPB n'est entièrement dans l'image"
 
 
+#: A geometry of regions as it is stored with a control and frozen for its scanner; the names are those of the file format.
+GEOMETRY = "struct<pixel_size_mm: double, rows: int, columns: int, phantom_diameter_px: double, central_radius: int, peripheral_radius: int, peripheral_distance: int, nps_roi_size: int, nps_cardinal_distance: int, nps_diagonal_offset: int, frozen_date: string>"
+
+
 def column(df: DataFrame, name: str, kind: str = "double") -> Column:
     """The column if the table has it, else null."""
     return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from phantomlake.operators import history
+from phantomlake.operators import history, ledger
 
 
 def quarantine(documents: DataFrame, json_col: str, schema: str, required: str) -> DataFrame:
@@ -45,61 +45,146 @@ def run_layout(runs: DataFrame) -> DataFrame:
     return runs.withColumn("position", F.row_number().over(Window.partitionBy("device_id").orderBy("run_date", "recorded_at", "event_id")) - 1)
 
 
-def _files(spark: SparkSession, path: str) -> tuple[object, object]:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def _versions(spark: SparkSession, path: str) -> tuple[int, dict[int, int]]:
-    """(newest version begun, bucket -> newest version that was written to its end)."""
-    at, fs = _files(spark, path)
-    names = lambda x: [f.getPath().getName() for f in fs.listStatus(x)]
-    found = sorted(int(n[2:]) for n in names(at) if n.startswith("v=")) if fs.exists(at) else []
-    current: dict[int, int] = {}
-    for v in found:
-        inside = names(_files(spark, f"{path}/v={v}")[0])
-        if "_SUCCESS" in inside:
-            current |= {int(n[7:]): v for n in inside if n.startswith("bucket=")}
-    return max(found, default=-1), current
-
-
-def read_runs(spark: SparkSession, path: str, schema: StructType, buckets: list[int] | None = None) -> DataFrame:
-    """The stored runs (of some buckets): one row per device and run."""
-    _, current = _versions(spark, path)
-    paths = [f"{path}/v={v}/bucket={b}" for b, v in current.items() if buckets is None or b in buckets]
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
-
-
-def write_runs(runs: DataFrame, path: str, buckets: int = 64) -> None:
-    """Upserts runs into the store: the buckets of devices that they touch are read, merged and written as a new version;
-    no other bucket is read or written. A version counts once it is complete, so a failed or repeated write loses nothing
-    and changes nothing twice. One writer at a time; `tidy` removes what newer versions replace."""
-    spark = runs.sparkSession
-    rows = runs.drop("action_event").withColumn("action_event", history.action_event())
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("device_id"), F.lit(buckets)).cast("int"))
-    touched = sorted(r["bucket"] for r in rows.select("bucket").distinct().collect())  # at most `buckets` numbers
-    if not touched:
-        return
-    newest, _ = _versions(spark, path)
-    stored = read_runs(spark, path, rows.drop("bucket").schema, touched).withColumn("bucket", F.pmod(F.xxhash64("device_id"), F.lit(buckets)).cast("int"))
-    merged = history.latest(stored.unionByName(rows))
-    merged.repartition("bucket").sortWithinPartitions("bucket", "device_id", "run_date", "recorded_at").write.partitionBy("bucket").parquet(f"{path}/v={newest + 1}")
-
-
-def tidy(spark: SparkSession, path: str) -> list[str]:
-    """Removes the buckets that newer versions replace, and versions that were never finished; their paths are returned."""
-    newest, current = _versions(spark, path)
-    gone = []
-    for v in range(newest + 1):
-        at, fs = _files(spark, f"{path}/v={v}")
-        if not fs.exists(at):
+_KEYS = ["device_id", "run_id"]
+_MARKS = "deleted boolean, deleted_version long"
+
+
+def _stored(schema: StructType) -> StructType:
+    return StructType([f for f in schema.fields if f.name not in ("deleted", "deleted_version")] + StructType.fromDDL(_MARKS).fields)
+
+
+def read_runs(spark: SparkSession, path: str, schema: StructType, buckets: list[int] | None = None, version: int | None = None) -> DataFrame:
+    """The stored runs (of some buckets, as of a version that is kept): one row per device and run, deleted ones left out."""
+    rows = ledger.read(spark, path, ledger.manifest(spark, path, version), "runs", _stored(schema), buckets)
+    return rows.filter(~F.coalesce("deleted", F.lit(False))).select(*schema.names)
+
+
+def folded(theirs: DataFrame, base: DataFrame, batch: DataFrame, base_version: int, version: int) -> DataFrame:
+    """The runs of the store (`theirs`) after a batch of somebody who last saw `base`.
+
+    A run of the batch meets the stored one as the upsert does, by event_id and with its corrective action. A row of the
+    batch with `deleted` removes its run, even one changed elsewhere meanwhile, and stays as a mark. A run that is marked
+    as removed comes back only through a row that is new to whoever brings it (its event_id is greater than in `base`) and
+    either later than the removal or brought by one who had not seen it. So batches may be repeated.
+    """
+    live, dead = theirs.filter(~F.coalesce("deleted", F.lit(False))), theirs.filter("deleted")
+    payload = [c for c in theirs.columns if c not in ("deleted", "deleted_version")]
+    fresh = history.latest(batch.filter(~F.col("deleted")).select(*payload))
+    candidates = history.latest(live.select(*payload).unionByName(fresh))
+    marks = dead.select(*_KEYS, F.col("event_id").alias("_d"), F.col("deleted_version").alias("_v"))
+    gone = batch.filter("deleted").groupBy(*_KEYS).agg(F.max("event_id").alias("_x"))
+    news, seen = fresh.select(*_KEYS, F.col("event_id").alias("_u")), base.select(*_KEYS, F.col("event_id").alias("_b"))
+    rows = candidates.select(*_KEYS, F.struct(*payload).alias("r")).join(marks, _KEYS, "full_outer").join(gone, _KEYS, "full_outer").join(news, _KEYS, "left").join(seen, _KEYS, "left")
+    x, u, b = F.col("_x"), F.col("_u"), F.col("_b")
+    removed = x.isNotNull() & (b.isNull() | (x > b)) & (u.isNull() | (x >= u))
+    back = (b.isNull() | (u > b)) & ((F.col("_v") > base_version) | (u > F.col("_d")))
+    stays_dead = F.col("_v").isNotNull() & ~F.coalesce(back, F.lit(False))
+    unknown = F.col("r").isNull() & F.col("_v").isNull()  # a removal of what the store never had stays as a mark, too
+    mark = F.coalesce(removed, F.lit(False)) | stays_dead | unknown
+    event = F.when(F.coalesce(removed, F.lit(False)) | unknown, F.greatest(x, F.col("r.event_id"), F.col("_d"))).otherwise(F.col("_d"))
+    since = F.when(F.coalesce(removed, F.lit(False)) | unknown, F.lit(version)).otherwise(F.col("_v"))
+    kept = [F.when(~mark, F.col(f"r.{c}")).alias(c) for c in payload if c not in (*_KEYS, "event_id")]
+    return rows.select(*_KEYS, F.when(mark, event).otherwise(F.col("r.event_id")).alias("event_id"), *kept, mark.alias("deleted"), F.when(mark, since).cast("long").alias("deleted_version")).select(*payload, "deleted", "deleted_version")
+
+
+def _prepared(runs: DataFrame) -> DataFrame:
+    rows = runs.drop("action_event", "deleted_version").withColumn("action_event", history.action_event())
+    return rows.withColumn("deleted", F.coalesce("deleted", F.lit(False)) if "deleted" in runs.columns else F.lit(False))
+
+
+def _folded_runs(rows: DataFrame, path: str, found: ledger.Manifest, consumer: str | None, touched: list[int]) -> DataFrame:
+    """The touched buckets of runs after the rows, for a manifest to come."""
+    spark, schema = rows.sparkSession, _stored(rows.schema)
+    theirs = ledger.read(spark, path, found, "runs", schema, touched)
+    seen = found.consumers.get(consumer) if consumer else None
+    base = theirs if seen is None else ledger.read(spark, path, ledger.manifest(spark, path, seen), "runs", schema, touched)
+    return folded(theirs, base, rows, found.version if seen is None else seen, found.version + 1)
+
+
+def write_runs(runs: DataFrame, path: str, buckets: int | None = None, consumer: str | None = None, attempts: int = 8) -> ledger.Manifest | None:
+    """Folds runs into the store; rows with `deleted` remove theirs. Only buckets of devices that they touch are read, merged
+    and written; a version counts once its manifest is there, so a failed or repeated write loses nothing and changes nothing
+    twice, and of two writers at once the slower one merges again. The number of buckets is fixed by the first write.
+
+    `consumer` names who writes: what it last saw is the common ancestor of the merge, else what is stored now.
+    """
+    rows = _prepared(runs)
+    for _ in range(attempts):
+        found = ledger.for_writing(runs.sparkSession, path, buckets)
+        touched = ledger.touched_by(rows, found.buckets)
+        if not touched and (not consumer or found.consumers.get(consumer) == found.version):
+            return None
+        merged = _folded_runs(rows, path, found, consumer, touched)
+        made = {"runs": ledger.write(merged, path, "runs", found.buckets, ["device_id", "run_date", "recorded_at"])} if touched else {}
+        try:
+            return ledger.commit(runs.sparkSession, path, found, made, {"runs": touched}, consumer)
+        except ledger.Conflict:
+            continue
+    raise ledger.Conflict(f"{path}: {attempts} other writers were faster")
+
+
+def put_devices(scanners: DataFrame, path: str, buckets: int | None = None, attempts: int = 8) -> ledger.Manifest | None:
+    """Adds or replaces scanners (device_id and their fields) in the store."""
+    spark = scanners.sparkSession
+    for _ in range(attempts):
+        found = ledger.for_writing(spark, path, buckets)
+        touched = ledger.touched_by(scanners, found.buckets)
+        if not touched:
+            return None
+        stored = ledger.read(spark, path, found, "devices", scanners.schema, touched)
+        merged = without(stored, scanners, ["device_id"]).unionByName(scanners)
+        try:
+            return ledger.commit(spark, path, found, {"devices": ledger.write(merged, path, "devices", found.buckets, ["device_id"])}, {"devices": touched})
+        except ledger.Conflict:
             continue
-        kept = {f"bucket={b}" for b, n in current.items() if n == v}
-        gone += [f"{path}/v={v}/{f.getPath().getName()}" for f in fs.listStatus(at) if f.isDirectory() and f.getPath().getName() not in kept] if kept else [f"{path}/v={v}"]
-    for x in gone:
-        at, fs = _files(spark, x)
-        fs.delete(at, True)
-    return gone
+    raise ledger.Conflict(f"{path}: {attempts} other writers were faster")
+
+
+def read_devices(spark: SparkSession, path: str, schema: StructType, buckets: list[int] | None = None) -> DataFrame:
+    return ledger.read(spark, path, ledger.manifest(spark, path), "devices", schema, buckets)
+
+
+def after_recording(scanners: DataFrame, runs: DataFrame) -> DataFrame:
+    """Scanners as new controls leave them: one without a geometry takes that of its first control with a detected phantom,
+    frozen on that day; slices saved without the length of their series take it from a control that used them."""
+    order = F.struct("run_date", "recorded_at", "event_id")
+    day = F.coalesce(F.nullif(F.col("run_date").cast("string"), F.lit("")), F.substring(F.col("recorded_at").cast("string"), 1, 10))
+    detected = F.col("hu_detected") & F.coalesce("nps_detected", F.col("nps_freq").isNull()) & F.col("geometry").isNotNull()
+    frozen = F.when(detected, F.col("geometry").withField("frozen_date", F.coalesce(F.nullif(F.col("geometry.frozen_date"), F.lit("")), day)))
+    first = runs.groupBy("device_id").agg(F.min_by(frozen, F.when(detected, order)).alias("_g"))
+    saved = scanners.filter("slices_series_length is null and hu_slice is not null").select("device_id", "hu_slice", "nps_start", "nps_end")
+    same = (F.col("s.device_id") == F.col("r.device_id")) & (F.col("s.hu_slice") == F.col("r.hu_slice")) & F.col("s.nps_start").eqNullSafe(F.col("r.nps_start")) & F.col("s.nps_end").eqNullSafe(F.col("r.nps_end"))
+    lengths = saved.alias("s").join(runs.alias("r"), same).groupBy("s.device_id").agg(F.min_by("r.n_slices", F.struct("r.run_date", "r.recorded_at", "r.event_id")).alias("_n"))
+    rows = scanners.join(first, "device_id", "left").join(lengths, "device_id", "left")
+    return rows.withColumns({"geometry": F.coalesce("geometry", "_g"), "slices_series_length": F.coalesce("slices_series_length", "_n")}).select(*scanners.columns)
+
+
+def record(runs: DataFrame, path: str, device_schema: StructType, consumer: str | None = None, attempts: int = 8) -> ledger.Manifest | None:
+    """Records controls as one transaction: runs are upserted, and their scanners take a frozen geometry and the length of
+    saved slices from them (see after_recording); readers see all of it or nothing. Controls of scanners that the store does
+    not know are an error, and nothing is recorded."""
+    spark, rows = runs.sparkSession, _prepared(runs)
+    for _ in range(attempts):
+        found = ledger.for_writing(spark, path)
+        touched = ledger.touched_by(rows, found.buckets)
+        if not touched:
+            return None
+        scanners = ledger.read(spark, path, found, "devices", device_schema, touched)
+        strangers = orphans(rows, scanners).select("device_id").distinct().limit(5).collect()
+        if strangers:
+            raise LookupError(f"unknown scanners: {', '.join(sorted(str(r[0]) for r in strangers))}")
+        made = {
+            "runs": ledger.write(_folded_runs(rows, path, found, consumer, touched), path, "runs", found.buckets, ["device_id", "run_date", "recorded_at"]),
+            "devices": ledger.write(after_recording(scanners, rows.filter("not deleted")), path, "devices", found.buckets, ["device_id"]),
+        }
+        try:
+            return ledger.commit(spark, path, found, made, {"runs": touched, "devices": touched}, consumer)
+        except ledger.Conflict:
+            continue
+    raise ledger.Conflict(f"{path}: {attempts} other writers were faster")
+
+
+tidy = ledger.tidy
 
 
 def merged_documents(mine: DataFrame, theirs: DataFrame, known: list[str]) -> DataFrame:

@@ -19,12 +19,18 @@ def judged(runs: DataFrame, devices: DataFrame | None = None) -> DataFrame:
     return rows.join(known, "device_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
-def follow(runs: DataFrame, path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
-    """Upserts every new batch of controls into the store; only the buckets of devices that it touches are read and
-    written. A batch that is repeated after a failure, or read again under a new checkpoint, finds its own rows and
-    changes nothing."""
+def follow(runs: DataFrame, path: str, checkpoint: str, buckets: int | None = None, consumer: str | None = None, tidy_every: int = 100) -> StreamingQuery:
+    """Folds every new batch of controls into the store, removals (`deleted`) among them; only the buckets of devices that
+    it touches are read and written. A batch that is repeated after a failure, or read again under a new checkpoint, finds
+    its own rows and changes nothing. A named consumer merges three ways: against what it last saw of the store, so that
+    what others changed or removed meanwhile stays unless the batch changes it. Every `tidy_every` batches the versions
+    that nobody needs any more are removed."""
 
     def fold(batch: DataFrame, number: int) -> None:
-        store.write_runs(batch, path, buckets)
+        batch.persist()  # read by several steps of the fold
+        store.write_runs(batch, path, buckets, consumer)
+        batch.unpersist()
+        if number % tidy_every == tidy_every - 1:
+            store.tidy(batch.sparkSession, path)
 
     return runs.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

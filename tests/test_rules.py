@@ -196,23 +196,6 @@ def test_streaming_equals_batch(spark, tmp_path, given_runs):
     assert {r.event_id: r.overall for r in spark.table("judged").collect()} == batch
 
 
-def test_writing_one_device_leaves_the_others(spark, tmp_path, given_runs):
-    """Two writes by different devices in the same month, and a write that dies half way: nothing is lost, and only
-    touched buckets are written."""
-    path, schema = str(tmp_path / "store"), given_runs.withColumn("action_event", F.lit(1).cast("long")).schema
-    device = given_runs.groupBy("device_id").count().orderBy("device_id").first()["device_id"]
-    store.write_runs(given_runs.filter(F.col("device_id") != device), path, buckets=8)
-    store.write_runs(given_runs.filter(F.col("device_id") == device), path, buckets=8)
-    want = as_rows(history.upsert(given_runs).drop("replaced"))
-    assert as_rows(store.read_runs(spark, path, schema).drop("action_event")) == want
-    assert len([p for p in (tmp_path / "store" / "v=1").iterdir() if p.name.startswith("bucket=")]) == 1
-    (tmp_path / "store" / "v=2" / "bucket=0").mkdir(parents=True)
-    store.write_runs(given_runs.limit(0), path, buckets=8)
-    store.write_runs(given_runs, path, buckets=8)
-    assert as_rows(store.read_runs(spark, path, schema).drop("action_event")) == want
-    assert store.tidy(spark, path) and as_rows(store.read_runs(spark, path, schema).drop("action_event")) == want
-
-
 def test_foreign_keys_and_unreadable_entries_survive(spark):
     theirs = spark.createDataFrame([("a", '{"name":"old","new_key":{"x":[1,true]},"n":2}'), ("b", "{broken"), (None, '{"other":1}')], "device_id string, doc string")
     mine = spark.createDataFrame([("a", '{"name":"mine","n":3}'), ("c", '{"name":"fresh"}')], "device_id string, doc string")
