@@ -41,17 +41,37 @@ def prefixes(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
 
 
-def resolve_folder(runs: DataFrame, relocations: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """run_id, folder, via: the first candidate folder that really holds the run's series. Candidates: the stored
-    path (via 0), then each relocation that applies, most recent (largest seq) first. A run meets a relocation by
-    equality of one of its path's prefixes, so nothing is compared with everything."""
-    stored = runs.select("run_id", "series_uid", "folder", F.lit(0).cast("long").alias("via"))
-    each = runs.select("run_id", "series_uid", "folder", F.explode(prefixes(F.col("folder"))).alias("old"))
+def normalised(path: Column) -> Column:
+    """The path with "/" only, without ".", empty and ".." components; a ".." at the root goes nowhere."""
+    path = F.translate(path, "\\", "/")
+    parts = F.filter(F.split(path, "/"), lambda x: (x != "") & (x != "."))
+    start = F.array().cast("array<string>")
+    kept = F.aggregate(parts, start, lambda done, x: F.when(x != "..", F.concat(done, F.array(x))).when((F.size(done) > 0) & (F.element_at(F.concat(F.array(F.lit("..")), done), -1) != ".."), F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(path.startswith("/"), done).otherwise(F.concat(done, F.array(x))))
+    return F.concat(F.when(path.startswith("/"), "/").otherwise(""), F.array_join(kept, "/"))
+
+
+def candidate_folders(runs: DataFrame, relocations: DataFrame, base: str = "") -> DataFrame:
+    """run_id, series_uid, folder, via, rank (smallest first) of every folder that may hold a run's images: the stored path
+    (via 0), the path relative to the folder `base` of the store (folder_rel, via -1), then each relocation that applies,
+    most recent (largest seq) first. A run meets a relocation by equality of one of its path's prefixes."""
+    rank = lambda k, x=F.lit(0): F.struct(F.lit(k).alias("kind"), x.cast("long").alias("place")).alias("rank")
+    moved_to = lambda x: normalised(apply_relocation(x, F.col("old"), F.col("new"))).alias("folder")
+    stored = runs.filter("folder <> ''").select("run_id", "series_uid", normalised(F.col("folder")).alias("folder"), F.lit(0).cast("long").alias("via"), rank(0))
+    each = runs.filter("folder <> ''").select("run_id", "series_uid", "folder", F.explode(prefixes(F.col("folder"))).alias("old"))
     moved = each.join(relocations.select("old", "new", F.col("seq").cast("long").alias("via")), "old")
-    moved = moved.select("run_id", "series_uid", apply_relocation(F.col("folder"), F.col("old"), F.col("new")).alias("folder"), "via")
-    found = stored.unionByName(moved).join(catalogue.select("series_uid", "folder").distinct(), ["series_uid", "folder"], "left_semi")
-    order = F.when(F.col("via") == 0, F.lit(2**62)).otherwise(F.col("via"))
-    return found.groupBy("run_id").agg(F.max_by(F.struct("folder", "via"), order).alias("f")).select("run_id", "f.folder", "f.via")
+    moved = moved.select("run_id", "series_uid", moved_to(F.col("folder")), "via", rank(2, -F.col("via")))
+    found = stored.unionByName(moved)
+    if "folder_rel" in runs.columns:
+        path = normalised(F.concat(F.lit(base.rstrip("/") + "/"), F.col("folder_rel")))
+        found = found.unionByName(runs.filter("folder_rel <> ''").select("run_id", "series_uid", path.alias("folder"), F.lit(-1).cast("long").alias("via"), rank(1)))
+    return found
+
+
+def resolve_folder(runs: DataFrame, relocations: DataFrame, catalogue: DataFrame, base: str = "") -> DataFrame:
+    """run_id, folder, via: the first candidate folder that really holds the run's series, written as in the catalogue."""
+    held = catalogue.select("series_uid", F.col("folder").alias("held"), normalised(F.col("folder")).alias("folder")).distinct()
+    found = candidate_folders(runs, relocations, base).join(held, ["series_uid", "folder"])
+    return found.groupBy("run_id").agg(F.min_by(F.struct(F.col("held").alias("folder"), "via"), F.struct("rank", "held")).alias("f")).select("run_id", "f.folder", "f.via")
 
 
 def find_series(catalogue: DataFrame) -> DataFrame:

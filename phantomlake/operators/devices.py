@@ -24,6 +24,26 @@ def geometry_fits(rows: Column, columns: Column, px: Column, g_rows: Column, g_c
     return F.coalesce((rows == g_rows) & (columns == g_columns) & near, F.lit(False))
 
 
+def geometry_in_force(images: DataFrame, own: Column, frozen: DataFrame | None, key: str = "series_id") -> DataFrame:
+    """Adds `geometry`, what the regions of an image are laid by, and `mismatch`.
+
+    `images` has the key, n_rows, n_cols and px; `frozen` (key, geometry) the geometry frozen for the image's scanner, if it
+    has one. Where that holds for the image's format it is used as it is, so that sizes and offsets stay those of the first
+    control whatever diameter was detected; else the image's `own` one, and `mismatch` tells that there was a frozen one.
+    """
+    if frozen is None:
+        return images.withColumns({"geometry": own, "mismatch": F.lit(False)})
+    rows = images.join(frozen.select(key, F.col("geometry").alias("_g")), key, "left")
+    fits = geometry_fits(F.col("n_rows"), F.col("n_cols"), F.col("px"), F.col("_g.rows"), F.col("_g.columns"), F.col("_g.pixel_size_mm"))
+    return rows.withColumns({"geometry": F.when(fits, F.col("_g")).otherwise(own), "mismatch": F.col("_g").isNotNull() & ~fits}).drop("_g")
+
+
+def frozen_of(headers: DataFrame, scanners: DataFrame, key: str = "series_id") -> DataFrame:
+    """key, geometry: the frozen geometry of each series' scanner, for those that have one."""
+    known = scanners.filter("geometry is not null and device_id <> ''").select("device_id", "geometry")
+    return headers.select(key, "device_id").join(known, "device_id").select(key, "geometry")
+
+
 def freeze_geometry(runs: DataFrame) -> DataFrame:
     """Per device the geometry of its first control with a detected phantom, and the day it was frozen."""
     order = F.struct("run_date", "recorded_at", "event_id")

@@ -30,6 +30,17 @@ def roi_geometry(diameter: Column, px: Column, gap_mm: float = GAP_MM) -> dict[s
     }
 
 
+def geometry_struct(diameter: Column, px: Column, n_rows: Column, n_cols: Column) -> Column:
+    """The geometry of a detected diameter as it is stored: image format, diameter, sizes and offsets; not frozen."""
+    head = {"pixel_size_mm": px.cast("double"), "rows": n_rows.cast("int"), "columns": n_cols.cast("int"), "phantom_diameter_px": diameter.cast("double")}
+    return F.struct(*(v.alias(k) for k, v in (head | roi_geometry(diameter, px) | {"frozen_date": F.lit("")}).items()))
+
+
+def sizes_of(geometry: str) -> dict[str, Column]:
+    """Sizes and offsets of a geometry column, as hu_rois and nps_rois take them."""
+    return {k: F.col(f"{geometry}.{k}") for k in ("central_radius", "peripheral_radius", "peripheral_distance", "nps_roi_size", "nps_cardinal_distance", "nps_diagonal_offset")}
+
+
 def hu_rois(phantoms: DataFrame, g: dict[str, Column]) -> DataFrame:
     """Five circles per phantom: the centre and four around it."""
     each = [
@@ -99,10 +110,10 @@ def skipped_rois(rois: DataFrame, keys: list[str]) -> DataFrame:
     return rois.groupBy(*keys).agg(F.array_sort(F.collect_set(out)).alias("skipped"))
 
 
-def roi_tiles(image_rows: DataFrame, rois: DataFrame, n_rows: int, n_cols: int | None = None) -> DataFrame:
-    """slice_id, roi_idx, side, z: the row-major pixels of each square inside the image."""
+def roi_tiles(image_rows: DataFrame, rois: DataFrame, n_rows: int | Column, n_cols: int | Column | None = None) -> DataFrame:
+    """slice_id, roi_idx, side, z: the row-major pixels of each square inside the image. Squares may differ in size."""
     start = F.col("y") - F.floor(F.col("side") / 2)
-    whole = rois.filter(inside(F.col("x"), F.col("y"), F.col("side"), F.lit(n_rows), F.lit(n_cols or n_rows)))
+    whole = rois.filter(inside(F.col("x"), F.col("y"), F.col("side"), F.lit(n_rows), F.lit(n_rows if n_cols is None else n_cols)))
     rows = whole.select("slice_id", "roi_idx", "x", "side", F.explode(F.sequence(start.cast("int"), (start + F.col("side") - 1).cast("int"))).alias("row_idx"))
     parts = image_rows.join(rows, ["slice_id", "row_idx"]).select("slice_id", "roi_idx", "side", "row_idx", F.slice("hu", (F.col("x") - F.floor(F.col("side") / 2) + 1).cast("int"), F.col("side")).alias("part"))
     ordered = F.array_sort(F.collect_list(F.struct("row_idx", "part")))

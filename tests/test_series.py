@@ -1,12 +1,13 @@
 """Whole series against plain renderings of each step."""
 
-import json
+import datetime as dt
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from phantomlake.operators import phantom, series, validation
+from phantomlake.operators import archive, devices, phantom, rois, series, validation
 
 N, SIDE, PX = 96, 32, 0.5
 
@@ -30,13 +31,18 @@ def tables(spark, images):
     return rows.cache(), spark.createDataFrame([(i // 100, i % 100, i, PX, 48.0) for i in images], "series_id long, slice_idx int, slice_id long, px double, reconstruction_diameter double")
 
 
-def brute(images, first, last, of=100):
-    """Mean frequency, noise, squares and roi size of the slices of one series, step by step in NumPy."""
+def brute(images, first, last, of=100, frozen=None, squares=None):
+    """Mean frequency, noise, squares and roi size of the slices of one series, step by step in NumPy; by a frozen (side,
+    cardinal distance, diagonal offset), or on squares (side, [(row, column) of centres])."""
     row, col, radius, _ = phantom.found_in(images[of + first + (last - first + 1) // 2], None, 48.0)
     row, col, d = round(row), round(col), 2 * radius
     side = int(min(max(round(d * 0.15 / 8) * 8, 32), 128))
     near, far = int(d / 2 * 0.455), int(d / 2 * 0.367)
+    if frozen:
+        side, near, far = frozen
     places = [(-far, -far), (far, far), (far, -far), (-far, far), (-near, 0), (near, 0), (0, -near), (0, near)]
+    if squares:
+        side, places, row, col = squares[0], squares[1], 0, 0
     stds, total = [], 0
     u = np.arange(side) - (side - 1) / 2
     x, y = np.tile(u, side), np.repeat(u, side)
@@ -97,10 +103,10 @@ def test_controls_and_reanalysis(spark, tables, images):
     row, col, radius, _ = phantom.found_in(images[106], None, None)
     y, x = np.mgrid[:N, :N]
     centre = images[106][(y - round(row)) ** 2 + (x - round(col)) ** 2 <= int(radius * 2 * 0.4 / 2) ** 2]
-    assert np.isclose(got[1].water_ct, centre.mean()) and json.loads(got[1].geometry)["central_radius"] == int(radius * 2 * 0.4 / 2)
+    assert np.isclose(got[1].water_ct, centre.mean()) and got[1].geometry.central_radius == int(radius * 2 * 0.4 / 2)
     runs = spark.createDataFrame([(10, "a", 1, 6, 2, 11, False), (11, "a", 1, 40, 9, 30, False), (12, "b", 9, 1, 1, 5, None), (13, "b", 1, None, None, None, None)], "run_id long, device_id string, series_id long, hu_slice int, nps_start int, nps_end int, artifacts_present boolean")
     again = {r.run_id: r for r in series.reanalysed(runs, slices, rows, refs, N, N).collect()}
-    assert [(again[k].missing, again[k].clamped) for k in (10, 11, 12, 13)] == [(False, False), (False, True), (True, False), (False, False)]
+    assert [(again[k].missing, again[k].clamped) for k in (10, 11, 12, 13)] == [(None, False), (None, True), (series.OTHER_SERIES, False), (None, False)]
     assert np.isclose(again[10].water_ct, got[1].water_ct) and np.isclose(again[10].nps_freq, got[1].nps_freq) and np.isclose(again[13].noise, got[1].noise)
     mean, noise, *_ = brute(images, 9, 13)
     assert np.isclose(again[11].nps_freq, mean) and np.isclose(again[11].noise, noise)
@@ -125,3 +131,102 @@ def test_spectrum_files(spark, tmp_path):
     assert sorted(map(tuple, validation.read_spectra(spark, str(tmp_path)).collect())) == want
     parsed = validation.parse_spectra(spark.createDataFrame([(1, text)], "f int, text string"), "f").orderBy("ring").collect()
     assert [(r.freq, r.power, r.fit) for r in parsed] == want
+
+
+def stored(side=24, near=19, far=15, px=PX, rows=N, day="2025-01-15"):
+    return (px, rows, N, 80.0, 14, 7, 20, side, near, far, day)
+
+
+FROZEN = f"device_id string, geometry {series.GEOMETRY}"
+
+
+def test_frozen_geometry_in_the_spectrum(spark, tables, images):
+    """Sizes and offsets stay those of the first control where the detected diameter says otherwise; another matrix or a
+    stored size of 0 is a mismatch, and then they are computed."""
+    rows, slices = tables
+    headers = spark.createDataFrame([(1, "a"), (3, "b")], "series_id long, device_id string")
+    for kept, mismatch in ((stored(), False), (stored(px=PX * 1.004), False), (stored(px=PX * 1.006), True), (stored(rows=512), True), (stored(px=0.0), True)):
+        scanners = spark.createDataFrame([("a", kept), ("b", None), ("", kept)], FROZEN)
+        frozen = devices.frozen_of(headers, scanners)
+        r = series.nps_of_series(rows, slices.filter("series_id = 1"), N, N, frozen=frozen).series.first()
+        mean, noise, n, side, *_ = brute(images, 2, 11, frozen=None if mismatch else (24, 19, 15))
+        assert (r.roi_size, r.n_tiles, r.mismatch, r.geometry.frozen_date) == (side, n, mismatch, "" if mismatch else "2025-01-15")
+        assert np.isclose(r.mean_freq, mean) and np.isclose(r.noise, noise)
+
+
+def test_frozen_geometry_over_drifting_phantoms(spark):
+    """Detection drifts by 3 px from one control to the next, and sizes stay."""
+    pictures = {k * 100 + i: image(48, 48, 38 + 3 * k, 900 + i) for k in (1, 2) for i in range(10)}
+    rows = spark.createDataFrame([(i, k, x[k].tolist()) for i, x in pictures.items() for k in range(N)], "slice_id long, row_idx int, hu array<double>")
+    slices = spark.createDataFrame([(i // 100, i % 100, i, PX, 48.0) for i in pictures], "series_id long, slice_idx int, slice_id long, px double, reconstruction_diameter double")
+    headers = spark.createDataFrame([(k, "a", "20260315", "", f"1.{k}") for k in (1, 2)], "series_id long, device_id string, acquisition_date string, manual_date string, series_uid string")
+    refs = spark.createDataFrame([("a", 12.0, 0.3)], "device_id string, noise double, nps_freq double")
+    free = {r.series_id: r for r in series.hu_of_series(rows, slices, None, N, N).collect()}
+    assert free[2].geometry.phantom_diameter_px - free[1].geometry.phantom_diameter_px > 5 and free[1].geometry.peripheral_distance != free[2].geometry.peripheral_distance
+    first = spark.createDataFrame([("a", free[1].geometry)], FROZEN)
+    frozen = devices.frozen_of(headers, first)
+    hu = series.hu_of_series(rows, slices, frozen, N, N)
+    found = {r.series_id: r for r in series.controls(hu, series.nps_of_series(rows, slices, N, N, frozen=frozen).series, headers, refs).collect()}
+    assert found[1].geometry == found[2].geometry == free[1].geometry and not found[2].mismatch
+    y, x = np.mgrid[:N, :N]
+    row, col, *_ = phantom.found_in(pictures[204], None, None)
+    inner = pictures[204][(y - round(row)) ** 2 + (x - round(col)) ** 2 <= free[1].geometry.central_radius ** 2]
+    assert np.isclose(found[2].water_ct, inner.mean())
+
+
+def test_controls_have_all_their_columns(spark, tables):
+    rows, slices = tables
+    headers = spark.createDataFrame([(1, "a", "20260315", "", "1.2.3", 120.0, True, "anneau", "/x/1", "../1", "note", "2026-04-01T08:00:00", "annuel"), (2, "a", "", "", "", None, None, "text without artefacts", None, None, None, None, None)], "series_id long, device_id string, acquisition_date string, manual_date string, series_uid string, kvp double, artifacts_present boolean, artifacts_description string, folder string, folder_rel string, notes string, recorded_at string, control_type string")
+    refs = spark.createDataFrame([("a", 12.0, 0.3)], "device_id string, noise double, nps_freq double")
+    got = {r.series_id: r for r in series.controls(series.hu_of_series(rows, slices, None, N, N), series.nps_of_series(rows, slices, N, N).series, headers, refs).collect()}
+    a, b = got[1], got[2]
+    assert (a.run_id, a.kvp, a.mas, a.artifacts_description, a.folder, a.folder_rel, a.notes, a.recorded_at, a.control_type, a.performed_by, a.pdf_path) == ("1.2.3", 120.0, 0.0, "anneau", "/x/1", "../1", "note", "2026-04-01T08:00:00", "annuel", "", "")
+    assert re.fullmatch("-[0-9a-f]{8}", b.run_id) and (b.kvp, b.artifacts_description, b.folder, b.artifacts_present, b.nps_start, b.noise) == (0.0, "", "", None, None, None)
+    assert abs(dt.datetime.fromisoformat(b.recorded_at) - dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)) < dt.timedelta(days=1)
+
+
+def test_spectra_of_roi_files(spark, tables, images):
+    """From files to spectra in one analysis: squares of 32 px in one series and of 64 px in another; a size for the
+    squares of a third; the geometry is not told of given squares."""
+    rows, slices = tables
+    used = slices.filter("series_id <> 3").unionByName(slices.filter("series_id = 1").withColumn("series_id", F.lit(7).cast("long")))
+    used = used.withColumns({"first": F.lit(0), "last": F.lit(3), "roi_size": F.when(F.col("series_id") == 7, 16)})
+    corners = {1: (32, [(20, 22), (30, 41), (-4, 60)]), 2: (64, [(16, 16), (20, 12)])}
+    text = lambda side, at: '{"type_of_file":"NPS","ROI":[' + ",".join(f'{{"X":{c},"Y":{r},"side_square":{side}}}' for r, c in at) + "]}"
+    files = spark.createDataFrame([(k, text(*v)) for k, v in corners.items()], "series_id long, json string")
+    found = series.nps_of_series(rows, used, N, N, positions=rois.read_nps_rois(files, "json"))
+    got = {r.series_id: r for r in found.series.collect()}
+    for k, (side, at) in corners.items():
+        mean, noise, n, _, freq, power = brute(images, 0, 3, of=100 * k, squares=(side, [(r + side // 2, c + side // 2) for r, c in at]))
+        assert (got[k].roi_size, got[k].n_tiles, got[k].geometry, got[k].skipped) == (side, n, None, [2] if k == 1 else [])
+        assert np.isclose(got[k].mean_freq, mean) and np.isclose(got[k].noise, noise)
+        rings = found.rings.filter(f"series_id = {k}").toPandas().sort_values("ring")
+        assert np.allclose(rings["power"], power) and np.allclose(rings["freq"], freq)
+    row, col, radius, _ = phantom.found_in(images[102], None, 48.0)
+    mean, *_ = brute(images, 0, 3, frozen=(16, int(radius * 0.455), int(radius * 0.367)))
+    assert got[7].roi_size == 16 and np.isclose(got[7].mean_freq, mean)
+
+
+def test_reanalysis_of_the_folder_that_holds_the_series(spark, tables, images):
+    """The same series lies in two folders, with other slices in one; candidates are the stored path, the path beside the
+    store, and relocations, most recent first."""
+    rows, slices = tables
+    one = slices.filter("series_id = 1")
+    held = one.withColumn("folder", F.lit("/new/a")).unionByName(one.filter("slice_idx < 12").withColumn("folder", F.lit("/db/images/a"))).unionByName(slices.filter("series_id = 2").withColumn("folder", F.lit("/old/c")))
+    runs = [(1, 1, "/new/./a", ""), (2, 1, "/lost/a", "../images/a"), (3, 1, "/old/a", ""), (4, 1, "/old/c", ""), (5, 1, "/lost/b", ""), (6, 1, "", "")]
+    runs = spark.createDataFrame([(r, "a", s, 6, 2, 11, False, f, rel, "2026-01-01", "annuel", "P", "V") for r, s, f, rel in runs], "run_id long, device_id string, series_id long, hu_slice int, nps_start int, nps_end int, artifacts_present boolean, folder string, folder_rel string, run_date string, control_type string, performed_by string, validated_by string")
+    moves = spark.createDataFrame([("/old", "/new", 1), ("/old", "/db/images", 2), ("/old", "/nowhere", 3)], "old string, new string, seq long")
+    refs = spark.createDataFrame([("a", 12.0, 0.3)], "device_id string, noise double, nps_freq double")
+    scanners = spark.createDataFrame([("a", stored())], FROZEN)
+    got = {r.run_id: r for r in series.reanalysed(runs, held, rows, refs, N, N, scanners, moves, "/db/store").collect()}
+    assert [(got[k].folder, got[k].missing) for k in range(1, 7)] == [("/new/a", None), ("/db/images/a", None), ("/db/images/a", None), (None, series.OTHER_SERIES), (None, series.NO_FOLDER), (None, series.NO_FOLDER)]
+    mean, noise, *_ = brute(images, 2, 11, frozen=(24, 19, 15))
+    for k in (1, 2, 3):
+        assert np.isclose(got[k].nps_freq, mean) and np.isclose(got[k].noise, noise) and not got[k].mismatch and not got[k].clamped
+        assert (got[k].run_date, got[k].control_type, got[k].performed_by, got[k].validated_by, got[k].noise_status) == ("2026-01-01", "annuel", "P", "V", "ok")
+    assert got[4].overall == "incomplete" and got[4].water_ct is None
+
+
+@pytest.mark.parametrize(("path", "want"), [("/a/./b//c/", "/a/b/c"), ("/a/../b", "/b"), ("/../b", "/b"), ("a\\b\\..\\c", "a/c"), ("../../a", "../../a"), ("a/../../b", "../b"), ("/", "/")])
+def test_normalised_paths(spark, path, want):
+    assert spark.range(1).select(archive.normalised(F.lit(path))).first()[0] == want
