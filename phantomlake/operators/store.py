@@ -187,21 +187,6 @@ def record(runs: DataFrame, path: str, device_schema: StructType, consumer: str
 tidy = ledger.tidy
 
 
-def merged_documents(mine: DataFrame, theirs: DataFrame, known: list[str]) -> DataFrame:
-    """Documents to write: `theirs` (device_id, doc) is the text on disk, `mine` (device_id, doc) what this session holds.
-
-    Keys of theirs that are not `known` survive, values of mine replace known ones, and so do entries of theirs that
-    cannot be read (no JSON object, or without device_id): they come back as they are, with `kept` true.
-    """
-    fields = lambda x: F.from_json(x, "map<string,variant>")
-    their = theirs.select("device_id", F.col("doc").alias("their_doc"), fields("doc").alias("their"))
-    unread = their.filter("device_id is null or their is null").select("device_id", F.col("their_doc").alias("doc"), F.lit(True).alias("kept"))
-    pairs = mine.select("device_id", fields("doc").alias("own")).join(their.filter("device_id is not null and their is not null"), "device_id", "left")
-    foreign = F.map_filter(F.coalesce("their", fields(F.lit("{}"))), lambda k, _: ~k.isin(*known))
-    own = F.map_filter("own", lambda k, _: k.isin(*known) | ~F.array_contains(F.map_keys(foreign), k))
-    return pairs.select("device_id", F.to_json(F.map_concat(foreign, own)).alias("doc"), F.lit(False).alias("kept")).unionByName(unread)
-
-
 def _sides(base: DataFrame, mine: DataFrame, theirs: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """Full outer join of three snapshots: presence flags in_base, in_mine, in_theirs and fields <side>_<field>."""
     out = None

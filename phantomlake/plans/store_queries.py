@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from phantomlake.operators import rois, store, validation
+from phantomlake.operators import documents, rois, store, validation
 from phantomlake.plans.registry import query
 from phantomlake.plans.scalar_queries import VERDICT_SQL, judged_runs
 from phantomlake.sources.views import view
@@ -141,18 +141,64 @@ def ref_spectrum_parse(spark, d):
     return validation.parse_spectra(view(spark, d, "part").select("p_partkey", text.alias("text")), "p_partkey")
 
 
-@query("document_merge", """select user_id, count(*) as n, count(*) filter (kept) as n_kept, count(*) filter (not kept and v is not null) as n_foreign, cast(sum(k) as bigint) as total from (
-  select user_id, event_id % 7 = 0 as kept, case when event_id % 7 <> 0 and event_id % 3 = 0 then 'x' end as v, case when event_id % 7 <> 0 then event_id end as k from {events}) group by 1""")
+#: Which controls each side has of scanner k, and what is in them: run 0 changed, run 1 removed, runs 2 and 3 added.
+_RUN_SQL = """select *, ib and r < 2 as rb, im and (r = 0 or (r = 1 and k % 4 <> 1) or (r = 2 and k % 4 = 2)) as rm, it and (r = 0 or (r = 1 and k % 6 <> 1) or (r = 3 and k % 6 = 2)) as rt,
+  case when r = 2 or (r = 0 and k % 4 = 0) then 'm' else 'b' end as vm, case when r = 3 or (r = 0 and k % 6 = 0) then 't' else 'b' end as vt"""
+
+
+def _merge_sql() -> str:
+    theirs = "(select * from {theirs} where k % 19 <> 0)"
+    sides = _SIDES.replace("{theirs}", theirs)
+    stays = "((im and it) or (it and not im and not ib) or (im and not it and (not ib or m1 is distinct from b1 or m2 is distinct from b2 or k % 4 < 3)))"
+    return f"""with d as (select *, case when im and (not it or not ib or m1 is distinct from b1) then m1 else t1 end as f1, case when im and (not it or not ib or m2 is distinct from b2) then m2 else t2 end as f2 from {sides} where {stays}),
+  r as (select k, string_agg('r' || r || ':' || case when rm and (not rt or not rb or vm <> 'b') then vm else vt end, ',' order by -r) as runs
+    from ({_RUN_SQL} from d, range(4) t(r)) where (rm and rt) or (rt and not rm and not rb) or (rm and not rt and (not rb or vm <> 'b')) group by k)
+  select 'dev-' || k as device_id, false as kept, f1 as name, f2 as segment, case when it and k % 3 = 0 then '[1,{{{{"y":null}}}}]' end as foreign_x, coalesce(runs, '') as runs, case when it and k % 5 = 0 then 2 else 0 end as n_unread from d left join r using (k)
+  union all select null, true, null, null, null, '{{{{broken ' || k, 0 from {{theirs}} where k % 19 = 0"""
+
+
+@query("document_merge", _merge_sql())
 def document_merge(spark, d):
-    """Documents on disk, every seventh of them broken and every third with a key of a newer writer, under this session's
-    own: foreign keys and broken entries survive, own values win."""
-    events = view(spark, d, "events").select("user_id", "event_id")
-    key = F.concat(F.lit("dev-"), C("event_id").cast("string"))
-    text = F.concat(F.lit('{"k":-1'), F.when(C("event_id") % 3 == 0, F.lit(',"v":{"x":[1]}')).otherwise(""), F.when(C("event_id") % 7 != 0, F.lit("}")).otherwise(""))
-    theirs, mine = events.select(key.alias("device_id"), text.alias("doc")), events.filter("event_id % 7 <> 0").select(key.alias("device_id"), F.concat(F.lit('{"k":'), C("event_id"), F.lit("}")).alias("doc"))
-    out = store.merged_documents(mine, theirs, ["k"]).join(events.select(key.alias("device_id"), "user_id"), "device_id")
-    rows = out.withColumns({"v": F.get_json_object("doc", "$.v"), "own": F.when(~C("kept"), F.get_json_object("doc", "$.k").cast("long"))})
-    return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if("kept").alias("n_kept"), F.count_if(~C("kept") & C("v").isNotNull()).alias("n_foreign"), F.sum("own").alias("total"))
+    """Documents on three sides with scanners, fields and controls added, changed and removed on two of them; some of theirs
+    have a key of a newer writer, unreadable controls, or are broken as a whole."""
+    run = lambda r, value: F.struct(F.concat(F.lit("r"), F.lit(r)).alias("run_id"), F.lit(f"2026-01-0{9 - r}").alias("run_date"), value.alias("v"))
+    k = C("k")
+
+    def docs(side, runs, more):
+        listed = F.transform(F.filter(F.array(*(F.when(there, run(r, v)) for r, there, v in runs)), lambda x: x.isNotNull()), lambda x: F.to_json(x))
+        text = F.concat(F.to_json(F.struct(F.concat(F.lit("dev-"), k).alias("device_id"), C("f1").alias("name"), C("f2").alias("segment"))), F.lit(""))
+        body = F.concat(F.expr("left({0}, length({0}) - 1)".format("head")), more, F.lit(',"runs":['), F.array_join(F.concat(listed, extra(side)), ","), F.lit("]}"))
+        return view(spark, d, side).withColumn("head", text).withColumn("doc", body)
+
+    def extra(side):
+        return F.when((k % 5 == 0) & F.lit(side == "theirs"), F.array(F.lit("17"), F.lit('{"run_id":"x"}'))).otherwise(F.array().cast("array<string>"))
+
+    yes, b, none = F.lit(True), F.lit("b"), F.lit("")
+    base = docs("base", [(0, yes, b), (1, yes, b)], none)
+    mine = docs("mine", [(0, yes, F.when(k % 4 == 0, "m").otherwise("b")), (1, k % 4 != 1, b), (2, k % 4 == 2, F.lit("m"))], none)
+    theirs = docs("theirs", [(0, yes, F.when(k % 6 == 0, "t").otherwise("b")), (1, k % 6 != 1, b), (3, k % 6 == 2, F.lit("t"))], F.when(k % 3 == 0, ',"x":[1,{"y":null}]').otherwise(""))
+    theirs = theirs.withColumn("doc", F.when(k % 19 == 0, F.concat(F.lit("{broken "), k)).otherwise(C("doc")))
+    out = documents.merged(base, mine, theirs, ["device_id", "name", "segment"])
+    read = documents.parsed(out.select("doc", "kept"))
+    field = lambda x: F.get_json_object("doc", f"$.{x}")
+    runs = F.array_join(F.transform("runs", lambda r: F.concat(r["run_id"], F.lit(":"), F.get_json_object(r["text"], "$.v"))), ",")
+    return read.select("device_id", "kept", field("name").alias("name"), field("segment").alias("segment"), field("x").alias("foreign_x"), F.when(C("kept"), C("doc")).otherwise(runs).alias("runs"), F.coalesce(F.size("bad_runs"), F.lit(0)).alias("n_unread"))
+
+
+@query("nested_quarantine", """select 'dev-' || user_id as device_id, cast(count(*) filter (event_id % 11 <> 0) as int) as n_runs, cast(count(*) filter (event_id % 11 = 0) as int) as n_bad,
+  case when count(*) filter (event_id % 11 = 0) > 0 then 'dev-' || user_id || ' : ' || count(*) filter (event_id % 11 = 0) || case when count(*) filter (event_id % 11 = 0) > 1 then ' contrôles illisibles' else ' contrôle illisible' end end as message
+  from {events} where user_id % 7 <> 0 group by user_id union all select null, 0, 0, 'installation n° ' || user_id || ' illisible' from {events} where user_id % 7 = 0 group by user_id""")
+def nested_quarantine(spark, d):
+    """Scanners with all their controls in one document: every eleventh control has no date or is no object, every seventh
+    scanner's list is no list. Neither hides the others."""
+    event = F.to_json(F.struct(C("event_id").cast("string").alias("run_id"), F.when(C("event_id") % 11 != 0, F.lit("2026-01-01")).alias("run_date")))
+    each = F.when(C("event_id") % 22 == 0, F.lit("[1]")).otherwise(event)
+    listed = view(spark, d, "events").groupBy("user_id").agg(F.concat(F.lit("["), F.array_join(F.collect_list(each), ","), F.lit("]")).alias("list"))
+    runs = F.when(C("user_id") % 7 == 0, F.lit('{"a":1}')).otherwise(C("list"))
+    docs = listed.select("user_id", F.concat(F.lit('{"device_id":"dev-'), "user_id", F.lit('","runs":'), runs, F.lit("}")).alias("doc"))
+    read = documents.parsed(docs).withColumn("device_id", F.when(~C("bad"), C("device_id")))
+    messages = documents.load_warnings(read.withColumn("device_id", C("user_id")), F.concat(F.lit("dev-"), C("user_id")), C("user_id")).select(C("device_id").alias("user_id"), "message")
+    return read.join(messages, "user_id", "left").select("device_id", F.when(C("bad"), 0).otherwise(F.size("runs")).alias("n_runs"), F.when(C("bad"), 0).otherwise(F.size("bad_runs")).alias("n_bad"), "message")
 
 
 @query("ref_results_parse", "select p_partkey, round(p_retailprice / 100, 6) as noise, round(p_size / 100.0, 6) as freq from {part}")

@@ -196,14 +196,6 @@ def test_streaming_equals_batch(spark, tmp_path, given_runs):
     assert {r.event_id: r.overall for r in spark.table("judged").collect()} == batch
 
 
-def test_foreign_keys_and_unreadable_entries_survive(spark):
-    theirs = spark.createDataFrame([("a", '{"name":"old","new_key":{"x":[1,true]},"n":2}'), ("b", "{broken"), (None, '{"other":1}')], "device_id string, doc string")
-    mine = spark.createDataFrame([("a", '{"name":"mine","n":3}'), ("c", '{"name":"fresh"}')], "device_id string, doc string")
-    got = {(r.device_id, r.kept): r.doc for r in store.merged_documents(mine, theirs, ["name", "n"]).collect()}
-    assert json.loads(got["a", False]) == {"name": "mine", "n": 3, "new_key": {"x": [1, True]}} and json.loads(got["c", False]) == {"name": "fresh"}
-    assert got["b", True] == "{broken" and got[None, True] == '{"other":1}' and len(got) == 4
-
-
 @pytest.mark.parametrize(("px", "g_px", "rows", "fits"), [(201.0, 200.0, 512, False), (200.99, 200.0, 512, True), (199.0, 200.0, 512, False), (0.0, 0.0, 512, False), (0.5, 0.0, 512, False), (0.5, -1.0, 512, False), (0.5, None, 512, False), (0.5, 0.5, 1024, False), (0.5, 0.5, 512, True)])
 def test_geometry_fits_strictly_below_the_limit(spark, px, g_px, rows, fits):
     lit = F.lit
