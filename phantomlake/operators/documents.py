@@ -2,8 +2,9 @@
 read, and the merge of two sides never loses what it does not know.
 
 Values are compared as canonical JSON (object keys in order), so their layout does not matter. A document that is no JSON
-object, has no device_id or a `runs` that is no list is unreadable as a whole; a control that is no object, or lacks one
-of the `required` fields, is unreadable alone and hides neither its scanner nor the other controls.
+object, has no device_id or a `runs` that is no list is unreadable as a whole; a control that is no object, or has no
+date (`run_date`, a text), is unreadable alone and hides neither its scanner nor the other controls. A control without
+run_id has that of its series, else one of its date and content.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from pyspark.sql import functions as F
 
 from phantomlake.operators.store import guard_version
 
-REQUIRED = ("run_id", "run_date")
 SCHEMA_VERSION = 2
 
 
@@ -21,7 +21,7 @@ def _text(v: Column, key: str) -> Column:
     return F.try_variant_get(v, f"$.{key}", "string")
 
 
-def parsed(docs: DataFrame, json_col: str = "doc", required: tuple[str, ...] = REQUIRED) -> DataFrame:
+def parsed(docs: DataFrame, json_col: str = "doc") -> DataFrame:
     """The documents with device_id, `fields` (all keys but runs, as JSON text), `runs` (array of run_id, run_date,
     recorded_at and text; the last one of an id), `bad_runs` (JSON text) and `bad` (the whole document is unreadable)."""
     whole = docs.withColumn("_o", F.from_json(json_col, "map<string,variant>"))
@@ -32,7 +32,7 @@ def parsed(docs: DataFrame, json_col: str = "doc", required: tuple[str, ...] = R
     entries = F.try_variant_get("_r", "$", "array<variant>")
     none = F.col("_r").isNull() | F.is_variant_null("_r")
     bad = F.col("_o").isNull() | F.col("device_id").isNull() | (~none & entries.isNull())
-    listed = listed.withColumns({"bad": F.coalesce(bad, F.lit(True)), "_runs": F.when(~none, F.transform(entries, _entry(required)))})
+    listed = listed.withColumns({"bad": F.coalesce(bad, F.lit(True)), "_runs": F.when(~none, F.transform(entries, _entry))})
     empty = F.array().cast("array<struct<run_id:string,run_date:string,recorded_at:string,text:string,ok:boolean>>")
     runs = F.coalesce("_runs", empty)
     good = F.filter(runs, lambda r: r["ok"])
@@ -44,14 +44,14 @@ def parsed(docs: DataFrame, json_col: str = "doc", required: tuple[str, ...] = R
     }).drop("_o", "_r", "_runs")
 
 
-def _entry(required: tuple[str, ...]):
-    def one(v: Column) -> Column:
-        ok = F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
-        for key in required:
-            ok = ok & _text(v, key).isNotNull()
-        return F.struct(_text(v, "run_id").alias("run_id"), _text(v, "run_date").alias("run_date"), F.coalesce(_text(v, "recorded_at"), F.lit("")).alias("recorded_at"), F.coalesce(F.to_json(v), F.lit("null")).alias("text"), F.coalesce(ok, F.lit(False)).alias("ok"))
-
-    return one
+def _entry(v: Column) -> Column:
+    """One control of a list: its id, date, recording and text, and whether it can be read."""
+    text, date = F.coalesce(F.to_json(v), F.lit("null")), _text(v, "run_date")
+    dated = F.schema_of_variant(F.try_variant_get(v, "$.run_date", "variant")) == "STRING"
+    ok = F.try_variant_get(v, "$", "map<string,variant>").isNotNull() & date.isNotNull() & dated
+    named = [F.nullif(_text(v, k), F.lit("")) for k in ("run_id", "series_uid")]
+    run_id = F.coalesce(*named, F.concat(date, F.lit("-"), F.substring(F.sha2(text, 256), 1, 8)))
+    return F.struct(run_id.alias("run_id"), date.alias("run_date"), F.coalesce(_text(v, "recorded_at"), F.lit("")).alias("recorded_at"), text.alias("text"), F.coalesce(ok, F.lit(False)).alias("ok"))
 
 
 def load_warnings(read: DataFrame, name: Column, number: Column) -> DataFrame:

@@ -85,8 +85,10 @@ def test_one_bad_control_hides_nothing(spark):
     """A scanner with one bad control of five keeps four and reports one."""
     doc = device("a", "x", [(f"r{k}", k) for k in range(4)])
     doc["runs"].insert(2, {"run_id": "bad"})
+    del doc["runs"][0]["run_id"]
+    doc["runs"][1]["run_id"], doc["runs"][1]["series_uid"] = "", "1.2.3"
     read = documents.parsed(table(spark, [doc, "{"]))
     rows = {r.device_id: r for r in read.collect()}
-    assert len(rows["a"].runs) == 4 and [json.loads(x) for x in rows["a"].bad_runs] == [{"run_id": "bad"}] and rows[None].bad
+    assert [r.run_id[:11] for r in rows["a"].runs] == ["2026-01-09-", "1.2.3", "r2", "r3"] and [json.loads(x) for x in rows["a"].bad_runs] == [{"run_id": "bad"}] and rows[None].bad
     messages = documents.load_warnings(read, F.lit("Scanner"), F.lit(2)).collect()
     assert {r.message for r in messages} == {"Scanner : 1 contrôle illisible", "installation n° 2 illisible"}
