@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,16 +64,27 @@ def nps_rois(phantoms: DataFrame, g: dict[str, Column]) -> DataFrame:
     return phantoms.withColumn("roi", F.explode(F.array(*each))).select("*", "roi.*").drop("roi")
 
 
+def _on_rows(image_rows: DataFrame, rois: DataFrame, crosses: Callable[[Column], Column], made: Callable[[Column], Column]) -> DataFrame:
+    """One row for each image row and region that crosses it: slice_id, row_idx and the fields of `made`.
+
+    Regions meet pixels by slice alone, all of a slice in one array (a slice has a few regions for each analysis it serves).
+    So pixels that are stored bucketed by slice (see pixels.write_slice_rows) are joined and grouped where they lie.
+    """
+    held = rois.groupBy("slice_id").agg(F.collect_list(F.struct(*(c for c in rois.columns if c != "slice_id"))).alias("_rois"))
+    return image_rows.select("slice_id", "row_idx", "hu").join(held, "slice_id").select("slice_id", "row_idx", F.inline(F.transform(F.filter("_rois", crosses), made)))
+
+
 def circle_parts(image_rows: DataFrame, rois: DataFrame) -> DataFrame:
-    """The pixels of each circle, one array per image row it crosses. A ROI meets its image rows by equality of
-    (slice_id, row_idx), so both sides are dealt by slice; pixels stay in arrays."""
-    r = F.col("radius")
-    rows = rois.select("slice_id", "roi_idx", "name", "cx", "cy", "radius", F.explode(F.sequence(F.col("cy") - r, F.col("cy") + r)).alias("row_idx"))
-    joined = image_rows.join(rows, ["slice_id", "row_idx"])
-    dy = F.col("row_idx") - F.col("cy")
-    w = F.floor(F.sqrt((r * r - dy * dy).cast("double"))).cast("int")
-    first, last = F.greatest(F.col("cx") - w, F.lit(0)), F.least(F.col("cx") + w, F.size("hu") - 1)
-    return joined.select("slice_id", "roi_idx", "name", "row_idx", F.slice("hu", first + 1, F.greatest(last - first + 1, F.lit(0))).alias("part"))
+    """The pixels of each circle, one array per image row it crosses; pixels stay in arrays."""
+    dy = lambda r: F.col("row_idx") - r["cy"]
+
+    def made(r: Column) -> Column:
+        w = F.floor(F.sqrt((r["radius"] * r["radius"] - dy(r) * dy(r)).cast("double"))).cast("int")
+        first, last = F.greatest(r["cx"] - w, F.lit(0)), F.least(r["cx"] + w, F.size("hu") - 1)
+        return F.struct(r["roi_idx"].alias("roi_idx"), r["name"].alias("name"), F.slice("hu", first + 1, F.greatest(last - first + 1, F.lit(0))).alias("part"))
+
+    rows = _on_rows(image_rows, rois.select("slice_id", "roi_idx", "name", "cx", "cy", "radius"), lambda r: F.abs(dy(r)) <= r["radius"], made)
+    return rows.select("slice_id", "roi_idx", "name", "row_idx", "part")
 
 
 def roi_stats(image_rows: DataFrame, rois: DataFrame) -> DataFrame:
@@ -112,10 +125,11 @@ def skipped_rois(rois: DataFrame, keys: list[str]) -> DataFrame:
 
 def roi_tiles(image_rows: DataFrame, rois: DataFrame, n_rows: int | Column, n_cols: int | Column | None = None) -> DataFrame:
     """slice_id, roi_idx, side, z: the row-major pixels of each square inside the image. Squares may differ in size."""
-    start = F.col("y") - F.floor(F.col("side") / 2)
+    corner = lambda r, c: (r[c] - F.floor(r["side"] / 2)).cast("int")
     whole = rois.filter(inside(F.col("x"), F.col("y"), F.col("side"), F.lit(n_rows), F.lit(n_rows if n_cols is None else n_cols)))
-    rows = whole.select("slice_id", "roi_idx", "x", "side", F.explode(F.sequence(start.cast("int"), (start + F.col("side") - 1).cast("int"))).alias("row_idx"))
-    parts = image_rows.join(rows, ["slice_id", "row_idx"]).select("slice_id", "roi_idx", "side", "row_idx", F.slice("hu", (F.col("x") - F.floor(F.col("side") / 2) + 1).cast("int"), F.col("side")).alias("part"))
+    crosses = lambda r: (F.col("row_idx") >= corner(r, "y")) & (F.col("row_idx") < corner(r, "y") + r["side"])
+    made = lambda r: F.struct(r["roi_idx"].alias("roi_idx"), r["side"].alias("side"), F.slice("hu", corner(r, "x") + 1, r["side"]).alias("part"))
+    parts = _on_rows(image_rows, whole.select("slice_id", "roi_idx", "x", "y", "side"), crosses, made)
     ordered = F.array_sort(F.collect_list(F.struct("row_idx", "part")))
     return parts.groupBy("slice_id", "roi_idx", "side").agg(F.flatten(F.transform(ordered, lambda r: r["part"])).alias("z"))
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phantomlake.functions import scalars as S
-from phantomlake.operators import archive, catalogue, devices, selection
+from phantomlake.operators import archive, catalogue, devices, pixels, selection
 from phantomlake.plans.registry import query
 from phantomlake.plans.scalar_queries import CLASS_SQL, DEVICE_ID_SQL
 from phantomlake.sources.views import view
@@ -19,6 +22,22 @@ def candidate_files(spark, d):
     return view(spark, d, "pages").select("page_id", catalogue.is_candidate(C("url")).alias("candidate"))
 
 
+_WITH_HEADER = ("lineitem", "orders", "pages", "documents")
+_TABLES = ("region", "nation", "customer", "supplier", "part", "events", "embeddings", "benchmark", "labels", "conversations", *_WITH_HEADER)
+
+
+@query("folder_scan", " union all ".join(f"select '{t}' as name, true as candidate, '{'ok' if t in _WITH_HEADER else 'error'}' as kind, '{'' if t in _WITH_HEADER else pixels.UNREADABLE}' as reason, {'n' if t in _WITH_HEADER else 'cast(null as bigint)'} as n_rows from (select count(*) as n from {{{t}}})" for t in _TABLES))
+def folder_scan(spark, d):
+    """The files of the folder that holds the tables: candidates by their names alone, then those with a header (here: rows
+    that can be counted without reading a column), all others as unreadable."""
+    files = pixels.scan_files(spark, d)
+    rows = [view(spark, d, t).select(pixels.plain_path(C("_metadata.file_path")).alias("path")) for t in _WITH_HEADER]
+    headers = reduce(DataFrame.unionByName, rows).groupBy("path").agg(F.count("*").alias("n_rows"))
+    report = pixels.scan_report(files, headers, F.struct(F.lit("ok").alias("kind"), F.lit("").alias("reason"))).join(headers, "path", "left")
+    name = F.regexp_extract("path", r"/([a-z]+)\.parquet(/[^/]*)?$", 1)
+    return report.groupBy(name.alias("name")).agg(F.lit(True).alias("candidate"), F.max("kind").alias("kind"), F.max("reason").alias("reason"), F.sum("n_rows").alias("n_rows"))
+
+
 def classified(spark, d):
     found = catalogue.slice_class(C("modality"), C("sop_class"), C("image_type"), C("orient_rx"), F.lit(0.0), F.lit(0.0), C("orient_cy"), C("lossy"), C("single_plane"))
     rows = view(spark, d, "raw_headers").withColumn("c", found).withColumn("s", S.pixel_spacing(C("spacing_row"), C("spacing_col")))

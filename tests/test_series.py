@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from phantomlake.operators import archive, devices, phantom, rois, series, validation
+from phantomlake.operators import archive, devices, phantom, pixels, rois, series, validation
 
 N, SIDE, PX = 96, 32, 0.5
 
@@ -230,3 +230,74 @@ def test_reanalysis_of_the_folder_that_holds_the_series(spark, tables, images):
 @pytest.mark.parametrize(("path", "want"), [("/a/./b//c/", "/a/b/c"), ("/a/../b", "/b"), ("/../b", "/b"), ("a\\b\\..\\c", "a/c"), ("../../a", "../../a"), ("a/../../b", "../b"), ("/", "/")])
 def test_normalised_paths(spark, path, want):
     assert spark.range(1).select(archive.normalised(F.lit(path))).first()[0] == want
+
+
+def exchanges_over(plan, scan):
+    """Exchanges that stand above a scan in a plan's text, which shows a node's inputs below it, further to the right."""
+    above, found = [], []
+    for line in plan.splitlines():
+        node = line.lstrip(" :+-")
+        depth = len(line) - len(node)
+        above = [(d, n) for d, n in above if d < depth]
+        if scan in node:
+            found += [n for _, n in above if n.startswith("Exchange")]
+        above.append((depth, node))
+    assert any(scan in line for line in plan.splitlines())
+    return found
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def bucketed(spark, tables, tmp_path_factory):
+    rows, slices = tables
+    path = tmp_path_factory.mktemp("pixels")
+    spark.sql("drop table if exists slice_rows_test")
+    pixels.write_slice_rows(rows, "slice_rows_test", 4, str(path / "t"))
+    slices.write.parquet(str(path / "slices"))
+    yield spark.table("slice_rows_test"), spark.read.parquet(str(path / "slices"))
+    spark.sql("drop table if exists slice_rows_test")
+
+
+def test_bucketed_pixels_are_not_dealt_again(spark, bucketed, tables, images):
+    """No exchange stands above the scan of the pixels, whether regions are broadcast or joined, and results are the same.
+    The water component deals its runs, a few for each image row, instead of pixels."""
+    rows, slices = bucketed
+    squares = slices.select("slice_id", F.lit(0).alias("roi_idx"), F.lit(48).alias("x"), F.lit(47).alias("y"), F.lit(32).alias("side"))
+    circles = slices.select("slice_id", F.lit(0).alias("roi_idx"), F.lit("c").alias("name"), F.lit(48).alias("cx"), F.lit(47).alias("cy"), F.lit(9).alias("radius"))
+    centres = slices.select("slice_id", F.lit(48.0).alias("center_row"), F.lit(48.0).alias("center_col"))
+    made = {
+        "tiles": lambda r: rois.roi_tiles(r, squares, N), "stats": lambda r: rois.water_results(rois.roi_stats(r, circles)), "component": phantom.water_component,
+        "edges": lambda r: phantom.ray_edges(r, centres), "found": lambda r: phantom.detect_phantom(r, centres),
+    }
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for limit in ("-1", "100000"):  # the pixels are larger than that, what they are joined with is smaller
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            for name, f in made.items():
+                plan = plan_of(f(rows))
+                assert exchanges_over(plan, "FileScan parquet spark_catalog.default.slice_rows_test") == [] or name == "component", plan
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    rounded = lambda df: sorted(str([round(x, 9) if isinstance(x, float) else x for x in r]) for r in df.collect())
+    for name, f in made.items():
+        assert rounded(f(rows)) == rounded(f(tables[0])), name
+    z = {r.slice_id: r.z for r in rois.roi_tiles(rows, squares, N).collect()}
+    assert np.allclose(z[105], images[105][31:63, 32:64].ravel())
+    got = series.nps_of_series(rows, slices, N, N).series.filter("series_id = 1").first()
+    assert np.isclose(got.mean_freq, brute(images, 2, 11)[0])
+
+
+def test_scans_of_folders_read_no_content(spark, tmp_path):
+    for name in ("a/1.dcm", "a/b/IM2", "a/notes.TXT", "a/DICOMDIR", "a/.hidden", "a/b/3.jpg", "a/b/broken"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x" * 10)
+    files = pixels.scan_files(spark, str(tmp_path))
+    assert "content" not in re.search(r"ReadSchema: (.*)", plan_of(files)).group(1)
+    assert {r.path.removeprefix(str(tmp_path)): r.candidate for r in files.collect()} == {"/a/1.dcm": True, "/a/b/IM2": True, "/a/notes.TXT": False, "/a/DICOMDIR": False, "/a/b/3.jpg": False, "/a/b/broken": True}
+    headers = spark.createDataFrame([(f"{tmp_path}/a/1.dcm", "CT"), (f"{tmp_path}/a/b/IM2", "MR"), ("/elsewhere", "CT")], "path string, modality string")
+    reason = F.when(F.col("modality") == "MR", F.struct(F.lit("skipped").alias("kind"), F.lit("MR").alias("reason"))).otherwise(F.struct(F.lit("ok").alias("kind"), F.lit("").alias("reason")))
+    got = {r.path.removeprefix(str(tmp_path)): (r.folder.removeprefix(str(tmp_path)), r.kind, r.reason) for r in pixels.scan_report(files, headers, reason).collect()}
+    assert got == {"/a/1.dcm": ("/a", "ok", ""), "/a/b/IM2": ("/a/b", "skipped", "MR"), "/a/b/broken": ("/a/b", "error", pixels.UNREADABLE)}
