@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -353,3 +354,15 @@ def test_registered_queries(spark, name):
             assert r.repaired_sha256 == hashlib.sha256("\n".join(f"{a}:{b}" for a, b in repaired_by_hand(mine, r.audit)).encode()).hexdigest()
     else:
         assert {r.doc_id: tuple(r)[1:5] for r in got} == {i: tuple(sum(y == k for _, y, _ in plain_base(t or "")) for k in range(4)) for i, t in rows}
+
+
+@pytest.mark.parametrize("name", ["op12_conversation_repair", "op13_prefix_trie"])
+def test_oracles(spark, name):
+    from phantomlake.llm.queries import oracle_sql
+
+    con = duckdb.connect()
+    con.sql("create view conversations as select * from '/root/testdata/sf0.001/conversations.parquet'")
+    got, want = queries()[name](spark, "/root/testdata/sf0.001"), con.sql(oracle_sql()[name])
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    assert sorted(map(repr, (tuple(r) for r in got.select(columns).collect()))) == sorted(map(repr, want.select(*columns).fetchall()))
