@@ -19,7 +19,8 @@ A document is rejected when the removed lines hold more than half of its words,
 rules: under 50 words, or more than half of its words in 3-word windows that occur twice or more.
 
 Null and empty texts have no words and are rejected; every repeated row is judged on its own; very long
-texts are judged whole; an empty table gives an empty table. Copies and windows are compared by their text
+texts are judged whole; an empty table gives an empty table. What a text does not have anywhere is not looked for in its
+lines. Vocabularies may be given (see vocabulary_of). Copies and windows are compared by their text
 (lines) or by 64-bit hashes of their words (windows).
 """
 
@@ -62,8 +63,7 @@ ARROW = pa.schema([(c.split()[0], pa.bool_() if c.endswith("boolean") else pa.in
 _BLANKS = (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")
 _SYM = [x.encode() for x in SYMBOLS]
 _SEP = [x.encode() for x in SEPARATORS]
-_MENU = frozenset(x.encode() for x in MENU)
-_PHRASES = [x.encode() for x in BOILERPLATE]
+_MARKS = [b"!!", b"??"]
 _NOT_UPPER = bytes(x for x in range(256) if not 65 <= x <= 90)
 _NOT_LOWER = bytes(x for x in range(256) if not 97 <= x <= 122)
 _OPEN = tuple(x.encode() for x in OPEN_ENDS)
@@ -78,27 +78,57 @@ class Limits(NamedTuple):
     max_lost_percent: int = 50
 
 
-def line_fails(line: bytes, words: list[bytes]) -> bool:
+class Vocabulary(NamedTuple):
+    """Entries of menus and phrases of boilerplate, as lower-case (A-Z) UTF-8."""
+
+    menu: frozenset[bytes] = frozenset(x.encode() for x in MENU)
+    phrases: tuple[bytes, ...] = tuple(x.encode() for x in BOILERPLATE)
+
+
+def vocabulary_of(table: DataFrame, most: int = 1_000_000) -> Vocabulary:
+    """From a table of (kind, text), kind `menu` or `boilerplate`; at most `most` rows, which every worker holds."""
+    rows = table.select("kind", F.lower("text").alias("text")).filter("text <> ''").distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a vocabulary of more than {most} entries")
+    return Vocabulary(frozenset(r["text"].encode() for r in rows if r["kind"] == "menu"), tuple(sorted(r["text"].encode() for r in rows if r["kind"] == "boilerplate")))
+
+
+class Present(NamedTuple):
+    """Of what rules count, that which a text has at all."""
+
+    symbols: list[bytes]
+    separators: list[bytes]
+    marks: list[bytes]
+    phrases: list[bytes]
+
+    @classmethod
+    def of(cls, text: bytes, vocabulary: Vocabulary) -> Present:
+        low = text.translate(LOWER)
+        return cls(*([x for x in found if x in where] for found, where in ((_SYM, text), (_SEP, text), (_MARKS, text), (vocabulary.phrases, low))))
+
+
+def line_fails(line: bytes, words: list[bytes], has: Present, menu: frozenset[bytes]) -> bool:
     """Whether a line with words fails a rule that looks at this line alone."""
     n = len(words)
-    if 10 * sum(line.count(x) for x in _SYM) > 3 * n:
+    if has.symbols and 10 * sum(line.count(x) for x in has.symbols) > 3 * n:
         return True
     upper = len(line.translate(None, _NOT_UPPER))
     if upper > 7:
         letters = upper + len(line.translate(None, _NOT_LOWER))
         if letters >= 10 and 10 * upper > 7 * letters:
             return True
-    if 10 * (line.count(b"!!") + line.count(b"??")) > 3 * n:
+    if has.marks and 10 * sum(line.count(x) for x in has.marks) > 3 * n:
         return True
-    seps = sum(line.count(x) for x in _SEP)
+    seps = sum(line.count(x) for x in has.separators) if has.separators else 0
     if seps >= 3 and 20 * seps >= n:
         return True
-    low = line.translate(LOWER)
-    if n <= 3 and b" ".join(words).translate(LOWER) in _MENU:
-        return True
-    phrases = sum(x in low for x in _PHRASES)
-    if phrases and 50 * phrases >= n:
+    if n <= 3 and b" ".join(words).translate(LOWER) in menu:
         return True
+    if has.phrases:
+        low = line.translate(LOWER)
+        phrases = sum(x in low for x in has.phrases)
+        if phrases and 50 * phrases >= n:
+            return True
     if n >= 10 and 5 * len(set(words)) < min(n, 500):
         return True
     return 3 <= n <= 60 and words[-1].endswith(_OPEN)
@@ -117,7 +147,8 @@ class Judged(NamedTuple):
     clean: bytes
 
 
-def judged(text: bytes) -> Judged:
+def judged(text: bytes, vocabulary: Vocabulary = Vocabulary()) -> Judged:
+    has = Present.of(text, vocabulary)
     seen: set[bytes] = set()
     lines = text.split(b"\n")
     lost: dict[int, int] = {}  # line -> words, of the lines that failed
@@ -142,12 +173,12 @@ def judged(text: bytes) -> Judged:
             listing.append((k, n))
         else:
             close()
-        if copy or line_fails(line, words):
+        if copy or line_fails(line, words, has, vocabulary.menu):
             lost[k] = n
     close()
     chars = len(text.decode(errors="replace")) - sum(text.count(x) for x in _BLANKS)
     clean = b"\n".join([x for k, x in enumerate(lines) if k not in lost]) if lost else text
-    return Judged(n_words, chars, sum(text.count(x) for x in _SYM), dup, n_lines, len(lost), sum(lost.values()), clean)
+    return Judged(n_words, chars, sum(text.count(x) for x in has.symbols), dup, n_lines, len(lost), sum(lost.values()), clean)
 
 
 def repeat_words(texts: list[bytes], hashes: WordHashes) -> np.ndarray:
@@ -177,7 +208,7 @@ def is_kept(x: Judged, n_repeat: int, limits: Limits) -> bool:
     return not base_failed(x.n_words, n_repeat, limits) and 100 * x.n_lost_words <= limits.max_lost_percent * x.n_words
 
 
-def quality_rules(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality_rules(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", vocabulary: Vocabulary = Vocabulary()) -> DataFrame:
     """One row of counts and verdicts per document."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +217,7 @@ def quality_rules(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc
             texts, ids = raw(part.column("text")), part.column("doc_id").to_pylist()
             for a, z in by_bytes(texts):
                 repeats = repeat_words(texts[a:z], hashes).tolist()
-                found = [judged(x) for x in texts[a:z]]
+                found = [judged(x, vocabulary) for x in texts[a:z]]
                 rows = [
                     (i, x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, n, base_failed(x.n_words, n, limits), is_kept(x, n, limits), x.n_lines, x.n_bad_lines, x.n_lost_words)
                     for i, x, n in zip(ids[a:z], found, repeats, strict=True)
@@ -196,7 +227,12 @@ def quality_rules(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc
     return id_text(docs, id_col, text_col).mapInArrow(run, COLUMNS)
 
 
-def clean_documents(docs: DataFrame, limits: Limits = Limits(), text_col: str = "text") -> DataFrame:
+def clean_text(text: bytes) -> bytes:
+    """The text without the lines that fail a rule."""
+    return judged(text).clean
+
+
+def clean_documents(docs: DataFrame, limits: Limits = Limits(), text_col: str = "text", vocabulary: Vocabulary = Vocabulary()) -> DataFrame:
     """The kept documents with all their columns, their failed lines removed; n_chars follows where it exists."""
     small_batches(docs.sparkSession)
     names = docs.columns
@@ -208,7 +244,7 @@ def clean_documents(docs: DataFrame, limits: Limits = Limits(), text_col: str =
             clean: list[bytes] = []
             keep: list[bool] = []
             for a, z in by_bytes(texts):
-                for x, n in zip([judged(x) for x in texts[a:z]], repeat_words(texts[a:z], hashes).tolist(), strict=True):
+                for x, n in zip([judged(x, vocabulary) for x in texts[a:z]], repeat_words(texts[a:z], hashes).tolist(), strict=True):
                     keep.append(is_kept(x, n, limits))
                     clean.append(x.clean)
             k = names.index(text_col)

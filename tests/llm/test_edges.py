@@ -11,6 +11,8 @@ from phantomlake.llm.common import new_path, written
 from phantomlake.llm.queries import queries
 from phantomlake.llm.tokens import ChunkEncoder, default_tokenizer
 
+from .conftest import prose
+
 BYTES, WORD = default_tokenizer("byte_bpe_50k.json"), default_tokenizer("word_bpe_49k.json")
 
 
@@ -107,3 +109,14 @@ def test_stages_keep_columns(spark, make, odd_rows):
     for out in (cleaning.clean_documents(docs), line_crf.good_documents(docs, model), near_dedup.without_near_duplicates(docs), decontaminate.clean_documents(docs, items)):
         assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
         assert out.count() <= len(odd_rows)
+
+
+def test_vocabulary_from_a_table(spark, make):
+    """Rules with entries of one's own instead of the built-in ones."""
+    own = cleaning.vocabulary_of(spark.createDataFrame([("menu", "Navigate"), ("boilerplate", "Own Phrase"), ("boilerplate", ""), ("boilerplate", None), ("menu", "navigate")], "kind string, text string"))
+    assert own == cleaning.Vocabulary(frozenset([b"navigate"]), (b"own phrase",))
+    text = f"{prose(1)}\nNavigate\nThis own phrase stands here.\nAll rights reserved.\nHome page is here.\n{prose(2)}".encode()
+    assert b"Navigate" not in cleaning.judged(text, own).clean and b"own phrase" not in cleaning.judged(text, own).clean and b"All rights reserved." in cleaning.judged(text, own).clean
+    assert b"All rights reserved." not in cleaning.judged(text).clean and b"own phrase" in cleaning.judged(text).clean
+    with pytest.raises(ValueError, match="more than 1 entries"):
+        cleaning.vocabulary_of(spark.createDataFrame([("menu", "a"), ("menu", "b")], "kind string, text string"), most=1)
