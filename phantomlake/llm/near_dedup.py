@@ -200,21 +200,26 @@ class Unit:
 
 
 def meeting(posts: DataFrame, coords: int, matches: int, block: int, threshold: int) -> DataFrame:
-    """The units of comparison with the documents that have a partner there, a row for each."""
+    """The units of comparison with the documents that have a partner there, a row for each, by block and id. `among`
+    marks each one's partners, a bit for each row of the unit; `n` is the number of these rows."""
+    out = pa.schema([*((k, pa.int32() if k in ("coord", "i", "j") else pa.int64()) for k in UNIT), ("own", pa.int32()), ("rep", pa.int64()), ("comp", pa.int64()), ("n_shingles", pa.int64()), ("among", pa.binary()), ("n", pa.int32())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in units(parts):
             if len(table) > 1:
                 unit = Unit(table, coords, matches, threshold)
-                kept = np.zeros(len(table), bool)
+                meets = np.zeros((len(table), len(table)), bool)
                 for k, at in unit.partners():
-                    kept[unit.order[k]] = True
-                    kept[unit.order[at]] = True
-                if kept.any():
-                    yield from table.filter(pa.array(kept)).combine_chunks().to_batches()
+                    meets[k, at] = True
+                kept = np.flatnonzero(meets.any(axis=0) | meets.any(axis=1))
+                if len(kept):
+                    marks = np.packbits(meets[np.ix_(kept, kept)], axis=1)
+                    rows = table.take(pa.array(unit.order[kept])).combine_chunks()
+                    columns = {k: rows.column(k) for k in (*UNIT, "own", "rep", "comp", "n_shingles")} | {"among": [x.tobytes() for x in marks], "n": np.full(len(kept), len(kept))}
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) if isinstance(x, (list, np.ndarray)) else x.combine_chunks().cast(f.type) for x, f in zip(columns.values(), out, strict=True)], schema=out)
 
     dealt = list_blocks(members(posts), block).select(*UNIT, "own", "rep", "comp", "n_shingles", "sig", "prefix")
-    return dealt.repartition(*UNIT).sortWithinPartitions(*UNIT).mapInArrow(run, dealt.schema)
+    return dealt.repartition(*UNIT).sortWithinPartitions(*UNIT).mapInArrow(run, "coord int, value long, i int, j int, own int, rep long, comp long, n_shingles long, among binary, n int")
 
 
 def similar(one: np.ndarray, others: list[np.ndarray], marks: np.ndarray, threshold: int) -> Iterator[int]:
@@ -232,22 +237,32 @@ def similar(one: np.ndarray, others: list[np.ndarray], marks: np.ndarray, thresh
 
 
 def met(posts: DataFrame, sets: DataFrame, coords: int, matches: int, block: int, threshold: int) -> DataFrame:
-    """a, b: the links between documents that meet in a list, of each unit a spanning forest."""
+    """a, b: the links between documents that meet in a list, of each unit a spanning forest. Signatures are compared once, in
+    `meeting`; sets are compared along its marks."""
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.zeros(MARKS, np.int64)
         for table in units(parts):
-            unit, a, b = Unit(table, coords, matches, threshold), [], []
+            rep, own, comp = (table.column(k).to_numpy() for k in ("rep", "own", "comp"))
+            order = np.lexsort((rep, own))
+            rep, comp, n = rep[order], comp[order].copy(), table.column("n")[0].as_py()
+            if len(rep) != n:
+                raise ValueError(f"{len(rep)} of the {n} documents of a unit have sets")
+            meets = np.unpackbits(np.frombuffer(b"".join(table.column("among").to_pylist()), np.uint8).reshape(n, -1)[order], axis=1, count=n).astype(bool)
             column = table.column("shingles")
-            own = [np.frombuffer(column[n].as_py(), np.uint64) for n in unit.order.tolist()]
-            for k, at in unit.partners():
-                for n in similar(own[k], [own[m] for m in at.tolist()], marks, threshold):
-                    m = at[n]
-                    if unit.comp[m] != unit.comp[k]:
-                        unit.comp[unit.comp == unit.comp[m]] = unit.comp[k]
-                        a.append(min(unit.rep[k], unit.rep[m]))
-                        b.append(max(unit.rep[k], unit.rep[m]))
+            sets_ = [np.frombuffer(column[x].as_py(), np.uint64) for x in order.tolist()]
+            a, b = [], []
+            for k in range(n):
+                at = np.flatnonzero(meets[k] & (comp != comp[k]))
+                if not len(at):
+                    continue
+                for x in similar(sets_[k], [sets_[m] for m in at.tolist()], marks, threshold):
+                    m = at[x]
+                    if comp[m] != comp[k]:
+                        comp[comp == comp[m]] = comp[k]
+                        a.append(min(rep[k], rep[m]))
+                        b.append(max(rep[k], rep[m]))
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=out)
 
@@ -366,10 +381,12 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, coords: int = COORDS,
         more = written(found, "links")
         links = more if links is None else links.unionByName(more)
         comps = components(links)
-    rows = every.join(classes.select("digest", "n_shingles", "rep"), ["digest", "n_shingles"], "left")
+    # what has no words or no id links with nothing and meets nothing in a join
+    alone = every.filter("digest is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    rows = linked.join(classes.select("digest", "n_shingles", "rep"), ["digest", "n_shingles"])
     rows = rows.join(comps, rows["rep"] == comps["node"], "left")
-    comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "rep", "doc_id"))
-    return rows.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
+    comp = F.coalesce("comp", "rep")
+    return rows.select("doc_id", "n_shingles", comp.alias("component_id"), (F.col("doc_id") == comp).alias("kept")).unionByName(alone)
 
 
 def without_near_duplicates(docs: DataFrame, threshold: int = 80, **options) -> DataFrame:

@@ -1,8 +1,10 @@
 """Where an operator once did less than the whole job: each test fails on a cut of rows, counts or copies."""
 
+import random
 import zlib
 
 import numpy as np
+import pytest
 
 from phantomlake.llm import near_dedup, packing, ppm
 from phantomlake.llm.tokens import ChunkEncoder
@@ -70,3 +72,25 @@ def test_packing_leaves_one_sequence_open(spark, make):
         w.sort()
         assert [a for a, _ in w] == np.cumsum([0, *(n for _, n in w[:-1])]).tolist()
     assert len(windows) == -(-sum(map(len, ids.values())) // size)
+
+
+@pytest.mark.parametrize("percent", [85, 86, 88])
+def test_links_just_above_the_threshold_are_found(spark, make, percent):
+    """Real near copies: pairs whose shared shingles are exactly `percent` in 100 of the union, in texts of their own."""
+    rows = []
+    for k in range(60):
+        rng = random.Random(1000 * percent + k)
+        words = [f"w{rng.randrange(10**9)}" for _ in range(104)]  # 100 shingles
+        # words put in place of the last ones change one shingle each: 100 - c are shared, of 100 + c
+        c = (100 * (100 - percent)) // (100 + percent)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: 104 - c] + [f"x{rng.randrange(10**9)}" for _ in range(c)]))]
+        assert 100 * (100 - c) >= percent * (100 + c)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(make(rows), threshold=85).collect()}
+    assert all(got[2 * k + 1] == 2 * k for k in range(60))
+
+
+def test_many_texts_without_words(spark, make):
+    """They link with nothing, and no join brings them together."""
+    rows = [(k, None if k % 2 else " \n") for k in range(500)] + [(600, "a b c d e f"), (601, "A B C D E F"), (None, "a b c d e f")]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(make(rows)).collect()}
+    assert all(got[k] == (0, k, True) for k in range(500)) and got[600] == (2, 600, True) and got[601] == (2, 600, False) and got[None] == (2, None, True)
