@@ -1,8 +1,11 @@
 """Quality classifier: a linear-chain conditional random field over the lines of a document.
 
 Every line is good or bad. A line's features are its shape (length, symbols, capitals, repetition, ending) and
-the shape of the lines beside it; no words, ids, languages or sources. Training maximises the likelihood of
-the lines' labels, which are their document's label, with the gradient from forward-backward marginals. A
+the shape of the lines beside it; no words, ids, languages or sources. Labels are of documents, so the lines of a
+training document all have its label; that there are documents of both kinds of lines is told by mixtures: beside each
+training document stands one that is made of it and a block of lines of a document of the other label, each line with the
+label of its own document. Training maximises the likelihood of the lines' labels over both, with the gradient from
+forward-backward marginals; so the field learns where labels change, not only that they stay. A
 document's score is the mean of its lines' marginals for "good", weighted by line length, then a logistic
 calibration fitted on the same training documents.
 
@@ -11,14 +14,14 @@ of their id, one row of each id (that with the smallest hash of its text), and o
 `sample_lines` lines a stretch of so many, its place by a hash (features still look at the whole text). So at most
 `sample` x `sample_lines` lines of 23 numbers reach the driver. Scoring reads every text whole. An empty or null text
 is one empty line and gets its score;
-equal ids and repeated rows are scored each on their own; without both labels in training, the score is the
+lines may be prepared before they are looked at (see fit); equal ids and repeated rows are scored each on their own; without both labels in training, the score is the
 share of label 1 (0.5 without labels).
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -114,19 +117,43 @@ class LineCrf:
         return 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -60, 60))), mean
 
 
+def beside(x: np.ndarray) -> np.ndarray:
+    """The features with those of the neighbours put in anew, for lines that now stand in this order."""
+    k = SHAPE + len(BESIDE)
+    out = x.copy()
+    out[:, SHAPE:] = 0
+    out[1:, SHAPE:k] = x[:-1, BESIDE]
+    out[:-1, k:] = x[1:, BESIDE]
+    return out
+
+
+def mixtures(docs: list[tuple[np.ndarray, np.ndarray, int]], most: int = 12) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(features, labels of lines): of each document with a block of 1 to `most` lines of one of the other label put in."""
+    rng, out = np.random.default_rng(5), []
+    by_label = [[x for x, _, y in docs if y == k] for k in (0, 1)]
+    for x, _, y in docs:
+        other = by_label[1 - y][rng.integers(len(by_label[1 - y]))]
+        n = int(rng.integers(1, min(most, len(other)) + 1))
+        at, place = int(rng.integers(0, len(other) - n + 1)), int(rng.integers(0, len(x) + 1))
+        rows = np.concatenate([x[:place], other[at : at + n], x[place:]])
+        out.append((beside(rows), np.concatenate([np.full(place, y), np.full(n, 1 - y), np.full(len(x) - place, y)])))
+    return out
+
+
 def trained(docs: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 150, rate: float = 0.1, ridge: float = 1e-3) -> LineCrf:
-    """The field fitted by Adam on (features, lengths, label) of documents."""
+    """The field fitted by Adam on (features, lengths, label) of documents and on mixtures of them."""
     labels = np.array([y for _, _, y in docs])
     model = LineCrf(np.zeros(N_FEATURES), np.zeros(2), np.zeros((2, 2)))
     if not len(docs) or labels.min() == labels.max():
         model.prior = float(labels.mean()) if len(docs) else 0.5
         return model
-    x, sizes = np.concatenate([f for f, _, _ in docs]), np.array([len(f) for f, _, _ in docs])
-    lengths = np.concatenate([n for _, n, _ in docs])
-    y = np.repeat(labels, sizes)
-    seen_pairs = np.array([[((sizes - 1) * (labels == 0)).sum(), 0], [0, ((sizes - 1) * (labels == 1)).sum()]], float)
-    seen_start = np.array([(labels == 0).sum(), (labels == 1).sum()], float)
+    chains = [(f, np.full(len(f), y)) for f, _, y in docs] + mixtures(docs)
+    x, y, sizes = np.concatenate([f for f, _ in chains]), np.concatenate([y for _, y in chains]), np.array([len(f) for f, _ in chains])
     starts = np.cumsum(sizes) - sizes
+    inside = np.ones(len(y), bool)
+    inside[starts] = False
+    seen_pairs = np.bincount(2 * y[:-1][inside[1:]] + y[1:][inside[1:]], minlength=4).reshape(2, 2).astype(float)
+    seen_start = np.bincount(y[starts], minlength=2).astype(float)
     params = np.zeros(N_FEATURES + 6)
     m, v = np.zeros_like(params), np.zeros_like(params)
     for k in range(1, rounds + 1):
@@ -137,7 +164,8 @@ def trained(docs: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 150, r
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         params = params + rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
     model.weights, model.start, model.change = params[:N_FEATURES].copy(), params[N_FEATURES : N_FEATURES + 2].copy(), params[N_FEATURES + 2 :].reshape(2, 2).copy()
-    _, mean = model.scores(x, sizes, lengths)
+    own = [f for f, _, _ in docs]
+    _, mean = model.scores(np.concatenate(own), np.array([len(f) for f in own]), np.concatenate([n for _, n, _ in docs]))
     z = np.clip(np.log(np.clip(mean, 1e-9, 1) / np.clip(1 - mean, 1e-9, 1)), -20, 20)
     scale, shift = 1.0, 0.0
     for _ in range(25):  # Newton steps of a logistic fit with a little ridge
@@ -151,8 +179,9 @@ def trained(docs: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 150, r
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_mod: int = 4, held_rest: int = 2, sample: int = 3000, sample_lines: int = 500) -> LineCrf:
-    """Learns from the labelled documents outside the held-out fold, at most `sample` of them and `sample_lines` of each."""
+def fit(docs: DataFrame, labels: DataFrame, held_mod: int = 4, held_rest: int = 2, sample: int = 3000, sample_lines: int = 500, prepare: Callable[[bytes], bytes] | None = None) -> LineCrf:
+    """Learns from the labelled documents outside the held-out fold, at most `sample` of them and `sample_lines` of each.
+    `prepare` does to their texts what was done to those that will be scored."""
     spark = docs.sparkSession
     usable = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_fold("doc_id", held_mod, held_rest))
     chosen = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("long").alias("quality"))
@@ -161,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_mod: int = 4, held_rest: int =
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for doc_id, quality, text in zip(part.column("doc_id").to_pylist(), part.column("quality").to_pylist(), raw(part.column("text")), strict=True):
-                x, lengths = line_shapes(text)
+                x, lengths = line_shapes(prepare(text) if prepare else text)
                 at = zlib.crc32(str(doc_id).encode()) % max(1, len(x) - sample_lines + 1)
                 x, lengths = x[at : at + sample_lines], lengths[at : at + sample_lines]
                 yield pa.RecordBatch.from_arrays([pa.array([doc_id]), pa.array([quality]), pa.array([x.ravel()]), pa.array([lengths])], names=["doc_id", "quality", "x", "lengths"])
