@@ -11,8 +11,9 @@ sum over its bytes that array code finds level by level.
 A text is lower-cased (A-Z), stands between padding and one end symbol (byte 0xFF, which UTF-8 never has), and
 its score is the log10 probability of all its bytes and the end.
 
-No count is cut. The trie is dealt to tasks by the last two bytes of the context: whatever context ends in these,
-all its suffixes but the shortest (of which there are at most 65,792 grams) lie in the same task. There every gram
+No count is cut. The trie is dealt to tasks by the last two bytes of the context, or by more where many grams share these:
+whatever context ends in them, all its longer suffixes lie in the same task, and of the shorter ones the few grams that
+they have are sent along (at most 65,792 of the shortest to all). There every gram
 that any document has gets its probability, from the counts of all training documents. At most `max_grams` of the
 most frequent grams are sent to the workers with their probability; all others are joined to their documents by a
 shuffle. Likewise at most `frequent` of the most frequent words are broadcast, all others are joined by a shuffle.
@@ -30,7 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phantomlake.llm.common import LOWER, by_bytes, id_text, is_fold, raw, written
@@ -229,31 +230,71 @@ def levels_of(gram: np.ndarray, n: np.ndarray, lengths: range) -> list[tuple[np.
     return out
 
 
+def _last(n_bytes: int) -> Column:
+    """The last bytes of a gram's context (the bytes before its last one)."""
+    return F.shiftright("gram", 8).bitwiseAND(F.lit((1 << (8 * n_bytes)) - 1))
+
+
+def dealt_by_ending(grams: DataFrame, order: int, bucket_grams: int) -> tuple[DataFrame, DataFrame]:
+    """(bucket, length, gram, n, seen) of all grams, and (bucket, level, gram, n) of the shorter grams that a bucket needs
+    besides its own.
+
+    A gram goes where the last two bytes of its context go; where more than `bucket_grams` grams share these, where the last
+    three go, and so on up to the whole context, which at most 256 grams share. `length` is the number of these bytes. What
+    is shorter than that in such a bucket's contexts is counted over all grams and sent along: at most 256 grams a level.
+    """
+    spark = grams.sparkSession
+    shortest = min(2, order)
+    buckets = max(1, -(-grams.count() // bucket_grams))
+    rows, crowded = grams.withColumn("length", F.lit(shortest)), []
+    for length in range(shortest, order):
+        full = rows.filter(F.col("length") == length).groupBy(_last(length).alias("ending")).count().filter(F.col("count") > bucket_grams).select("ending")
+        # each of these has more grams than a bucket, so there are fewer of them than buckets
+        full = spark.createDataFrame(full.toPandas().astype("int64"), "ending long")
+        crowded.append((length, full))
+        rows = rows.join(F.broadcast(full.withColumn("crowded", F.lit(True))), (F.col("length") == length) & (_last(length) == F.col("ending")), "left")
+        rows = rows.withColumn("length", F.when(F.col("crowded"), length + 1).otherwise(F.col("length"))).drop("ending", "crowded")
+    ending = F.shiftright("gram", 8).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("length") * 8) - 1)
+    dealt = rows.select(F.pmod(F.xxhash64("length", ending), F.lit(buckets)).alias("bucket"), "length", "gram", "n", "seen")
+    more = spark.createDataFrame([], "bucket long, level int, gram long, n long")
+    for level, full in crowded:
+        if not full.limit(1).count():
+            break
+        lower = F.col("gram").bitwiseAND(F.lit((1 << (8 * (level + 1))) - 1))
+        counted = grams.filter("n > 0").join(F.broadcast(full), _last(level) == F.col("ending")).groupBy(lower.alias("gram")).agg(F.sum("n").alias("n")).withColumn("ending", _last(level))
+        wanted = dealt.filter(F.col("length") > level).select("bucket", _last(level).alias("ending")).distinct()
+        more = more.unionByName(wanted.join(counted, "ending").select("bucket", F.lit(level).alias("level"), "gram", "n"))
+    return dealt, more
+
+
 def gram_scores(grams: DataFrame, order: int, bucket_grams: int) -> DataFrame:
     """gram, seen, logp: log10 of the probability of each gram's last byte after the others, from all counts.
 
-    A task takes about `bucket_grams` grams, or all whose contexts end in the same two bytes."""
+    A task takes about `bucket_grams` grams, whatever context is common (see dealt_by_ending)."""
     spark = grams.sparkSession
-    suffix = min(2, order)
+    shortest = min(2, order)
     trained = grams.filter("n > 0")
     short = []
-    for k in range(suffix):  # at most 256 and 65,536 grams
+    for k in range(shortest):  # at most 256 and 65,536 grams
         table = trained.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1)).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
         gram, n = table.column("gram").to_numpy(), table.column("n").to_numpy()
         short.append((gram[np.argsort(gram)], n[np.argsort(gram)]))
-    buckets = max(1, -(-grams.count() // bucket_grams))
     sent = spark.sparkContext.broadcast(short)
     out = pa.schema([("gram", pa.int64()), ("seen", pa.int64()), ("logp", pa.float64())])
 
-    def run(table: pa.Table) -> pa.Table:
-        gram, n = table.column("gram").to_numpy(), table.column("n").to_numpy()
-        levels = sent.value + levels_of(gram[n > 0], n[n > 0], range(suffix, order + 1))
+    def run(own: pa.Table, more: pa.Table) -> pa.Table:
+        gram, n, length = (own.column(k).to_numpy() for k in ("gram", "n", "length"))
+        extra, extra_n, level = (more.column(k).to_numpy() for k in ("gram", "n", "level"))
+        levels = list(sent.value)
+        for k in range(shortest, order + 1):
+            here, sent_here = (n > 0) & (length <= k), level == k
+            keys = np.concatenate([gram[here], extra[sent_here]])
+            levels += levels_of(keys, np.concatenate([n[here], extra_n[sent_here]]), range(k, k + 1))
         logp = Scorer(Trie(order, [g for g, _ in levels], [c for _, c in levels])).log10(gram)
-        return pa.Table.from_arrays([pa.array(gram), table.column("seen"), pa.array(logp)], schema=out)
+        return pa.Table.from_arrays([pa.array(gram), own.column("seen"), pa.array(logp)], schema=out)
 
-    ending = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << (8 * suffix)) - 1))
-    dealt = grams.select(F.pmod(F.xxhash64(ending), F.lit(buckets)).alias("bucket"), "gram", "n", "seen")
-    return dealt.groupBy("bucket").applyInArrow(lambda table: run(table.drop_columns(["bucket"])), "gram long, seen long, logp double")
+    dealt, more = dealt_by_ending(grams, order, bucket_grams)
+    return dealt.groupBy("bucket").cogroup(more.groupBy("bucket")).applyInArrow(run, "gram long, seen long, logp double")
 
 
 class Known:
@@ -280,7 +321,9 @@ _MADE: dict[str, tuple[Known, dict[bytes, float]]] = {}
 
 
 def score(docs: DataFrame, order: int = 5, max_grams: int = 1_000_000, frequent: int = 200_000, held_mod: int = 7, held_rest: int = 2, bucket_grams: int = 200_000) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; a context has at most 6 bytes."""
+    if not 0 <= order <= 6:
+        raise ValueError(f"contexts of {order} bytes: a gram of up to 7 bytes is one 64-bit integer")
     spark: SparkSession = docs.sparkSession
     slim = id_text(docs).withColumn("held_out", is_fold("doc_id", held_mod, held_rest))
     counts = written(corpus_counts(slim.select("text", "held_out"), order), "ppm-counts")

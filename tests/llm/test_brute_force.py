@@ -338,18 +338,18 @@ def test_ppm_is_a_distribution(spark, make, rows):
     assert abs(got[1].score - sum(_ppm_bits(gram, prose(1, 90)))) < 1e-6
 
 
-def _ppm_bits(train, text):
+def _ppm_bits(train, text, order=3):
     """log10 of each symbol's probability, from sets and counts of the contexts alone."""
-    tables = [{} for _ in range(4)]
+    tables = [{} for _ in range(order + 1)]
     for g in train.tolist():
-        for k in range(4):
+        for k in range(order + 1):
             x = g & ((1 << (8 * (k + 1))) - 1)
             t = tables[k].setdefault(x >> 8, Counter())
             t[x & 255] += 1
-    data = b"\xff\xff\xff" + text.translate(AZ).encode() + b"\xff"
-    for at in range(3, len(data)):
+    data = b"\xff" * order + text.translate(AZ).encode() + b"\xff"
+    for at in range(order, len(data)):
         p, out = 0.0, set()
-        for k in range(3, -1, -1):
+        for k in range(order, -1, -1):
             t = tables[k].get(int.from_bytes(data[at - k : at], "big"))
             if t is None:
                 continue

@@ -94,3 +94,34 @@ def test_many_texts_without_words(spark, make):
     rows = [(k, None if k % 2 else " \n") for k in range(500)] + [(600, "a b c d e f"), (601, "A B C D E F"), (None, "a b c d e f")]
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(make(rows)).collect()}
     assert all(got[k] == (0, k, True) for k in range(500)) and got[600] == (2, 600, True) and got[601] == (2, 600, False) and got[None] == (2, None, True)
+
+
+@pytest.mark.parametrize("order", [5, 6])
+def test_ppm_at_production_order_with_crowded_endings(spark, make, order):
+    """Most contexts end alike; they are dealt by more of their bytes, and scores stay those of the definition."""
+    rng = random.Random(order)
+    rows = [(k, " ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) + "ing" for _ in range(30))) for k in range(25)] + [(100, prose(1, 30)), (101, ""), (102, "é ing")]
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
+    train = ppm.grams_of([t.encode() for i, t in rows if not held[i]], order)[0]
+    want = {i: sum(_ppm_bits(train, t, order)) for i, t in rows}
+    for bucket in (200_000, 60, 10):
+        got = {r.doc_id: r.score for r in ppm.score(make(rows), order=order, max_grams=0, bucket_grams=bucket).collect()}
+        assert np.allclose([got[i] for i in want], list(want.values()), atol=1e-6, rtol=0)
+
+
+def test_a_crowded_ending_is_split(spark):
+    """One ending with ten times the bound: no group of grams that must stay together is larger than it."""
+    grams = spark.range(2000).selectExpr("(id % 400) * 4294967296 + 7 * 16777216 + 97 * 65536 + 98 * 256 + id div 400 as gram", "1L as n", "1L as seen")
+    grams = grams.unionByName(spark.range(50).selectExpr("id * 256 + 5 as gram", "1L as n", "1L as seen"))
+    dealt, more = ppm.dealt_by_ending(grams, 5, 200)
+    groups = {}
+    for r in dealt.collect():
+        key = (r.length, (r.gram >> 8) & ((1 << (8 * r.length)) - 1))
+        groups.setdefault(key, []).append(r.bucket)
+    assert sum(map(len, groups.values())) == 2050 and max(map(len, groups.values())) <= 200 and all(len(set(b)) == 1 for b in groups.values())
+    assert {r.level for r in more.collect()} == {2, 3} and all(r.n == 400 for r in more.collect())
+
+
+def test_contexts_that_do_not_fit_are_refused(spark, make):
+    with pytest.raises(ValueError, match="contexts of 7 bytes"):
+        ppm.score(make([(1, "a")]), order=7)
