@@ -17,9 +17,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose lines the conditional random field finds good; it learns from all of documents."""
+    """Keeps documents whose lines the conditional random field finds good. It learns from all of documents, those too that
+    the rules have rejected, and from their texts as the rules leave them."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return line_crf.good_documents(docs, line_crf.fit(documents(spark, sf_dir), labels))
+    return line_crf.good_documents(docs, line_crf.fit(documents(spark, sf_dir), labels, prepare=cleaning.clean_text))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,5 +55,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: The classifier and the tokenizer cannot be written in SQL; tests compare the stages with brute force.
+#: The classifier and the tokenizer cannot be written in SQL; tests hold each operator against brute force, and the chain to what each stage may keep.
 ORACLE_SQL: str | None = None
