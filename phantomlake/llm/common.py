@@ -105,7 +105,7 @@ def crc_ids(ids: bytes) -> int:
 class WordHashes(dict):
     """word -> 64-bit hash, equal on every machine; forgets all when it holds too many, and never keeps long words."""
 
-    def __init__(self, most: int = 300_000, longest: int = 100):
+    def __init__(self, most: int = 60_000, longest: int = 40):
         super().__init__()
         self.most, self.longest = most, longest
 
