@@ -442,8 +442,37 @@ def test_suppression_by_definition():
 
 def test_url_counts_hits_at_boundaries():
     automaton = url_filter.UrlPolicy(strict=("xxx",), soft=("free", "bets", "free-bets2")).automaton()
-    assert url_filter.counted("http://free-bets.com/xxxx?xxx", automaton) == (1, 2, 2)
-    assert url_filter.counted("freebets/free/free", automaton) == (0, 2, 1)
+    assert url_filter.counted("http://free-bets.com/xxxx?xxx", automaton)[:3] == (1, 2, 2)
+    assert url_filter.counted("freebets/free/free", automaton)[:3] == (0, 2, 1)
+
+
+def test_url_terms_weigh_differently(spark):
+    """Each distinct term counts once with its own weight; ordinary words do not block by twos."""
+    assert len(url_filter.STRICT) + len(url_filter.SOFT) > 150 and not set(url_filter.STRICT) & set(url_filter.SOFT) and not set(url_filter.HEAVY) & set(url_filter.ORDINARY)
+    urls = {
+        "http://a.b/free-download": ("allow", 0.8), "http://a.b/free/free/free": ("allow", 0.4), "http://a.b/free-hot-download": ("block", 1.2),
+        "http://casino-win.b/": ("block", 1.0), "http://casino.b/casino": ("allow", 0.6), "http://casino.b/poker": ("block", 1.2), "http://a.b/viagra": ("block", 1.0),
+        "http://a.b/hotel/freedom/downloads": ("allow", 0.0), "http://a.b/sexe-gratuit": ("block", 1.0), "http://a.b/gratis/kredit": ("allow", 0.8),
+    }
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    assert {r.page_id: (r.verdict, r.weight) for r in url_filter.judge_urls(pages).collect()} == dict(enumerate(urls.values()))
+    own = spark.createDataFrame([("Tea", False, 0.3), ("tea", False, 0.7), ("milk", False, 0.3), ("rum", False, None), ("gin", False, 2.0), ("ale", True, 0.1), ("rye", False, float("nan"))], "term string, strict boolean, weight double")
+    policy = url_filter.policy_of(own)
+    assert (policy.strict, policy.soft, policy.weights) == (("ale", "gin"), ("milk", "rum", "rye", "tea"), (("milk", 30), ("tea", 70)))
+    assert [url_filter.counted(x, policy.automaton())[3] for x in ("tea/milk", "tea", "rum/rye", "ale", "milk-rum")] == [100, 70, 100, 100, 80]
+
+
+def test_url_sql_counts_as_the_automaton(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(5)
+    bits = ["free", "adult-x", "adult", "win", "casino", "x", "-", "/", "|", "é", "?", "FREE", "paris-sportifs", "://", "org"]
+    pages = spark.createDataFrame([(k, "".join(rng.choices(bits, k=rng.randrange(12)))) for k in range(300)], "page_id long, url string")
+    pages.write.parquet(str(tmp_path / "pages"))
+    db = duckdb.connect()
+    db.sql(f"create view pages as select * from '{tmp_path}/pages/*.parquet'")
+    got = sorted(tuple(r) for r in url_filter.judge_urls(spark.read.parquet(str(tmp_path / "pages"))).collect())
+    assert got == sorted(db.sql(url_filter.oracle_sql()).fetchall()) and {r[4] for r in got} == {"allow", "block"}
 
 
 def test_url_policy_from_tables(spark):
