@@ -1,8 +1,8 @@
 """License scan: ordered signature rules over the words of a text, gated by keywords, overlaps resolved.
 
 A text becomes its lower-cased words with one space between. Rules come from hand-written families (names,
-versions) and forms (SPDX line, grant, title, bare name): a regex each, several hundred in all. A rule is run
-only on texts that hold its keyword. Detections are taken by priority, then length, then place; one that lies
+versions) and forms (SPDX line, grant, title, bare name), and from clauses of license texts, notices and terms of
+use: a regex each, several hundred in all. A rule is run only on texts that hold its keyword. Detections are taken by priority, then length, then place; one that lies
 inside an interval already taken is suppressed. Five fixed phrases are the base and always count.
 
 The score is the confidence of the surest detection (0 without any). Null and empty texts have no words, no
@@ -112,6 +112,178 @@ STATEMENTS = (
     ("copyright", "copyright", "copyright (?:c )?(?:19|20)[0-9][0-9]", 0.4),
 )
 
+#: Between one and eight words of any kind, such as a holder's name.
+_ANY = "(?:[^ ]+ ){1,8}"
+
+#: Clauses of license texts and notices, by label and confidence; each is gated by its longest literal run.
+CLAUSES = (
+    ("mit", 0.95, (
+        "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies",
+        "the above copyright notice and this permission notice(?: including the next paragraph)? shall be included in all copies or substantial portions of the software",
+        "in no event shall the authors or copyright holders be liable for any claim damages or other liability",
+    )),
+    ("x11", 0.9, (f"except as contained in this notice the names? of {_ANY}shall not be used in advertising or otherwise to promote the sale",)),
+    ("json", 0.95, ("the software shall be used for good not evil",)),
+    ("isc", 0.9, ("the software is provided as is and the authors? disclaims? all warranties with regard to this software",)),
+    ("0bsd", 0.95, ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided",)),
+    ("hpnd", 0.9, ("permission to use copy modify(?: and)? distribute(?: and sell)? this software and its documentation for any purpose(?: and)?(?: is hereby granted)? without fee",)),
+    ("postgresql", 0.95, ("for any purpose without fee and without a written agreement is hereby granted",)),
+    ("ncsa", 0.95, ("to deal with the software without restriction including without limitation the rights to use",)),
+    ("unicode", 0.95, ("to deal in the data files or software without restriction", "obtaining a copy of (?:the )?unicode data files")),
+    ("upl", 0.95, ("to deal in both a the software and b any piece of software and or hardware listed in the",)),
+    ("boost", 0.95, (
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
+        "solely in the form of machine executable object code generated by a source language processor",
+    )),
+    ("bsd", 0.85, (
+        "redistributions of source code must retain the above copyright notice", "redistributions in binary form must reproduce the above copyright notice",
+        "this software is provided by the (?:copyright holders and contributors|regents and contributors|authors?) as is and any express or implied warranties",
+    )),
+    ("bsd-3-clause", 0.95, (f"neither the names? of {_ANY}nor the names of (?:its|their|any) contributors may be used to endorse or promote products",)),
+    ("bsd-3-clause-clear", 0.95, ("no express or implied licenses to any party s patent rights are granted by this license",)),
+    ("bsd-4-clause", 0.95, ("all advertising materials mentioning features or use of this software must display the following acknowledge?ment",)),
+    ("apache-2.0", 0.95, (
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis",
+        "you must cause any modified files to carry prominent notices stating that you changed the files",
+        "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license",
+    )),
+    ("apache-1.1", 0.9, ("this product includes software developed by the apache (?:software foundation|group)", "products derived from this software may not be called apache")),
+    ("gpl", 0.85, (
+        "this program is distributed in the hope that it will be useful but without any warranty", "you should have received a copy of the gnu general public license along with",
+        "does not permit incorporating your program into proprietary programs",
+    )),
+    ("gpl-1", 0.9, ("the license agreements of most software companies try to keep users at the mercy of those companies",)),
+    ("gpl-2", 0.95, (
+        "the licenses for most software are designed to take away your freedom to share and change it",
+        "activities other than copying distribution and modification are not covered by this license they are outside its scope",
+    )),
+    ("gpl-3", 0.95, (
+        "the gnu general public license is a free copyleft license for software and other kinds of works",
+        "to convey a work means any kind of propagation that enables other parties to make or receive copies",
+    )),
+    ("gpl-classpath-exception", 0.95, ("give you permission to link this library with independent modules to produce an executable",)),
+    ("gpl-font-exception", 0.95, ("if you create a document which uses this font and embed this font or unaltered portions of this font into the document",)),
+    ("gcc-runtime-exception", 0.9, ("gcc runtime library exception",)),
+    ("bison-exception", 0.95, ("you may create a larger work that contains part or all of the bison parser skeleton",)),
+    ("linux-syscall-note", 0.95, ("does not cover user programs that use kernel services by normal system calls",)),
+    ("agpl", 0.9, ("you should have received a copy of the gnu affero general public license along with",)),
+    ("agpl-3", 0.95, (
+        "specifically designed to ensure cooperation with the community in the case of network server software",
+        "must prominently offer all users interacting with it remotely through a computer network",
+    )),
+    ("lgpl", 0.9, ("you should have received a copy of the gnu (?:lesser|library) general public license along with", "permits more lax criteria for linking other code with the library")),
+    ("lgpl-3", 0.95, ("a combined work is a work produced by combining or linking an application with the library",)),
+    ("gnu-text", 0.8, ("everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed",)),
+    ("gfdl", 0.95, (
+        "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license",
+        "with no invariant sections(?: with)? no front cover texts and(?: with)? no back cover texts",
+    )),
+    ("mpl-2.0", 0.95, (
+        "this source code form is subject to the terms of the mozilla public license v 2 0", "if a copy of the mpl was not distributed with this file you can obtain one at",
+        "this source code form is incompatible with secondary licenses",
+    )),
+    ("mpl-1.1", 0.95, ("the contents of this file are subject to the mozilla public license version 1 1",)),
+    ("mpl", 0.8, ("covered (?:code|software) is provided under this license on an as is basis",)),
+    ("epl", 0.95, (
+        "the accompanying program is provided under the terms of this eclipse public license",
+        "this program and the accompanying materials are made available under the terms of the eclipse public license",
+    )),
+    ("cpl", 0.8, ("any use reproduction or distribution of the program constitutes recipient s acceptance of this agreement",)),
+    ("cddl", 0.95, ("the contents of this file are subject to the terms of the common development and distribution license", "include this cddl header notice in each file")),
+    ("artistic-1.0", 0.95, (
+        "the intent of this document is to state the conditions under which a package may be copied", "maintains some semblance of artistic control over the development of the package",
+        "you may charge a reasonable copying fee for any distribution of this package",
+    )),
+    ("artistic-2.0", 0.95, ("this license establishes the terms under which a given free software package may be copied modified distributed and or redistributed",)),
+    ("zlib", 0.95, (
+        "in no event will the authors be held liable for any damages arising from the use of this software",
+        "the origin of this software must not be misrepresented you must not claim that you wrote the original software",
+        "this notice may not be removed or altered from any source distribution",
+    )),
+    ("unlicense", 0.95, (
+        "this is free and unencumbered software released into the public domain", "anyone is free to copy modify publish use compile sell or distribute this software",
+        "in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest",
+    )),
+    ("cc0", 0.95, (
+        f"to the extent possible under law {_ANY}waived all copyright and related or neighboring rights",
+        "the person who associated a work with this deed has dedicated the work to the public domain",
+    )),
+    ("cc", 0.85, (
+        "share copy and redistribute the material in any medium or format", "you must give appropriate credit provide a link to the license and indicate if changes were made",
+        "you may not apply legal terms or technological measures that legally restrict others from doing anything the license permits",
+        "by exercising the licensed rights defined below you accept and agree to be bound by the terms and conditions of this creative commons",
+    )),
+    ("cc-commercial", 0.8, ("remix transform and build upon the material for any purpose even commercially",)),
+    ("cc-nc", 0.9, ("you may not use the material for commercial purposes",)),
+    ("cc-sa", 0.9, ("if you remix transform or build upon the material you must distribute your contributions under the same license as the original",)),
+    ("cc-nd", 0.9, ("if you remix transform or build upon the material you may not distribute the modified material",)),
+    ("cc-by", 0.85, (
+        "lizenziert unter einer creative commons namensnennung", "bajo una licencia(?: de)? creative commons (?:reconocimiento|atribuci(?:ó|o)n)",
+        "selon les termes de la licence creative commons (?:attribution|paternit(?:é|e))",
+    )),
+    ("wtfpl", 0.95, ("everyone is permitted to copy and distribute verbatim or modified copies of this license document", "you just do what the fuck you want to")),
+    ("beerware", 0.95, ("as long as you retain this notice you can do whatever you want with this stuff", "you think this stuff is worth it you can buy me a beer in return")),
+    ("ofl", 0.95, (
+        "the goals of the open font license ofl are to stimulate worldwide development of collaborative font projects",
+        "neither the font software nor any of its individual components in original or modified versions may be sold by itself",
+    )),
+    ("psf", 0.95, ("this license agreement is between the python software foundation psf and the individual or organization", "psf is making python available to licensee on an as is basis")),
+    ("php", 0.95, ("this product includes php software freely available from", "products derived from this software may not be called php")),
+    ("openssl", 0.95, ("this product includes software developed by the openssl project for use in the openssl toolkit",)),
+    ("ssleay", 0.95, ("this product includes cryptographic software written by eric young",)),
+    ("ruby", 0.9, ("you may make and give away verbatim copies of the source form of the software without restriction",)),
+    ("w3c", 0.95, ("by obtaining(?: using and or)? copying this work you the licensee agree that you have read understood and will comply with",)),
+    ("libpng", 0.95, ("the png reference library is supplied as is",)),
+    ("ijg", 0.95, ("this software is based in part on the work of the independent jpeg group",)),
+    ("freetype", 0.95, (f"portions of this software are copyright {_ANY}the freetype project",)),
+    ("ms-pl", 0.85, ("if you use the software you accept this license if you do not accept the license do not use the software",)),
+    ("osl", 0.9, ("this open software license the license applies to any original work of authorship",)),
+    ("afl", 0.9, ("this academic free license the license applies to any original work of authorship",)),
+    ("eupl", 0.95, ("this european union public licen[sc]e the eupl applies to the work", "licensed under the eupl")),
+    ("cecill", 0.95, ("this software is governed by the cecill(?: [bc])? licen[sc]e under french law and abiding by the rules of distribution of free software",)),
+    ("mulan", 0.95, ("you can use this software according to the terms and conditions of the mulan",)),
+    ("lppl", 0.95, ("this work may be distributed and or modified under the conditions of the latex project public license",)),
+    ("bsl", 0.95, ("the business source license this document or the license is not an open source license", "effective on the change date or the fourth anniversary of the first publicly available distribution")),
+    ("sspl", 0.95, ("available to third parties as a service you must make the service source code available",)),
+    ("elastic", 0.95, ("you may not provide the software to third parties as a hosted or managed service",)),
+    ("commons-clause", 0.95, ("the license does not grant to you the right to sell the software",)),
+    ("polyform", 0.95, ("to do everything you might do with the software that would otherwise infringe the licensor s copyright",)),
+    ("openrail", 0.85, ("you agree not to use the model or derivatives of the model", "use based restrictions as referenced in")),
+    ("llama", 0.9, (f"you will not use {_ANY}to improve any other large language model",)),
+    ("odbl", 0.95, ("any rights in individual contents of the database are licensed under the database contents license",)),
+    ("ogl", 0.95, ("contains public sector information licensed under the open government licen[sc]e", "you are free to copy publish distribute and transmit the information")),
+    ("us-government", 0.85, (
+        "prepared by an officer or employee of the united states government as part of that person s official duties", "is a work of the (?:u s|united states) government",
+    )),
+    ("gutenberg", 0.95, ("this ebook is for the use of anyone anywhere", "at no cost and with almost no restrictions whatsoever")),
+    ("public-domain", 0.85, ("(?:has|have) been dedicated to the public domain", "no known copyright restrictions", "placed in the public domain by (?:its|the) authors?")),
+    ("proprietary", 0.9, (
+        "this software is licensed not sold", "(?:may|shall|must|agree) not(?: to)? reverse engineer decompile or disassemble", "this end user license agreement(?: eula)? is a legal agreement between you",
+        "by installing copying or otherwise using (?:the|this) software you agree to be bound by", "confidential and proprietary information of", "unpublished proprietary source code",
+        "use duplication or disclosure by the(?: u s)? government is subject to restrictions", "contains? trade secrets of",
+    )),
+    ("proprietary", 0.75, (
+        "no part of this (?:publication|book|document|work|website|article) may be (?:reproduced|copied|stored|distributed|transmitted)",
+        "may not be published broadcast rewritten or redistributed", "may not be reproduced without(?: the)?(?: express)?(?: prior)?(?: written)? (?:permission|consent)",
+        "reproduction in whole or in part without(?: written)? permission is(?: strictly)? prohibited", "without the prior written (?:consent|permission) of the (?:publisher|author|copyright)",
+        "tous droits r(?:é|e)serv(?:é|e)s", "reproduction(?: m(?:ê|e)me partielle)? interdite", "alle rechte vorbehalten", "nachdruck(?: auch auszugsweise)? verboten",
+        "todos los derechos reservados", "prohibida (?:la|su) reproducci(?:ó|o)n",
+    )),
+    ("non-commercial", 0.8, ("for(?: your)? personal(?: and)? non ?commercial use only", "free for non ?commercial use", "any commercial use is(?: strictly)? (?:prohibited|forbidden)")),
+    ("research-only", 0.8, ("for(?: academic| scientific)?(?: and| or)? research (?:use|purposes) only", "may only be used for(?: academic| scientific)? research")),
+    ("evaluation-only", 0.8, ("for evaluation purposes only",)),
+    ("no-ai-training", 0.9, (
+        "for the purpose of training artificial intelligence technologies or systems", "may not be used (?:to train|for training|in the training of) (?:any )?(?:machine learning|artificial intelligence|ai|language)",
+        "reserves? (?:the|all) rights? (?:of|to|for) text and data mining",
+    )),
+)
+
+#: Licenses whose notices name the version after their publisher: label, name, versions.
+PUBLISHED = (
+    ("gpl", "gnu general public license", ("1", "2", "3")), ("lgpl", "gnu lesser general public license", ("2 1", "3")),
+    ("lgpl", "gnu library general public license", ("2",)), ("agpl", "gnu affero general public license", ("3",)),
+)
+
 _GRANT = "(?:licensed|released|distributed|available|published|provided|covered) (?:only )?under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?"
 
 
@@ -136,6 +308,24 @@ def family_rules(label: str, keyword: str, names: str, versions: tuple[str, ...]
     return [*out, Rule(label, key, _GRANT + name, 3, 0.8), Rule(label, key, name, 4, 0.65)]
 
 
+def longest_literal(pattern: str) -> str:
+    """The longest run of characters that every match holds: groups, classes and what may be absent end a run."""
+    plain = pattern
+    while (shorter := re.sub(r"\((?:\?[:!])?[^()]*\)(?:\?|\{[0-9,]*\})?", "\0", plain)) != plain:
+        plain = shorter
+    return max(re.split("\0", re.sub(r"\[[^\]]*\][?*+]?|.[?*]", "\0", plain)), key=len).strip()
+
+
+def clause_rules() -> list[Rule]:
+    """Whole clauses are stronger than the names that stand in them."""
+    out = [Rule(label, longest_literal(p).encode(), p, 1, sure) for label, sure, patterns in CLAUSES for p in patterns]
+    for label, name, versions in PUBLISHED:
+        for v in versions:
+            pattern = f"{name} as published by the free software foundation(?: either)? version {v}(?! [0-9])"
+            out.append(Rule(f"{label}-{v.replace(' ', '.')}", name.encode(), pattern, 1, 0.95))
+    return out
+
+
 def all_rules() -> list[Rule]:
     out = [r for f in FAMILIES for r in family_rules(*f)]
     for kind in CC_KINDS:
@@ -148,7 +338,7 @@ def all_rules() -> list[Rule]:
         name = label.replace("-", " ") + (f" {v}" if v else "")
         out.append(Rule(f"{label}-{v.replace(' ', '.')}" if v else label, b"spdx", f"spdx licen[sc]e identifier {name}(?: 0)?(?: only| or later)?(?! [0-9])", 0, 1.0))
     out += [Rule(label, key.encode(), pattern, 5, sure) for label, key, pattern, sure in STATEMENTS]
-    return out
+    return out + clause_rules()
 
 
 class Scanner:

@@ -440,6 +440,35 @@ def test_suppression_by_definition():
         assert scanner.detections(text) == sorted(kept, key=lambda x: x[:2])
 
 
+def example(pattern):
+    """A text that the pattern of a rule fits: first alternatives, everything optional present."""
+    text = re.sub(r"\(\?![^()]*\)", "", pattern.replace(license_scan._ANY, "acme "))
+    while (shorter := re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)\??", r"\1", text)) != text:
+        text = shorter
+    return re.sub(r"\[(.)[^\]]*\]", r"\1", text).replace("?", "")
+
+
+def test_every_license_clause_finds_its_text():
+    """Each clause is found where it stands, within other words, and not without its first or last word."""
+    rules, scanner = license_scan.clause_rules(), license_scan.Scanner()
+    assert len(rules) > 150 and len({r.pattern for r in rules}) == len(rules)
+    for rule in rules:
+        words = example(rule.pattern)
+        text = f"Some words. {words}, and more of it".encode().upper()
+        assert rule.keyword.decode() in words and len(rule.keyword) >= 8, rule
+        assert rule.label in scanner.scan(text)[5].split(","), rule
+        alone = license_scan.Scanner([rule])
+        assert [alone.scan(text)[7]] + [alone.scan(x.encode())[7] for x in (words, words.split(" ", 1)[1], words.rsplit(" ", 1)[0], " ".join(words.split()[::-1]))] == [1, 1, 0, 0, 0], rule
+
+
+def test_license_clauses_outrank_names():
+    scan = license_scan.Scanner().scan
+    notice = "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    assert scan(notice.encode())[5] == "lgpl-2.1"
+    assert scan(b"This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at x.")[5] == "mpl-2.0"
+    assert scan(b"the software is good and shall be used by all; you may charge a fee for copies of this package")[5] == ""
+
+
 def test_url_counts_hits_at_boundaries():
     automaton = url_filter.UrlPolicy(strict=("xxx",), soft=("free", "bets", "free-bets2")).automaton()
     assert url_filter.counted("http://free-bets.com/xxxx?xxx", automaton)[:3] == (1, 2, 2)
