@@ -348,11 +348,25 @@ class Scanner:
         self.by_keyword: dict[bytes, list[tuple[re.Pattern, Rule]]] = {}
         for rule in rules if rules is not None else all_rules():
             self.by_keyword.setdefault(rule.keyword, []).append((re.compile(f"(?<= )(?:{rule.pattern})(?= )".encode()), rule))
+        # a word inside a keyword stands whole in every text that holds it, so most keywords need no search
+        self.by_word: dict[bytes, list[bytes]] = {}
+        self.searched: list[bytes] = []
+        for key in self.by_keyword:
+            inner = key.split(b" ")[1:-1]
+            if any(inner):
+                self.by_word.setdefault(max(inner, key=len), []).append(key)
+            else:
+                self.searched.append(key)
         self.phrases = [(f" {p} ".encode(), label) for p, label in PHRASES]
 
+    def held(self, text: bytes) -> list[bytes]:
+        """The keywords that stand in the spaced words."""
+        likely = [key for word in self.by_word.keys() & set(text.split(b" ")) for key in self.by_word[word]]
+        return [key for key in self.searched + likely if key in text]
+
     def detections(self, text: bytes) -> list[tuple[int, int, Rule]]:
         """(start, end, rule) in characters of the spaced words, resolved and in order."""
-        found = [(m.start(), m.end(), rule) for key, rules in self.by_keyword.items() if key in text for pattern, rule in rules for m in pattern.finditer(text)]
+        found = [(m.start(), m.end(), rule) for key in self.held(text) for pattern, rule in self.by_keyword[key] for m in pattern.finditer(text)]
         found.sort(key=lambda x: (x[2].priority, x[0], -x[1], x[2].label))
         kept: list[tuple[int, int, Rule]] = []
         starts: list[int] = []  # of the stronger detections, and how far those up to each start reach

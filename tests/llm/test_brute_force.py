@@ -461,6 +461,15 @@ def test_every_license_clause_finds_its_text():
         assert [alone.scan(text)[7]] + [alone.scan(x.encode())[7] for x in (words, words.split(" ", 1)[1], words.rsplit(" ", 1)[0], " ".join(words.split()[::-1]))] == [1, 1, 0, 0, 0], rule
 
 
+def test_license_keywords_are_all_found():
+    """The gate by words lets through every keyword that a text holds."""
+    scanner, rng = license_scan.Scanner(), random.Random(8)
+    keys = sorted(scanner.by_keyword)
+    for _ in range(300):
+        text = b" " + b" ".join(rng.choice([k, k[1:], k[:-1], b"x" + k + b"y", k.replace(b" ", b"  "), b"of the"]) for k in rng.sample(keys, 3)) + b" "
+        assert sorted(scanner.held(text)) == [k for k in keys if k in text]
+
+
 def test_license_clauses_outrank_names():
     scan = license_scan.Scanner().scan
     notice = "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
