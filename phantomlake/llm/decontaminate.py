@@ -260,14 +260,16 @@ def item_blocks(benchmark: DataFrame, settings: Settings) -> Iterator[Lsh]:
     hashes = WordHashes()
     ids: list[int] = []
     items: list[np.ndarray] = []
+    n_words = 0
     for row in rows.distinct().orderBy("item_id", "text").toLocalIterator():
         words = hashes.of(words_of(bytes(row["text"])))
         if len(words):
             ids.append(row["item_id"])
             items.append(words)
-        if len(ids) == settings.block or sum(map(len, items)) >= settings.block_words:
+            n_words += len(words)
+        if len(ids) == settings.block or n_words >= settings.block_words:
             yield Lsh(ids, items, settings)
-            ids, items = [], []
+            ids, items, n_words = [], [], 0
     if ids:
         yield Lsh(ids, items, settings)
 
