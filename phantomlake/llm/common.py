@@ -23,6 +23,9 @@ UPPER_AZ, LOWER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of one Arrow batch; bounds what a Python worker holds at once.
 BATCH_ROWS = 1000
 
+#: What `new_path` has named in this process, for `tidy`.
+_MADE: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, from spark.checkpoint.dir.
@@ -42,8 +45,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, kind: str) -> str:
-    """A path of its own in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder; `tidy` removes what is written there."""
+    _MADE.append(f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def tidy(spark: SparkSession) -> int:
+    """Remove the intermediate tables that the operators of this process wrote, and return how many paths there were. To be
+    called once the results are stored: those not yet computed still read these tables."""
+    for path in _MADE:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    n = len(_MADE)
+    _MADE.clear()
+    return n
 
 
 def exists(spark: SparkSession, path: str) -> bool:

@@ -120,3 +120,13 @@ def test_vocabulary_from_a_table(spark, make):
     assert b"All rights reserved." not in cleaning.judged(text).clean and b"own phrase" in cleaning.judged(text).clean
     with pytest.raises(ValueError, match="more than 1 entries"):
         cleaning.vocabulary_of(spark.createDataFrame([("menu", "a"), ("menu", "b")], "kind string, text string"), most=1)
+
+
+def test_tidy_removes_what_was_written(spark, make, monkeypatch):
+    from phantomlake.llm import common
+
+    monkeypatch.setattr(common, "_MADE", [])
+    table = common.written(make([(1, "a")]), "tidy-test")
+    path = common._MADE[0]
+    assert table.count() == 1 and common.exists(spark, path)
+    assert common.tidy(spark) == 1 and not common.exists(spark, path) and common.tidy(spark) == 0
