@@ -20,6 +20,12 @@ def write_slice_rows(image_rows: DataFrame, table: str, buckets: int, path: str
     (out.option("path", path) if path else out).saveAsTable(table)
 
 
+def with_slices(image_rows: DataFrame, slices: DataFrame, how: str = "inner") -> DataFrame:
+    """Image rows joined with rows of a few columns by slice. The hint keeps pixels out of a broadcast, which an estimate of
+    their size that is too low would choose; each task holds its part of `slices`, and pixels dealt by slice stay where they are."""
+    return image_rows.join(slices.hint("shuffle_hash"), "slice_id", how)
+
+
 def plain_path(path: Column) -> Column:
     """A local path without its scheme, however many slashes stand behind it; others as they are."""
     return F.regexp_replace(path, "^file:/+", "/")

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from phantomlake.operators.pixels import with_slices
+
 #: Fixed values of the sizing rules.
 CENTRAL, PERIPHERAL, MIN_RADIUS = 0.4, 0.1, 6  # 6 = ceil(sqrt(100 / pi))
 NPS_SHARE, NPS_STEP, NPS_MIN, NPS_MAX = 0.15, 8, 32, 128
@@ -71,7 +73,7 @@ def _on_rows(image_rows: DataFrame, rois: DataFrame, crosses: Callable[[Column],
     So pixels that are stored bucketed by slice (see pixels.write_slice_rows) are joined and grouped where they lie.
     """
     held = rois.groupBy("slice_id").agg(F.collect_list(F.struct(*(c for c in rois.columns if c != "slice_id"))).alias("_rois"))
-    return image_rows.select("slice_id", "row_idx", "hu").join(held, "slice_id").select("slice_id", "row_idx", F.inline(F.transform(F.filter("_rois", crosses), made)))
+    return with_slices(image_rows.select("slice_id", "row_idx", "hu"), held).select("slice_id", "row_idx", F.inline(F.transform(F.filter("_rois", crosses), made)))
 
 
 def circle_parts(image_rows: DataFrame, rois: DataFrame) -> DataFrame:
@@ -106,9 +108,11 @@ def water_results(stats: DataFrame) -> DataFrame:
 
 
 def uniformity_detail(stats: DataFrame) -> DataFrame:
-    """Signed deviation of each peripheral ROI from the central one."""
-    centre = stats.filter("roi_idx = 0").select("slice_id", F.col("mean_hu").alias("centre"))
-    return stats.filter("roi_idx > 0").join(centre, "slice_id").select("slice_id", "name", (F.col("mean_hu") - F.col("centre")).alias("deviation"))
+    """Signed deviation of each peripheral ROI from the central one, of slices that have a central one."""
+    centre = F.max(F.when(F.col("roi_idx") == 0, F.col("mean_hu"))).alias("centre")
+    around = F.collect_list(F.when(F.col("roi_idx") > 0, F.struct("name", "mean_hu"))).alias("around")
+    rows = stats.groupBy("slice_id").agg(F.bool_or(F.col("roi_idx") == 0).alias("there"), centre, around).filter("there")
+    return rows.select("slice_id", "centre", F.inline("around")).select("slice_id", "name", (F.col("mean_hu") - F.col("centre")).alias("deviation"))
 
 
 def inside(x: Column, y: Column, side: Column, rows: Column, columns: Column) -> Column:

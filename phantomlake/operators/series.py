@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from phantomlake.functions import rules as R
 from phantomlake.functions import scalars as S
-from phantomlake.operators import archive, devices, nps, phantom, rois
+from phantomlake.operators import archive, devices, nps, phantom, pixels, rois
 from phantomlake.operators.lineage import cut
 from phantomlake.operators.selection import SLICES
 
@@ -52,7 +52,7 @@ def nps_ranges(slices: DataFrame, n: int = SLICES) -> DataFrame:
 def placed_phantoms(image_rows: DataFrame, chosen: DataFrame, frozen: DataFrame | None = None, n_rows: int | None = None, n_cols: int | None = None) -> DataFrame:
     """series_id, slice_id, px, center_row and center_col (whole pixels), diameter_px, detected, geometry, mismatch of one slice per series."""
     hints = chosen.select("slice_id", "px", *(column(chosen, x).alias(x) for x in ("reconstruction_diameter", "center_row", "center_col"))).dropDuplicates(["slice_id"])
-    found = phantom.detect_phantom(image_rows.join(hints.select("slice_id"), "slice_id", "left_semi"), hints)
+    found = phantom.detect_phantom(pixels.with_slices(image_rows, hints.select("slice_id"), "left_semi"), hints)
     matrix = (F.coalesce(column(chosen, x, "int"), F.lit(n).cast("int")).alias(x) for x, n in (("n_rows", n_rows), ("n_cols", n_cols)))
     keep = chosen.select("series_id", "slice_id", "px", *matrix, *(column(chosen, x).alias(f"given_{x}") for x in ("center_row", "center_col")))
     whole = lambda x: F.bround(F.coalesce(f"given_{x}", x), 0).cast("int").alias(x)

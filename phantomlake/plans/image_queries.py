@@ -116,9 +116,11 @@ def water_phantom(spark, d):
 @query("roi_tiles", f"select slice_id, roi_idx, count(*) as n, round(avg(hu), 6) as mean_hu, sum(hu * (row_idx * 96 + col_idx)) as weighted from {NPS_SQL % GEO} join {{pixels}} using (slice_id) where row_idx between y - side // 2 and y - side // 2 + side - 1 and col_idx between x - side // 2 and x - side // 2 + side - 1 and {_OUT.replace('n_rows', '96')} = false group by 1, 2".replace("not (x - side", "not (x - side"))
 def roi_tiles(spark, d):
     """Each tile told by its size, mean and position-weighted sum."""
-    placed = nps_rois_of(spark, d, "phantoms").select("slice_id", "roi_idx", "x", "y", "side")
+    # each square takes its corner along
+    corner = F.struct("roi_idx", (C("x") - F.floor(C("side") / 2)).alias("x0"), (C("y") - F.floor(C("side") / 2)).alias("y0"))
+    placed = nps_rois_of(spark, d, "phantoms").select("slice_id", corner.alias("roi_idx"), "x", "y", "side")
     tiles = rois.roi_tiles(image_rows(spark, d), placed, N)
-    cells = tiles.join(placed.select("slice_id", "roi_idx", (C("x") - F.floor(C("side") / 2)).alias("x0"), (C("y") - F.floor(C("side") / 2)).alias("y0")), ["slice_id", "roi_idx"]).select("slice_id", "roi_idx", "side", "x0", "y0", F.posexplode("z").alias("i", "hu"))
+    cells = tiles.select("slice_id", "roi_idx.*", "side", F.posexplode("z").alias("i", "hu"))
     at = (C("y0") + F.floor(C("i") / C("side"))) * N + C("x0") + C("i") % C("side")
     return cells.groupBy("slice_id", "roi_idx").agg(F.count("*").alias("n"), F.round(F.avg("hu"), 6).alias("mean_hu"), F.sum(C("hu") * at).alias("weighted"))
 

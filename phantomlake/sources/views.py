@@ -136,6 +136,9 @@ select p_partkey as fmt_id, 60.0 + cast(p_partkey % 1700 as double) / 2.0 as dia
        cast(256 * (1 + p_partkey % 4) as int) as n_rows, cast(200 + p_partkey % 40 as int) as center_row, cast(250 - p_partkey % 30 as int) as center_col
 from {part}"""
 
+#: How many images or rows of a table a task gets, about, where the session's number of tasks would give it more.
+SLICES_A_TASK, ROWS_A_TASK = 1000, 500_000
+
 VIEWS = {
     "qc_runs": QC_RUNS, "headers": HEADERS, "raw_headers": RAW_HEADERS, "devices": DEVICES, "tiles": TILES, "paths": PATHS,
     "base": BASE, "mine": MINE, "theirs": THEIRS, "phantoms": PHANTOMS, "formats": FORMATS,
@@ -150,7 +153,21 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the folder or a view over its tables."""
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spark.sql(VIEWS[name], **{x: view(spark, sf_dir, x) for x in names_in(VIEWS[name])})
+    tables = {x: view(spark, sf_dir, x) for x in names_in(VIEWS[name])}
+    if "lineitem" in tables:  # slices are joined with their series, then ordered and grouped within it
+        tables["lineitem"] = dealt(tables["lineitem"], "l_orderkey", tables["lineitem"].count())
+    return spark.sql(VIEWS[name], **tables)
+
+
+def shuffle_tasks(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def dealt(rows: DataFrame, key: str, n_rows: int) -> DataFrame:
+    """rows dealt by key to tasks of ROWS_A_TASK, where the session's shuffles would give a task more: what a task sorts or
+    joins does not grow with the table. Joins, windows and groups by the key then follow this dealing."""
+    tasks = -(-n_rows // ROWS_A_TASK)
+    return rows.repartition(tasks, key) if tasks > shuffle_tasks(rows.sparkSession) else rows
 
 
 def duck(text: str) -> str:
@@ -160,6 +177,9 @@ def duck(text: str) -> str:
 
 
 def image_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """slice_id, row_idx, hu ARRAY<DOUBLE>: the images row by row, made by all cores from the few rows of their table."""
-    ids = view(spark, sf_dir, "supplier").select("s_suppkey").repartition(spark.sparkContext.defaultParallelism)
+    """slice_id, row_idx, hu ARRAY<DOUBLE>: the images row by row, made by all cores from the few rows of their table. Those
+    are dealt by slice, to as many tasks as a shuffle has or more, so that nothing that joins or groups by slice deals pixels."""
+    ids = view(spark, sf_dir, "supplier").select("s_suppkey")
+    tasks = max(spark.sparkContext.defaultParallelism, shuffle_tasks(spark), -(-ids.count() // SLICES_A_TASK))
+    ids = ids.repartition(tasks, "s_suppkey")
     return spark.sql(IMAGE_ROWS, slice_ids=ids)
