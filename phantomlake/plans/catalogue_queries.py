@@ -11,7 +11,7 @@ from phantomlake.functions import scalars as S
 from phantomlake.operators import archive, catalogue, devices, pixels, selection
 from phantomlake.plans.registry import query
 from phantomlake.plans.scalar_queries import CLASS_SQL, DEVICE_ID_SQL
-from phantomlake.sources.views import view
+from phantomlake.sources.views import dealt, view
 
 C = F.col
 
@@ -99,6 +99,7 @@ def slice_order(spark, d):
 @query("pick_series", f"select folder_id, series_uid, n_slices from (select *, row_number() over (partition by folder_id order by series_uid % 50 = 0 desc, n_slices desc, series_number, series_uid) as rk from {_INVENTORY}) where rk = 1")
 def pick_series(spark, d):
     inventory = catalogue.series_inventory(view(spark, d, "headers"))
+    inventory = dealt(inventory, "folder_id", view(spark, d, "orders").count())
     asked = F.when(C("series_uid") % 50 == 0, C("series_uid"))
     return catalogue.pick_series(inventory, asked).select("folder_id", "series_uid", "n_slices")
 
