@@ -50,21 +50,40 @@ def detrended(z: Column, side: int) -> Column:
     return bound(z, lambda t: bound(fit(t), lambda k: less(t, k)))
 
 
-def power(z: Column, side: int, px: Column) -> Column:
-    """abs(DFT)² px² / side² of a tile, zero frequency at side // 2, row-major; for small sides."""
-    cos = F.array(*(F.lit(math.cos(2 * math.pi * k / side)) for k in range(side)))
-    sin = F.array(*(F.lit(math.sin(2 * math.pi * k / side)) for k in range(side)))
-    cells = F.sequence(F.lit(0), F.lit(side * side - 1))
-    shift = side - side // 2
+def _total(factors: list[float], values: list[Column]) -> Column:
+    """The sum of values times factors, without work for factors of 0, 1 and -1."""
+    out = F.lit(0.0)
+    for k, v in zip(factors, values, strict=True):
+        if k:
+            out = out + v if k == 1 else out - v if k == -1 else out + v * k
+    return out
 
-    def one(z: Column, cell: Column) -> Column:
-        ky, kx = F.floor(cell / side) + shift, cell % side + shift
-        phase = lambda i: ((ky * F.floor(i / side) + kx * (i % side)) % side + 1).cast("int")
-        part = lambda table: F.aggregate(cells, F.lit(0.0), lambda a, i: a + F.element_at(z, i + 1) * F.element_at(table, phase(i)))
-        re, im = part(cos), part(sin)
-        return (re * re + im * im) * px * px / float(side * side)
 
-    return bound(z, lambda t: F.transform(cells, lambda cell: one(t, cell)))
+def power(z: Column, side: int, px: Column) -> Column:
+    """abs(DFT)² px² / side² of a tile, zero frequency at side // 2, row-major; for small sides. Rows are transformed first,
+    then columns, at the frequencies from 0 to side // 2 of a row; the others mirror them."""
+    half = side // 2
+    wave = lambda f, k: [float(round(f(2 * math.pi * (k * i % side) / side), 15)) if k * i * 4 % side == 0 else f(2 * math.pi * (k * i % side) / side) for i in range(side)]
+    cos, sin = ([wave(f, k) for k in range(side)] for f in (math.cos, math.sin))
+    steps = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    parts = lambda x, first, n: [F.element_at(x, first + i + 1) for i in range(n)]
+
+    def row(x: Column) -> Column:
+        v = parts(x, 0, side)
+        return F.array(*(_total(w[k], v) for k in range(half + 1) for w in (cos, sin)))
+
+    def column(x: Column) -> Column:
+        v = parts(x, 0, 2 * side)  # cosine sums of all rows, then sine sums
+        return F.array(*(_total(w, v) for k in range(side) for w in (cos[k] + [-s for s in sin[k]], sin[k] + cos[k])))
+
+    cells = [((y + side - half) % side, (x + side - half) % side) for y in range(side) for x in range(side)]
+    at = F.array(*(F.lit(2 * (x * side + y) if x <= half else 2 * ((side - x) * side + (side - y) % side)) for y, x in cells))
+    rows = lambda t: F.transform(F.transform(steps(side), lambda y: F.slice(t, y * side + 1, side)), row)
+    pick = lambda r, at: F.transform(r, lambda x: F.element_at(x, at))
+    turned = lambda r: F.transform(steps(half + 1), lambda k: F.concat(pick(r, 2 * k + 1), pick(r, 2 * k + 2)))
+    square = lambda f, i: F.element_at(f, i) * F.element_at(f, i)
+    powers = lambda f: F.transform(at, lambda i: (square(f, i + 1) + square(f, i + 2)) * px * px / float(side * side))
+    return bound(z, lambda t: bound(rows(t), lambda r: bound(F.flatten(F.transform(turned(r), column)), powers)))
 
 
 def tile_stats(tiles: DataFrame) -> DataFrame:
@@ -104,9 +123,9 @@ def mean_spectrum_fft(tiles: DataFrame, px: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in sums], pa.int64()), pa.array([s for _, s in sums], pa.int32()), pa.array([n for n, _ in sums.values()], pa.int64()), pa.array([p for _, p in sums.values()], pa.list_(pa.float64()))], schema=out)
 
     partial = tiles.select("series_id", "z").mapInArrow(run, "series_id long, side int, n long, power array<double>")
-    counts = partial.groupBy("series_id", "side").agg(F.sum("n").alias("n_tiles"))
-    cells = partial.select("series_id", "side", F.posexplode("power").alias("cell", "p")).groupBy("series_id", "side", "cell").agg(F.sum("p").alias("p"))
-    return cells.join(counts, ["series_id", "side"]).select("series_id", "side", "n_tiles", "cell", (F.col("p") / F.col("n_tiles")).alias("power"))
+    # every cell of a series counts the same tiles, so the kernel runs once and nothing is joined
+    cells = partial.select("series_id", "side", "n", F.posexplode("power").alias("cell", "p")).groupBy("series_id", "side", "cell").agg(F.sum("n").alias("n_tiles"), F.sum("p").alias("p"))
+    return cells.select("series_id", "side", "n_tiles", "cell", (F.col("p") / F.col("n_tiles")).alias("power"))
 
 
 def radial_of(spectrum: DataFrame) -> DataFrame:
