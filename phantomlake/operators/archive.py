@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from phantomlake.operators.lineage import meet
+
 
 def relative_path(path: Column, base: Column) -> Column:
     """`path` from the folder `base`, with "/" and ".." as needed."""
@@ -70,7 +72,7 @@ def candidate_folders(runs: DataFrame, relocations: DataFrame, base: str = "") -
 def resolve_folder(runs: DataFrame, relocations: DataFrame, catalogue: DataFrame, base: str = "") -> DataFrame:
     """run_id, folder, via: the first candidate folder that really holds the run's series, written as in the catalogue."""
     held = catalogue.select("series_uid", F.col("folder").alias("held"), normalised(F.col("folder")).alias("folder")).distinct()
-    found = candidate_folders(runs, relocations, base).join(held, ["series_uid", "folder"])
+    found = meet(candidate_folders(runs, relocations, base), held, ["series_uid", "folder"])
     return found.groupBy("run_id").agg(F.min_by(F.struct(F.col("held").alias("folder"), "via"), F.struct("rank", "held")).alias("f")).select("run_id", "f.folder", "f.via")
 
 

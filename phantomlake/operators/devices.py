@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from phantomlake.operators.lineage import meet
+
 
 def recognised(slices: DataFrame, devices: DataFrame) -> DataFrame:
     """Slices with their scanner, by device_id; an empty id never matches, unknown scanners keep null."""
@@ -33,7 +35,7 @@ def geometry_in_force(images: DataFrame, own: Column, frozen: DataFrame | None,
     """
     if frozen is None:
         return images.withColumns({"geometry": own, "mismatch": F.lit(False)})
-    rows = images.join(frozen.select(key, F.col("geometry").alias("_g")), key, "left")
+    rows = meet(images, frozen.select(key, F.col("geometry").alias("_g")), key, "left")
     fits = geometry_fits(F.col("n_rows"), F.col("n_cols"), F.col("px"), F.col("_g.rows"), F.col("_g.columns"), F.col("_g.pixel_size_mm"))
     return rows.withColumns({"geometry": F.when(fits, F.col("_g")).otherwise(own), "mismatch": F.col("_g").isNotNull() & ~fits}).drop("_g")
 

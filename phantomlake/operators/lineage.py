@@ -1,4 +1,4 @@
-"""Writing what several steps read, safe against lost executors."""
+"""Writing what several steps read, safe against lost executors; joining what grows with the fleet."""
 
 from __future__ import annotations
 
@@ -7,6 +7,12 @@ import tempfile
 from pyspark.sql import DataFrame
 
 
+def meet(rows: DataFrame, others: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """rows joined with others by a key of which there are more in a larger fleet (slice, series, control). The hint keeps
+    `others` out of a broadcast, which an estimate by the size of files would choose: each task holds its part of them."""
+    return rows.join(others.hint("shuffle_hash"), on, how)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df checkpointed in the shared folder that spark.checkpoint.dir names. Only where all runs on one machine (tests) a
     temporary folder is set for a session that has none."""

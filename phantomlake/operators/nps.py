@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from phantomlake.functions.scalars import format_fr, ring_count_of
+from phantomlake.operators.lineage import meet
 
 FIT_DEGREE = 11
 
@@ -137,7 +138,7 @@ def radial_of(spectrum: DataFrame) -> DataFrame:
     ring = F.floor(F.sqrt((dx * dx + dy * dy).cast("double"))).cast("int")
     means = spectrum.withColumn("ring", ring).filter(F.col("ring") < rings).groupBy("series_id", "ring").agg(F.avg("power").alias("power"))
     axis = spectrum.select("series_id", "side", "px").distinct().select("*", F.explode(F.sequence(F.lit(0), rings - 1)).alias("ring"))
-    return axis.join(means, ["series_id", "ring"], "left").select("series_id", "ring", (F.col("ring") / (side * F.col("px"))).alias("freq"), F.coalesce("power", F.lit(0.0)).alias("power"))
+    return meet(axis, means, ["series_id", "ring"], "left").select("series_id", "ring", (F.col("ring") / (side * F.col("px"))).alias("freq"), F.coalesce("power", F.lit(0.0)).alias("power"))
 
 
 def radial(spectrum: DataFrame, side: int, px: float) -> DataFrame:
@@ -176,7 +177,7 @@ def roi_warnings(stats: DataFrame) -> DataFrame:
     rows = stats.withColumns({"all_mean": F.avg("mean_hu").over(w), "all_std": F.stddev_pop("mean_hu").over(w)})
     # the exact median comes from an aggregate of its own: it has no window form
     medians = stats.groupBy("series_id").agg(F.median("std_hu").alias("median_std"))
-    rows = rows.join(medians, "series_id")
+    rows = meet(rows, medians, "series_id")
     away = F.abs(F.col("mean_hu") - F.col("all_mean"))
     odd_mean = F.when((F.col("all_std") > 0) & (away / F.col("all_std") > 3) & (away > 2), F.concat(F.lit("moyenne atypique ("), format_fr(F.col("mean_hu"), 1), F.lit(" UH pour "), format_fr(F.col("all_mean"), 1), F.lit(" UH attendu)")))
     odd_std = F.when((F.col("median_std") > 0) & (F.col("std_hu") > 2 * F.col("median_std")), F.concat(F.lit("écart-type élevé ("), format_fr(F.col("std_hu"), 1), F.lit(" UH pour "), format_fr(F.col("median_std"), 1), F.lit(" UH en médiane)")))
@@ -197,4 +198,4 @@ def analysis(tiles: DataFrame, side: int, px: float) -> DataFrame:
     stats = tile_stats(tiles)
     freq = mean_frequency(radial(mean_spectrum_fft(tiles, px).select("series_id", "cell", "power"), side, px))
     slices = tiles.groupBy("series_id").agg(F.countDistinct("slice_idx").alias("n_slices"))
-    return freq.join(noise(stats), "series_id").join(slices, "series_id").withColumn("few_slices", F.col("n_slices") < 10)
+    return meet(meet(freq, noise(stats), "series_id"), slices, "series_id").withColumn("few_slices", F.col("n_slices") < 10)

@@ -6,10 +6,16 @@ gives it its rows as they lie: no exchange stands above the scan of the pixels,
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phantomlake.operators.catalogue import is_candidate
+from phantomlake.operators.lineage import meet
+
+#: Image rows as a table, or as a source that gives those of the slices it is asked for (slice_id) and makes or decodes no others.
+Images = DataFrame | Callable[[DataFrame], DataFrame]
 
 
 def write_slice_rows(image_rows: DataFrame, table: str, buckets: int, path: str | None = None, mode: str = "errorifexists") -> None:
@@ -23,7 +29,13 @@ def write_slice_rows(image_rows: DataFrame, table: str, buckets: int, path: str
 def with_slices(image_rows: DataFrame, slices: DataFrame, how: str = "inner") -> DataFrame:
     """Image rows joined with rows of a few columns by slice. The hint keeps pixels out of a broadcast, which an estimate of
     their size that is too low would choose; each task holds its part of `slices`, and pixels dealt by slice stay where they are."""
-    return image_rows.join(slices.hint("shuffle_hash"), "slice_id", how)
+    return meet(image_rows, slices, "slice_id", how)
+
+
+def of_slices(images: Images, slices: DataFrame) -> DataFrame:
+    """The image rows of some slices."""
+    ids = slices.select("slice_id")
+    return images(ids) if callable(images) else with_slices(images, ids, "left_semi")
 
 
 def plain_path(path: Column) -> Column:

@@ -8,6 +8,8 @@ Only the slices that a step uses reach it. Slices of a series that cannot be ana
 `frozen` (series_id, geometry) holds the geometry that was frozen for a series' scanner: where it fits the image's format
 regions are laid by it, and only the centre comes from the image. `positions` (series_id, roi_idx, x, y, side) are squares
 given from outside, as ROI files hold them; the size of a series' first one is that of all, and no geometry is told of them.
+
+`image_rows` is a table or a source that makes or decodes rows of the slices it is asked for (pixels.Images).
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from phantomlake.functions import rules as R
 from phantomlake.functions import scalars as S
 from phantomlake.operators import archive, devices, nps, phantom, pixels, rois
-from phantomlake.operators.lineage import cut
+from phantomlake.operators.lineage import cut, meet
 from phantomlake.operators.selection import SLICES
 
 #: Why a series cannot be analysed.
@@ -49,14 +51,14 @@ def nps_ranges(slices: DataFrame, n: int = SLICES) -> DataFrame:
     return rows.select("series_id", "n_slices", F.when(error.isNull(), first).alias("first"), F.when(error.isNull(), last).alias("last"), error.alias("error"))
 
 
-def placed_phantoms(image_rows: DataFrame, chosen: DataFrame, frozen: DataFrame | None = None, n_rows: int | None = None, n_cols: int | None = None) -> DataFrame:
+def placed_phantoms(image_rows: pixels.Images, chosen: DataFrame, frozen: DataFrame | None = None, n_rows: int | None = None, n_cols: int | None = None) -> DataFrame:
     """series_id, slice_id, px, center_row and center_col (whole pixels), diameter_px, detected, geometry, mismatch of one slice per series."""
     hints = chosen.select("slice_id", "px", *(column(chosen, x).alias(x) for x in ("reconstruction_diameter", "center_row", "center_col"))).dropDuplicates(["slice_id"])
-    found = phantom.detect_phantom(pixels.with_slices(image_rows, hints.select("slice_id"), "left_semi"), hints)
+    found = phantom.detect_phantom(pixels.of_slices(image_rows, hints), hints)
     matrix = (F.coalesce(column(chosen, x, "int"), F.lit(n).cast("int")).alias(x) for x, n in (("n_rows", n_rows), ("n_cols", n_cols)))
     keep = chosen.select("series_id", "slice_id", "px", *matrix, *(column(chosen, x).alias(f"given_{x}") for x in ("center_row", "center_col")))
     whole = lambda x: F.bround(F.coalesce(f"given_{x}", x), 0).cast("int").alias(x)
-    rows = keep.join(found, "slice_id").select("series_id", "slice_id", "px", "n_rows", "n_cols", whole("center_row"), whole("center_col"), (2 * F.col("radius")).alias("diameter_px"), (F.col("n_points") > 0).alias("detected"))
+    rows = meet(keep, found, "slice_id").select("series_id", "slice_id", "px", "n_rows", "n_cols", whole("center_row"), whole("center_col"), (2 * F.col("radius")).alias("diameter_px"), (F.col("n_points") > 0).alias("detected"))
     own = rois.geometry_struct(F.col("diameter_px"), F.col("px"), F.col("n_rows"), F.col("n_cols"))
     return devices.geometry_in_force(rows, own, frozen)
 
@@ -64,14 +66,14 @@ def placed_phantoms(image_rows: DataFrame, chosen: DataFrame, frozen: DataFrame
 def squares_of(phantoms: DataFrame, used: DataFrame, positions: DataFrame | None) -> DataFrame:
     """series_id, roi_idx, x, y, side, given: eight squares around each centre, or those given for the series."""
     sizes = used.groupBy("series_id").agg(F.max(column(used, "roi_size", "int")).alias("_side"))
-    laid = rois.nps_rois(phantoms, rois.sizes_of("geometry")).join(sizes, "series_id").select("series_id", "roi_idx", "x", "y", F.coalesce("_side", "side").alias("side"), F.lit(False).alias("given"))
+    laid = meet(rois.nps_rois(phantoms, rois.sizes_of("geometry")), sizes, "series_id").select("series_id", "roi_idx", "x", "y", F.coalesce("_side", "side").alias("side"), F.lit(False).alias("given"))
     if positions is None:
         return laid
     first = positions.groupBy("series_id").agg(F.min_by("side", "roi_idx").alias("side"))
-    given = positions.select("series_id", "roi_idx", "x", "y").join(first, "series_id").join(phantoms.select("series_id"), "series_id", "left_semi")
+    given = meet(meet(positions.select("series_id", "roi_idx", "x", "y"), first, "series_id"), phantoms.select("series_id"), "series_id", "left_semi")
     kinds = [f.dataType for f in laid.schema]
     given = given.withColumn("given", F.lit(True)).select(*(F.col(c).cast(t).alias(c) for c, t in zip(laid.columns, kinds, strict=True)))
-    return laid.join(first.select("series_id"), "series_id", "left_anti").unionByName(given)
+    return meet(laid, first.select("series_id"), "series_id", "left_anti").unionByName(given)
 
 
 class SeriesSpectra(NamedTuple):
@@ -82,45 +84,47 @@ class SeriesSpectra(NamedTuple):
     warnings: DataFrame
 
 
-def nps_of_series(image_rows: DataFrame, slices: DataFrame, n_rows: int | None, n_cols: int | None, n: int = SLICES, frozen: DataFrame | None = None, positions: DataFrame | None = None) -> SeriesSpectra:
+def nps_of_series(image_rows: pixels.Images, slices: DataFrame, n_rows: int | None, n_cols: int | None, n: int = SLICES, frozen: DataFrame | None = None, positions: DataFrame | None = None) -> SeriesSpectra:
     """The whole analysis: slice range, phantom on the middle slice, geometry in force, placement of the eight squares (or
     those given), clipping, noise, detrending, spectrum, rings, mean frequency, fit and warnings."""
     ranges = nps_ranges(slices, n)
-    used = slices.join(ranges.filter("error is null").select("series_id", F.col("first").alias("_a"), F.col("last").alias("_b")), "series_id").filter("slice_idx between _a and _b")
+    used = meet(slices, ranges.filter("error is null").select("series_id", F.col("first").alias("_a"), F.col("last").alias("_b")), "series_id").filter("slice_idx between _a and _b")
     middle = used.filter(F.col("slice_idx") == F.col("_a") + F.floor((F.col("_b") - F.col("_a") + 1) / 2))
     phantoms = cut(placed_phantoms(image_rows, middle, frozen, n_rows, n_cols))
-    squares = squares_of(phantoms, used, positions).join(phantoms.select("series_id", "n_rows", "n_cols"), "series_id")
+    squares = meet(squares_of(phantoms, used, positions), phantoms.select("series_id", "n_rows", "n_cols"), "series_id")
     skipped = F.array_sort(F.collect_set(F.when(~rois.inside(F.col("x"), F.col("y"), F.col("side"), F.col("n_rows"), F.col("n_cols")), F.col("roi_idx"))))
     placement = squares.groupBy("series_id").agg(F.max("side").alias("roi_size"), skipped.alias("skipped"), F.bool_or("given").alias("given"))
     # a slice may serve several analyses, so a square is told by series and square
-    each = used.select("series_id", "slice_idx", "slice_id").join(squares, "series_id").withColumn("of", F.struct("series_id", "slice_idx", "roi_idx"))
+    each = meet(used.select("series_id", "slice_idx", "slice_id"), squares, "series_id").withColumn("of", F.struct("series_id", "slice_idx", "roi_idx"))
     # tiles and rings are read several times, the images once
-    tiles = cut(rois.roi_tiles(image_rows, each.select("slice_id", F.col("of").alias("roi_idx"), "x", "y", "side", "n_rows", "n_cols"), F.col("n_rows"), F.col("n_cols")).select("roi_idx.*", "z"))
+    tiles = cut(rois.roi_tiles(pixels.of_slices(image_rows, used), each.select("slice_id", F.col("of").alias("roi_idx"), "x", "y", "side", "n_rows", "n_cols"), F.col("n_rows"), F.col("n_cols")).select("roi_idx.*", "z"))
     stats = nps.tile_stats(tiles).drop("z")
-    spectrum = nps.mean_spectrum_fft(tiles, 1.0).join(phantoms.select("series_id", "px"), "series_id").withColumn("power", F.col("power") * F.col("px") ** 2)
+    spectrum = meet(nps.mean_spectrum_fft(tiles, 1.0), phantoms.select("series_id", "px"), "series_id").withColumn("power", F.col("power") * F.col("px") ** 2)
     rings = cut(nps.radial_of(spectrum))
     warnings = nps.roi_warnings(stats)
-    row = ranges.join(phantoms.select("series_id", "center_row", "center_col", "diameter_px", "detected", "geometry", "mismatch"), "series_id", "left").join(placement, "series_id", "left")
-    row = row.join(nps.noise(stats), "series_id", "left").join(nps.mean_frequency(rings), "series_id", "left")
-    row = row.join(warnings.groupBy("series_id").agg(F.count("*").alias("n_warnings")), "series_id", "left")
+    found = phantoms.select("series_id", "center_row", "center_col", "diameter_px", "detected", "geometry", "mismatch")
+    row = ranges
+    for part in (found, placement, nps.noise(stats), nps.mean_frequency(rings), warnings.groupBy("series_id").agg(F.count("*").alias("n_warnings"))):
+        row = meet(row, part, "series_id", "left")
     error = F.coalesce("error", F.when(F.col("n_tiles").isNull(), F.lit(NO_ROI)))
     given = F.coalesce("given", F.lit(False))
     told = {"geometry": F.when(~given, F.col("geometry")), "mismatch": F.coalesce("mismatch", F.lit(False)) & ~given}
     return SeriesSpectra(row.withColumns({"error": error, "n_tiles": F.coalesce("n_tiles", F.lit(0)), "n_warnings": F.coalesce("n_warnings", F.lit(0))} | told).drop("given"), nps.fitted(rings), warnings)
 
 
-def hu_of_series(image_rows: DataFrame, slices: DataFrame, frozen: DataFrame | None = None, n_rows: int | None = None, n_cols: int | None = None) -> DataFrame:
+def hu_of_series(image_rows: pixels.Images, slices: DataFrame, frozen: DataFrame | None = None, n_rows: int | None = None, n_cols: int | None = None) -> DataFrame:
     """Per series the water CT number and uniformity of its HU slice (given as hu_slice and cut to the series, else the
     middle one), with the phantom found there and the geometry of its regions: the frozen one where it fits."""
     w = Window.partitionBy("series_id")
     rows = slices.withColumn("_n", F.count("*").over(w)).withColumn("_hu", F.coalesce(F.max(column(slices, "hu_slice", "int")).over(w), F.floor((F.col("_n") + 1) / 2).cast("int") - 1))
     chosen = rows.filter(F.col("slice_idx") == F.least(F.greatest("_hu", F.lit(0)), F.col("_n") - 1))
-    phantoms = placed_phantoms(image_rows, chosen, frozen, n_rows, n_cols)
+    phantoms = cut(placed_phantoms(image_rows, chosen, frozen, n_rows, n_cols))
     circles = rois.hu_rois(phantoms, rois.sizes_of("geometry")).select("series_id", "slice_id", "roi_idx", "name", "cx", "cy", "radius")
     # the same slice may serve several analyses: statistics are keyed by the series
-    stats = rois.roi_stats(image_rows, circles.withColumn("roi_idx", F.struct("series_id", "roi_idx"))).select("roi_idx.*", "mean_hu", "std_hu").withColumnRenamed("series_id", "slice_id")
+    stats = rois.roi_stats(pixels.of_slices(image_rows, phantoms), circles.withColumn("roi_idx", F.struct("series_id", "roi_idx"))).select("roi_idx.*", "mean_hu", "std_hu").withColumnRenamed("series_id", "slice_id")
     results = rois.water_results(stats).withColumnRenamed("slice_id", "series_id")
-    return phantoms.select("series_id", "detected", "geometry", "mismatch").join(chosen.select("series_id", F.col("slice_idx").cast("int").alias("hu_slice"), F.col("_n").cast("int").alias("n_slices")), "series_id").join(results, "series_id", "left")
+    told = chosen.select("series_id", F.col("slice_idx").cast("int").alias("hu_slice"), F.col("_n").cast("int").alias("n_slices"))
+    return meet(meet(phantoms.select("series_id", "detected", "geometry", "mismatch"), told, "series_id"), results, "series_id", "left")
 
 
 #: What a recorded control has besides its measurements, with what stands for an absent value (fixed: the empty text or 0).
@@ -149,8 +153,8 @@ def controls(hu: DataFrame, spectra: DataFrame, headers: DataFrame, references:
     })
     refs = references.select("device_id", F.col("noise").alias("ref_noise"), F.col("nps_freq").alias("ref_nps_freq"))
     measured = F.col("error").isNull()
-    rows = head.join(hu.withColumnRenamed("detected", "hu_detected"), "series_id")
-    rows = rows.join(spectra.select("series_id", "error", "noise", "mean_freq", "first", "last", F.col("detected").alias("nps_detected")), "series_id", "left").join(refs, "device_id", "left")
+    rows = meet(head, hu.withColumnRenamed("detected", "hu_detected"), "series_id")
+    rows = meet(rows, spectra.select("series_id", "error", "noise", "mean_freq", "first", "last", F.col("detected").alias("nps_detected")), "series_id", "left").join(refs, "device_id", "left")
     rows = rows.withColumn("run_id", S.run_key(F.col("series_uid"), F.col("run_date"), F.col("series_id"), F.col("device_id")))
     return rows.select(
         *head.columns, "run_id", "water_ct", "uniformity", F.when(measured, F.col("noise")).alias("noise"), F.when(measured, F.col("mean_freq")).alias("nps_freq"), "ref_noise", "ref_nps_freq",
@@ -166,16 +170,17 @@ def located(runs: DataFrame, slices: DataFrame, relocations: DataFrame, base: st
     """Runs with `folder`, the first candidate folder that holds their series (null without one), `stored_folder` and
     `missing`: whether no candidate is there at all, or those that are hold other series. `slices` has folder and series_id."""
     held = slices.select("folder", F.col("series_id").alias("series_uid")).distinct()
+    relocations = F.broadcast(relocations)  # a store keeps a few of them
     wanted = runs.withColumn("series_uid", F.col("series_id"))
     found = archive.resolve_folder(wanted, relocations, held, base).select("run_id", F.col("folder").alias("_found"))
     known = held.select(archive.normalised(F.col("folder")).alias("folder")).distinct()
-    there = archive.candidate_folders(wanted, relocations, base).join(known, "folder", "left_semi").select("run_id").distinct().withColumn("_there", F.lit(True))
-    rows = runs.withColumnRenamed("folder", "stored_folder").join(found, "run_id", "left").join(there, "run_id", "left")
+    there = meet(archive.candidate_folders(wanted, relocations, base), known, "folder", "left_semi").select("run_id").distinct().withColumn("_there", F.lit(True))
+    rows = meet(meet(runs.withColumnRenamed("folder", "stored_folder"), found, "run_id", "left"), there, "run_id", "left")
     reason = F.when(F.col("_found").isNull(), F.when(F.col("_there"), OTHER_SERIES).otherwise(NO_FOLDER))
     return rows.withColumns({"folder": F.col("_found"), "missing": reason}).drop("_found", "_there")
 
 
-def reanalysed(runs: DataFrame, slices: DataFrame, image_rows: DataFrame, references: DataFrame, n_rows: int | None, n_cols: int | None, frozen: DataFrame | None = None, relocations: DataFrame | None = None, base: str = "") -> DataFrame:
+def reanalysed(runs: DataFrame, slices: DataFrame, image_rows: pixels.Images, references: DataFrame, n_rows: int | None, n_cols: int | None, frozen: DataFrame | None = None, relocations: DataFrame | None = None, base: str = "") -> DataFrame:
     """Recorded controls measured again on the slices they used, judged by the references in force now.
 
     `runs` has run_id, device_id, series_id, hu_slice, nps_start, nps_end, artifacts_present; its date (run_date), control_type,
@@ -190,7 +195,7 @@ def reanalysed(runs: DataFrame, slices: DataFrame, image_rows: DataFrame, refere
         known, place = located(runs, slices, moved, base), ["folder", "series_id"]
     else:
         known, place = runs.withColumn("missing", F.lit(None).cast("string")), ["series_id"]
-    known = known.join(slices.groupBy(*place).agg(F.count("*").cast("int").alias("n")), place, "left")
+    known = meet(known, slices.groupBy(*place).agg(F.count("*").cast("int").alias("n")), place, "left")
     last = F.greatest(F.coalesce("hu_slice", F.lit(0)), F.coalesce("nps_end", F.lit(0)))
     known = cut(known.withColumns({"missing": F.when(F.col("n").isNull(), F.coalesce("missing", F.lit(OTHER_SERIES))), "clamped": F.coalesce(last >= F.col("n"), F.lit(False))}))
     into = lambda x: F.least(F.greatest(F.col(x), F.lit(0)), F.col("n") - 1)
@@ -198,11 +203,12 @@ def reanalysed(runs: DataFrame, slices: DataFrame, image_rows: DataFrame, refere
     there = known.filter("missing is null")
     wanted = there.select("run_id", *place, F.when(F.col("hu_slice").isNotNull(), into("hu_slice")).alias("hu_slice"), *(F.when(both, f(into("nps_start"), into("nps_end"))).alias(x) for x, f in (("first", F.least), ("last", F.greatest))))
     # each control is an analysis of its own
-    own = slices.drop("hu_slice", "first", "last").join(wanted, place).drop("series_id", "folder").withColumnRenamed("run_id", "series_id")
+    own = meet(slices.drop("hu_slice", "first", "last"), wanted, place).drop("series_id", "folder").withColumnRenamed("run_id", "series_id")
     held = None if frozen is None else devices.frozen_of(there.select(F.col("run_id").alias("series_id"), "device_id"), frozen)
     hu = hu_of_series(image_rows, own, held, n_rows, n_cols).select(F.col("series_id").alias("run_id"), "detected", "water_ct", "uniformity", "geometry", "mismatch")
     spectra = nps_of_series(image_rows, own, n_rows, n_cols, frozen=held).series.select(F.col("series_id").alias("run_id"), "noise", F.col("mean_freq").alias("nps_freq"), "error")
     refs = references.select("device_id", F.col("noise").alias("ref_noise"), F.col("nps_freq").alias("ref_nps_freq"))
     kept = [c for c in ("run_date", "control_type", "performed_by", "validated_by", "folder", "stored_folder") if c in known.columns]
-    rows = known.select("run_id", "device_id", "missing", "clamped", "artifacts_present", *kept).join(hu, "run_id", "left").join(spectra, "run_id", "left").join(refs, "device_id", "left")
+    rows = known.select("run_id", "device_id", "missing", "clamped", "artifacts_present", *kept)
+    rows = meet(meet(rows, hu, "run_id", "left"), spectra, "run_id", "left").join(refs, "device_id", "left")
     return rows.withColumns(R.statuses())

@@ -18,6 +18,11 @@ def slices_of(spark, d):
     return rows.select(F.floor(C("slice_id") / 12).alias("series_id"), (C("slice_id") % 12).cast("int").alias("slice_idx"), "slice_id", "px", C("diameter_px").alias("reconstruction_diameter"))
 
 
+def images_of(spark, d):
+    """The source of image rows: it makes those of the slices it is asked for."""
+    return lambda slices: image_rows(spark, d, slices)
+
+
 def scanners_of(spark):
     """Scanner 0 has a geometry frozen for these images, scanner 1 one for another matrix, scanner 3 one that was stored
     without a pixel size; the others have none."""
@@ -34,7 +39,7 @@ def frozen_of(spark, d):
 
 
 def spectra_of(spark, d):
-    return series.nps_of_series(image_rows(spark, d), slices_of(spark, d), N, N, frozen=frozen_of(spark, d))
+    return series.nps_of_series(images_of(spark, d), slices_of(spark, d), N, N, frozen=frozen_of(spark, d))
 
 
 def as_text(rows):
@@ -80,7 +85,7 @@ def roi_file_spectrum(spark, d):
     side = F.when(C("series_id") % 2 == 0, 24).otherwise(32)
     corner = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.struct((20 + i * 8).alias("X"), (24 + i * 4).alias("Y"), side.alias("side_square")))
     files = slices.select("series_id").distinct().select("series_id", F.to_json(F.struct(F.lit("NPS").alias("type_of_file"), corner.alias("ROI"))).alias("json"))
-    found = series.nps_of_series(image_rows(spark, d), slices, N, N, frozen=frozen_of(spark, d), positions=rois.read_nps_rois(files, "json"))
+    found = series.nps_of_series(images_of(spark, d), slices, N, N, frozen=frozen_of(spark, d), positions=rois.read_nps_rois(files, "json"))
     rows = as_text(found.series).withColumn("skipped", F.array_join(C("skipped").cast("array<string>"), ","))
     return rounded(rows, "diameter_px", "noise", "mean_freq")
 
@@ -103,7 +108,7 @@ def references_of(spark):
 @query("measured_controls")
 def measured_controls(spark, d):
     """Controls as they are recorded: measurements by the geometry in force, joined with scanner, references and date."""
-    hu = series.hu_of_series(image_rows(spark, d), slices_of(spark, d), frozen_of(spark, d), N, N)
+    hu = series.hu_of_series(images_of(spark, d), slices_of(spark, d), frozen_of(spark, d), N, N)
     rows = series.controls(hu, spectra_of(spark, d).series, headers_of(spark, d), references_of(spark))
     return rounded(as_text(rows), "water_ct", "uniformity", "noise", "nps_freq")
 
@@ -125,5 +130,5 @@ def reanalyse(spark, d):
     judged by the references in force."""
     slices = slices_of(spark, d).withColumn("folder", F.concat(F.lit("/archive/"), C("series_id")))
     moved = spark.createDataFrame([("/old", "/elsewhere", 1), ("/old", "/archive", 2)], "old string, new string, seq long")
-    rows = series.reanalysed(recorded_of(spark, d), slices, image_rows(spark, d), references_of(spark), N, N, scanners_of(spark), moved)
+    rows = series.reanalysed(recorded_of(spark, d), slices, images_of(spark, d), references_of(spark), N, N, scanners_of(spark), moved)
     return rounded(as_text(rows), "water_ct", "uniformity", "noise", "nps_freq")

@@ -9,6 +9,9 @@ from __future__ import annotations
 import string
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from phantomlake.operators.lineage import meet
 
 #: Decoded controls of every scanner, as recorded (several rows share a device_id and run_id).
 QC_RUNS = """
@@ -176,10 +179,13 @@ def duck(text: str) -> str:
     return text.format(**{x: f"({duck(texts[x])})" if x in texts else x for x in names_in(text)})
 
 
-def image_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def image_rows(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
     """slice_id, row_idx, hu ARRAY<DOUBLE>: the images row by row, made by all cores from the few rows of their table. Those
-    are dealt by slice, to as many tasks as a shuffle has or more, so that nothing that joins or groups by slice deals pixels."""
+    are dealt by slice, to as many tasks as a shuffle has or more, so that nothing that joins or groups by slice deals pixels.
+    `of` (slice_id) names the slices that are wanted; no others are made."""
     ids = view(spark, sf_dir, "supplier").select("s_suppkey")
     tasks = max(spark.sparkContext.defaultParallelism, shuffle_tasks(spark), -(-ids.count() // SLICES_A_TASK))
     ids = ids.repartition(tasks, "s_suppkey")
+    if of is not None:  # both sides are dealt alike; a semi-join would be put before the dealing, which is then left out
+        ids = meet(ids, of.select(F.col("slice_id").alias("s_suppkey")).distinct().repartition(tasks, "s_suppkey"), "s_suppkey")
     return spark.sql(IMAGE_ROWS, slice_ids=ids)

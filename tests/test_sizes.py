@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_series import exchanges_over, plan_of
 
-from phantomlake.operators import nps
+from phantomlake.operators import nps, series
 from phantomlake.plans import QUERIES
 from phantomlake.sources import views
 
@@ -24,6 +24,32 @@ def test_pixels_are_neither_broadcast_nor_dealt(spark, name):
     assert "BroadcastExchange" not in plan and exchanges_over(plan, " AS hu#") == [], plan
 
 
+@needs_tables
+@pytest.mark.parametrize("name", ["nps_series", "nps_fit", "roi_file_spectrum", "measured_controls", "reanalyse"])
+def test_series_are_not_broadcast(spark, monkeypatch, name):
+    """Only scanners, their references and moved folders may be: there are no more of them in more series."""
+    plans, cut = [], series.cut
+    monkeypatch.setattr(series, "cut", lambda df: plans.append(plan_of(df)) or cut(df))
+    plans.append(plan_of(QUERIES[name](spark, SF)))
+    lines = [line.lstrip(" :+-") for plan in plans for line in plan.splitlines()]
+    broadcast = ["\n".join(lines[k : k + 4]) for k, line in enumerate(lines) if line.startswith("BroadcastExchange")]
+    assert [x for x in broadcast if "Range (0, 4" not in x and "Scan ExistingRDD[old#" not in x] == []
+
+
+@needs_tables
+def test_images_are_made_of_the_slices_asked_for(spark, monkeypatch):
+    few = views.view(spark, SF, "phantoms").filter("slice_id % 12 = 5").select("slice_id")
+    rows = views.image_rows(spark, SF, few.union(few))
+    whole = views.image_rows(spark, SF).join(few, "slice_id", "left_semi")
+    assert few.count() > 0 and sorted(map(tuple, rows.collect())) == sorted(map(tuple, whole.collect()))
+    plan = plan_of(rows)
+    assert "BroadcastExchange" not in plan and exchanges_over(plan, " AS hu#") == [], plan
+    # the join picks slices before their rows are made, and tasks grow in number with the table
+    assert plan.index(" AS hu#") < plan.index("Generate explode") < plan.index("ShuffledHashJoin"), plan
+    monkeypatch.setattr(views, "SLICES_A_TASK", 1)
+    assert views.image_rows(spark, SF, few).rdd.getNumPartitions() == views.view(spark, SF, "supplier").count() > 4
+
+
 @needs_tables
 @pytest.mark.parametrize("name", ["slice_order", "central_slices", "slices_by_location", "pick_series"])
 def test_tasks_over_slices_do_not_grow_with_the_table(spark, monkeypatch, name):
