@@ -139,7 +139,7 @@ select p_partkey as fmt_id, 60.0 + cast(p_partkey % 1700 as double) / 2.0 as dia
        cast(256 * (1 + p_partkey % 4) as int) as n_rows, cast(200 + p_partkey % 40 as int) as center_row, cast(250 - p_partkey % 30 as int) as center_col
 from {part}"""
 
-#: How many images or rows of a table a task gets, about, where the session's number of tasks would give it more.
+#: How many images or rows of a table a task gets at most, about.
 SLICES_A_TASK, ROWS_A_TASK = 1000, 500_000
 
 VIEWS = {
@@ -159,6 +159,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     tables = {x: view(spark, sf_dir, x) for x in names_in(VIEWS[name])}
     if "lineitem" in tables:  # slices are joined with their series, then ordered and grouped within it
         tables["lineitem"] = dealt(tables["lineitem"], "l_orderkey", tables["lineitem"].count())
+        tables["orders"] = tables["orders"].hint("merge")  # series, else broadcast while their compressed file is small; a merge can spill
     return spark.sql(VIEWS[name], **tables)
 
 
@@ -167,10 +168,11 @@ def shuffle_tasks(spark: SparkSession) -> int:
 
 
 def dealt(rows: DataFrame, key: str, n_rows: int) -> DataFrame:
-    """rows dealt by key to tasks of ROWS_A_TASK, where the session's shuffles would give a task more: what a task sorts or
-    joins does not grow with the table. Joins, windows and groups by the key then follow this dealing."""
+    """rows dealt by key to as many tasks as a shuffle has, or more, of at most about ROWS_A_TASK: what a task sorts or joins
+    does not grow with the table. The number is set even where a shuffle has as many, since adaptive execution merges the tasks
+    of a shuffle to one a core. Joins, windows and groups by the key then follow this dealing; what fits one task is left alone."""
     tasks = -(-n_rows // ROWS_A_TASK)
-    return rows.repartition(tasks, key) if tasks > shuffle_tasks(rows.sparkSession) else rows
+    return rows.repartition(max(tasks, shuffle_tasks(rows.sparkSession)), key) if tasks > 1 else rows
 
 
 def duck(text: str) -> str:

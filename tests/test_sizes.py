@@ -62,6 +62,23 @@ def test_tasks_over_slices_do_not_grow_with_the_table(spark, monkeypatch, name):
     assert rows(got) == want
 
 
+@needs_tables
+@pytest.mark.parametrize("name", ["slice_order", "central_slices", "slices_by_location", "pick_series", "majority_format", "modulation", "scan_date"])
+def test_series_of_slices_are_not_broadcast(spark, name):
+    """Orders, one a series, are joined where slices lie, though the estimated size of their file is below the limit for broadcasts."""
+    plan = plan_of(QUERIES[name](spark, SF))
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan, plan
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["slice_order", "central_slices", "slices_by_location", "pick_series"])
+def test_tasks_over_slices_are_not_merged(spark, monkeypatch, name):
+    """As many tasks as the session has are enough for these rows, but adaptive execution would merge them."""
+    of = "orders" if name == "pick_series" else "lineitem"
+    monkeypatch.setattr(views, "ROWS_A_TASK", -(-views.view(spark, SF, of).count() // 2))
+    assert QUERIES[name](spark, SF).rdd.getNumPartitions() == views.shuffle_tasks(spark) > 2
+
+
 @pytest.mark.parametrize("side", [5, 6, 8])
 def test_power_in_expressions(spark, side):
     z = np.random.default_rng(side).normal(0, 30, (3, side * side))
