@@ -279,9 +279,9 @@ def water_component(spark, d):
 
 def wall_points(spark, d):
     """Pixels of the wall that touch water to their left: a ragged half circle."""
-    rows = image_rows(spark, d)
-    at = F.filter(F.sequence(F.lit(1), F.size("hu") - 1), lambda k: (F.element_at("hu", k) < 100) & (F.element_at("hu", k) > -100) & (F.element_at("hu", k + 1) == 120))
-    return rows.select("slice_id", C("row_idx").cast("double").alias("row"), F.explode(at).alias("at")).select("slice_id", "row", C("at").cast("double").alias("col"))
+    rows = image_rows(spark, d).select("slice_id", "row_idx", "hu", F.explode(F.sequence(F.lit(1), F.size("hu") - 1)).alias("at"))
+    left, here = F.element_at("hu", C("at")), F.element_at("hu", C("at") + 1)
+    return rows.filter((here == 120) & (left < 100) & (left > -100)).select("slice_id", C("row_idx").cast("double").alias("row"), C("at").cast("double").alias("col"))
 
 
 _WALL = "(select p.slice_id, cast(p.row_idx as double) as row, cast(p.col_idx as double) as col from {pixels} p join {pixels} q on p.slice_id = q.slice_id and p.row_idx = q.row_idx and q.col_idx = p.col_idx - 1 where p.hu = 120 and abs(q.hu) < 100)"

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_series import exchanges_over, plan_of
 
-from phantomlake.operators import nps, series
+from phantomlake.operators import nps, phantom, series
 from phantomlake.plans import QUERIES
 from phantomlake.sources import views
 
@@ -24,6 +24,28 @@ def test_pixels_are_neither_broadcast_nor_dealt(spark, name):
     assert "BroadcastExchange" not in plan and exchanges_over(plan, " AS hu#") == [], plan
 
 
+@needs_tables
+def test_wall_points_are_neither_broadcast_nor_made_again(spark):
+    """Circle and median come to the points where these lie, from one making of the images, in tasks that grow in number with the
+    table; the estimated size of the points is below the limit for broadcasts."""
+    plan = plan_of(QUERIES["circle_round"](spark, SF))
+    assert "BroadcastExchange" not in plan and "Join" not in plan and exchanges_over(plan, " AS hu#") == [], plan
+    assert plan.count(" AS hu#") == 1 and plan.count("Sort [") == 1, plan
+
+
+def test_a_round_keeps_what_comes_with_the_points(spark):
+    """Columns named like the sums stay, groups without a circle keep their points without a residual, points of no group go."""
+    ring = [("a", k, 9.0, 50 + 20 * float(np.sin(k)), 60 + 20 * float(np.cos(k))) for k in range(30)] + [("a", 30, 9.0, 50.0, 90.0)]
+    line = [("b", k, 9.0, float(k), float(k)) for k in range(3)]
+    points = spark.createDataFrame([*ring, *line, (None, 0, 9.0, 1.0, 2.0)], "g string, sx int, n double, row double, col double")
+    got = phantom.circle_round(points, ["g"])
+    assert got.columns == ["g", "sx", "n", "row", "col", "center_row", "center_col", "radius", "residual", "stays"]
+    rows = {(r.g, r.sx): r for r in got.collect()}
+    assert set(rows) == {("a", k) for k in range(31)} | {("b", k) for k in range(3)} and {r.n for r in rows.values()} == {9.0}
+    assert [k for k in range(31) if not rows["a", k].stays] == [30] and rows["a", 30].residual > 8
+    assert {(rows["b", k].radius, rows["b", k].residual, rows["b", k].stays) for k in range(3)} == {(None, None, None)}
+
+
 @needs_tables
 @pytest.mark.parametrize("name", ["nps_series", "nps_fit", "roi_file_spectrum", "measured_controls", "reanalyse"])
 def test_series_are_not_broadcast(spark, monkeypatch, name):
